@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, media
+from spanloom.llm import bpe, containment, lines, media
 from spanloom.llm.common import materialise, table
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -21,8 +29,41 @@ def op10_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_lines": op6_lines,
+    "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_png": op10_png,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all(" + LOWER + r", '[^\x20\x09-\x0D]+')"
+
+
+def shingles_sql(name: str, source: str, key: str) -> str:
+    """CTEs {name}_words and {name} (key, shingle), the distinct five-word shingles of a table's texts."""
+    return f"""{name}_words AS (SELECT {key}, {WORDS.format("text")} AS w FROM {source}),
+{name} AS (SELECT DISTINCT {key}, array_to_string(w[i : i + 4], ' ') AS shingle
+  FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_words WHERE len(w) > 0))"""
+
+
+OP6_SQL = f"""
+WITH lines AS (SELECT doc_id, source, i, l[i] AS line, trim(regexp_replace({LOWER.format("l[i]")}, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS key
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+spread AS (SELECT key, min(doc_id) AS first FROM lines WHERE len(string_split(key, ' ')) >= 3 GROUP BY key HAVING count(DISTINCT source) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(s.key) FILTER (s.first <> doc_id) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (s.key IS NULL OR s.first = doc_id), '') AS text
+FROM lines LEFT JOIN spread s USING (key) GROUP BY doc_id
+"""
+
+OP8_SQL = f"""
+WITH {shingles_sql("item", "benchmark", "item_id")},
+{shingles_sql("doc", "documents", "doc_id")},
+sizes AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id)
+SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*) / n::DOUBLE AS containment
+FROM doc JOIN item USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.75 * n
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_lines": OP6_SQL,
+    "op8_decontamination": OP8_SQL,
+}
