@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, containment, lines, media
+from spanloom.llm import bpe, containment, lines, media, neardup
 from spanloom.llm.common import materialise, table
 
 
+def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -29,6 +33,7 @@ def op10_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minmax": op5_minmax,
     "op6_lines": op6_lines,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
@@ -46,6 +51,16 @@ def shingles_sql(name: str, source: str, key: str) -> str:
   FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_words WHERE len(w) > 0))"""
 
 
+OP5_SQL = f"""
+WITH RECURSIVE {shingles_sql("doc", "documents", "doc_id")},
+sizes AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM doc a JOIN doc b USING (shingle) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least AS component_id, d.doc_id = least AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
 OP6_SQL = f"""
 WITH lines AS (SELECT doc_id, source, i, l[i] AS line, trim(regexp_replace({LOWER.format("l[i]")}, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS key
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
@@ -64,6 +79,7 @@ FROM doc JOIN item USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, i
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_minmax": OP5_SQL,
     "op6_lines": OP6_SQL,
     "op8_decontamination": OP8_SQL,
 }
