@@ -31,7 +31,7 @@ from spanloom.llm.common import CACHE_WORDS, materialise, row_ids, text_chunks,
 END = b"\n"
 #: Symbols: words of their own at most, and classes for the rest. Together they fit 16 bits.
 HEAD, CLASSES = 64_000, 1_024
-STATES, ROUNDS = 8, 4
+STATES, ROUNDS = 8, 5
 #: Bytes of a word beyond which its digest stands for it.
 WORD_BYTES = 64
 #: Added to counts, as in the base model.
@@ -241,8 +241,10 @@ def recursions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
 
 
 def first_parameters(vocab: Vocabulary, states: int, seed: int) -> Parameters:
-    """Sticky states that differ by noise."""
-    emissions = vocab.prior()[:, None] * np.exp(0.5 * np.random.default_rng(seed).standard_normal((len(vocab.words) + CLASSES, states)))
+    """Sticky states that differ by noise. Words of one class share it, so states differ in endings of words and part early."""
+    classes = np.array([*map(class_of, vocab.words), *range(CLASSES)])
+    noise = 0.5 * np.random.default_rng(seed).standard_normal((CLASSES, states))[classes]
+    emissions = vocab.prior()[:, None] * np.exp(noise)
     moves = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1))
     return Parameters(np.full(states, 1 / states, np.float32), moves.astype(np.float32), (emissions / emissions.sum(axis=0)).astype(np.float32))
 
