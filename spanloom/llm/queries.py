@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, containment, hmm, lines, media, neardup, toxicity
+from spanloom.llm import bpe, containment, hmm, lines, media, neardup, sharding, toxicity
 from spanloom.llm.common import materialise, table
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("language")
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -43,6 +47,7 @@ def op10_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm": op1_hmm,
     "op2_toxicity": op2_toxicity,
+    "op3_shards": op3_shards,
     "op5_minmax": op5_minmax,
     "op6_lines": op6_lines,
     "op8_decontamination": op8_decontamination,
