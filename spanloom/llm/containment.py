@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WordHashes, distinct_by_text, fresh, odd_constants, shingle_hashes, text_chunks, text_of, words_of
+from spanloom.llm.common import WordHashes, distinct_by_text, fresh, materialise, odd_constants, shingle_hashes, text_chunks, text_of, words_of
 
 MEETINGS = 14.0
 
@@ -148,5 +148,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     null is judged as one with all such rows."""
     found = contained_items(docs, items, id_col=id_col, **options)
     mark = fresh(docs, "contaminated_id")
-    bad = found.select(F.col(id_col).alias(mark)).distinct()
+    bad = materialise(found.select(F.col(id_col).alias(mark)).distinct())
     return docs.join(bad, docs[id_col].eqNullSafe(bad[mark]), "left_anti")

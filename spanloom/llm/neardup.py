@@ -205,5 +205,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, permutat
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]) & (F.xxhash64(text_of(text_col)) == kept["kept_hash"]), "left_semi")
+    out = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("out_id"), F.col("text_hash").alias("out_hash")).distinct()
+    out = materialise(out)
+    return docs.join(out, docs[id_col].eqNullSafe(out["out_id"]) & (F.xxhash64(text_of(text_col)) == out["out_hash"]), "left_anti")

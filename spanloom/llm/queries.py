@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, containment, hmm, lines, media, neardup, sharding, toxicity
+from spanloom.llm import bpe, containment, hmm, langid, lines, media, neardup, pii, sharding, toxicity
 from spanloom.llm.common import materialise, table
 
 
@@ -23,6 +23,10 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="replace this key")
+
+
 def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -31,6 +35,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,8 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm": op1_hmm,
     "op2_toxicity": op2_toxicity,
     "op3_shards": op3_shards,
+    "op4_feistel": op4_feistel,
     "op5_minmax": op5_minmax,
     "op6_lines": op6_lines,
+    "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_png": op10_png,
