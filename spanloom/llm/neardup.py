@@ -2,8 +2,8 @@
 
 Each permutation gives both its least and its greatest value, two signature entries for one evaluation; bands are cut from all
 entries. Documents with equal shingle sets form a class first, so that copies cost one row each. The classes of a bucket are linked
-to its first class; links are confirmed on full shingle sets. What then still lies in one bucket without being connected is compared
-pair by pair, in blocks, on signatures, and confirmed likewise, so that no link between classes of one bucket is lost.
+to its first class; links are confirmed on full shingle sets. Classes that then still lie in one bucket without being connected are
+compared in blocks, first on signatures and then on full sets, so that no component is left apart that a bucket's links join.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ PERMUTATIONS, BAND = 64, 4
 #: Standard errors of the signature estimate by which a candidate may fall short of the threshold before it is verified.
 SLACK = 5
 #: Classes of one bucket that are compared with each other in one task.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +131,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def unconnected(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, aren't connected yet and have signatures alike.
+def straddling(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """key, i, j, own, node, label: the classes of a bucket that resemble one of another component there.
 
     Buckets within one component fall out by a grouped minimum and maximum. The others are compared in blocks of BLOCK classes, each
-    pair of blocks a group of its own, so that no task holds more than two blocks.
+    pair of blocks (i, j) a group of its own, so that no task holds more than two blocks; own is the block of the class.
     """
     member = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("key", "node", "label")
     mixed = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -145,21 +145,53 @@ def unconnected(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, thresho
     split = split.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "signature")
 
     def run(table: pa.Table) -> pa.Table:
-        own, node, label = (table.column(c).to_numpy() for c in ("own", "node", "label"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-        one = np.flatnonzero(own == i)
-        two = one if i == j else np.flatnonzero(own == j)
-        least, a, b = least_agreement(threshold, signature.shape[1]), [], []
+        label = table.column("label").to_numpy()
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(label), -1)
+        one, two = sides(table)
+        least, found = least_agreement(threshold, signature.shape[1]), np.zeros(len(label), bool)
         for x in one.tolist():
-            near = two[(label[two] != label[x]) & ((node[two] > node[x]) | (i != j))]
-            near = near[(signature[near] == signature[x]).mean(axis=1) >= least] if len(near) else near
-            a += [node[x]] * len(near)
-            b += node[near].tolist()
-        low, high = np.minimum(np.array(a, np.int64), np.array(b, np.int64)), np.maximum(np.array(a, np.int64), np.array(b, np.int64))
-        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+            other = two[label[two] != label[x]]
+            near = other[(signature[other] == signature[x]).mean(axis=1) >= least]
+            found[near] = True
+            found[x] |= len(near) > 0
+        return table.select(["key", "i", "j", "own", "node", "label"]).filter(pa.array(found))
 
-    return split.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return split.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, own int, node long, label long")
+
+
+def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the classes of block i, and of those that each is compared with."""
+    own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    one = np.flatnonzero(own == i)
+    return one, one if i == j else np.flatnonzero(own == j)
+
+
+def straddling_links(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) on full shingle sets that join components, as few of each group as connect what the group connects."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_numpy(), table.column("label").to_numpy().copy()
+        values, sizes = shingle_sets([t.encode() for t in table.column("text").to_pylist()], WordHashes(), width)
+        ids = np.unique(values, return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        one, two = sides(table)
+        a, b = [], []
+        held = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        for x in one.tolist():
+            if (root[two] == root[x]).all():
+                continue
+            mine = ids[starts[x] : starts[x] + sizes[x]]
+            held[mine] = True
+            shared = np.add.reduceat(held[ids], starts, dtype=np.int64)
+            held[mine] = False
+            linked = two[(100 * shared[two] >= percent * (sizes[two] + sizes[x] - shared[two])) & (root[two] != root[x])]
+            for other, at in zip(*np.unique(root[linked], return_index=True), strict=True):
+                a.append(node[x])
+                b.append(node[linked[at]])
+                root[root == other] = root[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return members.join(texts, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, permutations: int = PERMUTATIONS, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,12 +218,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, permutat
     links = materialise(confirmed(pairs, texts, percent, width))
     labels = materialise(connected_components(links))
 
-    more = materialise(unconnected(buckets.select("key", "node"), labels, firsts, threshold))
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        lacking = needed(more).join(texts.select("node"), "node", "left_anti")
+    members = materialise(straddling(buckets.select("key", "node"), labels, firsts, threshold))
+    if not members.isEmpty():
+        lacking = members.select("node").distinct().join(texts.select("node"), "node", "left_anti")
         texts = texts.unionByName(materialise(node_texts(docs, facts.join(lacking, "node"), id_col, text_col)))
-        extra = confirmed(more, texts, percent, width)
+        extra = straddling_links(members, texts, percent, width)
         labels = materialise(connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)))
 
     rooted = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
