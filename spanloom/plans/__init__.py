@@ -1 +1,9 @@
+"""Queries by name: operators applied to the driver's tables and to tables derived from them."""
 
+from __future__ import annotations
+
+
+def registries() -> list:
+    from spanloom.plans import annotation
+
+    return [annotation.R]
