@@ -130,8 +130,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
 
 def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """uid, id, held_out, n_tokens, head_known, head_base, symbols binary (16 bits each), rest array<struct<word, class, n>>: the
-    words of classes with how often each text has them."""
+    """uid, id, held_out, n_tokens, head_known, head_base, symbols binary (16 bits each), rest array<struct<word, class>>: its
+    words of classes."""
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,31 +141,30 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
         for batch, texts in text_chunks(batches, "text"):
             if not known or len(known) > n_head + CACHE_WORDS:
                 known = {w: i for i, w in enumerate(vocab.words)}
-            columns: dict[str, list] = {k: [] for k in ("n", "known", "base", "symbols")}
-            words, classes, times, lengths = [], [], [], []
-            for t in texts:
-                tokens = tokens_of(t)
-                for w in set(tokens).difference(known):
-                    known[w] = n_head + class_of(w)
-                symbols = np.fromiter(map(known.__getitem__, tokens), np.uint16, len(tokens))
-                rare = np.flatnonzero(symbols >= n_head).tolist()
-                found = Counter([tokens[i] for i in rare])
-                columns["n"].append(len(tokens))
-                columns["known"].append(len(tokens) - len(rare))
-                columns["base"].append(float(own_base[symbols].sum()))
-                columns["symbols"].append(symbols.tobytes())
-                words += found
-                classes += [known[w] - n_head for w in found]
-                times += found.values()
-                lengths.append(len(found))
-            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(times, pa.int64())], names=["word", "class", "n"])
-            offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+            tokens, lengths = [], np.empty(len(texts), np.int64)
+            for i, t in enumerate(texts):
+                own = tokens_of(t)
+                lengths[i] = len(own)
+                tokens += own
+            for w in set(tokens).difference(known):
+                known[w] = n_head + class_of(w)
+            symbols = np.fromiter(map(known.__getitem__, tokens), np.uint16, len(tokens))
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            rare = np.flatnonzero(symbols >= n_head)
+            offsets = np.append(0, np.searchsorted(rare, ends))
+            base = np.add.reduceat(own_base[symbols], starts)
+            raw = symbols.tobytes()
+            rest = pa.StructArray.from_arrays([pa.array([tokens[i] for i in rare.tolist()], pa.binary()), pa.array((symbols[rare] - n_head).astype(np.int32))], names=["word", "class"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row_ids(len(texts), state)), batch.column(0), batch.column(1), pa.array(columns["n"], pa.int64()), pa.array(columns["known"], pa.int64()), pa.array(columns["base"], pa.float64()), pa.array(columns["symbols"], pa.binary()), pa.ListArray.from_arrays(offsets, rest)],
+                [
+                    pa.array(row_ids(len(texts), state)), batch.column(0), batch.column(1), pa.array(lengths), pa.array(lengths - np.diff(offsets)), pa.array(base),
+                    pa.array([raw[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rest),
+                ],
                 names=["uid", "id", "held_out", "n_tokens", "head_known", "head_base", "symbols", "rest"],
-            )
+            )
 
-    schema = f"uid long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, head_known long, head_base double, symbols binary, rest array<struct<word: binary, class: int, n: long>>"
+    schema = f"uid long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, head_known long, head_base double, symbols binary, rest array<struct<word: binary, class: int>>"
     return rows.select("id", "held_out", "text").mapInArrow(run, schema)
 
 
@@ -286,12 +285,12 @@ def rest_sums(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataF
     probabilities and of those within the class."""
     spark = encoded.sparkSession
     sizes = spark.createDataFrame([(k, float(n), float(v)) for k, (n, v) in enumerate(zip(vocab.class_tokens, vocab.class_words, strict=True))], "class int, n_class double, v_class double")
-    words = encoded.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.class", "r.n")
-    joined = words.join(counts.select("word", "c"), "word", "left").select("uid", "class", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    words = encoded.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.class")
+    joined = words.join(counts.select("word", "c"), "word", "left").select("uid", "class", F.coalesce("c", F.lit(0)).alias("c"))
     joined = joined.join(F.broadcast(sizes), "class")  # CLASSES rows
     base = F.log10((F.col("c") + ADDED) / F.lit(vocab.tokens + ADDED * (vocab.distinct + 1)))
     within = F.log10((F.col("c") + ADDED) / (F.col("n_class") + ADDED * (F.col("v_class") + 1)))
-    return joined.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * base).alias("base"), F.sum(F.col("n") * within).alias("within"))
+    return joined.groupBy("uid").agg(F.count_if(F.col("c") > 0).alias("known"), F.sum(base).alias("base"), F.sum(within).alias("within"))
 
 
 def forward_scores(encoded: DataFrame, p: Parameters) -> DataFrame:
