@@ -60,6 +60,18 @@ def row_ids(n: int, state: dict) -> np.ndarray:
     return np.arange(start, start + n, dtype=np.int64)
 
 
+def hashed_sample(rows: DataFrame, key: str, group: str, most: int, seed: int) -> DataFrame:
+    """About most rows of each value of group, all if there are fewer, chosen by a hash of key: no sort and no shuffle of the rows.
+
+    The number of rows kept has a mean of most and a standard deviation of its root. Groups should be few.
+    """
+    share = F.lit(0.0)
+    for r in rows.groupBy(group).count().collect():
+        share = F.when(F.col(group) == r[group], float(min(1.0, most / r["count"]))).otherwise(share)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    return rows.where(draw < share)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches that hold at most limit bytes of text (or one row), with the texts as UTF-8 bytes."""
     for batch in batches:

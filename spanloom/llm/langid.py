@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialise, row_ids, text_chunks, text_of
+from spanloom.llm.common import hashed_sample, materialise, row_ids, text_chunks, text_of
 
 LANGUAGES = ("en", "de", "fr", "es")
 BUCKETS = 1 << 14
-#: Labelled rows of each language that the text model takes at most, chosen by a hash of the id.
+#: Labelled rows of each language that the text model takes, about, chosen by a hash of the id.
 TRAIN_ROWS = 2_000
 #: Trigrams that a text's likelihood counts as at most, since neighbours aren't independent.
 TRIGRAMS = 60
@@ -56,10 +56,7 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def text_model(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """log P(trigram | language), languages x buckets, from rows (id, lang, text)."""
-    chosen = None
-    for language in languages:
-        one = rows.where(F.col("lang") == language).select("lang", "text", F.xxhash64("id", F.lit(7)).alias("order")).orderBy("order", "text").limit(TRAIN_ROWS)
-        chosen = one if chosen is None else chosen.unionByName(one)
+    chosen = hashed_sample(rows.where(F.col("lang").isin(*languages)), "id", "lang", TRAIN_ROWS, 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BUCKETS), np.int64)
