@@ -45,9 +45,12 @@ def without_thoughts(text: Column) -> Column:
 def shingles(text: Column, n: int) -> Column:
     """Distinct word n-grams in lower case; a shorter text is one shingle, a blank one has none."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    count = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), count - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(count == 0, F.array().cast("array<string>")).when(count < n, F.array(F.array_join(tokens, " "))).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    return F.element_at(F.transform(F.array(tokens), of), 1)  # the tokens are computed once
 
 
 def snippet(text: Column, needle: Column, reach: int = 80) -> Column:

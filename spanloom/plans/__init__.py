@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from spanloom.plans import annotation
+    from spanloom.plans import annotation, repairs
 
-    return [annotation.R]
+    return [annotation.R, repairs.R]
