@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from spanloom.plans import annotation, repairs
+    from spanloom.plans import annotation, repairs, workflows
 
-    return [annotation.R, repairs.R]
+    return [annotation.R, repairs.R, workflows.R]
