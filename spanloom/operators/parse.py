@@ -14,7 +14,8 @@ PAYLOAD = "struct<rows: array<struct<row_index: int, row_id: string, output: str
 def parse_annotations(artifacts: DataFrame, text_col: str = "payload") -> DataFrame:
     """Adds parsed (struct) and ok: model text without thoughts and fences, read whole or from its outermost braces."""
     text = without_thoughts(F.col(text_col))
-    parsed = F.coalesce(F.from_json(text, PAYLOAD), F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), PAYLOAD))
+    whole, inner = F.from_json(text, PAYLOAD), F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), PAYLOAD)
+    parsed = F.when(whole.getField("rows").isNotNull(), whole).otherwise(inner)
     return artifacts.withColumn("parsed", parsed).withColumn("ok", F.coalesce(F.col("parsed.rows").isNotNull(), F.lit(False)))
 
 

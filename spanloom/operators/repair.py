@@ -17,7 +17,7 @@ def aligned(spans: DataFrame, rows: DataFrame) -> DataFrame:
     the first place of the text that differs in white space only; null if there is none. Rows without text leave spans as they are."""
     joined = spans.join(rows, ROW, "left")
     trimmed = F.regexp_replace("span", EDGES, "")
-    loose = F.concat(F.lit(r"\Q"), F.regexp_replace(stripped(F.col("span")), r"(?U)\s+", r"\\\\E\\\\s+\\\\Q"), F.lit(r"\E"))
+    loose = F.concat(F.lit(r"\Q"), F.regexp_replace(stripped(F.col("span")), r"(?U)\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
     found = F.coalesce(F.regexp_substr("input", loose), F.lit(""))
     fixed = F.when(F.col("input").isNull() | F.contains("input", "span"), F.col("span")).when((trimmed != "") & F.contains("input", trimmed), trimmed)
     fixed = fixed.when((stripped(F.col("span")) != "") & (found != ""), found)
