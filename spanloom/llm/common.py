@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,14 +33,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes to the shared folder and reads back: cuts lineage, so a lost executor costs no recomputation."""
+#: Paths that materialise() has written inside the scratch blocks that are open, the innermost last.
+OPEN: list[list[str]] = []
+
+
+def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Writes to the shared folder and reads back: cuts lineage, so a lost executor costs no recomputation. files bounds the number of
+    files, for tables known to be small."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
+    if OPEN:
+        OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(operator):
+    """Decorates a function that returns a DataFrame: the result is materialised, and what the function has materialised before goes."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        OPEN.append([])
+        try:
+            out = materialise(operator(df, *args, **named))
+        finally:
+            paths = OPEN.pop()
+        spark = df.sparkSession
+        *old, new = paths
+        for path in old:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if OPEN:
+            OPEN[-1].append(new)
+        return out
+
+    return run
+
+
 def text_of(column: str) -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hashed_sample, materialise, row_ids, text_chunks, text_of
+from spanloom.llm.common import hashed_sample, materialise, row_ids, scratch, text_chunks, text_of
 
 LANGUAGES = ("en", "de", "fr", "es")
 BUCKETS = 1 << 14
@@ -170,6 +170,7 @@ def page_languages(pages: DataFrame, known: DataFrame, languages: tuple[str, ...
     return fused(evidence, languages, least_confidence).select(F.col("id").alias(id_col), "language", "text_language", "declared", F.round("confidence", 6).alias("confidence"), "accepted")
 
 
+@scratch
 def text_languages(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, least_confidence: float = 0.5, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", site_col: str = "source") -> DataFrame:
     """As page_languages(), for plain texts with a declared language and a site: id, text_hash, language, text_language, declared,
     confidence, accepted. The text model learns from the declared languages of its sample."""

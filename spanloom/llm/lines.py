@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fresh, materialise, text_chunks
+from spanloom.llm.common import fresh, materialise, scratch, text_chunks
 
 #: Words that a line must have to count as boilerplate.
 MIN_WORDS = 3
@@ -49,6 +49,7 @@ def lines_by_site(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, "line long, site string, first long")
 
 
+@scratch
 def spread_lines(docs: DataFrame, min_sites: int = 5, lg_k: int = 12, margin: float = 0.1, **columns) -> DataFrame:
     """line long, first long: the lines on at least min_sites distinct sites, with the least id of a document that holds each.
 
@@ -76,7 +77,7 @@ def drop_spread_lines(
     empty text stays empty. A line repeated in one row goes or stays as a whole. A document may become empty, but keeps its row. An
     empty table gives an empty result; other columns pass through, and columns of docs named like those of counts are replaced.
     """
-    spread = materialise(spread_lines(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col, min_words=min_words, **options))
+    spread = spread_lines(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col, min_words=min_words, **options)
     if not keep_first:
         spread = spread.withColumn("first", F.lit(None).cast("long"))
     names = {"id_col": id_col, "text_col": text_col, "min_words": min_words, "counts": counts}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WordHashes, distinct_by_text, materialise, mix, odd_constants, row_ids, shingle_hashes, text_chunks, text_of, words_of
+from spanloom.llm.common import WordHashes, distinct_by_text, materialise, mix, odd_constants, row_ids, scratch, shingle_hashes, text_chunks, text_of, words_of
 from spanloom.llm.components import connected_components
 
 #: Permutations, each of which gives two signature entries, and entries in a band. A pair of Jaccard similarity 0.75 meets in one of
@@ -194,6 +194,7 @@ def straddling_links(members: DataFrame, texts: DataFrame, percent: int, width:
     return members.join(texts, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+@scratch
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, permutations: int = PERMUTATIONS, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, text_hash, n_shingles, component_id and kept.
 
