@@ -13,7 +13,12 @@ R = Registry()
 add = R.add
 
 NOW, SINCE = "2024-01-20 00:00:00", "2024-01-15 00:00:00"
-now = F.lit(NOW).cast("timestamp")
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
 MOVES = ", ".join(f"('{a}', '{b}')" for a, bs in workflow.ALLOWED.items() for b in bs)
 STATUS = ", status AS (SELECT task_id, last(next_status ORDER BY seq) AS status, max(seq) AS seq FROM audit_events GROUP BY task_id)\n"
 OPEN = "SELECT * FROM feedback WHERE feedback_id NOT IN (SELECT feedback_id FROM discussions WHERE consensus)"
@@ -42,7 +47,7 @@ add(
     lambda t: workflow.provider_chains(t.attempts),
     "SELECT task_id, concat_ws('->', last(provider_id ORDER BY seq) FILTER (stage = 'annotation'), last(provider_id ORDER BY seq) FILTER (stage = 'qc'), last(provider_id ORDER BY seq) FILTER (stage = 'arbitration')) AS chain FROM attempts GROUP BY task_id",
 )
-add("h05_throughput", lambda t: workflow.throughput(t.attempts, now, 1440), f"SELECT stage, count(*) AS n, round(avg(dur_s), 6) AS mean_s FROM attempts WHERE status = 'succeeded' AND dur_s > 0 AND finished_at <= TIMESTAMP '{NOW}' AND finished_at > TIMESTAMP '{NOW}' - INTERVAL 1440 MINUTE GROUP BY stage")
+add("h05_throughput", lambda t: workflow.throughput(t.attempts, now(), 1440), f"SELECT stage, count(*) AS n, round(avg(dur_s), 6) AS mean_s FROM attempts WHERE status = 'succeeded' AND dur_s > 0 AND finished_at <= TIMESTAMP '{NOW}' AND finished_at > TIMESTAMP '{NOW}' - INTERVAL 1440 MINUTE GROUP BY stage")
 add("h06_accepted_since", lambda t: workflow.accepted_since(t.audit_events, F.lit(SINCE).cast("timestamp")), f"SELECT count(*) AS n_accepted FROM audit_events WHERE next_status = 'accepted' AND ts >= TIMESTAMP '{SINCE}'")
 HEALTH = """, per AS (SELECT task_id, last(next_status ORDER BY seq) AS status, count(*) FILTER (next_status = 'arbitrating') AS arb, count(*) FILTER (next_status = 'qc') AS qc FROM audit_events GROUP BY task_id),
 health AS (SELECT count(*) AS n_tasks, count(*) FILTER (status = 'accepted') AS n_accepted, count(*) FILTER (status IN ('accepted', 'rejected')) AS n_terminal, count(*) FILTER (status = 'accepted' AND qc <= 1) AS n_first_pass, count(*) FILTER (arb > 0) AS n_arbitrated, (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM attempts WHERE dur_s > 0 GROUP BY task_id)) AS mean_calls FROM per)
@@ -88,7 +93,7 @@ add("h28_failure_rates", lambda t: workflow.failure_rate(t.attempts), "SELECT st
 add("h29_latency", lambda t: workflow.latency(t.attempts, 90.0), "SELECT stage, round(avg(dur_s), 6) AS mean_s, round(quantile_cont(dur_s, 0.5), 6) AS p50, round(quantile_cont(dur_s, 0.95), 6) AS p95, round(avg((dur_s >= 90)::INT), 6) AS slow_share FROM attempts GROUP BY stage")
 add(
     "h30_backlog_change",
-    lambda t: workflow.backlog_change(t.audit_events, now, 1440),
+    lambda t: workflow.backlog_change(t.audit_events, now(), 1440),
     f", a AS (SELECT last(next_status ORDER BY seq) AS s FROM audit_events WHERE ts <= TIMESTAMP '{NOW}' GROUP BY task_id), b AS (SELECT last(next_status ORDER BY seq) AS s FROM audit_events WHERE ts <= TIMESTAMP '{NOW}' - INTERVAL 1440 MINUTE GROUP BY task_id) SELECT (SELECT count(*) FROM a WHERE s = 'pending') AS n_now, (SELECT count(*) FROM b WHERE s = 'pending') AS n_then",
 )
 add(
