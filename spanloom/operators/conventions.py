@@ -71,14 +71,17 @@ def injectable(recounted: DataFrame, least: int = 5, dispute: float = 0.20) -> D
 def found_in_text(rows: DataFrame, conventions: DataFrame, most: int = 50, least_length: int = 4) -> DataFrame:
     """Per task up to `most` conventions whose span its text holds as whole words.
 
-    The first word of the span meets the words of the text in an equi-join; the whole span is then checked in the text. Spans that
-    don't start with a word character are looked up in each row by themselves.
+    The first word of the span meets the words of the text in an equi-join; only spans of more than that word are then looked up in the
+    text. Spans that don't start with a word character are never found.
     """
     spans = conventions.where(F.length("span_lower") >= least_length).select("span_lower", F.col("type").alias("convention"), F.regexp_extract("span_lower", r"(?U)^\w+", 0).alias("word"))
-    words = rows.select("task_id", "row_index", F.lower("input").alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("input"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    low = rows.select("task_id", "row_index", F.lower("input").alias("low"))
+    words = low.select("task_id", "row_index", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
     keyed = words.join(spans.where("word <> ''"), "word")
+    whole = keyed.where("span_lower = word").select("task_id", "row_index", "span_lower", "convention")
     pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "span_lower", F.lit(r"\E(?!\w)"))
-    hits = keyed.where(F.contains("low", "span_lower") & F.regexp_like("low", pattern))
+    longer = keyed.where("span_lower <> word").join(low, ["task_id", "row_index"]).where(F.contains("low", "span_lower") & F.regexp_like("low", pattern))
+    hits = whole.unionByName(longer.select("task_id", "row_index", "span_lower", "convention"))
     per = hits.groupBy("task_id", "span_lower", "convention").agg(F.count("*").alias("n_rows"))
     w = Window.partitionBy("task_id").orderBy(F.desc(F.length("span_lower")), "span_lower")
     return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")

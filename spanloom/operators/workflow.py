@@ -27,6 +27,12 @@ def board(tasks: DataFrame) -> DataFrame:
     return tasks.rollup("project_id", "status").agg(F.count("*").alias("n"))
 
 
+def board_columns(tasks: DataFrame) -> DataFrame:
+    """Tasks by who has to act next and status, with the first of each."""
+    column = F.when(F.col("status").isin("pending", "annotating", "qc", "arbitrating"), "machine").when(F.col("status") == "human_review", "person").otherwise("done")
+    return tasks.groupBy(column.alias("board_column"), "status").agg(F.count("*").alias("n"), F.min("task_id").alias("first_task"))
+
+
 def task_cards(tasks: DataFrame, attempts: DataFrame, feedback: DataFrame) -> DataFrame:
     """Per task with attempts: its latest one, attempts and feedback counted."""
     last = attempts.groupBy("task_id").agg(F.max_by(F.struct("stage", "status", "provider_id"), "seq").alias("l"), F.count("*").alias("n_attempts"))

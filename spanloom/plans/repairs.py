@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.fixtures import Tables
 from spanloom.functions.text import shingles
-from spanloom.operators import parse, repair, similarity
+from spanloom.operators import graph, parse, repair, similarity
 from spanloom.plans.annotation import JOINED, NON_VERBATIM, TRIMMED
 from spanloom.plans.oracle import Registry
 
@@ -131,6 +131,13 @@ add("f01_shingle_counts", lambda t: row_texts(t).select("key", F.size(shingles(F
 add("f02_minhash", lambda t: similarity.minhash(similarity.shingle_sets(task_texts(t), 5)).select("key", F.sha2(F.array_join(F.col("signature").cast("array<string>"), ","), 256).alias("digest")))
 add("f03_lsh_edges", lambda t: similarity.near_duplicate_edges(task_texts(t), 5, 0.7, "lsh").select("a", "b", F.round("similarity", 6).alias("similarity")))
 add("f04_task_edges", lambda t: similarity.near_duplicate_edges(task_texts(t), 5, 0.7).select("a", "b", F.round("similarity", 6).alias("similarity")), TASK_EDGES + "SELECT a, b, round(similarity, 6) AS similarity FROM edges")
+add(
+    "f05_components",
+    lambda t: graph.connected_components(similarity.near_duplicate_edges(task_texts(t), 5, 0.5)),
+    sets_sql(5, "SELECT task_id AS key, string_agg(input, chr(10) ORDER BY row_index) AS text FROM src_rows GROUP BY task_id")
+    + edges_sql(0.5)
+    + ", both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node",
+)
 add("f06_row_clusters", lambda t: row_clusters(t).withColumn("similarity", F.round("similarity", 6)), ROW_CLUSTERS + "SELECT key, rep, round(similarity, 6) AS similarity, size FROM clusters")
 add("f07_cluster_summary", lambda t: similarity.cluster_summary(row_clusters(t)), ROW_CLUSTERS + "SELECT rep, count(*) AS size, round(avg(similarity) FILTER (key <> rep), 6) AS mean_similarity FROM clusters GROUP BY rep")
 add("f08_rejects", lambda t: similarity.rejects(row_clusters(t)), ROW_CLUSTERS + "SELECT key, rep FROM clusters QUALIFY key <> min(key) OVER (PARTITION BY rep)")

@@ -36,6 +36,7 @@ def exported(t):
     return workflow.export_rows(t.tasks, t.artifacts, t.spans, t.row_masks)
 
 
+add("h01_board_columns", lambda t: workflow.board_columns(t.tasks), "SELECT CASE WHEN status IN ('pending', 'qc', 'arbitrating') THEN 'machine' WHEN status = 'human_review' THEN 'person' ELSE 'done' END AS board_column, status, count(*) AS n, min(task_id) AS first_task FROM tasks GROUP BY ALL")
 add("h04_board", lambda t: workflow.board(t.tasks), "SELECT project_id, status, count(*) AS n FROM tasks GROUP BY ROLLUP (project_id, status)")
 add(
     "h02_task_cards",
@@ -89,6 +90,7 @@ add(
     STATUS + ", p AS (SELECT task_id, count(*) AS n FROM attempts WHERE task_id IN (SELECT task_id FROM status WHERE status = 'accepted') GROUP BY task_id) SELECT round(avg(n), 6) AS mean_calls, min(n) AS least, max(n) AS most, round(avg((n <= 2)::INT), 6) AS upto_2, round(avg((n <= 4)::INT), 6) AS upto_4, round(avg((n <= 6)::INT), 6) AS upto_6 FROM p",
 )
 add("h26_arbitration_rate", lambda t: workflow.arbitration_rate(t.audit_events, t.attempts), "SELECT round(avg(a), 6) AS rate FROM (SELECT task_id, max((stage = 'arbitration')::INT) AS a FROM attempts GROUP BY task_id)")
+add("h27_bail_rates", lambda t: workflow.bail_rates(t.source("events")), "SELECT round(avg((k > 0)::INT), 6) AS \"any\", round(avg((k >= 3)::INT), 6) AS from_3, round(avg((k >= 5)::INT), 6) AS from_5 FROM (SELECT coalesce(try_cast(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS INT), 0) AS k FROM events)")
 add("h28_failure_rates", lambda t: workflow.failure_rate(t.attempts), "SELECT stage, round(avg((status = 'failed')::INT), 6) AS rate FROM attempts GROUP BY stage")
 add("h29_latency", lambda t: workflow.latency(t.attempts, 90.0), "SELECT stage, round(avg(dur_s), 6) AS mean_s, round(quantile_cont(dur_s, 0.5), 6) AS p50, round(quantile_cont(dur_s, 0.95), 6) AS p95, round(avg((dur_s >= 90)::INT), 6) AS slow_share FROM attempts GROUP BY stage")
 add(
