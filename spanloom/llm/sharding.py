@@ -1,10 +1,10 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix. DataFrame functions only.
 
-Rows lie in blocks by a hash. How many rows each block sends to each shard is drawn exactly, as a matrix with the blocks' counts as
+Rows lie in blocks as the input's partitions hold them. How many rows each block sends to each shard is drawn exactly, as a matrix with the blocks' counts as
 row sums and the shards' sizes as column sums: a tree halves the range of blocks, and at each node the shard counts of the left half
 follow a multivariate hypergeometric law. Rows are permuted within their block, dealt to shards by the drawn counts, exchanged, and
-permuted again within the shard. All draws are hashes of the seed and of the row or tree node, so that a task that runs again
-draws the same.
+permuted again within the shard; whole rows move. All draws are hashes of the seed and of the row's number in the input or of the
+tree node, and numbers are written before they are used, so that a task that runs again draws the same.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialise, text_of
+from spanloom.llm.common import fresh, materialise, scratch, text_of
 
-#: Rows in a block, about. At least LEAST_BLOCKS blocks are made where each still gets 1000 rows.
-BLOCK_ROWS, LEAST_BLOCKS = 50_000, 64
+#: Rows in a block at most.
+BLOCK_ROWS = 50_000
 #: Standard deviations beyond which a hypergeometric count is impossible to double precision (mass under 1e-30).
 REACH = 12
 
@@ -75,33 +75,43 @@ def communication_matrix(counts: DataFrame, blocks: int, quotas: list[int], seed
     return node.select(F.col("first").alias("block"), ends.alias("ends"))
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per row of docs: its id, size (UTF-8 bytes of the text plus 1), text_crc32, law 'rows', shard, slot and grown_shard (null).
+@scratch
+def shuffle_rows(docs: DataFrame, shards: int = 8, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of docs, whole, with shard and slot (fresh names where docs has such columns), written in the shared folder.
 
-    Shard sizes differ by one row at most; slot is the row's place in its shard, gapless from 0. Nulls: a null id stays null, a null
-    text counts as empty. Rows equal in id and text are told apart by a running number, so that any number of them spreads evenly.
-    An empty table gives an empty result; other columns aren't read. Texts aren't moved: a reader fetches them by id.
+    Shard sizes differ by one row at most; slot is the row's place in its shard, gapless from 0. Each file holds whole lanes of shards in
+    the order of their slots. Blocks are runs of at most block_rows rows of an input partition; equal rows are drawn one by one. The
+    same input in the same partitions gives the same result. An empty table gives an empty result.
     """
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
-    rows = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("copies"))
-    rows = materialise(rows.select("id", "size", "crc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")))
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // 1000))
-    own = [F.col(c) for c in ("id", "size", "crc", "copy")]
-    draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), *own)
-    dealt = rows.withColumn("block", F.pmod(draw("block"), F.lit(blocks)).cast("long"))
+    draw = lambda what, *own: F.xxhash64(F.lit(seed), F.lit(what), *own)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("uid"))
+    rows = rows.withColumn("run", F.floor((F.col("uid") - F.shiftleft(F.col("part").cast("long"), 33)) / block_rows).cast("long"))
+    # the first permutation: the rows of a partition, sorted by run and draw, are numbered in that order
+    rows = rows.sortWithinPartitions("run", draw("place", F.col("uid")), "uid").withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
+    rows = materialise(rows.withColumn("place", F.col("at") - F.col("run") * block_rows + 1).drop("at"))
+
+    found = rows.groupBy("part", "run").agg(F.count("*").alias("n"))
+    found = materialise(found.withColumn("block", (F.row_number().over(Window.orderBy("part", "run")) - 1).cast("long")), 1)  # a row for each block
+    blocks, n = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     quotas = [n // shards + (s < n % shards) for s in range(shards)]
-    matrix = materialise(communication_matrix(dealt.groupBy("block").agg(F.count("*").alias("n")), blocks, quotas, seed))
-    place = F.row_number().over(Window.partitionBy("block").orderBy(draw("place"), *own))
-    sent = dealt.withColumn("place", place).join(matrix, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
+    matrix = materialise(communication_matrix(found.select("block", "n"), max(blocks, 1), quotas, seed).join(found, "block").select("part", "run", "ends"), 1)
     lanes = max(1, -(-blocks // shards))
-    sent = materialise(sent.select(*own, "shard", F.pmod(draw("lane"), F.lit(lanes)).cast("int").alias("lane")))
+    sent = rows.join(F.broadcast(matrix), ["part", "run"]).withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
+    sent = sent.withColumn("lane", F.pmod(draw("lane", F.col("uid")), F.lit(lanes)).cast("int")).select("row", "uid", "shard", "lane")
+
     lane_counts = sent.groupBy("shard", "lane").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lane_counts.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("shard", "lane").orderBy(draw("slot"), *own))
-    out = sent.withColumn("within", within).join(offsets, ["shard", "lane"])
+    offsets = materialise(lane_counts.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), 1)
+    within = F.row_number().over(Window.partitionBy("shard", "lane").orderBy(draw("slot", F.col("uid")), "uid"))
+    out = sent.withColumn("within", within).join(F.broadcast(offsets), ["shard", "lane"])
+    return out.select("row.*", F.col("shard").alias(fresh(docs, "shard")), (F.col("offset") + F.col("within") - 1).cast("long").alias(fresh(docs, "slot")))
+
+
+def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Digests of shuffle_rows(), read from its output: one row per row of docs with its id, size (UTF-8 bytes of the text plus 1),
+    text_crc32, law 'rows', shard, slot and grown_shard (null). A null id stays null, a null text counts as empty."""
+    text = text_of(text_col)
+    out = shuffle_rows(docs, shards, seed, block_rows)
     return out.select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", (F.col("offset") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), F.col(fresh(docs, "shard")).alias("shard"), F.col(fresh(docs, "slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

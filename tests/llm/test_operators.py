@@ -157,6 +157,19 @@ def test_shards_are_exact(spark, docs, none):
     assert sharding.shuffle_into_shards(none).count() == 0
 
 
+def test_whole_rows_are_shuffled(spark, docs, none):
+    many = docs.withColumn("shard", F.lit("own")).union(spark.range(3000).select(F.col("id"), F.col("id").cast("string"), *(F.lit(None) for _ in range(6)), F.lit("own")))
+    out = sharding.shuffle_rows(many, block_rows=200)
+    assert out.columns == [*many.columns, "_shard", "slot"]
+    got, want = (Counter(tuple(r) for r in f.collect()) for f in (out.select(*many.columns), many))
+    assert got == want
+    part = out.groupBy("_shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    assert len(part) == 8 and {r.n for r in part} <= {len(ROWS) // 8 + 375, len(ROWS) // 8 + 376} and all(r.low == 0 and r.d == r.n == r.high + 1 for r in part)
+    rows = out.where("score is null and doc_id is not null").toPandas()
+    assert abs(np.corrcoef(rows.doc_id, rows.slot)[0, 1]) < 0.08 and abs(np.corrcoef(rows.doc_id, rows._shard)[0, 1]) < 0.08
+    assert sharding.shuffle_rows(none).columns == [*none.columns, "shard", "slot"] and sharding.shuffle_rows(none).count() == 0
+
+
 def test_hypergeometric_law(spark):
     draw = lambda k, b, m: spark.range(4000).select(sharding.hypergeometric(sharding.uniform(F.col("id"), F.lit(k)), *(F.lit(x).cast("long") for x in (k, b, m))).alias("x")).toPandas().x
     x = draw(12, 18, 10)
