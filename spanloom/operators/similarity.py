@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import first_tokens, shingles, word_count
 from spanloom.operators.graph import connected_components, written
 
+#: Keys of a bucket that meet under one join key, about.
+BLOCK = 1024
+
 
 def row_key() -> Column:
     """A key that sorts by task and then by row number."""
@@ -36,12 +39,21 @@ def minhash(sets: DataFrame, permutations: int = 64) -> DataFrame:
 
 
 def lsh_candidates(signatures: DataFrame, band: int = 4) -> DataFrame:
-    """Pairs (a, b), a before b, of keys that agree in a band of the signature, each with the band's first key."""
-    n = F.size("signature") / band
-    key = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.xxhash64(i, F.slice("signature", i * band + 1, F.lit(band))))
-    entries = signatures.select("key", F.explode(key).alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return entries.join(heads, "bucket").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+    """All pairs (a, b), a before b, of keys that agree in a band of the signature, each pair once.
+
+    The keys of a bucket meet in blocks of about BLOCK, each pair of blocks (i, j) under a join key of its own, so that no task holds a
+    whole bucket. A pair counts in the first band in which it agrees, which needs no distinct over all bands.
+    """
+    bands = F.transform(F.sequence(F.lit(0), (F.size("signature") / band).cast("int") - 1), lambda i: F.xxhash64(i, F.slice("signature", i * band + 1, F.lit(band))))
+    banded = written(signatures.select("key", bands.alias("bands")))
+    entries = banded.select("key", "bands", F.posexplode("bands").alias("at", "bucket"))
+    shared = entries.groupBy("at", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("at", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    entries = written(entries.join(shared, ["at", "bucket"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    one = entries.select("at", "bucket", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("key").alias("x"), F.col("bands").alias("x_bands"))
+    two = entries.select("at", "bucket", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("key").alias("y"), F.col("bands").alias("y_bands"))
+    first = F.array_position(F.zip_with("x_bands", "y_bands", lambda x, y: x == y), True) == F.col("at") + 1
+    met = one.join(two, ["at", "bucket", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).where(first)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def prefix_candidates(sets: DataFrame, threshold: float) -> DataFrame:

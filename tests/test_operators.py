@@ -181,3 +181,13 @@ def test_statistics_stream_counts_once(spark, tmp_path):
     for _ in range(2):
         live.keep_statistics(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert [tuple(r) for r in live.read_statistics(spark, str(tmp_path / "out")).collect()] == [("a", "x", 3)]
+
+
+def test_lsh_edges_of_a_group(spark, monkeypatch):
+    """Edited copies of one text are all linked with each other, not only with the first of their bucket, whatever the blocks."""
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [(f"g{k:02d}", " ".join([*words[: 20 * k], f"edit{k}", *words[20 * k + 1 :]])) for k in range(14)] + [(f"other{k}", " ".join(f"{k}x{i}" for i in range(50))) for k in range(5)]
+    frame = spark.createDataFrame(texts, "key string, text string")
+    exact, lsh = ([(r.a, r.b, round(r.similarity, 9)) for r in similarity.near_duplicate_edges(frame, 5, 0.7, mode).collect()] for mode in ("exact", "lsh"))
+    assert len(lsh) == 14 * 13 // 2 and sorted(lsh) == sorted(exact)
