@@ -61,3 +61,9 @@ def snippet(text: Column, needle: Column, reach: int = 80) -> Column:
     cut = F.concat(F.when(start > 1, "…").otherwise(""), text.substr(start, stop - start + 1), F.when(stop < F.length(text), "…").otherwise(""))
     head = F.concat(text.substr(1, 2 * reach), F.when(F.length(text) > 2 * reach, "…").otherwise(""))
     return F.when(at > 0, cut).otherwise(head)
+
+
+def padded(number: Column, width: int) -> Column:
+    """The digits of a number, filled with zeros to the width; longer ones stay whole, where lpad alone would cut them."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.fixtures import Tables
-from spanloom.functions.text import shingles
+from spanloom.functions.text import padded, shingles
 from spanloom.operators import graph, parse, repair, similarity
 from spanloom.plans.annotation import JOINED, NON_VERBATIM, TRIMMED
 from spanloom.plans.oracle import Registry
@@ -161,7 +161,7 @@ add(
 
 def cached(t: Tables):
     texts = task_texts(t).select("key", similarity.content_hash(F.col("text")).alias("content_hash"))
-    cache = t.source("embeddings").select(F.concat(F.lit("doc-"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("key"), F.col("embedding").alias("vector"), "label")
+    cache = t.source("embeddings").select(F.concat(F.lit("doc-"), padded(F.col("vec_id"), 6)).alias("key"), F.col("embedding").alias("vector"), "label")
     cache = cache.join(texts, "key").select("key", F.when(F.col("label") % 2 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"), "vector")
     return texts, cache
 

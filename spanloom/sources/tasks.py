@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import padded
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
     """Rows of JSON lines files; blank lines are skipped. A line that is no object is an error, or, if tolerant, a row with _corrupt_record."""
@@ -90,5 +92,5 @@ def migrate(tasks: DataFrame, effective: DataFrame, prefix: str) -> DataFrame:
     """Accepted tasks with readable annotations under new ids prefix-000001 and on, in order of id; others with an error."""
     joined = tasks.where("status = 'accepted'").select("task_id").join(effective, "task_id", "left")
     good = joined.where("usable").withColumn("n", F.row_number().over(Window.orderBy("task_id")))  # one row per migrated task, ids only
-    ids = good.select("task_id", F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("new_id"))
+    ids = good.select("task_id", F.concat(F.lit(f"{prefix}-"), padded(F.col("n"), 6)).alias("new_id"))
     return joined.join(ids, "task_id", "left").select("task_id", "new_id", F.when(F.col("new_id").isNull(), "no readable annotation").alias("error"))

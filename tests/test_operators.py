@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.fixtures import Tables
 from spanloom.functions.text import first_tokens, shingles, snippet, without_thoughts
 from spanloom.operators import consensus, conventions, defects, graph, parse, repair, similarity, stats, workflow
+from spanloom.plans import repairs
 from spanloom.sources import tasks
 from spanloom.streaming import live
 
@@ -191,3 +193,23 @@ def test_lsh_edges_of_a_group(spark, monkeypatch):
     frame = spark.createDataFrame(texts, "key string, text string")
     exact, lsh = ([(r.a, r.b, round(r.similarity, 9)) for r in similarity.near_duplicate_edges(frame, 5, 0.7, mode).collect()] for mode in ("exact", "lsh"))
     assert len(lsh) == 14 * 13 // 2 and sorted(lsh) == sorted(exact)
+
+
+def test_ids_above_six_digits(spark, tmp_path):
+    """Documents from 1,000,000 on keep tasks, rows, spans and cache keys of their own."""
+    ids = [7, 999_999, *range(1_000_000, 1_000_010), 10_000_000]
+    spark.createDataFrame([(i, f"Text number{i}") for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [1.0] * 64, 0) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    t = Tables(spark, str(tmp_path))
+    want = sorted(f"doc-{i:06d}" for i in ids)
+    for table in (t.tasks, t.rows, t.spans):
+        assert sorted(r.task_id for r in table.select("task_id").collect()) == want
+    assert sorted(r.key for r in repairs.cached(t)[1].select("key").collect()) == want
+
+
+def test_migrated_ids_above_six_digits(spark):
+    n = 1_000_012
+    own = spark.range(n).select(F.format_string("t%08d", "id").alias("task_id"))
+    out = tasks.migrate(own.withColumn("status", F.lit("accepted")), own.withColumn("usable", F.lit(True)), "v5")
+    assert out.agg(F.countDistinct("new_id").alias("n"), F.max("new_id").alias("last")).first() == (n, "v5-999999")
+    assert out.where("task_id = 't01000011'").first().new_id == "v5-1000012"
