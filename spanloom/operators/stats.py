@@ -115,6 +115,11 @@ def posterior_audit(decisions: DataFrame, summary: DataFrame, conventions: DataF
     return checked.where((F.col("verdict") == "divergent") & (F.col("type") != expected)).select("task_id", "span_lower", "type", expected.alias("expected"), F.col("convention").isNotNull().alias("by_convention"))
 
 
+def task_deviations(decisions: DataFrame, summary: DataFrame, conventions: DataFrame) -> DataFrame:
+    """posterior_audit() of every task as its review shows it, with the span's total and the dominant type's share."""
+    return posterior_audit(decisions, summary, conventions).join(summary.select("span_lower", "total", "top_share"), "span_lower")
+
+
 def confirmed_tasks(checked: DataFrame) -> DataFrame:
     """Tasks of which no span diverges and at least one agrees."""
     per = checked.groupBy("task_id").agg(F.count_if(F.col("verdict") == "divergent").alias("bad"), F.count_if(F.col("verdict") == "agree").alias("good"))

@@ -186,6 +186,11 @@ add("e10_frequency_scores", lambda t: stats.frequency_scores(t.spans, stats.zipf
 AUDIT = "SELECT c.task_id, c.span_lower, c.type, coalesce(v.type, top_type) AS expected, v.type IS NOT NULL AS by_convention FROM checked c LEFT JOIN conventions v ON v.span_lower = c.span_lower AND v.status = 'active' WHERE verdict = 'divergent' AND c.type <> coalesce(v.type, top_type)"
 add("e11_posterior_audit", lambda t: stats.posterior_audit(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)), STATS + AUDIT)
 add("e12_task_deviations", lambda t: stats.posterior_audit(stats.lower_decisions(t.spans).where("task_id < 'doc-000050'"), stats.summaries(everywhere(t)), agreed_conventions(t)), STATS + AUDIT + " AND c.task_id < 'doc-000050'")
+add(
+    "e12_all_task_deviations",
+    lambda t: stats.task_deviations(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)).withColumn("top_share", F.round("top_share", 6)),
+    STATS + f"SELECT a.*, s.total, round(s.top_share, 6) AS top_share FROM ({AUDIT}) a JOIN summary s USING (span_lower)",
+)
 add("e13_confirmed_tasks", lambda t: stats.confirmed_tasks(checked(t)), STATS + "SELECT task_id, count(*) FILTER (verdict = 'agree') AS good FROM checked GROUP BY task_id HAVING count(*) FILTER (verdict = 'divergent') = 0 AND good > 0")
 add(
     "e14_disagreement_messages",

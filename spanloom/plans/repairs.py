@@ -171,11 +171,21 @@ add("f14_cache_hits", lambda t: similarity.cache_lookup(*cached(t), 64)[0].selec
 add("f14_cache_misses", lambda t: similarity.cache_lookup(*cached(t), 64)[1], CACHE + "SELECT key, content_hash FROM texts WHERE key NOT IN (SELECT key FROM hits)")
 add("f17_content_hashes", lambda t: task_texts(t).select("key", similarity.content_hash(F.col("text")).alias("content_hash")), CACHE + "SELECT key, content_hash FROM texts")
 add("f17_fingerprint", lambda t: similarity.fingerprint(row_texts(t)).drop("fingerprint"), "SELECT count(*) AS n_texts FROM src_rows")
+add(
+    "f17_text_fingerprint",
+    lambda t: similarity.fingerprint(row_texts(t)),
+    f"SELECT count(*) AS n_texts, sum(concat('0x', substr(sha256(concat({KEY}, '|', substr(sha256(input), 1, 32))), 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM src_rows",
+)
 add(
     "f19_unjustified_masks",
     lambda t: similarity.unjustified_masks(masked_keys(t).select("key", F.concat(F.lit("near-duplicate of doc-000000:00000000")).alias("reason")), row_texts(t)).withColumn("similarity", F.round("similarity", 6)),
     ROW_SETS + f", m AS (SELECT {KEY} AS key FROM row_masks), e AS (SELECT m.key, 'doc-000000:00000000' AS rep, coalesce(len(list_intersect(x.items, y.items)) / nullif(len(list_distinct(list_concat(x.items, y.items))), 0), 0.0) AS s FROM m LEFT JOIN items x ON x.key = m.key JOIN items y ON y.key = 'doc-000000:00000000') SELECT key, rep, round(coalesce(s, 0.0), 6) AS similarity FROM e WHERE coalesce(s, 0.0) < 0.05",
 )
+add(
+    "f19_unjustified_duplicate_masks",  # masks of clusters at 0.5 that 0.6 no longer justifies
+    lambda t: similarity.unjustified_masks(similarity.mask_duplicates(row_clusters(t), masked_keys(t)), row_texts(t), 0.6).withColumn("similarity", F.round("similarity", 6)),
+    ROW_CLUSTERS + f"SELECT key, rep, round(similarity, 6) AS similarity FROM (SELECT * FROM clusters QUALIFY key <> min(key) OVER (PARTITION BY rep)) WHERE key NOT IN (SELECT {KEY} FROM row_masks) AND key <> rep AND similarity < 0.6",
+)
 add(
     "f20_reject_tasks",
     lambda t: similarity.reject_tasks(similarity.clusters(task_texts(t), 5, 0.7), t.tasks),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.fixtures import Tables
 from spanloom.functions.text import first_tokens, shingles, snippet, without_thoughts
 from spanloom.operators import consensus, conventions, defects, graph, parse, repair, similarity, stats, workflow
-from spanloom.plans import repairs
+from spanloom.plans import annotation, repairs
 from spanloom.sources import tasks
 from spanloom.streaming import live
 
@@ -213,3 +213,16 @@ def test_migrated_ids_above_six_digits(spark):
     out = tasks.migrate(own.withColumn("status", F.lit("accepted")), own.withColumn("usable", F.lit(True)), "v5")
     assert out.agg(F.countDistinct("new_id").alias("n"), F.max("new_id").alias("last")).first() == (n, "v5-999999")
     assert out.where("task_id = 't01000011'").first().new_id == "v5-1000012"
+
+
+def test_queries_of_the_whole_job(spark, tmp_path):
+    """The fingerprint as a query sees a changed text; deviations and unjustified masks come from all tasks and from recorded representatives."""
+    prints = []
+    for name, text in (("a", "Some text"), ("b", "Some text"), ("c", "Some tent")):
+        spark.createDataFrame([(1, text), (2, "other")], "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        prints.append(repairs.R.queries["f17_text_fingerprint"](spark, str(tmp_path / name)).first())
+    assert prints[0] == prints[1] and prints[0].n_texts == prints[2].n_texts == 2 and prints[0].fingerprint != prints[2].fingerprint
+    sf = "/root/testdata/sf0.001"
+    deviations = annotation.R.queries["e12_all_task_deviations"](spark, sf).select("task_id").distinct().collect()
+    assert any(r.task_id >= "doc-000050" for r in deviations)
+    assert len(repairs.R.queries["f19_unjustified_duplicate_masks"](spark, sf).select("rep").distinct().collect()) > 1
