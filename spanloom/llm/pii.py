@@ -4,8 +4,8 @@ Values are found by one pattern, validated by kind, and permuted under a key wit
 pseudonyms in all documents, whatever their separators, and who has the key can undo it. Each kind has its own permutation:
 
 - card: 13 to 19 digits that pass the Luhn check. All but the last are permuted; the last is set so that the check passes.
-- phone: the digits, with their layout kept. - ip: four octets up to 255. - email: letters and digits of the local part.
-- date: days from 1800 to 2199 as year-month-day, day.month.year or month/day/year; a valid date becomes a valid date.
+- phone: 8 to 15 digits, with their layout kept. - ip: four octets up to 255. - email: letters and digits of the local part.
+- date: days from 1800 to 2199 as year-month-day, year/month/day, day.month.year or month/day/year, also before a time; a valid date becomes a valid date.
 
 What fails its kind's test stays as it is.
 """
@@ -21,8 +21,18 @@ ROUNDS = 8
 
 # The patterns of the kinds.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"(?<![A-Za-z0-9])\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![A-Za-z0-9])|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}(?![A-Za-z0-9])"
-DATE = r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![A-Za-z0-9/-])"
+#: After a blank, what starts a card, date or address doesn't go on with a phone.
+OTHER = r"(?!\d{4}[ -]\d{4}[ -]\d{4}[ -]|\d{4}[ -]\d{6}[ -]\d{4}|\d{13}|\d{4}[-/]\d{1,2}[-/]\d|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{1,3}(?:\.\d{1,3}){3})"
+MORE = rf"(?:[./-]?\d| {OTHER}\d)"
+#: Without +: an area code in brackets, groups of 3, 3 and 4 (unless a card of one layout starts there), and a leading 0, which is kept.
+TRUNK = r"0\d{1,4}[ /-]\d{5,9}"
+LOCAL = rf"\(\d{{2,5}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|(?!\d(?:(?:-?\d){{12,18}}|(?: ?\d){{12,18}})(?![A-Za-z0-9]))(?:\d{{1,2}}[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|{TRUNK}"
+PHONE = (
+    r"(?<![A-Za-z0-9])\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![A-Za-z0-9])|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}(?![A-Za-z0-9])"
+    rf"|\+\d{MORE}{{7,14}}(?![A-Za-z0-9])|\+\d{{1,3}}[ .-]?\(\d{{1,5}}\)[ .-]?\d{MORE}{{3,8}}(?![A-Za-z0-9])|(?<![A-Za-z0-9+./-])(?:{LOCAL})(?![A-Za-z0-9])"
+)
+ONE_DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2}"
+DATE = rf"(?<![A-Za-z0-9./-])(?:{ONE_DATE})(?:(?=T\d\d:?\d\d)|(?![A-Za-z0-9/-]))"
 ADDRESS = r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9])(?!\.\d)"
 CARD = r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])"
 ANY = "|".join((EMAIL, PHONE, DATE, ADDRESS, CARD))
@@ -101,7 +111,9 @@ def card(value: Column, key: str, undo: bool) -> Column:
 
 def phone(value: Column, key: str, undo: bool) -> Column:
     n = F.length(digits(value))
-    return F.when(n.between(8, 15), let(permuted_text(digits(value), "phone", key, undo), lambda p: refilled(value, p)))
+    kept = F.when(value.rlike(f"^(?:{TRUNK})$"), 1).otherwise(0)  # digits that mark the layout
+    body = permuted_text(digits(value).substr(kept + 1, n), "phone", key, undo)
+    return F.when(n.between(8, 15), let(body, lambda p: refilled(value, F.concat(digits(value).substr(F.lit(1), kept), p))))
 
 
 def address(value: Column, key: str, undo: bool) -> Column:
@@ -117,9 +129,9 @@ def email(value: Column, key: str, undo: bool) -> Column:
 
 
 def date(value: Column, key: str, undo: bool) -> Column:
-    """Layouts by separator: - year first, . day first, / month first. Parts are filled with zeros to their former widths."""
+    """Layouts: year first, or by separator: . day first, / month first. Parts are filled with zeros to their former widths."""
     parts = F.split(value, r"[./-]")
-    order = F.when(value.contains("-"), F.array(F.lit(0), F.lit(1), F.lit(2))).when(value.contains("."), F.array(F.lit(2), F.lit(1), F.lit(0))).otherwise(F.array(F.lit(2), F.lit(0), F.lit(1)))
+    order = F.when(value.rlike(r"^\d{4}"), F.array(F.lit(0), F.lit(1), F.lit(2))).when(value.contains("."), F.array(F.lit(2), F.lit(1), F.lit(0))).otherwise(F.array(F.lit(2), F.lit(0), F.lit(1)))
     get = lambda i: F.get(parts, F.get(order, F.lit(i)))
     day = F.concat_ws("-", get(0), F.lpad(get(1), 2, "0"), F.lpad(get(2), 2, "0")).try_cast("date")
     number = F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
@@ -139,9 +151,9 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of a value, or null if it fails its kind's test."""
     kinds = (
         F.when(value.contains("@"), email(value, key, undo))
-        .when(value.rlike(r"^\d+-\d+-\d+$|^\d+\.\d+\.\d+$|^\d+/\d+/\d+$"), date(value, key, undo))
+        .when(value.rlike(f"^(?:{ONE_DATE})$"), date(value, key, undo))
         .when(value.rlike(r"^\d+(\.\d+){3}$"), address(value, key, undo))
-        .when(value.startswith("+") | value.contains("("), phone(value, key, undo))
+        .when(value.startswith("+") | value.contains("(") | value.rlike(f"^(?:{LOCAL})$"), phone(value, key, undo))
         .otherwise(card(value, key, undo))
     )
     return kinds

@@ -197,6 +197,21 @@ def test_pseudonyms(spark, docs, none):
     assert same == sorted((r[0] or -1, r[1] or "") for r in ROWS) and pii.pseudonymise(none, "k").count() == 0
 
 
+def test_phones_and_dates_of_many_forms(spark):
+    """Every value of a text is replaced, what stands around it stays, and the key gives all of it back."""
+    phones = ["+14155550123", "(555) 123-4567", "555-123-4567", "555.123.4567", "555 123 4567", "1-800-555-1234", "+49 30 1234567", "+49 (0)30 1234567", "+4930/1234567", "030 1234567", "0171/1234567", "+44 20 7946 0958", "+1 (575) 555-9977", "(030) 1234 567"]
+    dates = ["2024/01/05", "2024-01-05", "31.12.1999"]
+    texts = [f"Call {v}, or write." for v in phones] + [f"On {v}." for v in dates] + ["At 2024-01-05T10:00:00Z it was", "20240105 items, part 12-34-56, 1/2 of 10, +12, 3.14159265, v 1.2.3, 2023-02-30T10:00:00Z, 2024-13-05", "+49 30 1234567 4111 1111 1111 1111 and +14155550123 2024-01-05 end", "4111 1111 1111 1111, 555-123-4567"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(frame, "k").orderBy("doc_id").collect()]
+    n = [r.n_values for r in pii.pseudonymise(frame, "k").orderBy("doc_id").collect()]
+    back = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(out)), "doc_id long, text string"), "k", undo=True).orderBy("doc_id").collect()]
+    assert n == [1] * (len(phones) + len(dates) + 1) + [0, 4, 2] and back == texts
+    for old, new in zip(texts, out, strict=True):
+        assert re.sub(r"\d", "0", old) == re.sub(r"\d", "0", new) and (old != new or old.startswith("20240105"))
+    assert out[len(phones) + len(dates)].endswith("T10:00:00Z it was") and out[9][5] == "0"
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(0, 146097, 97).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = pii.pseudonymise(days, "k").toPandas()
