@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -25,16 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Paths that materialise() has written inside the scratch blocks that are open, the innermost last.
-OPEN: list[list[str]] = []
+#: Paths that materialise() has written inside the scratch blocks that this thread has open, the innermost last.
+OPEN = threading.local()
+
+
+def blocks() -> list[list[str]]:
+    if not hasattr(OPEN, "blocks"):
+        OPEN.blocks = []
+    return OPEN.blocks
 
 
 def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
@@ -42,29 +51,31 @@ def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     files, for tables known to be small."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.parquet(path)
-    if OPEN:
-        OPEN[-1].append(path)
+    if blocks():
+        blocks()[-1].append(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch(operator):
-    """Decorates a function that returns a DataFrame: the result is materialised, and what the function has materialised before goes."""
+    """Decorates a function that returns a DataFrame: the result is materialised, and what the function has materialised before goes, also
+    where it fails. The first argument is a DataFrame or a session."""
 
     @functools.wraps(operator)
-    def run(df: DataFrame, *args, **named) -> DataFrame:
-        OPEN.append([])
+    def run(first: DataFrame | SparkSession, *args, **named) -> DataFrame:
+        spark = first if isinstance(first, SparkSession) else first.sparkSession
+        blocks().append([])
+        kept: list[str] = []
         try:
-            out = materialise(operator(df, *args, **named))
+            out = materialise(operator(first, *args, **named))
+            kept = blocks()[-1][-1:]
         finally:
-            paths = OPEN.pop()
-        spark = df.sparkSession
-        *old, new = paths
-        for path in old:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if OPEN:
-            OPEN[-1].append(new)
+            for path in blocks().pop():
+                if path not in kept:
+                    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if blocks():
+            blocks()[-1] += kept
         return out
 
     return run
@@ -103,7 +114,7 @@ def hashed_sample(rows: DataFrame, key: str, group: str, most: int, seed: int) -
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches that hold at most limit bytes of text (or one row), with the texts as UTF-8 bytes."""
+    """Slices of the batches that hold at most limit bytes of text (or one row), with the texts as UTF-8 bytes; binary columns go as well."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1 + texts.offset)[texts.offset :]
@@ -134,6 +145,11 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type that Spark gives a column."""
+    return df.select(column).limit(0).toArrow().schema.field(0).type
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
