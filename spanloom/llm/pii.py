@@ -4,14 +4,19 @@ Values are found by one pattern, validated by kind, and permuted under a key wit
 pseudonyms in all documents, whatever their separators, and who has the key can undo it. Each kind has its own permutation:
 
 - card: 13 to 19 digits that pass the Luhn check. All but the last are permuted; the last is set so that the check passes.
-- phone: 8 to 15 digits, with their layout kept. - ip: four octets up to 255. - email: letters and digits of the local part.
-- date: days from 1800 to 2199 as year-month-day, year/month/day, day.month.year or month/day/year, also before a time; a valid date becomes a valid date.
-
-What fails its kind's test stays as it is.
+- iban: account numbers of the countries listed whose check digits are right; country and layout stay, new check digits fit.
+- ssn: area, group and serial as three, two and four digits with dashes, none of them one that is never issued.
+- phone: 8 to 15 digits, with their layout kept. - ip: four octets up to 255. - email: letters and digits of the local part; the domain stays.
+- date: days from 1800 to 2199 as year-month-day, year/month/day, day.month.year, month/day/year, or, where only that is a date,
+  day/month/year, also before a time; a valid date becomes a valid date of the same layout.
+
+What fails its kind's test stays as it is. The keystream is HMAC-SHA-512. The key reaches the executors as a literal of the plan, so
+whoever can read the plan in the web UI or the event log can read it there: keep both as closed as the key, or switch them off.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +25,14 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # The patterns of the kinds.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # possessive: Java would recurse once for each label
+#: Account numbers: characters by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{'|'.join(c for c, m in IBAN_LENGTHS.items() if m == n)})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values()))) + r")(?![A-Za-z0-9])"
+SSN = r"(?<![A-Za-z0-9-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![A-Za-z0-9-])"
 #: After a blank, what starts a card, date or address doesn't go on with a phone.
 OTHER = r"(?!\d{4}[ -]\d{4}[ -]\d{4}[ -]|\d{4}[ -]\d{6}[ -]\d{4}|\d{13}|\d{4}[-/]\d{1,2}[-/]\d|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{1,3}(?:\.\d{1,3}){3})"
 MORE = rf"(?:[./-]?\d| {OTHER}\d)"
@@ -35,10 +47,14 @@ ONE_DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{
 DATE = rf"(?<![A-Za-z0-9./-])(?:{ONE_DATE})(?:(?=T\d\d:?\d\d)|(?![A-Za-z0-9/-]))"
 ADDRESS = r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9])(?!\.\d)"
 CARD = r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])"
-ANY = "|".join((EMAIL, PHONE, DATE, ADDRESS, CARD))
+ANY = "|".join((EMAIL, IBAN, SSN, PHONE, DATE, ADDRESS, CARD))
 
 #: Days of 400 years, which is a whole number of calendar cycles; the two factors are the halves of the network for dates.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: The same for the days after the twelfth of their month, which alone can't be read as month/day/year.
+LATE_DAYS = (9, 9_833)
+#: Social security numbers: areas (1 to 899 without 666), and groups times serials.
+AREAS, SERIALS = 898, 9_999
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,7 +68,11 @@ def steps(undo: bool) -> Column:
 
 
 def stream(key: str, kind: str, step: Column, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), half.cast("string")).cast("binary"), 512)
+    """HMAC-SHA-512 of kind, step and half, as 128 hex digits."""
+    block = (key.encode() if len(key.encode()) <= 128 else hashlib.sha512(key.encode()).digest()).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("|", F.lit(kind), step.cast("string"), half.cast("string")).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 512))), 512)
 
 
 def shifted(chars: Column, stream: Column, sign: int) -> Column:
@@ -94,11 +114,11 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def refilled(value: Column, numbers: Column) -> Column:
-    """value with its digits replaced, in order, by those of numbers."""
+def refilled(value: Column, chars: Column, kept: str = "[^0-9]") -> Column:
+    """value with its characters replaced, in order, by chars, but for those of the class kept."""
 
     def one(c: Column, i: Column) -> Column:
-        return F.when(c.between("0", "9"), numbers.substr(F.length(digits(value.substr(F.lit(1), i + 1))), F.lit(1))).otherwise(c)
+        return F.when(c.rlike(kept), c).otherwise(chars.substr(F.length(F.regexp_replace(value.substr(F.lit(1), i + 1), kept, "")), F.lit(1)))
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -109,6 +129,27 @@ def card(value: Column, key: str, undo: bool) -> Column:
     return F.when(F.call_function("luhn_check", digits(value)), let(full, lambda f: refilled(value, f)))
 
 
+def check_digits(country: Column, account: Column) -> Column:
+    """The two digits that make country, digits and account a valid number: letters count from 10 on, the whole modulo 97 must be 1."""
+    add = lambda a, c: F.when(c.between("0", "9"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97).cast("int")
+    rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), add)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def iban(value: Column, key: str, undo: bool) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    country, given, account = plain.substr(1, 2), plain.substr(3, 2), plain.substr(F.lit(5), F.length(plain))
+    new = let(permuted_text(account, "iban", key, undo), lambda a: F.concat(country, check_digits(country, a), a))
+    return F.when(given == check_digits(country, account), let(new, lambda n: refilled(value, n, " ")))
+
+
+def ssn(value: Column, key: str, undo: bool) -> Column:
+    area, group, serial = (F.split(value, "-")[i].cast("int") for i in range(3))
+    pair = permuted_pair(F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * SERIALS + serial - 1, (AREAS, 99 * SERIALS), "ssn", key, undo)
+    fill = lambda n, width: F.lpad(n.cast("string"), width, "0")
+    return let(pair, lambda p: F.concat_ws("-", fill(F.when(p.l >= 665, p.l + 2).otherwise(p.l + 1), 3), fill(F.floor(p.r / SERIALS) + 1, 2), fill(p.r % SERIALS + 1, 4)))
+
+
 def phone(value: Column, key: str, undo: bool) -> Column:
     n = F.length(digits(value))
     kept = F.when(value.rlike(f"^(?:{TRUNK})$"), 1).otherwise(0)  # digits that mark the layout
@@ -128,15 +169,34 @@ def email(value: Column, key: str, undo: bool) -> Column:
     return F.concat(permuted_text(value.substr(F.lit(1), at - 1), "email", key, undo), value.substr(at, F.length(value)))
 
 
+def months_since(first: Column, day: Column) -> Column:
+    return (F.year(day) - F.year(first)) * 12 + F.month(day) - F.month(first)
+
+
+def late_day(number: Column) -> Column:
+    """The day with that number, from 0 on, of those after the twelfth of their month. Months have 18.44 such days on average."""
+    first = F.lit(FIRST_DAY).cast("date")
+    before = lambda month: F.date_diff(F.add_months(first, month), first) - 12 * month
+    guess = F.floor(number / 18.4369).cast("int")
+    month = F.array_max(F.filter(F.sequence(guess - 2, guess + 2), lambda m: before(m) <= number))
+    return let(month, lambda m: F.date_add(F.add_months(first, m), (number - before(m)).cast("int") + 12))
+
+
 def date(value: Column, key: str, undo: bool) -> Column:
-    """Layouts: year first, or by separator: . day first, / month first. Parts are filled with zeros to their former widths."""
+    """Layouts: year first, or by separator: . day first, / month first, or day first where that alone is a date. Parts are filled with
+    zeros to their former widths."""
+    first = F.lit(FIRST_DAY).cast("date")
     parts = F.split(value, r"[./-]")
-    order = F.when(value.rlike(r"^\d{4}"), F.array(F.lit(0), F.lit(1), F.lit(2))).when(value.contains("."), F.array(F.lit(2), F.lit(1), F.lit(0))).otherwise(F.array(F.lit(2), F.lit(0), F.lit(1)))
+    late = value.rlike(r"^\d{1,2}/") & parts[0].cast("int").between(13, 31)
+    order = F.when(value.rlike(r"^\d{4}"), F.array(F.lit(0), F.lit(1), F.lit(2))).when(value.contains(".") | late, F.array(F.lit(2), F.lit(1), F.lit(0))).otherwise(F.array(F.lit(2), F.lit(0), F.lit(1)))
     get = lambda i: F.get(parts, F.get(order, F.lit(i)))
     day = F.concat_ws("-", get(0), F.lpad(get(1), 2, "0"), F.lpad(get(2), 2, "0")).try_cast("date")
-    number = F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+    number = F.date_diff(day, first).cast("long")
     pair = permuted_pair(F.floor(number / DAYS[1]), number % DAYS[1], DAYS, "date", key, undo)
-    made = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p.l * DAYS[1] + p.r).cast("int")))
+    made = let(pair, lambda p: F.date_add(first, (p.l * DAYS[1] + p.r).cast("int")))
+    own = number - 12 * (months_since(first, day) + 1)
+    pair = permuted_pair(F.floor(own / LATE_DAYS[1]), own % LATE_DAYS[1], LATE_DAYS, "late date", key, undo)
+    made = F.when(late, let(pair, lambda p: late_day(p.l * LATE_DAYS[1] + p.r))).otherwise(made)
 
     def written(d: Column) -> Column:
         new = F.array(F.date_format(d, "yyyy"), F.date_format(d, "M"), F.date_format(d, "d"))
@@ -151,6 +211,8 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of a value, or null if it fails its kind's test."""
     kinds = (
         F.when(value.contains("@"), email(value, key, undo))
+        .when(value.rlike("^[A-Z]"), iban(value, key, undo))
+        .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(value, key, undo))
         .when(value.rlike(f"^(?:{ONE_DATE})$"), date(value, key, undo))
         .when(value.rlike(r"^\d+(\.\d+){3}$"), address(value, key, undo))
         .when(value.startswith("+") | value.contains("(") | value.rlike(f"^(?:{LOCAL})$"), phone(value, key, undo))
@@ -162,8 +224,9 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, undo: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, the text with pseudonyms, and n_values, how many it holds. undo gives the values back.
 
-    Nulls: a null id stays null, a null text stays null with 0 values. An empty text stays empty; very long texts are treated whole.
-    Repeated rows give repeated rows, an empty table an empty result; other columns aren't read.
+    Nulls: a null id stays null, a null text stays null with 0 values. An empty text stays empty; very long texts are treated whole, also
+    those that are one long mail-like or digit run. Equal values get equal pseudonyms wherever they stand. Repeated rows give repeated
+    rows, an empty table an empty result; other columns aren't read.
     """
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
