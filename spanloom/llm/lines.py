@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ def line_hashes(text: bytes, min_words: int) -> tuple[list[bytes], list[int]]:
 
 
 def lines_by_site(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
-    """line long, site string, first long: each line and site once for each chunk of a task, with the least id that isn't null."""
+    """line long, site string, first: each line and site once for each chunk of a task, with the least id that isn't null, of the ids' own type."""
+    rows = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text", 8 << 20):
@@ -43,19 +45,20 @@ def lines_by_site(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         pairs[h, site] = i if seen is None else seen if i is None else min(seen, i)
             if pairs:
                 hashes, sites = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sites, pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["line", "site", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sites, pa.string()), pa.array(list(pairs.values()), batch.column(1).type)], names=["line", "site", "first"])
 
-    rows = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "line long, site string, first long")
+    return rows.mapInArrow(run, f"line long, site string, first {rows.schema['id'].dataType.simpleString()}")
 
 
 @scratch
 def spread_lines(docs: DataFrame, min_sites: int = 5, lg_k: int = 12, margin: float = 0.1, **columns) -> DataFrame:
-    """line long, first long: the lines on at least min_sites distinct sites, with the least id of a document that holds each.
+    """line long, first: the lines on at least min_sites distinct sites, with the least id of a document that holds each.
 
     Sketches of lg_k merge by aggregation, from each task's part to the whole. An estimate at least margin above the threshold, or
     as far below it, decides at once; the lines between get exact distinct counts. With lg_k 12 the sketch's standard error is 1.6 %,
-    so the default margin lies six of them away.
+    so the default margin lies six of them away. Nulls: a null text has no lines, a null site counts as one site named '', a null id is never
+    the first (first is null where no row with the line has an id). Texts are read whole, whatever their length; repeated rows and lines
+    change nothing; of equal ids either is the first. An empty table gives no lines; other columns aren't read.
     """
     pairs = materialise(lines_by_site(docs, **columns))
     estimates = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("first").alias("first"))
@@ -74,16 +77,17 @@ def drop_spread_lines(
     With keep_first such a line stays in the rows with the least id that holds it, so that no text is lost. counts names two columns
     to add, the lines before and the lines removed; None adds none. Lines are cut at \\n; those of fewer than min_words words always
     stay. Nulls: a null text stays null, with 0 lines; a null site counts as one site named ''; a null id is never the first. An
-    empty text stays empty. A line repeated in one row goes or stays as a whole. A document may become empty, but keeps its row. An
-    empty table gives an empty result; other columns pass through, and columns of docs named like those of counts are replaced.
+    empty text stays empty; very long texts are treated whole. A line repeated in one row goes or stays as a whole; rows that share the
+    least id all keep it. A document may become empty, but keeps its row. An empty table gives an empty result; other columns pass
+    through, and columns of docs named like those of counts are replaced. Ids may be of any type that orders.
     """
     spread = spread_lines(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col, min_words=min_words, **options)
     if not keep_first:
-        spread = spread.withColumn("first", F.lit(None).cast("long"))
+        spread = spread.withColumn("first", F.lit(None).cast(docs.schema[id_col].dataType))
     names = {"id_col": id_col, "text_col": text_col, "min_words": min_words, "counts": counts}
     if spread.count() <= broadcast_lines:
-        found = spread.orderBy("line").toArrow()
-        first = found.column("first").to_numpy(zero_copy_only=False).astype(np.float64) if found.column("first").null_count else found.column("first").to_numpy()
+        found = spread.orderBy("line").toArrow().combine_chunks()
+        first = found.column("first").combine_chunks()
         return remove_lines(docs, docs.sparkSession.sparkContext.broadcast((found.column("line").to_numpy(), first)), **names)
     return remove_lines_by_join(docs, spread, **names)
 
@@ -103,10 +107,12 @@ def remove_lines(docs: DataFrame, shared, id_col: str, text_col: str, min_words:
         lines, first = shared.value
         if not len(lines):
             return [np.zeros(n, bool) for n in lengths]
-        ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
-        ids = np.repeat(ids.fill_null(0).to_numpy(zero_copy_only=False), lengths), np.repeat(ids.is_valid().to_numpy(zero_copy_only=False), lengths)
         at = np.minimum(np.searchsorted(lines, flat), len(lines) - 1)
-        bad = (lines[at] == flat) & ~((first[at] == ids[0]) & ids[1])
+        bad = lines[at] == flat
+        hit, owner = np.flatnonzero(bad), np.repeat(np.arange(len(lengths)), lengths)
+        ids = batch.column(batch.schema.get_field_index(id_col)).cast(first.type)
+        own = pc.equal(first.take(pa.array(at[hit])), ids.take(pa.array(owner[hit]))).fill_null(False)  # null ids are never the first
+        bad[hit] = ~own.to_numpy(zero_copy_only=False)
         return np.split(bad, np.cumsum(lengths)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +141,8 @@ def remove_lines_by_join(docs: DataFrame, spread: DataFrame, id_col: str, text_c
             at = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h for o in own for h in o], pa.int64())], names=["row", "id", "line"])
 
-    rows = base.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = rows.mapInArrow(run, "row long, id long, line long").join(spread, "line")
+    rows = base.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pairs = rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, line long").join(spread, "line")
     found = pairs.where(~F.coalesce(F.col("id") == F.col("first"), F.lit(False))).groupBy("row").agg(F.collect_list("line").alias(bad)).withColumnRenamed("row", row)
     joined = base.join(found, row, "left").select(*docs.columns, bad)
     return remove_lines(joined, None, id_col, text_col, min_words, counts, bad_col=bad)
