@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import CACHE_WORDS, hashed_sample, materialise, text_chunks, text_of, words_of
+from spanloom.llm.common import CACHE_WORDS, hashed_sample, materialise, scratch, text_chunks, text_of, words_of
 
 BUCKETS, DIMENSION, FILTERS = 1 << 15, 16, 16
 WIDTHS = (1, 2, 3)
 #: Letters of the beginnings that a word's embedding includes, beside the whole word.
 BEGINNINGS = (4, 5)
-#: Rows that training and calibration take of each label, about, chosen by a hash of the id; and the words of a row that may be in
-#: training (longer rows are scored, never cut, but don't train).
-TRAIN_ROWS, CALIBRATION_ROWS, TRAIN_WORDS = 2_000, 2_000, 8_000
+#: Rows that training and calibration take of each label, about, chosen by a hash of the id. Rows of any length take part, whole.
+TRAIN_ROWS, CALIBRATION_ROWS = 2_700, 1_300
+#: Words whose embeddings are held at a time; longer texts are pooled over pieces of that many.
+PIECE = 50_000
 
 #: What it costs to call a row of label 0 label 1, against the other mistake, when a threshold is chosen.
 COST = 4.0
@@ -80,6 +81,11 @@ def sums_by_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each run, one after the other."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 @dataclass
 class Model:
     """table (buckets x dimension), kernels and offsets of each width, weights of the pooled filters, bias, threshold of each language."""
@@ -97,35 +103,55 @@ class Model:
         kernels = [r.normal(0, (w * DIMENSION) ** -0.5, (w * DIMENSION, FILTERS)).astype(np.float32) for w in WIDTHS]
         return Model(r.normal(0, 0.3, (BUCKETS, DIMENSION)).astype(np.float32), kernels, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], r.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), 0.0, np.zeros(len(LANGUAGES)))
 
-    def pooled(self, buckets: np.ndarray, lengths: np.ndarray, places: bool = False) -> tuple:
-        """The greatest value of each filter in each text, 0 at least, and with places, also the embeddings and where it stands.
+    def embed(self, buckets: np.ndarray) -> np.ndarray:
+        out = self.table[buckets[:, 0]]
+        for i in range(1, buckets.shape[1]):
+            out += self.table[buckets[:, i]]
+        out /= buckets.shape[1]
+        return out
 
-        Texts are set apart by as many empty words as the widest filter needs, so that none sees its neighbour's words and a text
-        shorter than a filter still meets it.
+    def pooled(self, buckets: np.ndarray, lengths: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The greatest value of each filter in each text, 0 at least, and with places, the word at which its window starts.
+
+        A window starts at each word of a text and sees nothing, as zeros, beyond the text's end; a text without words has one empty window.
+        Pieces of long texts look into the next piece as far as their last windows reach, so that cutting changes no value.
         """
-        gap = max(WIDTHS) - 1
-        starts = np.cumsum(lengths + gap) - (lengths + gap)
-        words = np.zeros((int((lengths + gap).sum()) + gap, DIMENSION), np.float32)
-        own = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(buckets))
-        words[own] = self.table[buckets[:, 0]]
-        for i in range(1, buckets.shape[1]):
-            words[own] += self.table[buckets[:, i]]
-        words[own] /= buckets.shape[1]
-        out, at = [], []
-        for width, kernel, offset in zip(WIDTHS, self.kernels, self.offsets, strict=True):
-            n = len(words) - gap
-            value = words[:n] @ kernel[:DIMENSION]
-            for i in range(1, width):
-                value += words[i : n + i] @ kernel[i * DIMENSION : (i + 1) * DIMENSION]
-            top = np.maximum.reduceat(value, starts, axis=0) if n else np.zeros((0, FILTERS), np.float32)
-            out.append(np.maximum(top + offset, 0))
+        reach = max(WIDTHS) - 1
+        ends = np.cumsum(lengths)
+        pieces = np.maximum(-(-lengths // PIECE), 1)
+        owner = np.repeat(np.arange(len(lengths)), pieces)
+        first = (ends - lengths)[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        held = np.minimum(PIECE + reach, ends[owner] - first)
+        windows = np.maximum(np.minimum(PIECE, held), 1)
+        best, place = np.empty((len(owner), FILTERS * len(WIDTHS)), self.table.dtype), np.empty((len(owner), FILTERS * len(WIDTHS)), np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(held + 1) // (PIECE + reach + 1), prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)], strict=True):
+            slots = held[a:b] + reach + 1
+            at = np.cumsum(slots) - slots
+            words = np.zeros((int(slots.sum()) + reach, DIMENSION), self.table.dtype)
+            step = runs(held[a:b])
+            words[np.repeat(at, held[a:b]) + step] = self.embed(buckets[np.repeat(first[a:b], held[a:b]) + step])
+            step, piece = runs(windows[a:b]), np.repeat(np.arange(b - a), windows[a:b])
+            start, heads, n = at[piece] + step, np.cumsum(windows[a:b]) - windows[a:b], len(words) - reach
+            for i, (width, kernel) in enumerate(zip(WIDTHS, self.kernels, strict=True)):
+                value = words[:n] @ kernel[:DIMENSION]
+                for j in range(1, width):
+                    value += words[j : n + j] @ kernel[j * DIMENSION : (j + 1) * DIMENSION]
+                value = value[start]
+                own = slice(i * FILTERS, (i + 1) * FILTERS)
+                best[a:b, own] = np.maximum.reduceat(value, heads, axis=0)
+                if places:
+                    row, column = np.nonzero(value == best[a:b, own][piece])
+                    place[a + piece[row], i * FILTERS + column] = first[a + piece[row]] + step[row]
+        if len(owner) > len(lengths):
+            heads = np.cumsum(pieces) - pieces
+            top, where = np.maximum.reduceat(best, heads, axis=0), place
             if places:
-                owner = np.repeat(np.arange(len(lengths)), lengths + gap)
-                row, column = np.nonzero(value == top[owner])
-                place = np.zeros(top.shape, np.int64)
-                place[owner[row], column] = row
-                at.append(place)
-        return np.concatenate(out, axis=1), words, own, at
+                place = where[heads]
+                row, column = np.nonzero(best == top[owner])
+                place[owner[row], column] = where[row, column]
+            best = top
+        return np.maximum(best + np.concatenate(self.offsets), 0), place if places else None
 
     def logits(self, buckets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if not len(lengths):
@@ -136,46 +162,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(buckets, lengths) - self.thresholds[language], -40, 40)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, seed: int = 3) -> Model:
-    """Adagrad on the logistic loss; texts are arrays of buckets. Both labels weigh the same."""
+def gradients(model: Model, buckets: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss of the texts, each with its weight: by name of the parameter; the table's as keys and rows of change."""
+    pooled, place = model.pooled(buckets, lengths, places=True)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30)))
+    error = (p - labels) * weight / len(labels)
+    back = (error[:, None] * model.weights[None] * (pooled > 0)).astype(np.float32)
+    ends = np.cumsum(lengths)
+    out, at, change = {"weights": pooled.T @ error, "bias": error.sum()}, [np.zeros(0, np.int64)], [np.zeros((0, DIMENSION), np.float32)]
+    for i, width in enumerate(WIDTHS):
+        own = slice(i * FILTERS, (i + 1) * FILTERS)
+        kernel, part = np.zeros_like(model.kernels[i]), back[:, own]
+        for j in range(width):
+            word = place[:, own] + j
+            text, f = np.nonzero((word < ends[:, None]) & (part != 0))
+            seen = np.zeros((*part.shape, DIMENSION), np.float32)
+            seen[text, f] = model.embed(buckets[word[text, f]])
+            kernel[j * DIMENSION : (j + 1) * DIMENSION] = np.einsum("tf,tfd->df", part, seen)
+            at.append(word[text, f])
+            change.append(part[text, f, None] * model.kernels[i][j * DIMENSION : (j + 1) * DIMENSION].T[f])
+        out[f"k{i}"], out[f"o{i}"] = kernel, part.sum(axis=0)
+    rows = buckets[np.concatenate(at)]
+    keys, inverse = np.unique(rows, return_inverse=True)
+    total = np.zeros((len(keys), DIMENSION), np.float32)
+    np.add.at(total, inverse.reshape(rows.shape), np.concatenate(change)[:, None, :] / buckets.shape[1])
+    return out | {"keys": keys, "table": total}
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, seed: int = 3, counted: bool = True) -> Model:
+    """Adagrad on the logistic loss; texts are arrays of buckets. Both labels weigh the same. counted starts the first dimension of the
+    embedding from counted evidence."""
     model, r = Model.new(seed), np.random.default_rng(seed)
-    model.table[:, 0] = evidence(texts, labels)
-    for kernel in model.kernels:  # half of the filters start by looking at the evidence
-        kernel[::DIMENSION, : FILTERS // 2] = np.abs(kernel[::DIMENSION, : FILTERS // 2]) + 0.5
-    model.weights[:] = np.abs(model.weights)
+    if counted:
+        model.table[:, 0] = evidence(texts, labels)
+        for kernel in model.kernels:  # half of the filters start by looking at the evidence
+            kernel[::DIMENSION, : FILTERS // 2] = np.abs(kernel[::DIMENSION, : FILTERS // 2]) + 0.5
+        model.weights[:] = np.abs(model.weights)
     weight = np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9))
     seen = {"table": np.full(BUCKETS, 1e-2), "weights": np.full(len(model.weights), 1e-2), "bias": 1e-2} | {f"k{i}": np.full(k.shape, 1e-2) for i, k in enumerate(model.kernels)} | {f"o{i}": np.full(FILTERS, 1e-2) for i in range(len(WIDTHS))}
     for _ in range(epochs):
         order = r.permutation(len(texts))
         for start in range(0, len(order), batch):
             chosen = order[start : start + batch]
-            lengths = np.array([len(texts[i]) for i in chosen], np.int64)
-            buckets = np.concatenate([texts[i] for i in chosen])
-            pooled, words, own, at = model.pooled(buckets, lengths, places=True)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30)))
-            error = (p - labels[chosen]) * weight[chosen] / len(chosen)
-            back = error[:, None] * model.weights[None] * (pooled > 0)
-            step(model.weights, pooled.T @ error, seen["weights"], rate)
-            seen["bias"] += error.sum() ** 2
-            model.bias -= rate * error.sum() / seen["bias"] ** 0.5
-            grad = np.zeros_like(words)
-            for i, width in enumerate(WIDTHS):
-                part = back[:, i * FILTERS : (i + 1) * FILTERS].astype(np.float32)
-                kernel = np.zeros_like(model.kernels[i])
-                for f in range(FILTERS):
-                    for j in range(width):
-                        rows = at[i][:, f] + j
-                        kernel[j * DIMENSION : (j + 1) * DIMENSION, f] += part[:, f] @ words[rows]
-                        np.add.at(grad, rows, part[:, f, None] * model.kernels[i][None, j * DIMENSION : (j + 1) * DIMENSION, f])
-                step(model.kernels[i], kernel, seen[f"k{i}"], rate)
-                step(model.offsets[i], part.sum(axis=0), seen[f"o{i}"], rate)
-            touched = np.flatnonzero(np.abs(grad[own]).sum(axis=1) > 0)
-            rows, change = buckets[touched], grad[own[touched]] / buckets.shape[1]
-            keys, inverse = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(keys), DIMENSION), np.float32)
-            np.add.at(total, inverse.reshape(rows.shape), change[:, None, :])
-            seen["table"][keys] += (total**2).mean(axis=1)
-            model.table[keys] -= (4 * rate * total / np.sqrt(seen["table"][keys])[:, None]).astype(np.float32)
+            g = gradients(model, np.concatenate([texts[i] for i in chosen]), np.array([len(texts[i]) for i in chosen], np.int64), labels[chosen], weight[chosen])
+            step(model.weights, g["weights"], seen["weights"], rate)
+            seen["bias"] += g["bias"] ** 2
+            model.bias -= rate * g["bias"] / seen["bias"] ** 0.5
+            for i in range(len(WIDTHS)):
+                step(model.kernels[i], g[f"k{i}"], seen[f"k{i}"], rate)
+                step(model.offsets[i], g[f"o{i}"], seen[f"o{i}"], rate)
+            keys = g["keys"]
+            seen["table"][keys] += (g["table"] ** 2).mean(axis=1)
+            model.table[keys] -= (4 * rate * g["table"] / np.sqrt(seen["table"][keys])[:, None]).astype(np.float32)
     return model
 
 
@@ -218,22 +256,22 @@ def calibrate(model: Model, logits: np.ndarray, labels: np.ndarray, language: np
         model.thresholds[k] = best_threshold(logits[own], labels[own]) if enough else common
 
 
-def fitted(docs: DataFrame, known: DataFrame, seed: int = 3) -> Model:
-    """A model from docs (id, text) and known (id, label): a bounded sample goes, as word buckets, to one task, which trains and calibrates."""
+def fitted(docs: DataFrame, known: DataFrame, seed: int = 3, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+    """A model from docs (id, text) and known (id, label), each id once: a sample of bounded rows goes, as word buckets of two bytes that
+    take no more room than its text, to one task, which trains and calibrates."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for batch, texts in text_chunks(batches, "text"):
             buckets, lengths, language = make(texts)
-            parts = np.split(buckets, np.cumsum(lengths)[:-1])
-            raw = pa.array([p.tobytes() if len(p) <= TRAIN_WORDS else None for p in parts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, pa.array(language, pa.int32())], names=["label", "part", "buckets", "language"]).filter(raw.is_valid())
+            raw = pa.array([p.astype(np.uint16).tobytes() for p in np.split(buckets, np.cumsum(lengths)[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, pa.array(language, pa.int32())], names=["label", "part", "buckets", "language"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [r for b in batches for r in b.to_pylist()]
         found.sort(key=lambda r: (r["buckets"], r["label"]))  # the order of arrival must not matter
         shape = 1 + len(BEGINNINGS)
-        texts = [np.frombuffer(r["buckets"], np.int32).reshape(-1, shape) for r in found]
+        texts = [np.frombuffer(r["buckets"], np.uint16).reshape(-1, shape) for r in found]
         labels, language, own = (np.array([r[k] for r in found], np.int64) for k in ("label", "language", "part"))
         teach, check = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
         model = Model.new(seed)
@@ -246,24 +284,31 @@ def fitted(docs: DataFrame, known: DataFrame, seed: int = 3) -> Model:
             model.bias = 5.0 if len(labels) and labels.mean() > 0.5 else -5.0
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    sample = materialise(hashed_sample(known, "id", "label", TRAIN_ROWS + CALIBRATION_ROWS, seed))
-    part = (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.lit(3)) == 0).cast("int").alias("part")
-    chosen = materialise(docs.join(F.broadcast(sample), "id").select("label", part, "text"))  # the sample is bounded
+    most = train_rows + calibration_rows
+    sample = materialise(hashed_sample(known, "id", "label", most, seed))
+    part = (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.lit(most)) < calibration_rows).cast("int").alias("part")
+    texts = docs.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))  # the sample is bounded
+    chosen = materialise(texts.select("label", part, "text"))
     made = chosen.mapInArrow(features, "label int, part int, buckets binary, language int")
     return pickle.loads(made.coalesce(1).mapInArrow(fit, "model binary").first()[0])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 3) -> DataFrame:
+@scratch
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 3, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """One row per row of docs: its id, held_out, score, predicted and language (as guessed from the text).
 
-    Learns from the labels of rows whose crc32 of the id as text is not divisible by folds. Nulls: a null text counts as empty and
-    gets a score like any other; a row without id, or a null label, teaches nothing. Repeated rows are scored each. Without labels
-    of both kinds every score says the only label there is, or 0. An empty table gives an empty result; other columns aren't read.
+    Learns from the labels of rows whose crc32 of the id as text is not divisible by folds: about train_rows and calibration_rows of each
+    label, which bound the sample in rows; each is used whole, whatever its length. Nulls: a null text counts as empty and gets a score
+    like any other; a row without id, or a null label, teaches nothing. Repeated rows are scored each, with equal scores; an id labelled
+    twice counts once, as 1 if any of its labels is 1, with one of its texts if it has several. Very long texts are scored whole. A score
+    of just 0.5 is predicted 1. Without labels of both kinds every score says the only label there is, or 0. An empty table gives an
+    empty result; other columns aren't read.
     """
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), text_of(text_col).alias("text"))
     known = labels.where(~out).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    model = fitted(rows.select("id", "text"), known, seed)
+    known = known.where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
+    model = fitted(rows.select("id", "text"), known, seed, train_rows, calibration_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
