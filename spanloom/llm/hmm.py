@@ -9,7 +9,8 @@ scored by itself while the tables that a state needs stay bounded:
 
 with n and v the tokens and distinct words of the class; the last share of each class stands for the words never seen in training.
 Baum-Welch rounds run forward and backward recursions in each partition, aggregate the expected counts by symbol, and broadcast the
-next parameters. The scaled forward recursion gives the exact likelihood of a text.
+next parameters; their arithmetic is single precision. The scaled forward recursion in double precision gives the exact likelihood of a
+text. Long texts are taken a stretch of positions at a time, so that memory is bounded in both.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import CACHE_WORDS, materialise, row_ids, text_chunks, text_of, words_of
+from spanloom.llm.common import CACHE_WORDS, materialise, row_ids, scratch, text_chunks, text_of, words_of
 
 #: The end token: white space, so that no word equals it.
 END = b"\n"
@@ -36,8 +37,8 @@ STATES, ROUNDS = 8, 5
 WORD_BYTES = 64
 #: Added to counts, as in the base model.
 ADDED = 0.1
-#: Tokens that a task holds in one recursion.
-BATCH_TOKENS = 1_000_000
+#: Tokens that a task takes up in one recursion (or one text), and those of which it holds state probabilities at a time.
+BATCH_TOKENS, STRETCH_TOKENS = 1_000_000, 1_000_000
 
 
 @dataclass
@@ -68,6 +69,9 @@ class Parameters:
     moves: np.ndarray
     emissions: np.ndarray
 
+    def single(self) -> Parameters:
+        return Parameters(*(x.astype(np.float32) for x in (self.start, self.moves, self.emissions)))
+
 
 def held_out(id_col: str, folds: int = 10) -> Column:
     """Rows whose crc32 of the id as text is divisible by folds; never those whose id is null."""
@@ -130,8 +134,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
 
 def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """uid, id, held_out, n_tokens, head_known, head_base, symbols binary (16 bits each), rest array<struct<word, class>>: its
-    words of classes."""
+    """uid, id, held_out, n_tokens, head_known, head_base, symbols binary (16 bits each), rest array<struct<word, n>>: its distinct words
+    of classes, and how often each stands in it."""
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,19 +156,21 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
             ends = np.cumsum(lengths)
             starts = ends - lengths
             rare = np.flatnonzero(symbols >= n_head)
-            offsets = np.append(0, np.searchsorted(rare, ends))
+            bounds = np.append(0, np.searchsorted(rare, ends))
+            each = [Counter(tokens[i] for i in rare[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            offsets = np.append(0, np.cumsum([len(c) for c in each], dtype=np.int64))
             base = np.add.reduceat(own_base[symbols], starts)
             raw = symbols.tobytes()
-            rest = pa.StructArray.from_arrays([pa.array([tokens[i] for i in rare.tolist()], pa.binary()), pa.array((symbols[rare] - n_head).astype(np.int32))], names=["word", "class"])
+            rest = pa.StructArray.from_arrays([pa.array([w for c in each for w in c], pa.binary()), pa.array([n for c in each for n in c.values()], pa.int32())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row_ids(len(texts), state)), batch.column(0), batch.column(1), pa.array(lengths), pa.array(lengths - np.diff(offsets)), pa.array(base),
+                    pa.array(row_ids(len(texts), state)), batch.column(0), batch.column(1), pa.array(lengths), pa.array(lengths - np.diff(bounds)), pa.array(base),
                     pa.array([raw[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rest),
                 ],
                 names=["uid", "id", "held_out", "n_tokens", "head_known", "head_base", "symbols", "rest"],
             )
 
-    schema = f"uid long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, head_known long, head_base double, symbols binary, rest array<struct<word: binary, class: int>>"
+    schema = f"uid long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, head_known long, head_base double, symbols binary, rest array<struct<word: binary, n: int>>"
     return rows.select("id", "held_out", "text").mapInArrow(run, schema)
 
 
@@ -185,12 +191,19 @@ class Recursion:
         self.symbols[at] = flat
         self.owner[at] = np.repeat(np.arange(len(lengths)), lengths)
 
-    def forward(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled state probabilities, scales and emissions of all tokens."""
-        emitted = p.emissions[self.symbols]
+    def stretches(self) -> list[tuple[int, int]]:
+        """Runs of positions that hold about STRETCH_TOKENS tokens at most, or one position."""
+        cuts = np.flatnonzero(np.diff(self.offsets[1:] // STRETCH_TOKENS, prepend=-1))
+        return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.active)], strict=True))
+
+    def forward(self, p: Parameters, first: int, stop: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled state probabilities, scales and emissions of the tokens of positions first to stop; before: the state probabilities of the
+        position ahead."""
+        low = int(self.offsets[first])
+        emitted = p.emissions[self.symbols[low : self.offsets[stop]]]
         alpha, scale = np.empty_like(emitted), np.empty((len(emitted), 1), emitted.dtype)
-        before, ones = None, np.ones((emitted.shape[1], 1), emitted.dtype)
-        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+        ones, bounds = np.ones((emitted.shape[1], 1), emitted.dtype), (self.offsets[first : stop + 1] - low).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             now, c = alpha[a:b], scale[a:b]
             if before is None:
                 np.multiply(emitted[a:b], p.start, out=now)
@@ -202,30 +215,54 @@ class Recursion:
             before = now
         return alpha, scale, emitted
 
-    def likelihoods(self, scale: np.ndarray) -> np.ndarray:
+    def last(self, alpha: np.ndarray, stop: int) -> np.ndarray:
+        """The state probabilities of the last position before stop, of those of a stretch."""
+        return alpha[len(alpha) - int(self.active[stop - 1]) :].copy()
+
+    def likelihoods(self, p: Parameters) -> np.ndarray:
         """log10 of each sequence's probability, in the order given."""
-        out = np.empty(len(self.order))
-        out[self.order] = np.bincount(self.owner, np.log10(scale[:, 0].astype(np.float64)), len(self.order))
+        sums, before = np.zeros(len(self.order)), None
+        for first, stop in self.stretches():
+            alpha, scale, _ = self.forward(p, first, stop, before)
+            before = self.last(alpha, stop)
+            sums += np.bincount(self.owner[self.offsets[first] : self.offsets[stop]], np.log10(scale[:, 0].astype(np.float64)), len(sums))
+        out = np.empty(len(sums))
+        out[self.order] = sums
         return out
 
     def expect(self, p: Parameters, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Adds expected emissions to counts (symbols x K); returns expected starts, moves and the log10 likelihood."""
-        alpha, scale, later = self.forward(p)
-        later /= scale  # becomes emission * beta / scale of each token
-        back = np.ascontiguousarray(p.moves.T)
-        bounds = self.offsets.tolist()
-        gamma = alpha.copy()
-        for t in range(len(self.active) - 2, -1, -1):
-            a, b, c = bounds[t], bounds[t + 1], bounds[t + 2]
-            beta = np.matmul(later[b:c], back)
-            gamma[a : a + c - b] *= beta
-            later[a : a + c - b] *= beta
-        for k in range(gamma.shape[1]):
-            counts[:, k] += np.bincount(self.symbols, gamma[:, k], len(counts))
-        first = bounds[1]
-        previous = np.arange(first, len(alpha)) - np.repeat(self.active[:-1], self.active[1:])
-        moves = (alpha[previous].T @ later[first:]).astype(np.float64) * p.moves
-        return gamma[:first].sum(axis=0, dtype=np.float64), moves, float(np.log10(scale).sum(dtype=np.float64))
+        """Adds expected emissions to counts (symbols x K); returns expected starts, moves and the log10 likelihood. Where there are several
+        stretches, a first pass keeps the state probabilities between them and a second one computes each again, from the last."""
+        stretches, heads = self.stretches(), [None]
+        for first, stop in stretches[:-1]:
+            heads.append(self.last(self.forward(p, first, stop, heads[-1])[0], stop))
+        back, k = np.ascontiguousarray(p.moves.T), len(p.start)
+        moves, log, after = np.zeros((k, k)), 0.0, None
+        for (first, stop), before in zip(reversed(stretches), reversed(heads), strict=True):
+            alpha, scale, later = self.forward(p, first, stop, before)
+            log += float(np.log10(scale).sum(dtype=np.float64))
+            later /= scale  # becomes emission * beta / scale of each token
+            low = int(self.offsets[first])
+            bounds = (self.offsets[first : stop + 1] - low).tolist()
+            gamma = alpha.copy()
+            for t in range(stop - first - 1, -1, -1):
+                a, b = bounds[t], bounds[t + 1]
+                follow = after if t == stop - first - 1 else later[b : bounds[t + 2]]
+                if follow is not None:
+                    beta = np.matmul(follow, back)
+                    gamma[a : a + len(follow)] *= beta
+                    later[a : a + len(follow)] *= beta
+            symbols = self.symbols[low : low + len(alpha)]
+            for i in range(k):
+                counts[:, i] += np.bincount(symbols, gamma[:, i], len(counts))
+            if after is not None:
+                moves += (alpha[bounds[-2] : bounds[-2] + len(after)].T @ after).astype(np.float64)
+            n = self.active[first:stop]
+            if len(n) > 1:
+                previous = np.arange(bounds[1], len(alpha)) - np.repeat(n[:-1], n[1:])
+                moves += (alpha[previous].T @ later[bounds[1] :]).astype(np.float64)
+            after = later[: bounds[1]].copy()
+        return gamma[: bounds[1]].sum(axis=0, dtype=np.float64), moves * p.moves, log
 
 
 def recursions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Recursion]]:
@@ -245,13 +282,13 @@ def first_parameters(vocab: Vocabulary, states: int, seed: int) -> Parameters:
     noise = 0.5 * np.random.default_rng(seed).standard_normal((CLASSES, states))[classes]
     emissions = vocab.prior()[:, None] * np.exp(noise)
     moves = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1))
-    return Parameters(np.full(states, 1 / states, np.float32), moves.astype(np.float32), (emissions / emissions.sum(axis=0)).astype(np.float32))
+    return Parameters(np.full(states, 1 / states), moves, emissions / emissions.sum(axis=0))
 
 
 def baum_welch(encoded: DataFrame, vocab: Vocabulary, p: Parameters) -> tuple[Parameters, float]:
     """The parameters after one round over all rows of encoded, and the log10 likelihood before it."""
     states, symbols = len(p.start), len(p.emissions)
-    shared = encoded.sparkSession.sparkContext.broadcast(p)
+    shared = encoded.sparkSession.sparkContext.broadcast(p.single())
     names = [f"e{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +300,10 @@ def baum_welch(encoded: DataFrame, vocab: Vocabulary, p: Parameters) -> tuple[Pa
         used = np.flatnonzero(counts.any(axis=1))
         keys = np.concatenate([used, -1 - np.arange(states), [-1 - states, -2 - states]])
         rows = np.concatenate([counts[used], moves, start[None], np.full((1, states), log)])
+        rows = rows.astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(rows[:, k]) for k in range(states))], names=["key", *names])
 
-    parts = encoded.select("symbols").mapInArrow(run, "key int, " + ", ".join(f"{n} double" for n in names))
+    parts = encoded.select("symbols").mapInArrow(run, "key int, " + ", ".join(f"{n} float" for n in names))  # float sums are added up as doubles
     found = parts.groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     keys, rows = found.column("key").to_numpy(), np.stack([found.column(n).to_numpy() for n in names], axis=1)
     get = dict(zip(keys[keys < 0].tolist(), rows[keys < 0], strict=True))
@@ -277,7 +315,7 @@ def baum_welch(encoded: DataFrame, vocab: Vocabulary, p: Parameters) -> tuple[Pa
     moves = np.stack([get.get(-1 - k, none) for k in range(states)]) + 0.1
     start = get.get(-1 - states, none) + 0.1
     log = float(get.get(-2 - states, none)[0])
-    return Parameters((start / start.sum()).astype(np.float32), (moves / moves.sum(axis=1, keepdims=True)).astype(np.float32), (emissions / emissions.sum(axis=0)).astype(np.float32)), log
+    return Parameters(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0)), log
 
 
 def rest_sums(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -285,12 +323,13 @@ def rest_sums(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataF
     probabilities and of those within the class."""
     spark = encoded.sparkSession
     sizes = spark.createDataFrame([(k, float(n), float(v)) for k, (n, v) in enumerate(zip(vocab.class_tokens, vocab.class_words, strict=True))], "class int, n_class double, v_class double")
-    words = encoded.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.class")
-    joined = words.join(counts.select("word", "c"), "word", "left").select("uid", "class", F.coalesce("c", F.lit(0)).alias("c"))
+    words = encoded.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.n")
+    own = (F.crc32(F.substring("word", -3, 3)) % CLASSES).cast("int").alias("class")  # as class_of()
+    joined = words.join(counts.select("word", "c"), "word", "left").select("uid", "n", own, F.coalesce("c", F.lit(0)).alias("c"))
     joined = joined.join(F.broadcast(sizes), "class")  # CLASSES rows
     base = F.log10((F.col("c") + ADDED) / F.lit(vocab.tokens + ADDED * (vocab.distinct + 1)))
     within = F.log10((F.col("c") + ADDED) / (F.col("n_class") + ADDED * (F.col("v_class") + 1)))
-    return joined.groupBy("uid").agg(F.count_if(F.col("c") > 0).alias("known"), F.sum(base).alias("base"), F.sum(within).alias("within"))
+    return joined.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(base * F.col("n")).alias("base"), F.sum(within * F.col("n")).alias("within"))
 
 
 def forward_scores(encoded: DataFrame, p: Parameters) -> DataFrame:
@@ -300,19 +339,20 @@ def forward_scores(encoded: DataFrame, p: Parameters) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, recursion in recursions(batches, "symbols"):
-            scores = recursion.likelihoods(recursion.forward(shared.value)[1])
+            scores = recursion.likelihoods(shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "path"])
 
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", path double")
 
 
+@scratch
 def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, folds: int = 10, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", history: list[float] | None = None) -> DataFrame:
     """One row per row of docs: its id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     The model learns from all rows that aren't held out. history, if given, gets the log10 likelihood of the symbols of the training
-    rows before each round. Nulls: a null text counts as empty, one end token; a row without id is never held out. Repeated rows
-    count and score again. Without training rows all words are unknown. An empty table gives an empty result; other columns aren't
-    read.
+    rows before each round. Nulls: a null text counts as empty, one end token; a row without id is never held out. Very long texts are
+    taken whole, a stretch at a time. Repeated rows count and score again. Words of equal counts are all symbols of their own, or none is.
+    Without training rows all words are unknown. An empty table gives an empty result; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, folds).alias("held_out"), text_of(text_col).alias("text"))
     counts = materialise(count_words(rows.where(~F.col("held_out"))))
