@@ -16,6 +16,8 @@ from spanloom.llm.common import fresh, materialise, scratch, text_of
 
 #: Rows in a block at most.
 BLOCK_ROWS = 50_000
+#: Nodes below one node of the tree of sums, and halvings after which the nodes are dealt to tasks anew.
+FAN, DEAL = 512, 3
 #: Standard deviations beyond which a hypergeometric count is impossible to double precision (mass under 1e-30).
 REACH = 12
 
@@ -59,20 +61,43 @@ def multivariate(sizes: Column, drawn: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(sizes)), start, one, lambda s: s.out)
 
 
-def communication_matrix(counts: DataFrame, blocks: int, quotas: list[int], seed: int) -> DataFrame:
-    """block, ends array<long>: for each block the running sums of the rows it sends to each shard. counts: block, n."""
-    spark = counts.sparkSession
-    every = spark.range(blocks).select(F.col("id").alias("block")).join(counts, "block", "left").select("block", F.coalesce("n", F.lit(0)).alias("n"))
-    node = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "n"))), lambda x: x.n).alias("sizes")).select(F.lit(0).cast("long").alias("first"), "sizes", F.array(*(F.lit(q).cast("long") for q in quotas)).alias("quota"))
-    for _ in range(max(blocks - 1, 0).bit_length()):
+def halved(nodes: DataFrame, most: int, seed: int, level: int) -> DataFrame:
+    """Splits nodes (first, sizes: most of them at most, quota: the shards' counts of all sizes together) by halving until each holds one
+    size: first, quota."""
+    nodes = nodes.withColumn("first", F.col("first").cast("long"))
+    for turn in range((most - 1).bit_length()):
+        if turn and turn % DEAL == 0:  # small rows, but each costs time: a fixed number of tasks, which isn't coalesced by size
+            nodes = nodes.repartition(min(2 ** (turn + 3), 200), "first")
         half = F.ceil(F.size("sizes") / 2).cast("int")
         left = F.slice("sizes", F.lit(1), half)
-        node = node.withColumn("drawn", multivariate(F.col("quota"), F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(seed), F.col("first"), F.size("sizes")))
+        split = F.size("sizes") > 1
+        drawn = multivariate(F.col("quota"), F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(seed), F.lit(level), F.col("first"), F.size("sizes"))
+        nodes = nodes.withColumn("drawn", F.when(split, drawn))
         one = F.struct("first", left.alias("sizes"), F.col("drawn").alias("quota"))
         two = F.struct((F.col("first") + half).alias("first"), F.slice("sizes", half + 1, F.greatest(F.size("sizes") - half, F.lit(0))).alias("sizes"), F.zip_with("quota", "drawn", lambda q, d: q - d).alias("quota"))
-        node = node.select(F.explode(F.when(F.size("sizes") > 1, F.array(one, two)).otherwise(F.array(F.struct("first", "sizes", "quota")))).alias("x")).select("x.*")
+        nodes = nodes.select(F.explode(F.when(split, F.array(one, two)).otherwise(F.array(F.struct("first", "sizes", "quota")))).alias("x")).select("x.*")
+    return nodes.select("first", "quota")
+
+
+def communication_matrix(counts: DataFrame, blocks: int, quotas: list[int], seed: int) -> DataFrame:
+    """block, ends array<long>: for each block the running sums of the rows it sends to each shard. counts: block, n, for blocks 0 and on.
+
+    The tree has levels: a node of one holds the sums of up to FAN nodes below it, whose counts it draws by halving. So a row is never
+    longer than FAN sums, and the nodes of a level are dealt to tasks.
+    """
+    spark = counts.sparkSession
+    levels = [spark.range(blocks).select(F.col("id").alias("block")).join(counts, "block", "left").select("block", F.coalesce("n", F.lit(0)).cast("long").alias("n"))]
+    while FAN ** len(levels) < blocks:
+        levels.append(materialise(levels[-1].groupBy(F.floor(F.col("block") / FAN).cast("long").alias("block")).agg(F.sum("n").alias("n"))))
+    node = spark.range(1).select(F.col("id").alias("block"), F.array(*(F.lit(q).cast("long") for q in quotas)).alias("quota"))
+    for level in range(len(levels) - 1, -1, -1):
+        below = levels[level].groupBy(F.floor(F.col("block") / FAN).cast("long").alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "n"))), lambda x: x.n).alias("sizes"))  # FAN at most
+        node = node.join(below, "block").select((F.col("block") * FAN).alias("first"), "sizes", "quota")
+        node = halved(node, min(FAN, -(-blocks // FAN**level)), seed, level).withColumnRenamed("first", "block")
+        if level:
+            node = materialise(node)
     ends = F.transform(F.sequence(F.lit(1), F.size("quota")), lambda i: F.aggregate(F.slice("quota", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
-    return node.select(F.col("first").alias("block"), ends.alias("ends"))
+    return node.select("block", ends.alias("ends"))
 
 
 @scratch
@@ -81,7 +106,8 @@ def shuffle_rows(docs: DataFrame, shards: int = 8, seed: int = 17, block_rows: i
 
     Shard sizes differ by one row at most; slot is the row's place in its shard, gapless from 0. Each file holds whole lanes of shards in
     the order of their slots. Blocks are runs of at most block_rows rows of an input partition; equal rows are drawn one by one. The
-    same input in the same partitions gives the same result. An empty table gives an empty result.
+    same input in the same partitions gives the same result. Nulls, empty and very long texts move like any other row; nothing is read
+    from them. Equal draws are told apart by the row's number. An empty table gives an empty result.
     """
     draw = lambda what, *own: F.xxhash64(F.lit(seed), F.lit(what), *own)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("uid"))
@@ -109,7 +135,8 @@ def shuffle_rows(docs: DataFrame, shards: int = 8, seed: int = 17, block_rows: i
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Digests of shuffle_rows(), read from its output: one row per row of docs with its id, size (UTF-8 bytes of the text plus 1),
-    text_crc32, law 'rows', shard, slot and grown_shard (null). A null id stays null, a null text counts as empty."""
+    text_crc32, law 'rows', shard, slot and grown_shard (null). A null id stays null, a null text counts as empty; repeated rows get slots
+    of their own; the rest is as shuffle_rows() says."""
     text = text_of(text_col)
     out = shuffle_rows(docs, shards, seed, block_rows)
     return out.select(
