@@ -18,28 +18,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WordHashes, distinct_by_text, fresh, materialise, odd_constants, shingle_hashes, text_chunks, text_of, words_of
+from spanloom.llm.common import WordHashes, arrow_type, distinct_by_text, fresh, materialise, odd_constants, shingle_hashes, text_chunks, text_of, words_of
 
 MEETINGS = 14.0
 
 
+#: Bytes of a block of items, as its index holds them: the executors get one block at a time.
+BLOCK_BYTES = 128 << 20
+
+
+def sketch_parameters(k: int, threshold: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of size class k: its largest size, and the multipliers and masks of its permutations."""
+    low, high = 4**k, 4 ** (k + 1) - 1
+    permutations = math.ceil(MEETINGS / (threshold * low / (high + low)))
+    return high, odd_constants(permutations, 5 + k), odd_constants(permutations, 1005 + k)
+
+
+def item_sketches(items: DataFrame, threshold: float, width: int) -> DataFrame:
+    """item, shingles binary (sorted distinct hashes) and least binary (under each permutation of its class) of the items that have shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = WordHashes(), {}
+        for batch, texts in text_chunks(batches, "text"):
+            words = [words_of(t) for t in texts]
+            shingles, counts = shingle_hashes(hashes([w for ws in words for w in ws]), np.array([len(w) for w in words], np.int64), width)
+            values, sizes = distinct_by_text(shingles, counts)
+            sets, least = np.split(values, np.cumsum(sizes)[:-1]), []
+            for own in sets:
+                k = ItemIndex.size_class(len(own))
+                if k >= 0:
+                    if k not in known:
+                        known[k] = sketch_parameters(k, threshold)
+                    least.append(b"".join(((own ^ x) * m).min().tobytes() for m, x in zip(known[k][1], known[k][2], strict=True)))
+                else:
+                    least.append(None)
+            least = pa.array(least, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), least], names=["item", "shingles", "least"]).filter(least.is_valid())
+
+    return items.mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, shingles binary, least binary")
+
+
 class ItemIndex:
-    """MinHash index of a block of items."""
+    """MinHash index of a block of items: their sets and, item by item, the least hash under each permutation of its class."""
 
-    def __init__(self, sets: list[np.ndarray], threshold: float, seed: int = 5):
+    def __init__(self, sets: list[np.ndarray], least: list[np.ndarray], threshold: float):
         self.sets, self.threshold = sets, threshold
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.classes = []
-        for k in sorted({self.size_class(n) for n in self.sizes.tolist() if n}):
-            low, high = 4**k, 4 ** (k + 1) - 1
-            members = np.flatnonzero((self.sizes >= low) & (self.sizes <= high))
-            permutations = math.ceil(MEETINGS / (threshold * low / (high + low)))
-            multipliers, masks = odd_constants(permutations, seed + k), odd_constants(permutations, seed + 1000 + k)
+        classes = np.array([self.size_class(n) for n in self.sizes.tolist()], np.int64)
+        for k in np.unique(classes).tolist():
+            members = np.flatnonzero(classes == k)
+            high, multipliers, masks = sketch_parameters(k, threshold)
+            table = np.stack([least[i] for i in members])
             tables = []
-            for m, x in zip(multipliers, masks, strict=True):
-                least = np.array([((sets[i] ^ x) * m).min() for i in members], np.uint64)
-                order = np.argsort(least, kind="stable")
-                tables.append((m, x, least[order], members[order]))
+            for i, (m, x) in enumerate(zip(multipliers, masks, strict=True)):
+                order = np.argsort(table[:, i], kind="stable")
+                tables.append((m, x, table[order, i], members[order]))
             self.classes.append((high, tables))
 
     @staticmethod
@@ -89,29 +123,27 @@ class ItemIndex:
 
 
 def contained_items(
-    docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int = 5, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """One row per document and item of which the document holds at least threshold of the distinct shingles: the two ids,
     n_item_shingles, n_shared and containment.
 
-    The items are a stated query set, searched against all documents in blocks of at most block_items, which bounds what a task
-    holds and what the driver sends; more items mean more passes over the documents. Nulls: null ids stay null, null and empty
-    texts hold nothing and are held by nothing; a text of fewer than width words is one shingle. Repeated rows on either side
-    give repeated rows; empty tables give an empty result. Only ids and texts are read, so other columns can't clash.
+    The items are a stated query set, searched against all documents in blocks of at most block_bytes (or one item), which bounds what a
+    task holds and what the driver sends, whatever the length of the items; more items mean more passes over the documents. The items'
+    hashes are computed by tasks. Nulls: null ids stay null, null and empty texts hold nothing and are held by nothing; a text of fewer
+    than width words is one shingle. Very long texts on either side are searched whole. A containment of just threshold counts. Repeated
+    rows on either side give repeated rows; empty tables give an empty result. Only ids, of any type, and texts are read, so other
+    columns can't clash.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     own = items.select(F.col(item_id_col).alias("item"), text_of(item_text_col).alias("text"))
     id_type, item_type = (f.schema[c].dataType.simpleString() for f, c in ((rows, "id"), (own, "item")))
+    item_arrow = arrow_type(own, "item")
     out = spark.createDataFrame([], f"`{id_col}` {id_type}, `{item_id_col}` {item_type}, n_item_shingles long, n_shared long, containment double")
-    for block in item_blocks(own, block_items):
-        sets = []
-        for start in range(0, len(block), 1000):
-            words = [words_of((r.text or "").encode()) for r in block[start : start + 1000]]
-            shingles, counts = shingle_hashes(WordHashes()([w for ws in words for w in ws]), np.array([len(w) for w in words], np.int64), width)
-            values, sizes = distinct_by_text(shingles, counts)
-            sets += np.split(values, np.cumsum(sizes)[:-1])
-        shared = spark.sparkContext.broadcast((ItemIndex(sets, threshold), pa.array([r.item for r in block], items_type(item_type))))
+    for block in item_blocks(item_sketches(own, threshold, width), block_bytes):
+        index = ItemIndex([np.frombuffer(r.shingles, np.uint64) for r in block], [np.frombuffer(r.least, np.uint64) for r in block], threshold)
+        shared = spark.sparkContext.broadcast((index, pa.array([r.item for r in block], item_arrow)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             (index, item_ids), hashes = shared.value, WordHashes()
@@ -127,25 +159,24 @@ def contained_items(
     return out
 
 
-def items_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
-def item_blocks(items: DataFrame, size: int) -> Iterator[list]:
-    """Rows of the items, a bounded block at a time."""
-    block = []
-    for row in items.toLocalIterator():
-        block.append(row)
-        if len(block) == size:
+def item_blocks(sketches: DataFrame, most: int) -> Iterator[list]:
+    """Rows of item_sketches(), a block at a time: at most that many bytes of hashes, of which the index holds the least ones twice."""
+    block, held = [], 0
+    for row in sketches.toLocalIterator():
+        size = len(row.shingles) + 2 * len(row.least)
+        if block and held + size > most:
             yield block
-            block = []
+            block, held = [], 0
+        block.append(row)
+        held += size
     if block:
         yield block
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns. Rows that share an id with one that does go too; a row whose id is
-    null is judged as one with all such rows."""
+    """The rows of docs that hold no item, with all their columns. Rows that share an id with one that does go too, repeated rows among them; a
+    row whose id is null is judged as one with all such rows. Null and empty texts hold nothing and stay; very long ones are searched
+    whole. An empty table, or no items, changes nothing."""
     found = contained_items(docs, items, id_col=id_col, **options)
     mark = fresh(docs, "contaminated_id")
     bad = materialise(found.select(F.col(id_col).alias(mark)).distinct())
