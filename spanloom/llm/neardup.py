@@ -3,7 +3,8 @@
 Each permutation gives both its least and its greatest value, two signature entries for one evaluation; bands are cut from all
 entries. Documents with equal shingle sets form a class first, so that copies cost one row each. The classes of a bucket are linked
 to its first class; links are confirmed on full shingle sets. Classes that then still lie in one bucket without being connected are
-compared in blocks, first on signatures and then on full sets, so that no component is left apart that a bucket's links join.
+compared in blocks, first on signatures and then on full sets, so that no component is left apart that a bucket's links join. That takes
+time in proportion to a bucket's largest component, but to the square of the number of its classes outside of it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from spanloom.llm.components import connected_components
 PERMUTATIONS, BAND = 64, 4
 #: Standard errors of the signature estimate by which a candidate may fall short of the threshold before it is verified.
 SLACK = 5
+#: Bits of the mark table that keeps texts which aren't needed from being shuffled: 8 MB, whatever the input.
+MARK_BITS = 26
 #: Classes of one bucket that are compared with each other in one task.
 BLOCK = 1024
 
@@ -98,17 +101,33 @@ def least_agreement(threshold: float, entries: int) -> float:
     return threshold - SLACK * (threshold * (1 - threshold) / entries) ** 0.5
 
 
+def marks(hashes: DataFrame) -> np.ndarray:
+    """Words of 64 bits, of which a bit is set for each value of text_hash: its highest MARK_BITS bits say which."""
+    place = F.shiftrightunsigned("text_hash", 64 - MARK_BITS)
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(text_hash, %d) & 63 as int))" % (64 - MARK_BITS))).alias("bits")).toArrow()
+    out = np.zeros(1 << MARK_BITS - 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def node_texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, text of the needed nodes (node, id, text_hash); rows with equal ids and texts give one."""
+    """node, text of the needed nodes (node, id, text_hash); rows with equal ids and texts give one. Texts without a mark stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks(needed))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+            yield batch.filter(pa.array((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             new = [not (n in seen or seen.add(n)) for n in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(new))
 
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("hash"), text_of(text_col).alias("text"))
-    return rows.join(needed, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash"))).select("node", "text").mapInArrow(run, "node long, text string")
+    rows = rows.mapInArrow(marked, rows.schema)
+    return rows.join(needed, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash"))).select("node", "text").mapInArrow(once, "node long, text string")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -131,27 +150,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def straddling(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """key, i, j, own, node, label: the classes of a bucket that resemble one of another component there.
+def straddling(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, band: int) -> DataFrame:
+    """key, i, j, own, node, label: the classes of a bucket (at, key) that resemble one of another component there. A pair counts in the first
+    band in which it agrees only.
 
-    Buckets within one component fall out by a grouped minimum and maximum. The others are compared in blocks of BLOCK classes, each
-    pair of blocks (i, j) a group of its own, so that no task holds more than two blocks; own is the block of the class.
+    Buckets within one component fall out by grouped counts. In the others, classes of the bucket's largest component never meet each
+    other: they lie in blocks of about BLOCK classes, the rest in blocks after those, and each pair of blocks (i, j) of which one is of the rest is a
+    group of its own, so that no task holds more than two blocks; own is the block of the class. The largest component may be as large as
+    the corpus: its classes come once for each block of the rest.
     """
-    member = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("key", "node", "label")
-    mixed = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    member = materialise(member.join(mixed, "key"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    split = member.join(nodes.select("node", "signature"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "signature")
+    member = materialise(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("at", "key", "node", "label"))
+    parts = member.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("labels > 1")
+    mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rests"))
+    member = member.join(mixed, "key")
+    first = F.col("label") == F.col("top")
+    own = F.when(first, F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.col("tops") + F.pmod(F.xxhash64("node"), F.col("rests"))).cast("int")
+    others = F.sequence(F.when(first, F.col("tops")).otherwise(0), F.col("tops") + F.col("rests") - 1)
+    split = member.join(nodes.select("node", "signature"), "node").withColumn("own", own).withColumn("other", F.explode(others))
+    split = split.select("at", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "signature")
 
     def run(table: pa.Table) -> pa.Table:
-        label = table.column("label").to_numpy()
+        label, at = table.column("label").to_numpy(), table.column("at")[0].as_py()
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(label), -1)
         one, two = sides(table)
         least, found = least_agreement(threshold, signature.shape[1]), np.zeros(len(label), bool)
+        bands = signature.shape[1] // band
         for x in one.tolist():
             other = two[label[two] != label[x]]
-            near = other[(signature[other] == signature[x]).mean(axis=1) >= least]
+            same = signature[other] == signature[x]
+            near = np.flatnonzero(same.mean(axis=1) >= least)
+            near = other[near[same[near, : bands * band].reshape(len(near), bands, band).all(axis=2).argmax(axis=1) == at]]
             found[near] = True
             found[x] |= len(near) > 0
         return table.select(["key", "i", "j", "own", "node", "label"]).filter(pa.array(found))
@@ -200,15 +229,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, permutat
 
     Rows are linked when 100 * intersection >= percent * union of their sets of distinct word shingles; component_id is the least id
     that links reach, kept marks the row with that id. Nulls: a null text counts as empty; an empty set is linked with nothing and is
-    its own component. A row without id takes part; it is kept only where no row of its component has an id. Repeated rows are linked,
-    and kept together where they share the least id. An empty table gives an empty result; other columns aren't read.
+    its own component. A row without id takes part; it is kept only where no row of its component has an id. Very long texts are compared
+    whole. Repeated rows are linked, and kept together where they share the least id; a similarity of just the threshold links. An empty
+    table gives an empty result; other columns aren't read.
     """
     threshold = percent / 100
     rows = materialise(sketches(docs, id_col, text_col, width, permutations, band))
     key = ["set_hi", "set_lo"]
     classes = materialise(rows.where("set_hi is not null").groupBy(*key).agg(F.min("uid").alias("node"), F.min("id").alias("least_id")))
     firsts = materialise(rows.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "id", "text_hash", "bands", "signature"))
-    entries = firsts.select("node", F.explode("bands").alias("key"))
+    entries = firsts.select("node", F.posexplode("bands").alias("at", "key"))
     heads = materialise(entries.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"))
     buckets = materialise(entries.join(heads, "key"))
 
@@ -219,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, permutat
     links = materialise(confirmed(pairs, texts, percent, width))
     labels = materialise(connected_components(links))
 
-    members = materialise(straddling(buckets.select("key", "node"), labels, firsts, threshold))
+    members = materialise(straddling(buckets.select("at", "key", "node"), labels, firsts, threshold, band))
     if not members.isEmpty():
         lacking = members.select("node").distinct().join(texts.select("node"), "node", "left_anti")
         texts = texts.unionByName(materialise(node_texts(docs, facts.join(lacking, "node"), id_col, text_col)))
@@ -236,7 +266,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, permutat
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with all their columns."""
+    """The rows of docs that near_duplicates() keeps, with all their columns. Null and empty texts stay; very long ones are compared whole; rows
+    of equal id and text, and null ids as one id, stay or go together. An empty table gives an empty result."""
     out = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("out_id"), F.col("text_hash").alias("out_hash")).distinct()
     out = materialise(out)
     return docs.join(out, docs[id_col].eqNullSafe(out["out_id"]) & (F.xxhash64(text_of(text_col)) == out["out_hash"]), "left_anti")
