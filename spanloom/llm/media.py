@@ -173,7 +173,9 @@ def image_features(images: DataFrame, id_col: str = "doc_id", media_col: str = "
     """What the stored bytes hold: id, the columns of keep, width, height, payload_bytes, payload_sha256, tail_crc32 (of the last
     32 samples), media_bytes, media_sha256, feature (the cosine hash) and error.
 
-    A null or damaged image has null features and its error's text; good ones have a null error.
+    A null or damaged image has null features and its error's text; good ones have a null error. A null id stays null; repeated rows give
+    repeated rows and equal values; an empty table gives an empty result; only the columns named are read. A task decodes about
+    CHUNK_BYTES of stored images, or one image of any size, at a time.
     """
 
     def look(data: bytes | None) -> tuple:
@@ -190,9 +192,9 @@ def image_features(images: DataFrame, id_col: str = "doc_id", media_col: str = "
     fields = [("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = batch.column(batch.num_columns - 1)
-            found = [look(m.as_py()) for m in media]
+        for batch, stored in text_chunks(batches, media_col, CHUNK_BYTES):
+            there = batch.column(batch.num_columns - 1).is_valid().to_pylist()
+            found = [look(m if ok else None) for m, ok in zip(stored, there, strict=True)]
             columns = [pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *(n for n, _ in fields)])
 
