@@ -11,28 +11,31 @@ from spanloom.llm.common import materialise, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language stays undetermined: those without letters, or with evidence for several."""
+    """Drops documents whose language stays undetermined: those without letters (null and empty ones among them), foreign ones, or those with
+    evidence for several. Rows of equal id and text stay or go together; an empty table stays empty."""
     return langid.keep_identified(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes boilerplate lines but for their first document, and the documents of which they leave nothing; n_chars follows."""
-    left = lines.drop_spread_lines(docs, counts=None)
-    return left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Removes boilerplate lines but for their first document, and the documents of which they leave nothing, null and blank ones among
+    them; n_chars, where there is such a column, follows. Repeated rows stay or go together; an empty table stays empty."""
+    left = lines.drop_spread_lines(docs, counts=None).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, that with the least id; rows that share it stay together. Documents without words
+    have no duplicates and stay. The texts are those that the lines' removal left."""
     return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, and those that share their id; null and empty texts hold none."""
     return containment.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for each row; a null text counts as empty."""
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
