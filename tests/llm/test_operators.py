@@ -87,22 +87,61 @@ def test_language_model_base_and_counts(spark, docs):
         assert math.isfinite(got.score)
 
 
-def test_forward_is_exact_and_rounds_gain():
+def test_forward_is_exact_and_rounds_gain(monkeypatch):
     r = np.random.default_rng(0)
     k, s = 3, 6
     p = hmm.Parameters(r.dirichlet(np.ones(k)), r.dirichlet(np.ones(k), k), r.dirichlet(np.ones(s), k).T.copy())
     sequences = [r.integers(0, s, n).astype(np.uint16) for n in (4, 1, 6, 4)]
-    recursion = hmm.Recursion(sequences)
-    got = recursion.likelihoods(recursion.forward(p)[1])
     from itertools import product
 
-    for seq, x in zip(sequences, got, strict=True):
-        total = sum(p.start[z[0]] * p.emissions[seq[0], z[0]] * math.prod(p.moves[a, b] * p.emissions[o, b] for a, b, o in zip(z, z[1:], seq[1:], strict=False)) for z in product(range(k), repeat=len(seq)))
-        assert math.isclose(x, math.log10(total), rel_tol=1e-9)
-    counts = np.zeros((s, k))
-    start, moves, log = recursion.expect(p, counts)
-    assert math.isclose(start.sum(), 4) and math.isclose(counts.sum(), 15) and math.isclose(moves.sum(), 11) and math.isclose(log, got.sum())
-    assert math.isclose(sum(10.0 ** hmm.Recursion([np.array([a, b])]).likelihoods(hmm.Recursion([np.array([a, b])]).forward(p)[1])[0] for a in range(s) for b in range(s)), 1, rel_tol=1e-9)
+    counted = []
+    for stretch in (1_000_000, 5, 1):
+        monkeypatch.setattr(hmm, "STRETCH_TOKENS", stretch)
+        recursion = hmm.Recursion(sequences)
+        got = recursion.likelihoods(p)
+        for seq, x in zip(sequences, got, strict=True):
+            total = sum(p.start[z[0]] * p.emissions[seq[0], z[0]] * math.prod(p.moves[a, b] * p.emissions[o, b] for a, b, o in zip(z, z[1:], seq[1:], strict=False)) for z in product(range(k), repeat=len(seq)))
+            assert math.isclose(x, math.log10(total), rel_tol=1e-9)
+        counts = np.zeros((s, k))
+        start, moves, log = recursion.expect(p, counts)
+        assert math.isclose(start.sum(), 4) and math.isclose(counts.sum(), 15) and math.isclose(moves.sum(), 11) and math.isclose(log, got.sum())
+        counted.append(np.concatenate([counts.ravel(), moves.ravel(), start]))
+        assert math.isclose(sum(10.0 ** hmm.Recursion([np.array([a, b])]).likelihoods(p)[0] for a in range(s) for b in range(s)), 1, rel_tol=1e-9)
+    assert np.allclose(counted[0], counted[1], rtol=1e-12) and np.allclose(counted[0], counted[2], rtol=1e-12)
+
+
+def test_scores_of_whole_texts_by_brute_force(spark, docs, monkeypatch):
+    """The score, step by step in Python from the same vocabulary and parameters, also with few symbols and short stretches."""
+    monkeypatch.setattr(hmm, "STRETCH_TOKENS", 50)
+    kept = {}
+    fit, make = hmm.baum_welch, hmm.vocabulary
+
+    def remember(name, f):
+        def run(*args):
+            kept[name] = f(*args)
+            return kept[name]
+
+        return run
+
+    monkeypatch.setattr(hmm, "baum_welch", remember("p", fit))
+    monkeypatch.setattr(hmm, "vocabulary", remember("v", make))
+    out = {(r.doc_id, r.n_tokens): r.score for r in hmm.language_model_scores(docs, rounds=2, states=3, head=40).collect()}
+    (p, _), v = kept["p"], kept["v"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter(w for r in ROWS if not held(r[0]) for w in [*words(r[1]), b"\n"])
+    own = {w: i for i, w in enumerate(v.words)}
+    assert 0 < len(own) <= 41 and set(own) < set(counts)
+    for r in ROWS:
+        state, total = p.start, 0.0
+        tokens = [*words(r[1]), b"\n"]
+        for i, w in enumerate(tokens):
+            key = w if len(w) <= hmm.WORD_BYTES else b" " + hashlib.sha256(w).hexdigest().encode()
+            c = hmm.class_of(key)
+            inside = 1.0 if w in own else (counts[w] + 0.1) / (v.class_tokens[c] + 0.1 * (v.class_words[c] + 1))
+            state = (state if i == 0 else state @ p.moves) * p.emissions[own.get(w, len(own) + c)] * inside
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        assert math.isclose(out[r[0], len(tokens)], total, rel_tol=1e-9)
 
 
 def test_language_model_learns(spark, mixed):
@@ -131,6 +170,66 @@ def test_toxicity_on_held_out_labels(spark):
     assert ((out.score >= 0.5) == (out.predicted == 1)).all() and out.score.between(0, 1).all()
 
 
+def test_gradients_and_pooling_in_pieces(monkeypatch):
+    """Gradients against differences of the loss; pooling of pieces, of several texts and of one at a time gives the same."""
+    r = np.random.default_rng(0)
+    m = toxicity.Model.new(1)
+    m.offsets = [r.normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    lengths = np.array([3, 0, 1, 17, 2, 0, 40])
+    buckets = r.integers(0, 50, (lengths.sum(), 3)).astype(np.int32)
+    whole, places = m.pooled(buckets, lengths, places=True)
+    alone = [m.pooled(buckets[e - n : e], np.array([n]))[0] for n, e in zip(lengths, np.cumsum(lengths), strict=True)]
+    assert (np.concatenate(alone) == whole).all()
+    monkeypatch.setattr(toxicity, "PIECE", 5)
+    cut, again = m.pooled(buckets, lengths, places=True)
+    assert (cut == whole).all() and (again == places).all()
+    m.table, m.weights = m.table.astype(np.float64), m.weights.astype(np.float64)
+    m.kernels, m.offsets = [k.astype(np.float64) for k in m.kernels], [o.astype(np.float64) for o in m.offsets]
+    y, w = np.array([1, 0, 1, 0, 1, 1, 0]), np.array([1, 2, 1, 1, 0.5, 1, 1])
+    g = toxicity.gradients(m, buckets, lengths, y, w)
+
+    def slope(values, at):
+        old, losses = values[at], []
+        for step in (1e-3, -1e-3):
+            values[at] = old + step
+            p = 1 / (1 + np.exp(-m.logits(buckets, lengths)))
+            losses.append(-(np.log(np.where(y == 1, p, 1 - p)) * w).mean())
+        values[at] = old
+        return (losses[0] - losses[1]) / 2e-3
+
+    for i, width in enumerate(toxicity.WIDTHS):
+        for at in ((0, 0), (5, 3), (16 * width - 1, 7)):
+            assert slope(m.kernels[i], at) == pytest.approx(g[f"k{i}"][at], abs=1e-5)
+        assert slope(m.offsets[i], 4) == pytest.approx(g[f"o{i}"][4], abs=1e-5)
+    for j in (0, 7, 20):
+        assert slope(m.table, (g["keys"][j], 2)) == pytest.approx(g["table"][j, 2], abs=1e-5)
+    assert slope(m.weights, 9) == pytest.approx(g["weights"][9], abs=1e-5)
+
+
+def test_the_network_learns_without_counted_evidence():
+    """Which of two words comes first: no count of words tells, a filter of two words does."""
+    r = np.random.default_rng(2)
+    texts = [r.integers(100, 160, (12, 3)).astype(np.int32) for _ in range(400)]
+    labels = r.integers(0, 2, 400)
+    for t, y in zip(texts, labels, strict=True):
+        at = r.integers(0, 11)
+        t[at], t[at + 1] = ((7, 8, 9), (17, 18, 19)) if y else ((17, 18, 19), (7, 8, 9))
+    m = toxicity.train(texts[:300], labels[:300], epochs=20, counted=False)
+    p = m.logits(np.concatenate(texts[300:]), np.full(100, 12)) > 0
+    assert (p == labels[300:]).mean() > 0.9
+
+
+def test_long_rows_teach_and_repeats_do_not_count(spark):
+    """The only telling word stands in rows of 9,000 words, beside as many long rows without it; copies of an id don't enlarge the sample."""
+    long = " ".join(WORDS[i % 300] for i in range(9_000))
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"{long} snarlo {i}" if n % 10 == 0 else f"{long} {i}" if n % 10 == 5 else prose(9, i), int(n % 10 == 0)) for n, i in enumerate(train)] + [(1_000_000 + i, f"{long} snarlo", 1) if i % 2 else (1_000_000 + i, f"{long} other", 0) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(train[1], rows[1][1])] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 1_000_000], "doc_id long, toxic int")
+    out = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, labels.union(labels.limit(50))).collect()}
+    assert sum(out[i] == y for i, _, y in rows[-40:]) == 40 and sum(out[i] for i, _, y in rows[: len(train)] if not y) < 10
+
+
 def test_toxicity_without_labels(spark, docs, none):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.toxicity_scores(docs, labels).collect()
@@ -178,6 +277,20 @@ def test_hypergeometric_law(spark):
     assert set(draw(0, 9, 9)) == {0} and set(draw(4, 0, 3)) == {3} and set(draw(5, 7, 12)) == {5}
 
 
+def test_matrix_of_many_levels(spark, monkeypatch):
+    """Sums of rows and columns of the matrix, with a tree of four levels, and that blocks differ by chance only."""
+    monkeypatch.setattr(sharding, "FAN", 4)
+    sizes = [100 + 7 * (i % 5) for i in range(130)]
+    counts = spark.createDataFrame(list(enumerate(sizes)), "block long, n long")
+    quotas = [sum(sizes) // 4 + (i < sum(sizes) % 4) for i in range(4)]
+    got = {r.block: r.ends for r in sharding.communication_matrix(counts, 130, quotas, 3).collect()}
+    cells = np.array([np.diff(got[i], prepend=0) for i in range(130)])
+    assert (cells >= 0).all() and (cells.sum(axis=1) == sizes).all() and (cells.sum(axis=0) == quotas).all()
+    expected = np.array(sizes)[:, None] / 4
+    chi = ((cells - expected) ** 2 / expected).sum()
+    assert 280 < chi < 510  # 387 degrees of freedom
+
+
 # --- pseudonyms ------------------------------------------------------------------------------------------------------------
 
 
@@ -212,6 +325,55 @@ def test_phones_and_dates_of_many_forms(spark):
     assert out[len(phones) + len(dates)].endswith("T10:00:00Z it was") and out[9][5] == "0"
 
 
+def test_long_runs_do_not_overflow(spark):
+    """Texts that a backtracking pattern would recurse on, one level for each label or digit."""
+    texts = ["a@" + "b." * 100_000 + "c", "1" * 100_000, "1." * 50_000, "a@b" + "-" * 100_000, "@" * 50_000, "+" * 50_000, "1 " * 50_000, "DE12 " * 30_000, "2024-01-" * 20_000, "x" * 100_000 + "@"]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [len(r.text) for r in out] == [len(t) for t in texts] and out[0].n_values == 1 and out[0].text[1:] == texts[0][1:]
+
+
+def test_numbers_with_checks(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 EUR", "GB82WEST12345698765432.", "BE68 5390 0754 7034 EUR", "DE89 3704 0044 0532 0130 01", "DE00 3704", "no 123-45-6789.", "666-45-6789 900-12-3456 123-00-1234 123-45-0000", "31/12/2020", "02/13/2020 13/02/2020", "31/2/2020", "1123-45-6789"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymise(frame, "k").orderBy("doc_id").collect()
+    assert [r.n_values for r in out] == [1, 1, 1, 0, 0, 1, 0, 1, 2, 0, 0]
+    back = pii.pseudonymise(spark.createDataFrame([(r.doc_id, r.text) for r in out], "doc_id long, text string"), "k", undo=True).orderBy("doc_id").collect()
+    assert [r.text for r in back] == texts
+    value = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    assert [value(re.sub("[^A-Z0-9]", "", r.text.removesuffix("EUR"))) for r in out[:3]] == [1, 1, 1]
+    assert out[0].text.startswith("DE") and out[0].text != texts[0] and re.fullmatch(r"\d{2}/\d{2}/\d{4}", out[7].text) and int(out[7].text[:2]) > 12
+
+
+def test_keystream_and_rounds_by_brute_force(spark):
+    """The permutation of addresses, rebuilt from HMAC in Python."""
+    import hmac
+
+    def stream(step, half):
+        return int(hmac.new(b"k", f"ip|{step}|{half}".encode(), "sha512").hexdigest()[:12], 16)
+
+    values = [(29, 217, 126, 147), (0, 0, 0, 0), (255, 255, 255, 255)]
+    out = pii.pseudonymise(spark.createDataFrame([(i, ".".join(map(str, v))) for i, v in enumerate(values)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    for v, r in zip(values, out, strict=True):
+        left, right = v[0] * 256 + v[1], v[2] * 256 + v[3]
+        for step in range(pii.ROUNDS):
+            if step % 2 == 0:
+                left = (left + stream(step, right)) % 65536
+            else:
+                right = (right + stream(step, left)) % 65536
+        assert r.text == f"{left >> 8}.{left % 256}.{right >> 8}.{right % 256}"
+
+
+def test_late_days_are_permuted(spark):
+    import datetime
+
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(i) for i in range(146_097)]
+    late = [d for d in days if d.day > 12][::11]
+    frame = spark.createDataFrame([(i, f"{d.day}/{d.month}/{d.year}") for i, d in enumerate(late)], "doc_id long, text string")
+    out = pii.pseudonymise(frame, "k").toPandas().sort_values("doc_id")
+    assert out.text.nunique() == len(late) and (out.n_values == 1).all()
+    assert all(datetime.date(*map(int, x.split("/")[::-1])).day > 12 for x in out.text)
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(0, 146097, 97).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = pii.pseudonymise(days, "k").toPandas()
@@ -251,9 +413,10 @@ def test_near_duplicates(spark, docs, none, mixed):
     assert kept.columns == mixed[0].columns and kept.count() == len({k[2] for k in brute_components(list(enumerate(mixed[1])))})
 
 
-def test_links_beyond_the_first_class_of_a_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("block", [2, 1024])
+def test_links_beyond_the_first_class_of_a_bucket(spark, monkeypatch, block):
     """A chain whose ends aren't alike, and blocks of two classes."""
-    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     base = prose(80, 11).split(" ")
     rows = []
     for i in range(24):
@@ -263,6 +426,27 @@ def test_links_beyond_the_first_class_of_a_bucket(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_a_hot_bucket_of_one_component(spark, monkeypatch):
+    """A large group of near copies and a few others that share its passage: none is lost, and rows grow with the group, not its square."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    base = prose(60, 21).split(" ")
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[i % 60] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(base[:44] + [f"own{i}x{j}" for j in range(12)])) for i in range(3)]
+    seen, split = [], neardup.sides
+
+    def counted(table):
+        seen.append(table.num_rows)
+        return split(table)
+
+    monkeypatch.setattr(neardup, "sides", counted)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
@@ -308,6 +492,25 @@ def test_line_dedup(spark, docs, none, mixed, broadcast):
     assert lines.drop_spread_lines(none, broadcast_lines=broadcast).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["large", "string"])
+def test_line_ids_keep_their_type(spark, kind):
+    """Ids beyond 2^53, some of them null, and ids that are text: both ways take out the same lines."""
+    name = (lambda i: 2**60 + i) if kind == "large" else (lambda i: f"doc{i:03}")
+    line = "this line is on many sites"
+    rows = [(name(i), f"{line}\nown words of {i}", f"s{i}") for i in range(6)] + [(None, f"another line on many sites\nand {i}", f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, f"doc_id {'long' if kind == 'large' else 'string'}, text string, source string")
+    want = brute_lines([r[:2] for r in rows], [r[2] for r in rows], 5)
+    for broadcast in (1_000_000, 0):
+        out = lines.drop_spread_lines(docs, broadcast_lines=broadcast).collect()
+        assert Counter((r.doc_id, r.text) for r in out) == want
+        assert sorted(r.n_removed for r in out if r.doc_id is not None) == [0, 1, 1, 1, 1, 1]
+
+
+def test_spread_lines_of_nothing(spark, none, docs):
+    assert lines.spread_lines(none).count() == 0
+    assert {r["first"] for r in lines.spread_lines(docs.union(docs), 2).collect()} <= set(range(len(ROWS)))
+
+
 # --- language ID -----------------------------------------------------------------------------------------------------------
 
 SAMPLES = {"en": "the and of to in that with for this from", "de": "der die und das nicht mit auch über für schön", "fr": "le la les et une dans pour être où déjà", "es": "el los las que una para señor niño según más"}
@@ -336,6 +539,57 @@ def test_host_prior_decides_what_text_leaves_open(spark):
     assert out[60] == "de" and out[61] == "fr"
 
 
+def test_posterior_by_brute_force(spark):
+    """All evidence fused again in Python from what the rows hold, by broadcast and by join, with keys split into shares."""
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        hot = r.random() < 0.5
+        p = np.exp(np.array([r.uniform(-6, 0) for _ in range(4)]))
+        rows.append((i, "hot.org" if hot else f"h{r.randrange(60)}.d{r.randrange(9)}.com", r.choice(["", "en", "de", "xx"]), 0 if i % 17 == 0 else 30, [float(x) for x in p / p.max()], i % 29 == 0))
+    frame = spark.createDataFrame(rows, "uid long, host string, declared string, n_trigrams long, likelihood array<double>, foreign boolean")
+    frame = frame.withColumn("domain", langid.domain_of(F.col("host"))).withColumn("suffix", langid.suffix_of(F.col("host")))
+    languages = langid.LANGUAGES
+    votes = {x[0]: np.array(x[4]) / sum(x[4]) if x[3] and not x[5] else np.zeros(4) for x in rows}
+    domain = {x[0]: "hot.org" if x[1] == "hot.org" else x[1].split(".", 1)[1] for x in rows}
+    total = sum(votes.values())
+    base = (total + 1) / (total + 1).sum()
+
+    def others(i, key):
+        return np.maximum(sum((votes[x[0]] for x in rows if key(x) == key(rows[i])), np.zeros(4)) - votes[i], 0)
+
+    for limits in ({}, {"groups": 0, "parts": 10}):
+        got = {x.uid: x for x in langid.fused(frame, languages, 0.5, **limits).collect()}
+        assert len(got) == 400
+        for i, x in enumerate(rows):
+            d, h = others(i, lambda y: domain[y[0]]), others(i, lambda y: y[1])
+            prior = (d + 10 * base) / (d.sum() + 10)
+            prior = (h + 10 * prior) / (h.sum() + 10)
+            given = lambda c: (c + 10 * base) / (np.maximum(total - votes[i], 0) + 10)  # noqa: B023, E731
+            said = given(others(i, lambda y: y[2])) if x[2] else np.ones(4)
+            post = np.array(x[4]) * prior * said * given(others(i, lambda y: y[1].rsplit(".", 1)[1]))
+            post /= post.sum()
+            seen = x[3] > 0 and not x[5]
+            assert got[i].confidence == pytest.approx(post.max(), rel=1e-9) and got[i].language == (languages[post.argmax()] if seen else "und")
+            assert got[i].accepted == (seen and post.max() >= 0.5)
+
+
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "uk"), "b.co.uk": ("b.co.uk", "uk"), "www.example.com": ("example.com", "com"), "localhost": ("localhost", "localhost"), "10.0.0.1": ("10.0.0.1", ""), "": ("", ""), "x.company.de": ("company.de", "de")}
+    out = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", langid.domain_of(F.col("h")).alias("d"), langid.suffix_of(F.col("h")).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in out} == hosts
+
+
+def test_foreign_texts_are_undetermined(spark):
+    """A fifth language and a fifth script, both declared to be English, among documents of the four."""
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [(-1, "это предложение написано на другом языке и другими буквами, которых модель не знает", "en", "s"), (-2, "ez egy magyar nyelvű szöveg amelyet azért írtunk hogy kipróbáljuk vele a nyelv felismerését", "en", "s"), (-3, None, None, None), (-4, "", "en", "s")]
+    docs = known.union(spark.createDataFrame(rows, known.schema))
+    out = langid.text_languages(docs).where("doc_id < 0 or not accepted").collect()
+    assert {r.doc_id: r.language for r in out if r.doc_id < 0} == dict.fromkeys(range(-4, 0), "und") and not any(r.accepted for r in out)
+    assert known.join(langid.keep_identified(docs), "doc_id", "left_anti").where(r"text rlike '[A-Za-z]{3}'").count() <= 2
+
+
 def test_keep_identified(spark, docs):
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
@@ -358,8 +612,8 @@ def test_containment(spark, docs, none, mixed):
                 both = len(s & shingles(t))
                 if s and both >= 0.75 * len(s):
                     want[i, k, len(s), both] += 1
-        for block in (20_000, 3):
-            got = Counter((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in containment.contained_items(frame, bench, block_items=block).collect())
+        for block in (containment.BLOCK_BYTES, 20_000, 1):
+            got = Counter((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in containment.contained_items(frame, bench, block_bytes=block).collect())
             assert got == want
     left = containment.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {5, 6, 7, 8, 12, 13, 14, 15}
@@ -429,6 +683,26 @@ def test_every_filter(channels):
     assert (media.unfilter(raw, channels) == rows).all()
 
 
+def test_feature_by_brute_force(spark):
+    """The hash from the definition: a cosine transform by sums over samples, of the image shrunk by shares of area."""
+    texts = [prose(n, n) for n in (3, 200, 900)]
+    out = media.image_features(media.store_images(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    for text, r in zip(texts, out, strict=True):
+        raw = text.encode()
+        raw += b"\xff" * (-len(raw) % 576)
+        pixels = np.frombuffer(raw, np.uint8).reshape(r.height, r.width).astype(float)
+
+        def shrunk(x):
+            fine = np.repeat(x, 32, axis=0)  # each of the 32 cells holds as many of these as there are rows
+            return fine.reshape(32, len(x), -1).mean(axis=1)
+
+        small = shrunk(shrunk(pixels).T).T
+        low = [sum(small[y, x] * math.cos(math.pi * v * (2 * y + 1) / 64) * math.cos(math.pi * u * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(8) for u in range(8)]
+        low = np.round(low, 6)
+        bits = "".join("1" if x > np.median(low[1:]) else "0" for x in low)
+        assert r.feature == f"{int(bits, 2):016x}" and r.error is None
+
+
 def test_damaged_images(spark):
     good = media.encode_png(np.arange(64, dtype=np.uint8).reshape(8, 8))
     bad = [good[:-1], good[:40] + b"\0" + good[41:], b"", good[8:], None]

@@ -32,6 +32,40 @@ def test_one_document_of_each_group_stays(spark, stages):
     assert {r.doc_id for r in stages[3].collect()} == {k[2] for k in brute_components(before)}
 
 
+def test_lines_by_brute_force(spark, stages):
+    """The second stage, from the rules alone, on what the first one kept."""
+    from tests.llm.test_operators import brute_lines, words
+
+    before = stages[1].select("doc_id", "text", "source").collect()
+    want = brute_lines([(r.doc_id, r.text) for r in before], [r.source for r in before], 5)
+    got = [(r.doc_id, r.text, r.n_chars) for r in stages[2].select("doc_id", "text", "n_chars").collect()]
+    assert sorted((i, t) for i, t, _ in got) == sorted((i, t) for i, t in want.elements() if words(t)) and all(n == len(t) for _, t, n in got)
+
+
+def test_languages_by_labels(spark, stages):
+    """The first stage drops what has no letters; the languages it finds are those declared, but for a few."""
+    from spanloom.llm import langid
+
+    found = langid.text_languages(stages[0]).toPandas()
+    kept = {r.doc_id for r in stages[1].select("doc_id").collect()}
+    assert kept == set(found.doc_id[found.accepted]) and (found.language[found.accepted] == found.declared[found.accepted]).mean() > 0.97
+
+
+def test_stages_on_awkward_tables(spark, stages):
+    """Null, empty, repeated and long rows among others, an empty table, and tables without n_chars."""
+    base = next(r.text for r in stages[4].orderBy("doc_id").collect() if r.lang == "en" and len(r.text) > 400 and "\n" not in r.text)
+    words = base.split()
+    long = " ".join(words[i * i % len(words)] + words[i % 7] for i in range(9_000))
+    known = stages[0].select("doc_id", "text", "lang", "source")
+    rows = [(-5, base, "en", "s"), (-5, base, "en", "s"), (-4, None, None, None), (None, base, "en", "t"), (-3, "", "en", "s"), (-2, long, "en", "u"), (None, None, None, None)]
+    for docs, want in ((known.union(spark.createDataFrame(rows, known.schema)), [-5, -5, -2]), (known.limit(0), [])):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.materialise(stage(spark, docs, SF))
+            assert docs.columns == ["doc_id", "text", "lang", "source"]
+        assert sorted(r.doc_id for r in docs.where("doc_id < 0 or doc_id is null").collect()) == want
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_no_benchmark_item_is_left(spark, stages):
     from spanloom.llm.containment import contained_items
 
