@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.parse import rebuild_payload
+
 #: For DuckDB, and up to 999,999 for Spark as well: lpad cuts longer ids to six digits. SPARK_TASK is the same up to there and whole beyond.
 TASK = "concat('doc-', lpad(cast(doc_id as string), 6, '0'))"
 SPARK_TASK = "concat('doc-', lpad(cast(doc_id as string), greatest(6, length(cast(doc_id as string))), '0'))"
@@ -19,11 +21,16 @@ def one_of(chars: str, value: str, at: int = 1) -> str:
     return f"instr('{chars}', substr(md5({value}), {at}, 1)) > 0"
 
 
+#: Spans of one word, or of two where the second begins with a to m.
+RAW = "[A-Z][a-z]+(?: [a-m][a-z]+)?"
+
+#: A span's type follows from its text and task, for some from its place as well, so that a row may hold it under two types.
 SPANS = f"""select task_id, row_index, pos,
  case when {one_of("0123456789ab", "lower(raw)", 3)} then 'entities' else 'json_structures' end as field,
- case when {one_of("01", "concat(task_id, '|', lower(raw))")} or ({one_of("0123", "lower(raw)", 2)} and {one_of("01234567", "concat(task_id, '|', lower(raw))")}) then 'other'
+ case when {one_of("01", "concat(task_id, '|', lower(raw))")} or ({one_of("0123", "lower(raw)", 2)} and {one_of("01234567", "concat(task_id, '|', lower(raw))")}) or {FIRST.format("concat(task_id, '|', cast(row_index as string), '|', cast(pos as string))")} = '0' then 'other'
   else concat('type', {FIRST.format("lower(raw)")}) end as type,
- case {FIRST.format("concat(task_id, '|', cast(row_index as string), '|', raw, '|', 'v')")} when '0' then concat(raw, 'X') when '1' then concat(raw, '.') else raw end as span
+ case {FIRST.format("concat(task_id, '|', cast(row_index as string), '|', raw, '|', 'v')")} when '0' then concat(raw, 'X') when '1' then concat(raw, '.') when '2' then replace(raw, ' ', '  ')
+  when '3' then case when {FIRST.format("concat(raw, 'r')")} = '0' then '[redacted]' when {FIRST.format("concat(raw, 'r')")} = '1' then 'XXXX' else upper(raw) end else raw end as span
 from {{raw_spans}}"""
 
 TASKS = f"""select {TASK} as task_id, concat('p', cast(doc_id % 3 as string)) as project_id,
@@ -70,8 +77,21 @@ PROPOSALS = f"""select span_lower, row_number() over (partition by span_lower or
  case when {FIRST.format("concat(task_id, span_lower)")} = '0' then 'declared:operator' when {FIRST.format("concat(task_id, span_lower)")} in ('1', '2', '3') then 'arbiter_correction' else 'qc_consensus' end as source
 from (select lower(span) as span_lower, type, task_id, row_index, pos from {{spans}}) x where {one_of("01234567", "concat(span_lower, task_id, 'p')")}"""
 
+OUTBOX = """select event_id as record_id, concat('u-', cast(user_id as string)) as task_id, case event_type when 'purchase' then 'sent' when 'error' then 'dead_letter' else 'pending' end as status,
+ cast(event_id % 5 as int) as retry_count, case when event_id % 3 = 0 then null else ts + interval '1' hour end as next_retry_at from {events}"""
+
+LEASES = """select event_id as lease_id, concat('u-', cast(user_id as string)) as task_id, ts + interval '20' day as expires_at from {events} where event_id % 7 = 0"""
+
+RUNS = """select event_id as run_id, concat('u-', cast(user_id as string)) as task_id, case when event_id % 2 = 0 then event_id else -event_id end as lease_id, ts as heartbeat_at from {events} where event_id % 7 in (0, 1)"""
+
+#: Lines of an alert log; some aren't JSON.
+ALERTS = """select event_id as line_no, case when event_id % 11 = 0 then 'not json' else concat('{{"kind": "', event_type, '", "task": "u-', cast(user_id as string), '"}}') end as line from {events}"""
+
+#: Why tasks went to review, in words.
+REASONS = """select task_id, seq, previous_status, next_status, ts, event_id, case event_id % 5 when 0 then 'arbiter uncertain about 3 rows' when 1 then 'Verbatim violation in row 2' when 2 then 'retries exhausted after 4 rounds' when 3 then 'provider error 402' else 'operator asked' end as reason from {audit_events}"""
+
 ROWS_DUCK = f"select {TASK} as task_id, (i - 1)::int as row_index, l[i] as input from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))"
-RAW_SPANS_DUCK = "select task_id, row_index, (i - 1)::int as pos, l[i] as raw from (select task_id, row_index, l, unnest(range(1, len(l) + 1)) as i from (select task_id, row_index, regexp_extract_all(input, '[A-Z][a-z]+') as l from src_rows))"
+RAW_SPANS_DUCK = "select task_id, row_index, (i - 1)::int as pos, l[i] as raw from (select task_id, row_index, l, unnest(range(1, len(l) + 1)) as i from (select task_id, row_index, regexp_extract_all(input, '[A-Z][a-z]+(?: [a-m][a-z]+)?') as l from src_rows))"
 
 
 class Tables:
@@ -96,7 +116,7 @@ class Tables:
 
     @property
     def raw_spans(self) -> DataFrame:
-        return self.rows.select("task_id", "row_index", F.posexplode(F.regexp_extract_all("input", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("pos", "raw"))
+        return self.rows.select("task_id", "row_index", F.posexplode(F.regexp_extract_all("input", F.lit(RAW), F.lit(0))).alias("pos", "raw"))
 
     @property
     def spans(self) -> DataFrame:
@@ -146,6 +166,41 @@ class Tables:
     def proposals(self) -> DataFrame:
         return self.sql(PROPOSALS, spans=self.spans)
 
+    @property
+    def outbox(self) -> DataFrame:
+        return self.sql(OUTBOX, events=self.source("events"))
+
+    @property
+    def leases(self) -> DataFrame:
+        return self.sql(LEASES, events=self.source("events"))
+
+    @property
+    def runs(self) -> DataFrame:
+        return self.sql(RUNS, events=self.source("events"))
+
+    @property
+    def alerts(self) -> DataFrame:
+        return self.sql(ALERTS, events=self.source("events"))
+
+    @property
+    def reasons(self) -> DataFrame:
+        return self.sql(REASONS, audit_events=self.audit_events)
+
+    @property
+    def payloads(self) -> DataFrame:
+        """task_id and the model text of its annotation: some bare, some in a fence after thoughts, some between sentences, some broken."""
+        made = rebuild_payload(self.spans)
+        kind = F.substring(F.md5(F.concat("task_id", F.lit("|wrap"))), 1, 1)
+        fenced = F.concat(F.lit("<think>two {rows} at most</think>\n```json\n"), "payload", F.lit("\n```"))
+        text = F.when(kind.isin("0", "1", "2"), fenced).when(kind.isin("3", "4", "5"), F.concat(F.lit("Sure! "), "payload", F.lit(" Done."))).when(kind == "6", F.lit('{"rows": [')).otherwise(F.col("payload"))
+        return made.select("task_id", text.alias("payload"))
+
+    @property
+    def sources(self) -> DataFrame:
+        """task_id and its rows as they were imported; some without an index."""
+        index = F.when(F.substring(F.md5(F.concat_ws("|", "task_id", F.col("row_index").cast("string"), F.lit("i"))), 1, 1) != "0", F.col("row_index") + 100)
+        return self.rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(F.col("row_index").alias("at"), index.alias("row_index"), "input"))).alias("rows")).select("task_id", F.transform("rows", lambda r: F.struct(r.row_index.alias("row_index"), r.input.alias("input"))).alias("rows"))
+
     @property
     def type_enum(self) -> DataFrame:
         field = F.explode(F.when(F.col("n") < 6, F.array(F.lit("entities"))).when(F.col("n") < 10, F.array(F.lit("entities"), F.lit("json_structures"))).otherwise(F.array(F.lit("json_structures"))))
@@ -156,7 +211,7 @@ class Tables:
 
 def duckdb_tables() -> str:
     """WITH ... of all derived tables, to put before a query."""
-    same = {n: n for n in ("raw_spans", "src_rows", "spans", "tasks", "documents", "events", "conversations")}
+    same = {n: n for n in ("raw_spans", "src_rows", "spans", "tasks", "documents", "events", "conversations", "audit_events")}
     parts = {
         "src_rows": ROWS_DUCK,
         "raw_spans": RAW_SPANS_DUCK,
@@ -170,6 +225,11 @@ def duckdb_tables() -> str:
         "feedback": FEEDBACK.format(**same),
         "discussions": DISCUSSIONS.format(**same),
         "rules_versions": RULES_VERSIONS,
+        "outbox": OUTBOX.format(**same),
+        "leases": LEASES.format(**same),
+        "runs": RUNS.format(**same),
+        "alerts": ALERTS.format(**same),
+        "reasons": REASONS.format(**same),
         "artifacts": ARTIFACTS.format(**same).replace("{{", "{").replace("}}", "}"),
         "proposals": PROPOSALS.format(**same),
         "type_enum": "select unnest(case when n < 6 then ['entities'] when n < 10 then ['entities', 'json_structures'] else ['json_structures'] end) as field, concat('type', substr('0123456789abcdef', n + 1, 1)) as type from (select unnest(range(16))::int as n) x union all select 'entities', 'other' union all select 'json_structures', 'other'",

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.graph import numbered
+
 ITEM = ["task_id", "row_index", "field", "type", "span"]
 
 
@@ -37,18 +42,53 @@ def quorum_errors(drafts: DataFrame, tasks: DataFrame, least: int = 2) -> DataFr
 
 
 def task_sample(tasks: DataFrame, n: int | None = None, ratio: float | None = None, seed: str = "0") -> DataFrame:
-    """A repeatable sample of accepted tasks, in order of a hash: n of them, or that ratio, one at least."""
+    """A repeatable sample of accepted tasks, in order of a hash: n of them, or that ratio, one at least.
+
+    A ratio finds its place on a histogram of the hash's first digits; only the one bucket in which the place lies is sorted.
+    """
     order = tasks.where("status = 'accepted'").select("task_id", F.md5(F.concat_ws("|", F.lit(seed), "task_id")).alias("order"))
-    if n is None:
-        n = max(1, -(-int(order.count() * round(ratio * 1_000_000)) // 1_000_000))
-    return order.orderBy("order", "task_id").limit(n).select("task_id")
+    if n is not None:
+        return order.orderBy("order", "task_id").limit(n).select("task_id")
+    bucket = F.substring("order", 1, 4)
+    counts = sorted((r.bucket, r.n) for r in order.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect())  # 65,536 at most
+    left = max(1, -(-sum(c for _, c in counts) * round(ratio * 1_000_000) // 1_000_000))
+    for edge, c in counts:
+        if c >= left:
+            last = order.where(bucket == edge).orderBy("order", "task_id").limit(left).select("task_id")
+            return order.where(bucket < edge).select("task_id").unionByName(last)
+        left -= c
+    return order.select("task_id")
 
 
 def sampled_rows(sample: DataFrame, rows: DataFrame, chunk: int = 30) -> DataFrame:
     """Rows of the sampled tasks with flat line numbers and the chunk of each."""
-    own = rows.join(sample, "task_id", "left_semi")
-    line = F.row_number().over(Window.orderBy("task_id", "row_index"))  # a sample for judges, not the corpus
-    return own.withColumn("line", line).withColumn("chunk", F.floor((F.col("line") - 1) / chunk).cast("int")).select("task_id", "row_index", "line", "chunk")
+    own = numbered(rows.join(sample, "task_id", "left_semi"), ["task_id", "row_index"], "line")
+    return own.select("task_id", "row_index", (F.col("line") + 1).cast("int").alias("line"), F.floor(F.col("line") / chunk).cast("int").alias("chunk"))
+
+
+def judged(chunks: DataFrame, rows: DataFrame, spans: DataFrame, judge: Callable[[list[dict]], list[dict]], passes: int = 3) -> DataFrame:
+    """What a judge says of each chunk of sampled rows in each pass: pass, chunk, id, span, fp_delta, fn_delta, or, where it fails, error alone.
+
+    judge maps rows (id, input, spans as field.type=span) to failures (id, span, fp_delta, fn_delta); it runs in the tasks, for one chunk at a
+    time. A chunk without failures gives no row.
+    """
+    listed = spans.join(chunks.select("task_id", "row_index"), ["task_id", "row_index"], "left_semi").groupBy("task_id", "row_index").agg(F.array_sort(F.collect_list(F.concat(F.col("field"), F.lit("."), F.col("type"), F.lit("="), F.col("span")))).alias("spans"))
+    full = chunks.join(rows, ["task_id", "row_index"]).join(listed, ["task_id", "row_index"], "left")
+    full = full.select(F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"), "chunk", "line", F.concat_ws(":", "task_id", F.col("row_index").cast("string")).alias("id"), "input", F.coalesce("spans", F.array().cast("array<string>")).alias("spans"))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values("line")
+        asked = [{"id": i, "input": t, "spans": list(s)} for i, t, s in zip(own["id"], own["input"], own["spans"], strict=True)]
+        try:
+            found = [(f["id"], f["span"], int(f["fp_delta"]), int(f["fn_delta"]), None) for f in judge(asked)]
+        except Exception as e:  # a judge is foreign code: its failure is a row of the result
+            found = [(None, None, None, None, f"{type(e).__name__}: {e}")]
+        out = pd.DataFrame(found, columns=["id", "span", "fp_delta", "fn_delta", "error"])
+        out.insert(0, "chunk", key[1])
+        out.insert(0, "pass", key[0])
+        return out
+
+    return full.groupBy("pass", "chunk").applyInPandas(run, "pass int, chunk int, id string, span string, fp_delta int, fn_delta int, error string")
 
 
 def scores(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:

@@ -68,25 +68,70 @@ def injectable(recounted: DataFrame, least: int = 5, dispute: float = 0.20) -> D
     return recounted.where((F.col("status") == "active") & (calm | F.col("locked"))).select("span_lower", "type", "distinct_tasks", "locked")
 
 
+#: First words of conventions that may be broadcast, of about 20 bytes each, so that other words of the texts are dropped before the join.
+BROADCAST_WORDS = 200_000
+
+
 def found_in_text(rows: DataFrame, conventions: DataFrame, most: int = 50, least_length: int = 4) -> DataFrame:
-    """Per task up to `most` conventions whose span its text holds as whole words.
+    """Per task up to `most` conventions whose span its text holds: as whole words, or, for spans with characters beyond ASCII, anywhere.
 
-    The first word of the span meets the words of the text in an equi-join; only spans of more than that word are then looked up in the
-    text. Spans that don't start with a word character are never found.
+    The first word of an ASCII span meets the words of the text in an equi-join; only spans of more than that word are then looked up in the
+    text. Of other spans the first two characters meet those of the text. An ASCII span that doesn't start with a word character is met by
+    its first word.
     """
-    spans = conventions.where(F.length("span_lower") >= least_length).select("span_lower", F.col("type").alias("convention"), F.regexp_extract("span_lower", r"(?U)^\w+", 0).alias("word"))
+    ascii_only = F.col("span_lower").rlike(r"^[\x00-\x7F]*$")
+    spans = conventions.where(F.length("span_lower") >= least_length).select("span_lower", F.col("type").alias("convention"), ascii_only.alias("plain"))
+    word = F.regexp_extract("span_lower", r"(?U)\w+", 0)
+    spans = spans.withColumn("word", F.when(F.col("plain") & (word != ""), word).otherwise(F.substring("span_lower", 1, 2)))
     low = rows.select("task_id", "row_index", F.lower("input").alias("low"))
-    words = low.select("task_id", "row_index", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
-    keyed = words.join(spans.where("word <> ''"), "word")
-    whole = keyed.where("span_lower = word").select("task_id", "row_index", "span_lower", "convention")
+    runs = F.when(F.col("low").rlike(r"[^\x00-\x7F]"), F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 1, F.lit(1))), lambda i: F.substr("low", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    words = low.select("task_id", "row_index", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)), runs))).alias("word"))
+    known = spans.select("word").distinct()
+    if known.count() <= BROADCAST_WORDS:
+        words = words.join(F.broadcast(known), "word", "left_semi")  # the count bounds it
+    keyed = words.join(spans, "word")
+    single = (F.col("span_lower") == F.col("word")) & F.col("plain")
+    whole = keyed.where(single).select("task_id", "row_index", "span_lower", "convention")
     pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "span_lower", F.lit(r"\E(?!\w)"))
-    longer = keyed.where("span_lower <> word").join(low, ["task_id", "row_index"]).where(F.contains("low", "span_lower") & F.regexp_like("low", pattern))
+    longer = keyed.where(~single).join(low, ["task_id", "row_index"]).where(F.contains("low", "span_lower") & (~F.col("plain") | F.regexp_like("low", pattern)))
     hits = whole.unionByName(longer.select("task_id", "row_index", "span_lower", "convention"))
     per = hits.groupBy("task_id", "span_lower", "convention").agg(F.count("*").alias("n_rows"))
     w = Window.partitionBy("task_id").orderBy(F.desc(F.length("span_lower")), "span_lower")
     return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
 
 
+def backfill_proposals(final: DataFrame, prelabel: DataFrame, tasks: DataFrame, effective: DataFrame, touched: DataFrame) -> DataFrame:
+    """Proposals (span_lower, seq, type, task_id, source) from accepted tasks that no arbiter touched (task_id) and whose effective annotation
+    can be read: decisions of the final spans that differ from the prelabel's, labelled by who decided."""
+    from spanloom.operators.repair import decision_diff
+
+    able = effective.where("usable").select("task_id", "kind").join(tasks.where("status = 'accepted'").select("task_id"), "task_id", "left_semi").join(touched, "task_id", "left_anti")
+    diff = decision_diff(final.join(able.select("task_id"), "task_id", "left_semi"), prelabel).join(able, "task_id")
+    seq = F.row_number().over(Window.partitionBy("span_lower").orderBy("task_id"))
+    return diff.select("span_lower", seq.alias("seq"), "type", "task_id", F.when(F.col("kind") == "human_review_answer", "hr_correction").otherwise("qc_consensus").alias("source"))
+
+
+def backfill_counts(tasks: DataFrame, effective: DataFrame, touched: DataFrame) -> DataFrame:
+    """One row: accepted tasks scanned, and those skipped because an arbiter touched them, no annotation is there, or it can't be read."""
+    own = tasks.where("status = 'accepted'").select("task_id").join(touched.select("task_id", F.lit(True).alias("t")).distinct(), "task_id", "left").join(effective, "task_id", "left")
+    free = F.col("t").isNull()
+    return own.agg(F.count("*").alias("n_scanned"), F.count_if(~free).alias("n_touched"), F.count_if(free & F.col("kind").isNull()).alias("n_missing"), F.count_if(free & F.col("kind").isNotNull() & ~F.col("usable")).alias("n_unreadable"))
+
+
+def past_experience(conventions: DataFrame, proposals: DataFrame, scores: DataFrame, k: int = 3, generic: float = 5.0, evidence: int = 5) -> DataFrame:
+    """What is known of each span, a row for each proposed type: its convention, how often the type was proposed, up to k diverse examples of it
+    (from the proposals' context), the words' frequency, and whether it is a generic word with little evidence."""
+    from spanloom.operators.similarity import diverse_examples
+
+    counts = proposals.groupBy("span_lower", "type").agg(F.count("*").alias("n"))
+    shown = proposals.where(F.trim("context") != "").select("span_lower", "type", F.concat(F.lit("["), "task_id", F.lit("] "), "context").alias("text"))
+    examples = diverse_examples(shown, ["span_lower", "type"], k).groupBy("span_lower", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x.text), " | ").alias("examples"))  # k at most
+    known = conventions.select("span_lower", "status", F.col("type").alias("convention"), "evidence")
+    out = counts.join(examples, ["span_lower", "type"], "left").join(known, "span_lower", "left").join(scores, "span_lower", "left")
+    zipf = F.coalesce("score", F.lit(0.0))
+    return out.select("span_lower", "type", "n", F.coalesce("examples", F.lit("")).alias("examples"), F.coalesce("status", F.lit("none")).alias("status"), "convention", F.coalesce("evidence", F.lit(0)).alias("evidence"), F.round(zipf, 3).alias("zipf"), ((zipf >= generic) & (F.coalesce("evidence", F.lit(0)) < evidence)).alias("generic_word"))
+
+
 def policy_drift(decisions: DataFrame, conventions: DataFrame) -> DataFrame:
     """Per span: decisions of accepted tasks that differ from the active convention."""
     active = conventions.where("status = 'active'").select("span_lower", F.col("type").alias("convention"))

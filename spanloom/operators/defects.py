@@ -41,7 +41,7 @@ def misplaced_shared(spans: DataFrame, type_enum: DataFrame) -> DataFrame:
     """Spans of a type that both fields allow which stand in the wrong one: single words belong to entities, longer ones to structures."""
     shared = type_enum.groupBy("type").agg(F.countDistinct("field").alias("n")).where("n = 2").select("type")
     should = F.when(word_count(F.col("span")) > 1, "json_structures").otherwise("entities")
-    return spans.join(F.broadcast(shared), "type", "left_semi").withColumn("should", should).where("field <> should").select(*AT, "should")
+    return spans.join(shared, "type", "left_semi").withColumn("should", should).where("field <> should").select(*AT, "should")
 
 
 def missing_rows(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -50,14 +50,46 @@ def missing_rows(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return lost.groupBy("task_id").agg(F.count("*").alias("n_missing"), F.array_join(F.slice(F.sort_array(F.collect_set("row_index")), 1, 5), ",").alias("first_missing"))
 
 
-def schema_violations(parsed: DataFrame, type_enum: DataFrame) -> DataFrame:
-    """task_id, rule and detail for parsed annotations that aren't readable, have no rows, or use a type that its field doesn't allow."""
+def schema_violations(parsed: DataFrame, type_enum: DataFrame, most_spans: int = 1_000, text_col: str = "payload") -> DataFrame:
+    """task_id, rule and detail for parsed annotations that break a rule: unreadable (no JSON object), rows_type (rows isn't a list), no_rows,
+    row_output (a row without output), too_many (a type of a row has more than most_spans spans), type (not allowed in its field)."""
+    from spanloom.functions.text import without_thoughts
     from spanloom.operators.parse import explode_spans
 
-    unread = parsed.where(~F.col("ok")).select("task_id", F.lit("unreadable").alias("rule"), F.lit("").alias("detail"))
-    empty = parsed.where("ok and size(parsed.rows) = 0").select("task_id", F.lit("no_rows").alias("rule"), F.lit("").alias("detail"))
-    wrong = explode_spans(parsed.where("ok")).join(F.broadcast(type_enum), ["field", "type"], "left_anti").select("task_id", F.lit("type").alias("rule"), F.concat_ws(".", "field", "type").alias("detail")).distinct()
-    return unread.unionByName(empty).unionByName(wrong)
+    text = without_thoughts(F.col(text_col))
+    rows = F.coalesce(F.get_json_object(text, "$.rows"), F.get_json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0), "$.rows"))
+    bad = parsed.where("not ok").select("task_id", F.when(rows.isNull(), "unreadable").otherwise("rows_type").alias("rule"), F.lit("").alias("detail"))
+    good = parsed.where("ok")
+    empty = good.where("size(parsed.rows) = 0").select("task_id", F.lit("no_rows").alias("rule"), F.lit("").alias("detail"))
+    lacking = F.size(F.filter("parsed.rows", lambda r: r.output.isNull()))
+    bare = good.where(lacking > 0).select("task_id", F.lit("row_output").alias("rule"), lacking.cast("string").alias("detail"))
+    spans = explode_spans(good)
+    each = F.concat_ws(".", "field", "type").alias("detail")
+    many = spans.groupBy(*ROW, "field", "type").agg(F.count("*").alias("n")).where(F.col("n") > most_spans).select("task_id", F.lit("too_many").alias("rule"), each).distinct()
+    wrong = spans.join(type_enum, ["field", "type"], "left_anti").select("task_id", F.lit("type").alias("rule"), each).distinct()
+    return bad.unionByName(empty).unionByName(bare).unionByName(many).unionByName(wrong)
+
+
+def first_failure(spans: DataFrame, rows: DataFrame, type_enum: DataFrame) -> DataFrame:
+    """The first failing check of each task, in a fixed order, and its violations. One join of spans and rows, one window in a row and one
+    aggregate by task see all of them."""
+    shared = type_enum.groupBy("type").agg(F.countDistinct("field").alias("n")).where("n = 2").select("type", F.lit(True).alias("shared"))
+    trimmed = without_trailing(F.col("span"))
+    should = F.when(word_count(F.col("span")) > 1, "json_structures").otherwise("entities")
+    entity = F.col("field") == "entities"
+    w = Window.partitionBy(*ROW, entity, "span").orderBy("pos")
+    joined = spans.withColumn("there", F.lit(True)).join(rows.withColumn("is_row", F.lit(True)), ROW, "full_outer").join(shared, "type", "left")
+    joined = joined.withColumn("collides", F.col("there") & entity & (F.first("type").over(w) != F.col("type")))
+    hits = {
+        "missing_rows": F.max(F.when(F.col("is_row") & F.col("there").isNull(), 1)),  # tasks, not rows, are counted
+        "non_verbatim": F.count_if(F.col("there") & F.col("input").isNotNull() & ~F.contains("input", "span")),
+        "cross_type": F.count_if("collides"),
+        "punctuation": F.count_if(F.col("there") & (trimmed != F.col("span")) & (trimmed != "") & F.contains("input", trimmed)),
+        "shared_type": F.count_if(F.col("there") & F.col("shared") & (F.col("field") != should)),
+    }
+    per = joined.groupBy("task_id").agg(*(F.coalesce(n, F.lit(0)).cast("long").alias(name) for name, n in hits.items()))
+    first = F.coalesce(*(F.when(F.col(name) > 0, F.struct(F.lit(name).alias("category"), F.col(name).alias("n"))) for name in hits))
+    return per.select("task_id", first.alias("f")).where("f is not null").select("task_id", "f.category", F.col("f.n").alias("n_violations"))
 
 
 def first_failure(spans: DataFrame, rows: DataFrame, type_enum: DataFrame) -> DataFrame:
@@ -127,7 +159,7 @@ def candidate_sentences(failed: DataFrame, rows: DataFrame, top: int = 6) -> Dat
 def destination(spans: DataFrame, type_enum: DataFrame) -> DataFrame:
     """Where each (span, type) belongs: its only field, or for a shared type the one its words ask for; 'unknown' for other types."""
     fields = type_enum.groupBy("type").agg(F.collect_set("field").alias("allowed"))
-    joined = spans.select("span", "type").distinct().join(F.broadcast(fields), "type", "left")
+    joined = spans.select("span", "type").distinct().join(fields, "type", "left")
     by_words = F.when(word_count(F.col("span")) > 1, "json_structures").otherwise("entities")
     return joined.select("span", "type", F.when(F.col("allowed").isNull(), "unknown").when(F.size("allowed") == 1, F.col("allowed")[0]).otherwise(by_words).alias("destination"))
 

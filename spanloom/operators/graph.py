@@ -5,22 +5,42 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share (spark.checkpoint.dir), which cuts its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where the session names none, a local master gets a temporary one; on a
+    cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with name long: the row's place, from 0 on, in that order of columns. Ranges of rows are sorted side by side and counted, so that no
+    task holds more than a range; rows with equal keys are numbered in any order."""
+    part, at = f"{name}__part", f"{name}__at"
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = written(spread.withColumn(part, F.spark_partition_id().cast("long")).withColumn(at, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    counts = spread.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each range
+    return spread.join(F.broadcast(starts), part).withColumn(name, F.col("start") + F.col(at)).drop(part, at, "start")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root: each node of edges (a, b) with the least node it is connected to.
 

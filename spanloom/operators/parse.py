@@ -27,16 +27,24 @@ def explode_spans(parsed: DataFrame) -> DataFrame:
     return both.select("task_id", "row_index", "field", "type_pos", F.col("e.key").alias("type"), F.posexplode("e.value").alias("pos", "span")).where(F.col("span") != "")
 
 
+def row_inputs(sources: DataFrame) -> DataFrame:
+    """task_id, row_index, input of imported rows (task_id, rows array<struct<row_index, input>>): a row without an index takes its place in the
+    list; of rows with one index the last counts; rows without text are left out."""
+    each = sources.select("task_id", F.posexplode("rows").alias("at", "r")).where("r.input is not null")
+    last = each.groupBy("task_id", F.coalesce("r.row_index", "at").alias("row_index")).agg(F.max_by("r.input", "at").alias("input"))
+    return last.select("task_id", "row_index", "input")
+
+
 def readable(payload: Column) -> Column:
     """Whether a payload is JSON."""
     return F.try_parse_json(payload).isNotNull()
 
 
-def effective_annotation(artifacts: DataFrame) -> DataFrame:
+def effective_annotation(artifacts: DataFrame, keep_payload: bool = False) -> DataFrame:
     """One row per task: its last human answer, else its last annotation; usable tells whether the payload can be read."""
     rank = F.when(F.col("kind") == "human_review_answer", 1).otherwise(0)
     best = artifacts.groupBy("task_id").agg(F.max_by(F.struct("seq", "kind", "payload"), F.struct(rank, F.col("seq"))).alias("b"))
-    return best.select("task_id", "b.seq", "b.kind", readable(F.col("b.payload")).alias("usable"))
+    return best.select("task_id", "b.seq", "b.kind", readable(F.col("b.payload")).alias("usable"), *(["b.payload"] if keep_payload else []))
 
 
 def last_readable_annotation(artifacts: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def coerce_to_enum(spans: DataFrame, type_enum: DataFrame) -> DataFrame:
     where none does."""
     own = type_enum.select(F.col("field").alias("own_field"), F.col("type").alias("own_type"))
     fields = own.groupBy("own_type").agg(F.collect_set("own_field").alias("allowed"))
-    joined = spans.join(F.broadcast(fields), spans["type"] == fields["own_type"], "left")
+    joined = spans.join(fields, spans["type"] == fields["own_type"], "left")
     fits = F.coalesce(F.array_contains("allowed", F.col("field")), F.lit(False))
     moved = joined.withColumn("outcome", F.when(fits, "kept").when(F.col("allowed").isNotNull(), "moved").otherwise("dropped"))
     return moved.withColumn("field", F.when(F.col("outcome") == "moved", F.col("allowed")[0]).otherwise(F.col("field"))).drop("allowed", "own_type")
@@ -138,6 +146,15 @@ def qc_feedback(decisions: DataFrame) -> DataFrame:
     return each.select("task_id", F.coalesce("at", F.lit(0)).alias("at"), pick("category"), pick("severity"), pick("message"), F.when(F.coalesce("at", F.lit(0)) == 0, F.col("d.confidence")).alias("confidence"))
 
 
+def extracted_replies(annotations: DataFrame) -> DataFrame:
+    """task_id, feedback_id, message of the replies in annotations (task_id, payload): at the top and in each row."""
+    reply = "array<struct<feedback_id: string, message: string>>"
+    read = annotations.select("task_id", F.from_json("payload", f"struct<discussion_replies: {reply}, rows: array<struct<discussion_replies: {reply}>>>").alias("p"))
+    inner = F.flatten(F.filter(F.transform("p.rows", lambda r: r.discussion_replies), lambda x: x.isNotNull()))
+    both = F.concat(F.coalesce("p.discussion_replies", F.array().cast(reply)), F.coalesce(inner, F.array().cast(reply)))
+    return read.select("task_id", F.explode(both).alias("r")).select("task_id", "r.feedback_id", "r.message")
+
+
 def discussion_replies(replies: DataFrame, feedback: DataFrame, stored: DataFrame) -> DataFrame:
     """Replies with a message to feedback that exists and isn't answered by the same message yet."""
     own = replies.where(~blank(F.col("message")))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import EDGES, stripped, without_trailing, word_count
-from spanloom.operators.defects import bare_names, nested_spans, non_verbatim, placeholders, trailing_punctuation, type_collisions
-from spanloom.operators.parse import KEY
+from spanloom.operators.defects import bare_names, nested_spans, placeholders
+from spanloom.operators.parse import KEY, missing_row_stubs, rename_types
 
 ROW = ["task_id", "row_index"]
 
@@ -24,29 +24,30 @@ def aligned(spans: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("fixed", fixed).drop("input")
 
 
-def safe_fixes(spans: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds fixed: a verbatim span without trailing punctuation if the text holds that too; others by their edges; null if nothing fits."""
+def safe_fixes(spans: DataFrame, rows: DataFrame, keep_text: bool = False) -> DataFrame:
+    """Adds fixed (and, to keep the text, input): a verbatim span without trailing punctuation if the text holds that too; others by their edges; null if nothing fits."""
     joined = spans.join(rows, ROW, "left")
     trimmed, edges = without_trailing(F.col("span")), F.regexp_replace("span", EDGES, "")
     holds = lambda x: F.coalesce(F.contains("input", x), F.lit(False)) & (x != "")
     verbatim = F.col("input").isNull() | holds(F.col("span"))
     fixed = F.when(verbatim, F.when(holds(trimmed), trimmed).otherwise(F.col("span"))).when(holds(edges), edges)
-    return joined.withColumn("fixed", fixed).drop("input")
+    return joined.withColumn("fixed", fixed).drop(*([] if keep_text else ["input"]))
 
 
 def rerouted(spans: DataFrame, type_enum: DataFrame) -> DataFrame:
     """Spans of shared types in the field that their words ask for, merged without repeats; moved tells which changed."""
     shared = type_enum.groupBy("type").agg(F.countDistinct("field").alias("n")).where("n = 2").select("type", F.lit(True).alias("both"))
     field = F.when(F.coalesce("both", F.lit(False)), F.when(word_count(F.col("span")) > 1, "json_structures").otherwise("entities")).otherwise(F.col("field"))
-    new = spans.join(F.broadcast(shared), "type", "left").withColumn("to", field).withColumn("moved", F.col("to") != F.col("field"))
+    new = spans.join(shared, "type", "left").withColumn("to", field).withColumn("moved", F.col("to") != F.col("field"))
     return new.withColumn("field", F.col("to")).groupBy(*KEY).agg(F.min("pos").alias("pos"), F.bool_or("moved").alias("moved"))
 
 
 def retyped(spans: DataFrame, decisions: DataFrame, type_enum: DataFrame) -> DataFrame:
     """Spans after decisions (span, old_type, new_type): the span leaves the old type and joins the new one, in its field; a null new
-    type deletes it; one that no field allows too."""
+    type deletes it; one that no field allows too. Of several decisions on one span and type the one with the least new type counts."""
+    decisions = decisions.groupBy("span", "old_type").agg(F.min("new_type").alias("new_type"))
     fields = type_enum.groupBy(F.col("type").alias("new_type")).agg(F.collect_set("field").alias("allowed"))
-    joined = spans.join(decisions.withColumn("hit", F.lit(True)), (spans["span"] == decisions["span"]) & (spans["type"] == decisions["old_type"]), "left").drop(decisions["span"]).join(F.broadcast(fields), "new_type", "left")
+    joined = spans.join(decisions.withColumn("hit", F.lit(True)), (spans["span"] == decisions["span"]) & (spans["type"] == decisions["old_type"]), "left").drop(decisions["span"]).join(fields, "new_type", "left")
     by_words = F.when(word_count(F.col("span")) > 1, "json_structures").otherwise("entities")
     to = F.when(F.size("allowed") == 1, F.col("allowed")[0]).otherwise(by_words)
     hit = F.col("hit").isNotNull()
@@ -68,11 +69,71 @@ def bulk_removed(spans: DataFrame, unwanted: DataFrame, tasks: DataFrame) -> Dat
     return spans.join(bad.select(*KEY, "pos"), [*KEY, "pos"], "left_anti")
 
 
+def recovered(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds fixed, a piece of the row's text that the span probably means: the span itself if the text holds it; else its first place whatever
+    the case; the same without white space at its ends, and with inner white space as single blanks; else their longest common run of
+    characters, whatever the case, of at least 4 and 70 % of the span (the first in the text if there are several). Null if there is none.
+    Spans of rows without text stay as they are."""
+    joined = spans.join(rows, ROW, "left")
+    span, text = F.col("span"), F.col("input")
+    low = F.lower(text)
+
+    def anywhere(value: Column) -> Column:
+        at = F.instr(low, F.lower(value))
+        return F.when(value == "", None).when(F.contains(text, value), value).when(at > 0, text.substr(at, F.length(value)))
+
+    need = F.greatest(F.lit(4), F.floor(F.length(span) * 0.7).cast("int"))
+    sizes = F.when(F.length(span) >= need, F.sequence(F.length(span), need, F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(span) - n + 1), lambda i: F.struct((-n).alias("size"), F.instr(low, F.substr(F.lower(span), i, n)).alias("at")))))
+    best = F.array_min(F.filter(runs, lambda r: r["at"] > 0))
+    common = text.substr(best["at"], -best["size"])
+    collapsed = stripped(F.regexp_replace(span, r"(?U)\s+", " "))
+    fixed = F.when(text.isNull(), span).when((span == "") | (text == ""), None).otherwise(F.coalesce(anywhere(span), anywhere(stripped(span)), anywhere(collapsed), common))
+    return joined.withColumn("fixed", fixed).drop("input")
+
+
+def first_types(spans: DataFrame, field: str = "entities") -> DataFrame:
+    """Spans without those of a field that stand under another type earlier in the row."""
+    w = Window.partitionBy(*ROW, "field", "span").orderBy("pos")
+    return spans.withColumn("__first", F.first("type").over(w)).where((F.col("field") != field) | (F.col("type") == F.col("__first"))).drop("__first")
+
+
+def autocleaned(spans: DataFrame, rows: DataFrame, fields: tuple[str, ...] = ("entities", "json_structures")) -> DataFrame:
+    """Spans as a reviewer gets them: allowed fields only, recovered or else dropped, without trailing punctuation where the text holds them
+    without, and under the first of several types of a row."""
+    kept = recovered(spans.where(F.col("field").isin(*fields)), rows).where("fixed is not null").withColumn("span", F.col("fixed")).drop("fixed")
+    trimmed = without_trailing(F.col("span"))
+    joined = kept.join(rows, ROW, "left")
+    bare = joined.withColumn("span", F.when((trimmed != "") & F.contains("input", trimmed), trimmed).otherwise(F.col("span"))).drop("input")
+    return first_types(bare).select(*KEY, "pos")
+
+
+def prelabel_fixes(spans: DataFrame, rows: DataFrame, type_enum: DataFrame, renames: dict[str, str], known: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Prelabels fit for import: types renamed and unknown ones dropped, shared types in the field that their words ask for, spans aligned with
+    the text or dropped, each entity once per row under its first type; and empty stubs for the rows that the prelabels lack."""
+    moved = rerouted(rename_types(spans, renames, known), type_enum).drop("moved")
+    whole = aligned(moved, rows).where("fixed is not null").withColumn("span", F.col("fixed")).drop("fixed")
+    once = whole.groupBy(*KEY).agg(F.min("pos").alias("pos"))
+    return first_types(once).select(*KEY, "pos"), missing_row_stubs(rows, spans)
+
+
 def write_time(spans: DataFrame, rows: DataFrame) -> DataFrame:
-    """Spans as they are stored: safe fixes, then verbatim ones only, then each once per row, field and type."""
-    fixed = safe_fixes(spans, rows).withColumn("span", F.coalesce("fixed", "span")).drop("fixed")
-    bad = non_verbatim(fixed, rows).select(*KEY, "pos")
-    return fixed.join(bad, [*KEY, "pos"], "left_anti").groupBy(*KEY).agg(F.min("pos").alias("pos"))
+    """Spans as they are stored: safe fixes, then verbatim ones only, then each once per row, field and type. Rows without text keep theirs."""
+    return stored_spans(spans, rows).where("there").groupBy(*KEY).agg(F.min("pos").alias("pos"))
+
+
+def stored_spans(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """Spans after the safe fixes, and there: whether the row's text holds them."""
+    fixed = safe_fixes(spans, rows, keep_text=True).withColumn("span", F.coalesce("fixed", "span"))
+    return fixed.withColumn("there", F.col("input").isNull() | F.contains("input", "span")).drop("fixed", "input")
+
+
+def write_time_counts(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per task what write_time() sees and strips, and the stubs that its missing rows get."""
+    per = stored_spans(spans, rows).groupBy("task_id").agg(F.count("*").alias("n_total"), F.count_if(~F.col("there")).alias("n_stripped"))
+    stubs = missing_row_stubs(rows, spans).groupBy("task_id").agg(F.count("*").alias("n_stubs"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return per.join(stubs, "task_id", "full_outer").select("task_id", zero("n_total"), zero("n_stripped"), zero("n_stubs"))
 
 
 def rules_cleanup(spans: DataFrame, type_name: str, verbs: str) -> DataFrame:
@@ -85,11 +146,16 @@ def rules_cleanup(spans: DataFrame, type_name: str, verbs: str) -> DataFrame:
 def recoverable_tasks(spans: DataFrame, rows: DataFrame, tasks: DataFrame, status: str = "human_review") -> DataFrame:
     """Tasks of a status that have no defect left once the safe fixes are in, with the number of changed spans."""
     own = tasks.where(F.col("status") == status).select("task_id")
-    fixes = safe_fixes(spans.join(own, "task_id", "left_semi"), rows)
-    fixed = fixes.withColumn("span", F.coalesce("fixed", "span")).drop("fixed")
-    left = non_verbatim(fixed, rows).select("task_id").union(type_collisions(fixed).select("task_id")).union(trailing_punctuation(fixed, rows).select("task_id")).distinct()
-    changed = fixes.groupBy("task_id").agg(F.count_if(F.col("fixed").isNotNull() & (F.col("fixed") != F.col("span"))).alias("n_changed"))
-    return changed.join(left, "task_id", "left_anti")
+    fixes = safe_fixes(spans.join(own, "task_id", "left_semi"), rows, keep_text=True).withColumn("changed", F.col("fixed").isNotNull() & (F.col("fixed") != F.col("span")))
+    fixed = fixes.withColumn("span", F.coalesce("fixed", "span"))
+    trimmed = without_trailing(F.col("span"))
+    absent = F.col("input").isNotNull() & ~F.contains("input", "span")
+    trailing = F.coalesce((trimmed != F.col("span")) & (trimmed != "") & F.contains("input", trimmed), F.lit(False))
+    entity = F.when(F.col("field") == "entities", F.col("type"))
+    collides = F.min(entity).over(Window.partitionBy(*ROW, "span")) != F.max(entity).over(Window.partitionBy(*ROW, "span"))
+    marked = fixed.withColumn("bad", absent | trailing | F.coalesce(collides, F.lit(False)))
+    per = marked.groupBy("task_id").agg(F.count_if("changed").alias("n_changed"), F.bool_or("bad").alias("bad"))
+    return per.where("not bad").select("task_id", "n_changed")
 
 
 def with_row_ids(output: DataFrame, rows: DataFrame) -> DataFrame:

@@ -14,6 +14,10 @@ from spanloom.operators.graph import connected_components, written
 
 #: Keys of a bucket that meet under one join key, about.
 BLOCK = 1024
+#: Sets that hold an item, up to which all pairs of them may meet; more frequent items ask for sizes that fit as well.
+RARE = 64
+#: Set sizes up to which each size is a class of its own; beyond, classes grow by STEP.
+SMALL, STEP = 8, 1.25
 
 
 def row_key() -> Column:
@@ -22,20 +26,25 @@ def row_key() -> Column:
 
 
 def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
-    """key, items: the sorted distinct n-grams of each text (key, text); texts without tokens are left out."""
-    return texts.select("key", F.array_sort(shingles(F.col("text"), n)).alias("items")).where(F.size("items") > 0)
+    """key, items: the sorted distinct n-grams of each text (key, text), as 64-bit hashes; texts without tokens are left out."""
+    return texts.select("key", F.array_sort(F.array_distinct(F.transform(shingles(F.col("text"), n), lambda x: F.xxhash64(x)))).alias("items")).where(F.size("items") > 0)
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """key, rep: each text with the least key of those whose sets are equal."""
-    low = sets.groupBy("items").agg(F.min("key").alias("rep"))
-    return sets.join(low, "items").select("key", "rep")
+def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets as (uid, key, items), key the least of those with the set, and members as (key, rep), rep that least key. Sets are
+    told apart by their size and 128 bits of hash."""
+    hashed = written(sets.select("key", "items", F.size("items").alias("size"), F.xxhash64("items").alias("h1"), F.xxhash64(F.lit(1), "items").alias("h2")))
+    same = ["size", "h1", "h2"]
+    low = hashed.groupBy(*same).agg(F.min("key").alias("rep"))
+    members = written(hashed.select("key", *same).join(low, same).select("key", "rep"))
+    own = hashed.join(members.where("key = rep").select("key"), "key").select("key", "items")
+    return written(own.withColumn("uid", F.monotonically_increasing_id())), members
 
 
 def minhash(sets: DataFrame, permutations: int = 64) -> DataFrame:
     """key, signature array<long>: for each permutation the least hash of the set's items."""
     item = lambda i: F.aggregate("items", F.lit(2**63 - 1), lambda a, x: F.least(a, F.xxhash64(x, F.lit(i))))
-    return sets.select("key", F.array(*(item(i) for i in range(permutations))).alias("signature"))
+    return sets.select(*(c for c in sets.columns if c != "items"), F.array(*(item(i) for i in range(permutations))).alias("signature"))
 
 
 def lsh_candidates(signatures: DataFrame, band: int = 4) -> DataFrame:
@@ -56,52 +65,150 @@ def lsh_candidates(signatures: DataFrame, band: int = 4) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def prefix_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that may reach the Jaccard threshold, none missed: two sets that do share an item among the rarest
-    n - ceil(threshold * n) + 1 of each, so frequent items are never joined unless a set holds little else."""
-    items = sets.select("key", F.size("items").alias("size"), F.explode("items").alias("item"))
+def size_class(n: Column) -> Column:
+    return F.when(n <= SMALL, n).otherwise(SMALL + F.floor(F.log(n / SMALL) / np.log(STEP))).cast("int")
+
+
+def least_size(c: Column) -> Column:
+    """No set of size class c is smaller."""
+    return F.when(c <= SMALL, c).otherwise(F.floor(SMALL * F.pow(F.lit(STEP), c - SMALL))).cast("int")
+
+
+def prefix_entries(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What sets (uid, items) must share to reach a Jaccard threshold: rare (item, uid), and hot (item, low, high, own, uid).
+
+    Two sets of sizes m and n reach it only with ceil(t / (1 + t) * (m + n)) common items, so they share one among the m - that + 1 rarest of the one
+    and the n - that + 1 rarest of the other. If that item stands in RARE sets or fewer, both have a rare entry of it. If not, both have a
+    hot entry of it under the pair of their size classes, low and high, which is made only of as many items as the least sizes of these
+    classes ask for: a frequent item on which sets differ in all else has no entry at all.
+    """
+    ratio = threshold / (1 + threshold)
+    items = sets.select("uid", F.size("items").alias("m"), F.explode("items").alias("item"))
     frequency = items.groupBy("item").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "item"))
-    rare = items.join(frequency.where("df > 1"), "item").withColumn("rank", rank)
-    alone = F.col("size") - F.count("*").over(Window.partitionBy("key"))  # items no other set holds come before all others
-    prefix = rare.withColumn("alone", alone).where(F.col("rank") + F.col("alone") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
-    one = prefix.select("item", F.col("key").alias("a"), F.col("size").alias("m"))
-    two = prefix.select("item", F.col("key").alias("b"), F.col("size").alias("n"))
-    return one.join(two, "item").where("a < b").where((F.col("m") >= threshold * F.col("n") - 1e-9) & (F.col("n") >= threshold * F.col("m") - 1e-9)).select("a", "b").distinct()
+    shared = items.join(frequency.where("df > 1"), "item")
+    alone = F.col("m") - F.count("*").over(Window.partitionBy("uid"))  # items of one set come before all others
+    place = F.row_number().over(Window.partitionBy("uid").orderBy("df", "item"))
+    longest = lambda least: F.col("m") - F.greatest(F.ceil(ratio * (F.col("m") + least) - 1e-9), F.lit(1)) + 1
+    least = F.ceil(F.col("m") * threshold - 1e-9)
+    ranked = shared.select("uid", "m", "item", "df", (place + alone).alias("place")).where(F.col("place") <= longest(least))
+    ranked = written(ranked)
+    own = size_class(F.col("m"))
+    partners = F.sequence(size_class(F.greatest(least, F.lit(1))), size_class(F.floor(F.col("m") / threshold + 1e-9)))
+    hot = ranked.where(F.col("df") > RARE).select("uid", "m", "item", "place", own.alias("own"), F.explode(partners).alias("other"))
+    hot = hot.where(F.col("place") <= longest(F.greatest(least_size(F.col("other")), least)))
+    return ranked.where(F.col("df") <= RARE).select("item", "uid"), hot.select("item", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid")
+
+
+def rare_pairs(rare: DataFrame) -> DataFrame:
+    """All pairs (a, b) of an item, of which no item gives more than RARE for each set."""
+    one, two = rare.select("item", F.col("uid").alias("a")), rare.select("item", F.col("uid").alias("b"))
+    return one.join(two, "item").where("a < b").select("a", "b")
+
+
+GROUP = ["item", "low", "high"]
+
+
+def blocked_pairs(entries: DataFrame, sizes: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of entries x and y of a group that meet the condition. sizes: the groups with blocks, how many to cut each into: entries meet
+    block by block, so that no join key holds a whole group."""
+    cut = entries.join(sizes, GROUP).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    x = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = cut.withColumn("at", F.col("block")).alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*GROUP, "at")]
+    pairs = x.join(y, [*on, condition]).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+    return pairs.where("a <> b")
+
+
+def roles() -> Column:
+    """Entries of different size classes meet across classes only."""
+    return (F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own"))
+
+
+def exact_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of uids that may reach the threshold, none missed."""
+    rare, hot = prefix_entries(sets, threshold)
+    hot = written(hot)
+    sizes = hot.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(*GROUP, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    once = ((F.col("x.low") == F.col("x.high")) & (F.col("x.uid") < F.col("y.uid"))) | (F.col("x.own") < F.col("y.own"))
+    return rare_pairs(rare).unionByName(blocked_pairs(hot, sizes, once)).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with similarity, the exact Jaccard of their sets, at the threshold or above."""
-    one, two = sets.select(F.col("key").alias("a"), F.col("items").alias("x")), sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
-    return joined.where(F.col("similarity") >= threshold)
+    """Pairs (a, b) of uids with similarity, the exact Jaccard index of their sets, at the threshold or above."""
+    one, two = sets.select(F.col("uid").alias("a"), F.col("items").alias("x")), sets.select(F.col("uid").alias("b"), F.col("items").alias("y"))
+    fits = pairs.join(one, "a").join(two, "b").where((F.size("x") >= threshold * F.size("y") - 1e-9) & (F.size("y") >= threshold * F.size("x") - 1e-9))
+    return fits.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both / (F.size(x) + F.size(y) - both)
 
 
 def near_duplicate_edges(texts: DataFrame, n: int, threshold: float, mode: str = "exact") -> DataFrame:
     """a, b, similarity between texts of distinct sets, each set once, by its least key. mode 'exact' misses none, 'lsh' few."""
-    sets = written(shingle_sets(texts, n).groupBy("items").agg(F.min("key").alias("key")))
-    pairs = prefix_candidates(sets, threshold) if mode == "exact" else lsh_candidates(minhash(sets))
-    return verified(pairs, sets, threshold)
+    sets, _ = distinct_sets(shingle_sets(texts, n))
+    if mode == "exact":
+        pairs = exact_candidates(sets, threshold)
+    else:
+        ids = sets.select("key", "uid")
+        pairs = lsh_candidates(minhash(sets.select("key", "items")))
+        pairs = pairs.join(ids.withColumnsRenamed({"key": "a", "uid": "u"}), "a").join(ids.withColumnsRenamed({"key": "b", "uid": "v"}), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    found, names = verified(pairs, sets, threshold), sets.select("key", "uid")
+    named = found.join(names.withColumnsRenamed({"key": "x", "uid": "a"}), "a").join(names.withColumnsRenamed({"key": "y", "uid": "b"}), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def components(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, root: components of the sets (uids) under similarities at the threshold or above, exact; sets without such a neighbour are left out.
+
+    A group of hot entries is linked to its heads, the least uid of each side, first. Groups that are then still of several components
+    compare what lies outside of their largest one with all of the group: in proportion to the group, times those outside.
+    """
+    rare, hot = prefix_entries(sets, threshold)
+    hot = written(hot)
+    heads = hot.groupBy(*GROUP, "own").agg(F.min("uid").alias("head")).withColumnRenamed("own", "side")
+    star = hot.join(heads, GROUP).where(((F.col("low") == F.col("high")) | (F.col("own") != F.col("side"))) & (F.col("uid") != F.col("head"))).select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b"))
+    links = written(verified(rare_pairs(rare).unionByName(star).distinct(), sets, threshold).select("a", "b"))
+    labels = connected_components(links)
+    marked = written(hot.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("root", "uid")).drop("root"))
+    parts = marked.groupBy(*GROUP, "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy(*GROUP).agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where("labels > 1")
+    mixed = written(mixed.select(*GROUP, F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks")))
+    if mixed.isEmpty():
+        return labels
+    own = marked.join(mixed, GROUP)
+    rest = own.where("label <> top").withColumn("at", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).alias("x")
+    every = own.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*GROUP, "at")]
+    extra = rest.join(every, [*on, F.col("x.label") != F.col("y.label"), roles()]).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
+    more = verified(extra, sets, threshold).select("a", "b")
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | None = None, mode: str = "exact") -> DataFrame:
     """key, rep, similarity: members of clusters of two or more. Texts that edges or equal sets connect form a component; its
     representative is the least key that isn't excluded, else the least; members keep to it by their own similarity."""
-    sets = written(shingle_sets(texts, n))
-    same = classes(sets)
-    edges = near_duplicate_edges(texts, n, threshold, mode).select("a", "b").unionByName(same.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b")))
-    labels = connected_components(edges)
+    sets, same = distinct_sets(shingle_sets(texts, n))
+    if mode == "exact":
+        roots = components(sets, threshold)
+    else:
+        named = sets.select("key", "uid")
+        edges = near_duplicate_edges(texts, n, threshold, mode)
+        roots = connected_components(edges.join(named.withColumnsRenamed({"key": "a", "uid": "u"}), "a").join(named.withColumnsRenamed({"key": "b", "uid": "v"}), "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    own = sets.select("uid", F.col("key").alias("first")).join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("first", "uid", F.coalesce("root", "uid").alias("root"))
+    labels = same.withColumnRenamed("rep", "first").join(own, "first").select("key", "uid", "root")
     if excluded is not None:
-        labels = labels.join(excluded.select(F.col("key").alias("node"), F.lit(True).alias("out")), "node", "left")
+        labels = labels.join(excluded.select("key", F.lit(True).alias("out")), "key", "left")
     else:
         labels = labels.withColumn("out", F.lit(None).cast("boolean"))
-    reps = labels.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("out").isNull(), F.col("node"))), F.min("node")).alias("rep"))
-    members = labels.join(reps, "root").select(F.col("node").alias("key"), "rep")
-    one, two = sets.select("key", F.col("items").alias("x")), sets.select(F.col("key").alias("rep"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = members.join(one, "key").join(two, "rep").select("key", "rep", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
-    kept = scored.where(F.col("similarity") >= threshold)
+    labels = written(labels)
+    best = labels.groupBy("root").agg(F.count("*").alias("n"), F.min(F.when(F.col("out").isNull(), F.struct("key", "uid"))).alias("free"), F.min(F.struct("key", "uid")).alias("any")).where("n > 1")
+    reps = best.select("root", F.coalesce("free", "any").alias("r")).select("root", F.col("r.key").alias("rep"), F.col("r.uid").alias("rep_uid"))
+    members = labels.join(reps, "root").select("key", "uid", "rep", "rep_uid")
+    one, two = sets.select("uid", F.col("items").alias("x")), sets.select(F.col("uid").alias("rep_uid"), F.col("items").alias("y"))
+    pairs = members.select("uid", "rep_uid").distinct().join(one, "uid").join(two, "rep_uid").select("uid", "rep_uid", jaccard(F.col("x"), F.col("y")).alias("similarity"))
+    kept = written(members.join(pairs.where(F.col("similarity") >= threshold), ["uid", "rep_uid"]).select("key", "rep", "similarity"))
     return kept.join(kept.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1"), "rep").select("key", "rep", "similarity", "size")
 
 
@@ -126,6 +233,62 @@ def mask_duplicates(members: DataFrame, masked: DataFrame) -> DataFrame:
     return rejects(members).join(masked.select("key"), "key", "left_anti").select("key", F.concat(F.lit("near-duplicate of "), "rep").alias("reason"))
 
 
+def mean_pairwise_jaccard(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Per cluster (rep) its size and mean pairwise similarity, estimated as the share of equal signature places; 1 for a single member.
+
+    Pairs with equal values are counted by place and value, so that the work grows with the members and not with their pairs.
+    """
+    own = members.select("key", "rep").join(signatures, "key")
+    places = own.select("rep", F.posexplode("signature").alias("at", "value")).groupBy("rep", "at", "value").agg(F.count("*").alias("n"))
+    equal = places.groupBy("rep").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("equal"), F.countDistinct("at").alias("places"))
+    sizes = own.groupBy("rep").agg(F.count("*").alias("size"))
+    mean = F.when(F.col("size") > 1, F.col("equal") / (F.col("places") * F.col("size") * (F.col("size") - 1))).otherwise(1.0)
+    return sizes.join(equal, "rep").select("rep", "size", mean.alias("mean_similarity"))
+
+
+def mean_pairwise_cosine(vectors: DataFrame, cluster_col: str, vector_col: str = "embedding") -> DataFrame:
+    """Per cluster its size and mean pairwise cosine; 1 for a single member. The sum over all pairs is the squared length of the sum of unit
+    vectors, less the members, so that no pair is formed. Null vectors and those of length 0 don't count."""
+    length = F.sqrt(F.aggregate(vector_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    good = vectors.select(F.col(cluster_col).alias("cluster"), F.col(vector_col).alias("v"), length.alias("length")).where("length > 0")
+    sums = good.select("cluster", F.posexplode(F.transform("v", lambda x: x.cast("double"))).alias("at", "x"), "length").groupBy("cluster", "at").agg(F.sum(F.col("x") / F.col("length")).alias("s"))
+    whole = sums.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    sizes = good.groupBy("cluster").agg(F.count("*").alias("size"))
+    n = F.col("size")
+    return sizes.join(whole, "cluster").select("cluster", "size", F.when(n > 1, (F.col("square") - n) / (n * (n - 1))).otherwise(1.0).alias("mean_cosine"))
+
+
+def largest_clusters(members: DataFrame, limit: int) -> DataFrame:
+    """The largest clusters first, by size and then representative: place, rep, size."""
+    top = members.groupBy("rep").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "rep").limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "rep")))  # limit rows
+
+
+def masked_since(members: DataFrame, masks: DataFrame) -> DataFrame:
+    """Members of a stored report that masks (key) have covered since: they are shown, but no longer counted."""
+    return members.join(masks.select("key"), "key", "left_semi").groupBy("rep").agg(F.count("*").alias("n_masked"))
+
+
+def diverse_examples(texts: DataFrame, group: list[str], k: int = 3) -> DataFrame:
+    """Up to k texts of each group (group columns, text) that are far from each other: rank 1 is the least text, each further one that whose
+    greatest similarity to those chosen is least, ties to the smaller text.
+
+    Each round picks one text of every group by a grouped minimum and joins it back, so that no task holds a group.
+    """
+    rest = written(texts.select(*group, "text").distinct().select(*group, "text", shingles(F.col("text"), 3).alias("items")).withColumn("near", F.lit(0.0)))
+    out = None
+    for rank in range(1, k + 1):
+        best = rest.groupBy(*group).agg(F.min(F.struct("near", "text")).alias("p")).select(*group, F.col("p.text").alias("chosen"))
+        best = written(rest.join(best, group).where(F.col("text") == F.col("chosen")).select(*group, "chosen", F.col("items").alias("own")))
+        one = best.select(*group, F.lit(rank).alias("rank"), F.col("chosen").alias("text"))
+        out = one if out is None else out.unionByName(one)
+        if rank < k:
+            union = F.size(F.array_union("items", "own"))
+            similar = F.when(union > 0, F.size(F.array_intersect("items", "own")) / union).otherwise(0.0)
+            rest = written(rest.join(best, group).where(F.col("text") != F.col("chosen")).select(*group, "text", "items", F.greatest(F.col("near"), similar).alias("near")))
+    return out
+
+
 def slider(report: DataFrame, least: float) -> DataFrame:
     """Members whose similarity per ln(words / 10 + e) reaches the slider, with their representative; clusters below two go."""
     weighed = report.withColumn("value", F.col("similarity") / F.log(F.col("n_words") / 10 + F.exp(F.lit(1.0))))
@@ -170,6 +333,44 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, threshold: float, bloc
     return out.select("query", F.col("id").alias(id_col), "cosine")
 
 
+def cosine_clusters(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """key, rep, cosine, size: components of the vectors under cosines at the threshold or above; the representative is the least id, and
+    members keep to it by their own cosine. Exact: all vectors are searched, a block of queries at a time."""
+    edges = cosine_search(vectors, vectors, threshold, block, id_col, vector_col).select(F.col("query").alias("a"), F.col(id_col).alias("b"), "cosine")
+    edges = written(edges.where("a < b"))
+    labels = connected_components(edges.select("a", "b"))
+    kept = labels.where("node <> root").join(edges.select(F.col("a").alias("root"), F.col("b").alias("node"), "cosine"), ["node", "root"])
+    reps = kept.select(F.col("root").alias("node"), "root", F.lit(1.0).alias("cosine")).distinct()
+    members = kept.select("node", "root", "cosine").unionByName(reps)
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    return members.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("rep"), "cosine", "size")
+
+
+def embedding_map(vectors: DataFrame, radius: float, least: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, x, y and cluster: the two principal components of each vector, and the least id of its density cluster, null for noise.
+
+    Cells of half the radius hold the points; those with at least `least` points in their cell and its neighbours are dense, and dense cells
+    that touch make a cluster. Work follows the number of cells and not the pairs of points.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    own = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector_col, lambda x: x.cast("double"))).alias("v"))
+    at = vector_to_array(F.col("p"))
+    points = PCA(k=2, inputCol="v", outputCol="p").fit(own).transform(own).select("id", at[0].alias("x"), at[1].alias("y"))
+    cell = radius / 2
+    points = written(points.withColumn("i", F.floor(F.col("x") / cell)).withColumn("j", F.floor(F.col("y") / cell)))
+    cells = points.groupBy("i", "j").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    spread = cells.select("i", "j", "n", "first", F.explode(steps).alias("s")).select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), "n", "first")
+    dense = cells.join(spread.groupBy("i", "j").agg(F.sum("n").alias("around")), ["i", "j"]).where(F.col("around") >= least).select("i", "j", F.col("first").alias("own"))
+    dense = written(dense)
+    touching = dense.join(spread.select("i", "j", F.col("first").alias("near")), ["i", "j"]).join(dense.select(F.col("own").alias("near")), "near", "left_semi")
+    labels = connected_components(touching.select(F.col("own").alias("a"), F.col("near").alias("b")))
+    marked = dense.join(labels.withColumnRenamed("node", "own"), "own", "left").select("i", "j", F.coalesce("root", "own").alias("cluster"))
+    return points.join(marked, ["i", "j"], "left").select(F.col("id").alias(id_col), "x", "y", "cluster")
+
+
 def unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)

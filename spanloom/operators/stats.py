@@ -178,3 +178,12 @@ def knowledge_fingerprint(statistics: DataFrame, conventions: DataFrame) -> Data
     one = statistics.agg(F.count("*").alias("n_statistics"), F.countDistinct("span_lower").alias("n_spans"), F.sum("n").alias("n_total"))
     two = conventions.agg(F.count("*").alias("n_conventions"), F.count_if(F.col("status") == "active").alias("n_active"))
     return one.crossJoin(two)  # one row each
+
+
+def table_states(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Per table (frame and time column) its rows and latest time: what a reader compares to see whether it is up to date."""
+    out = None
+    for name, (frame, time_col) in tables.items():
+        one = frame.agg(F.count("*").alias("n"), F.max(time_col).alias("latest")).select(F.lit(name).alias("table_name"), "n", "latest")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import first_tokens, snippet
-from spanloom.operators import consensus, conventions, defects, parse, stats
+from spanloom.fixtures import one_of
+from spanloom.functions.text import first_tokens, snippet, without_thoughts
+from spanloom.operators import consensus, conventions, defects, parse, similarity, stats
 from spanloom.plans.oracle import Registry
 
 R = Registry()
@@ -25,7 +26,42 @@ add(
     lambda t: parse.last_readable_annotation(t.artifacts),
     "SELECT task_id, seq, kind FROM artifacts WHERE json_valid(payload) AND coalesce(try_cast(json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.rows') AS INT), 0) > 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1",
 )
-add("b04_span_items", lambda t: t.spans, "SELECT task_id, row_index, pos, field, type, span FROM spans")
+add(
+    "b01_model_text",
+    lambda t: t.rows.select("task_id", "row_index", without_thoughts(F.concat(F.lit("<think>"), "task_id", F.lit("\nso</think>\n```json\n"), "input", F.lit("\n```\n"))).alias("text")),
+    r"SELECT task_id, row_index, regexp_replace(input, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM src_rows",
+)
+PAYLOADS = ", wrapped AS (SELECT DISTINCT task_id, substr(md5(concat(task_id, '|wrap')), 1, 1) <> '6' AS ok FROM spans)\n"
+add(
+    "b02_parsed_annotations",
+    lambda t: parse.parse_annotations(t.payloads).select("task_id", "ok", F.when(F.col("ok"), F.size("parsed.rows")).otherwise(0).alias("n_rows")),
+    PAYLOADS + "SELECT task_id, ok, CASE WHEN ok THEN n ELSE 0 END::INT AS n_rows FROM wrapped JOIN (SELECT task_id, count(DISTINCT row_index) AS n FROM spans GROUP BY task_id) USING (task_id)",
+)
+add(
+    "b04_span_items",  # the payloads hold each span once, in order of text
+    lambda t: parse.explode_spans(parse.parse_annotations(t.payloads).where("ok")).select("task_id", "row_index", "field", "type", "pos", "span"),
+    PAYLOADS + "SELECT task_id, row_index, field, type, (row_number() OVER (PARTITION BY task_id, row_index, field, type ORDER BY span) - 1)::INT AS pos, span FROM (SELECT DISTINCT task_id, row_index, field, type, span FROM spans JOIN wrapped USING (task_id) WHERE ok)",
+)
+add(
+    "b08_row_inputs",
+    lambda t: parse.row_inputs(t.sources),
+    "SELECT task_id, CASE WHEN substr(md5(concat_ws('|', task_id, row_index::VARCHAR, 'i')), 1, 1) = '0' THEN row_index ELSE row_index + 100 END::INT AS row_index, arg_max(input, row_index) AS input FROM src_rows GROUP BY task_id, 2",
+)
+QC = """concat('{"category": "c', task_id, '", "severity": "error", "confidence": 0.5, "failures": [', case when attempt_no % 2 = 0 then '{"message": "one"}, {"severity": "warning", "message": "two"}' else '' end, ']}')"""
+add(
+    "b12_qc_feedback",
+    lambda t: parse.qc_feedback(t.feedback.select(F.col("feedback_id").alias("task_id"), "attempt_no").select("task_id", F.expr(QC).alias("decision"))),
+    """SELECT feedback_id AS task_id, k AS "at", concat('c', feedback_id) AS category, CASE WHEN even AND k = 1 THEN 'warning' ELSE 'error' END AS severity, CASE WHEN even THEN CASE k WHEN 0 THEN 'one' ELSE 'two' END END AS message, CASE WHEN k = 0 THEN 0.5::DOUBLE END AS confidence
+FROM (SELECT *, attempt_no % 2 = 0 AS even FROM feedback), (SELECT 0 AS k UNION ALL SELECT 1) WHERE even OR k = 0""",
+)
+REPLY = """concat('{"discussion_replies": [{"feedback_id": "', feedback_id, '", "message": "top"}], "rows": [{"row_index": 0}, {"row_index": 1, "discussion_replies": [{"feedback_id": "', feedback_id, '", "message": "row"}, {"feedback_id": "none", "message": "x"}, {"feedback_id": "', feedback_id, '", "message": " "}]}]}')"""
+add(
+    "b13_discussion_replies",
+    lambda t: parse.discussion_replies(parse.extracted_replies(t.feedback.select("task_id", F.expr(REPLY).alias("payload"))), t.feedback, t.feedback.where("attempt_no = 0").select("feedback_id", F.lit("top").alias("message"))),
+    "SELECT task_id, feedback_id, r.message FROM feedback, (SELECT 'top' AS message UNION ALL SELECT 'row') r WHERE NOT (attempt_no = 0 AND r.message = 'top')",
+)
+PHRASES = """concat('["', task_id, '", {"text": "', type, '", "start": 1}, {"start": 2}, ""]')"""
+add("b19_phrase_texts", lambda t: t.spans.select("task_id", "row_index", "pos", F.array_join(parse.phrase_text(F.expr(PHRASES)), "|").alias("phrases")), "SELECT task_id, row_index, pos, concat(task_id, '|', type) AS phrases FROM spans")
 add("b05_span_decisions", lambda t: parse.span_decisions(t.spans), "SELECT DISTINCT task_id, span, type FROM spans WHERE trim(span) <> ''")
 add(
     "b06_decisions_with_source",
@@ -83,6 +119,15 @@ add("c03_repeated_spans", lambda t: defects.repeated_spans(t.spans), REPEATED)
 add("c04_type_collisions", lambda t: defects.type_collisions(t.spans), COLLIDE)
 add("c05_misplaced_shared", lambda t: defects.misplaced_shared(t.spans, t.type_enum), SHARED)
 add("c06_missing_rows", lambda t: defects.missing_rows(t.rows, t.spans), MISSING)
+add(
+    "c07_schema_violations",
+    lambda t: defects.schema_violations(parse.parse_annotations(t.payloads), t.type_enum, 2),
+    PAYLOADS
+    + """, own AS (SELECT DISTINCT task_id, row_index, field, type, span FROM spans JOIN wrapped USING (task_id) WHERE ok)
+SELECT task_id, 'unreadable' AS rule, '' AS detail FROM wrapped WHERE NOT ok
+UNION ALL SELECT DISTINCT task_id, 'too_many', concat(field, '.', type) FROM (SELECT task_id, row_index, field, type FROM own GROUP BY ALL HAVING count(*) > 2)
+UNION ALL SELECT DISTINCT task_id, 'type', concat(field, '.', type) FROM own ANTI JOIN type_enum USING (field, type)""",
+)
 add(
     "c08_first_failure",
     lambda t: defects.first_failure(t.spans, t.rows, t.type_enum),
@@ -109,7 +154,7 @@ add("c14_nested_spans", lambda t: defects.nested_spans(t.spans), "SELECT DISTINC
 add(
     "c15_candidate_sentences",
     lambda t: defects.candidate_sentences(defects.non_verbatim(t.spans, t.rows).withColumn("span", F.regexp_replace("span", "X$", "")), t.rows, 2),
-    f"SELECT task_id, row_index, span, sentence, 1 AS score, row_number() OVER (PARTITION BY task_id, row_index, span ORDER BY length(sentence), sentence)::INT AS rank FROM (SELECT DISTINCT f.task_id, f.row_index, f.span, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(r.input, '[.!?。！？\\n]+'), lambda x: trim(x)), lambda x: x <> ''))) AS sentence FROM (SELECT task_id, row_index, regexp_replace(span, 'X$', '') AS span FROM ({NON_VERBATIM})) f JOIN src_rows r ON r.task_id = f.task_id AND r.row_index = f.row_index) WHERE instr(lower(sentence), lower(span)) > 0 QUALIFY rank <= 2",
+    f"SELECT task_id, row_index, span, sentence, score, row_number() OVER (PARTITION BY task_id, row_index, span ORDER BY score DESC, length(sentence), sentence)::INT AS rank FROM (SELECT *, len(list_filter(list_distinct(regexp_split_to_array(lower(span), '\\s+')), lambda w: w <> '' AND contains(lower(sentence), w)))::INT AS score FROM (SELECT DISTINCT f.task_id, f.row_index, f.span, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(r.input, '[.!?。！？\\n]+'), lambda x: trim(x)), lambda x: x <> ''))) AS sentence FROM (SELECT task_id, row_index, regexp_replace(span, 'X$', '') AS span FROM ({NON_VERBATIM})) f JOIN src_rows r ON r.task_id = f.task_id AND r.row_index = f.row_index)) WHERE score > 0 QUALIFY rank <= 2",
 )
 add(
     "c16_destinations",
@@ -247,6 +292,63 @@ add(
     lambda t: stats.knowledge_fingerprint(stats.entity_statistics(t.spans, t.tasks), agreed_conventions(t)),
     STATS + "SELECT * FROM (SELECT count(*) AS n_statistics, count(DISTINCT span_lower) AS n_spans, sum(n)::BIGINT AS n_total FROM statistics), (SELECT count(*) AS n_conventions, count(*) FILTER (status = 'active') AS n_active FROM conventions)",
 )
+add(
+    "e30_table_states",
+    lambda t: stats.table_states({"events": (t.audit_events, "ts"), "attempts": (t.attempts, "finished_at"), "rules": (t.rules_versions, "created_at")}).withColumn("latest", F.col("latest").cast("timestamp_ntz")),
+    "SELECT 'events' AS table_name, count(*) AS n, max(ts) AS latest FROM audit_events UNION ALL SELECT 'attempts', count(*), max(finished_at) FROM attempts UNION ALL SELECT 'rules', count(*), max(created_at) FROM rules_versions",
+)
+#: Tasks that an arbiter touched, and the prelabels: the first draft.
+TOUCHED = one_of("0123", "concat(task_id, '|arb')")
+BACKFILL = f""", eff AS (SELECT task_id, kind, json_valid(payload) AS usable FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1),
+scanned AS (SELECT task_id, kind, usable, {TOUCHED} AS touched FROM tasks LEFT JOIN eff USING (task_id) WHERE status = 'accepted'),
+able AS (SELECT task_id, kind FROM scanned WHERE NOT touched AND usable),
+fin AS (SELECT task_id, row_index, lower(span) AS span_lower, type, pos FROM spans SEMI JOIN able USING (task_id) WHERE field = 'entities' QUALIFY row_number() OVER (PARTITION BY task_id, row_index, lower(span) ORDER BY pos) = 1),
+pre AS (SELECT task_id, row_index, lower(span) AS span_lower, min(type) AS old_type FROM drafts WHERE draft = 1 AND field = 'entities' GROUP BY ALL),
+diff AS (SELECT * FROM fin LEFT JOIN pre USING (task_id, row_index, span_lower) WHERE old_type IS NULL OR old_type <> type QUALIFY row_number() OVER (PARTITION BY task_id, span_lower ORDER BY row_index, pos) = 1),
+filled AS (SELECT span_lower, row_number() OVER (PARTITION BY span_lower ORDER BY task_id)::INT AS seq, type, task_id, CASE kind WHEN 'human_review_answer' THEN 'hr_correction' ELSE 'qc_consensus' END AS source FROM diff JOIN able USING (task_id))
+"""
+
+
+def backfilled(t):
+    pre = t.drafts.where("draft = 1").groupBy("task_id", "row_index", "field", "span").agg(F.min("type").alias("type")).withColumn("pos", F.lit(0))
+    return conventions.backfill_proposals(t.spans, pre.groupBy("task_id", "row_index", "field", F.lower("span").alias("span")).agg(F.min("type").alias("type")).withColumn("pos", F.lit(0)), t.tasks, parse.effective_annotation(t.artifacts), t.tasks.where(TOUCHED).select("task_id"))
+
+
+add("e32_backfill_proposals", backfilled, BACKFILL + "SELECT * FROM filled")
+add(
+    "e32_convention_backfill",
+    lambda t: conventions.from_proposals(backfilled(t)),
+    BACKFILL + "SELECT span_lower, first(type ORDER BY seq) AS type, CASE WHEN count(DISTINCT type) = 1 THEN 'active' ELSE 'disputed' END AS status, first(source ORDER BY seq) AS source, count(*) AS evidence, count(DISTINCT task_id) AS n_tasks, false AS locked FROM filled GROUP BY span_lower",
+)
+add(
+    "e32_backfill_counts",
+    lambda t: conventions.backfill_counts(t.tasks, parse.effective_annotation(t.artifacts), t.tasks.where(TOUCHED).select("task_id")),
+    BACKFILL + "SELECT count(*) AS n_scanned, count(*) FILTER (touched) AS n_touched, count(*) FILTER (NOT touched AND kind IS NULL) AS n_missing, count(*) FILTER (NOT touched AND kind IS NOT NULL AND NOT usable) AS n_unreadable FROM scanned",
+)
+
+
+def shown_proposals(t):
+    """Proposals with the head of the row in which their task first says so."""
+    heads = t.spans.join(t.rows, ["task_id", "row_index"]).groupBy(F.lower("span").alias("span_lower"), "type", "task_id").agg(F.min_by(F.substring("input", 1, 80), F.struct("row_index", "pos")).alias("context"))
+    return t.proposals.join(heads, ["span_lower", "type", "task_id"])
+
+
+DIVERSE = """, shown AS (SELECT p.*, context FROM proposals p JOIN (SELECT lower(span) AS span_lower, type, s.task_id, substr(input, 1, 80) AS context FROM spans s JOIN src_rows r ON r.task_id = s.task_id AND r.row_index = s.row_index QUALIFY row_number() OVER (PARTITION BY lower(span), type, s.task_id ORDER BY s.row_index, pos) = 1) h USING (span_lower, type, task_id)),
+texts AS (SELECT DISTINCT span_lower, type, concat('[', task_id, '] ', context) AS text FROM shown WHERE trim(context) <> ''),
+grams AS (SELECT *, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS items FROM (SELECT *, regexp_extract_all(lower(text), '\\S+') AS w FROM texts)),
+p1 AS (SELECT * FROM grams QUALIFY row_number() OVER (PARTITION BY span_lower, type ORDER BY text) = 1),
+s1 AS (SELECT g.*, coalesce(len(list_intersect(g.items, p.items)) / nullif(len(list_distinct(list_concat(g.items, p.items))), 0), 0.0) AS near FROM grams g JOIN p1 p USING (span_lower, type) WHERE g.text <> p.text),
+p2 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY span_lower, type ORDER BY near, text) = 1),
+s2 AS (SELECT g.span_lower, g.type, g.text, greatest(g.near, coalesce(len(list_intersect(g.items, p.items)) / nullif(len(list_distinct(list_concat(g.items, p.items))), 0), 0.0)) AS near FROM s1 g JOIN p2 p USING (span_lower, type) WHERE g.text <> p.text),
+p3 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY span_lower, type ORDER BY near, text) = 1),
+picked AS (SELECT span_lower, type, 1 AS rank, text FROM p1 UNION ALL SELECT span_lower, type, 2, text FROM p2 UNION ALL SELECT span_lower, type, 3, text FROM p3)
+"""
+add("f16_diverse_examples", lambda t: similarity.diverse_examples(shown_proposals(t).where(F.trim("context") != "").select("span_lower", "type", F.concat(F.lit("["), "task_id", F.lit("] "), "context").alias("text")), ["span_lower", "type"]), DIVERSE + "SELECT * FROM picked")
+add(
+    "e23_past_experience",
+    lambda t: conventions.past_experience(agreed_conventions(t), shown_proposals(t), stats.frequency_scores(t.spans, stats.zipf_table(t.rows))),
+    STATS + ZIPF + DIVERSE + "SELECT span_lower, s.type, s.n, coalesce(examples, '') AS examples, coalesce(status, 'none') AS status, c.type AS convention, coalesce(evidence, 0) AS evidence, round(coalesce(score, 0), 3) AS zipf, coalesce(score, 0) >= 5 AND coalesce(evidence, 0) < 5 AS generic_word FROM (SELECT span_lower, type, count(*) AS n FROM shown GROUP BY ALL) s LEFT JOIN (SELECT span_lower, type, string_agg(text, ' | ' ORDER BY rank) AS examples FROM picked GROUP BY ALL) e USING (span_lower, type) LEFT JOIN conventions c USING (span_lower) LEFT JOIN scored USING (span_lower)",
+)
 add(
     "e31_policy_drift",
     lambda t: conventions.policy_drift(accepted_decisions(t), agreed_conventions(t)),
@@ -267,6 +369,11 @@ add(
 )
 add("g04_quorum_errors", lambda t: consensus.quorum_errors(t.drafts, t.tasks, 3), "SELECT task_id, coalesce(n, 0) AS n_drafts FROM tasks LEFT JOIN (SELECT task_id, count(DISTINCT draft) AS n FROM drafts GROUP BY task_id) USING (task_id) WHERE coalesce(n, 0) < 3")
 SAMPLE = ", sample AS (SELECT task_id FROM tasks WHERE status = 'accepted' ORDER BY md5(concat('0|', task_id)), task_id LIMIT 60), lines AS (SELECT task_id, row_index, row_number() OVER (ORDER BY task_id, row_index)::INT AS line FROM src_rows SEMI JOIN sample USING (task_id)), chunks AS (SELECT *, ((line - 1) // 30)::INT AS chunk FROM lines)\n"
+add(
+    "t07_ratio_sample",
+    lambda t: consensus.task_sample(t.tasks, ratio=0.13),
+    "SELECT task_id FROM (SELECT task_id, row_number() OVER (ORDER BY md5(concat('0|', task_id)), task_id) AS k, count(*) OVER () AS n FROM tasks WHERE status = 'accepted') WHERE k <= greatest(1, ceil(round(n * 0.13, 6)))",
+)
 add("t07_task_sample", lambda t: consensus.task_sample(t.tasks, n=60), SAMPLE + "SELECT * FROM sample")
 add("g05_sampled_rows", lambda t: consensus.sampled_rows(consensus.task_sample(t.tasks, n=60), t.rows), SAMPLE + "SELECT * FROM chunks")
 add(
@@ -283,6 +390,43 @@ add(
     lambda t: consensus.majority_score(t.judge_failures, t.spans),
     MAJ + f", x AS (SELECT (SELECT count(*) FROM spans) AS n_spans, count(*) FILTER (fp_votes >= 2) AS fp, count(*) FILTER (fn_votes >= 2) AS fn, (SELECT sum(a)::BIGINT FROM (SELECT max(fp_delta) AS a FROM judge_failures GROUP BY id, span)) AS fp_any, (SELECT sum(b)::BIGINT FROM (SELECT max(fn_delta) AS b FROM judge_failures GROUP BY id, span)) AS fn_any FROM votes), y AS (SELECT *, greatest(n_spans - fp, 0) AS tp FROM x), z AS (SELECT n_spans, fp, fn, fp_any, fn_any, {SCORE.format(P, Q)} FROM y) SELECT *, precision >= 0.98 AND f1 >= 0.95 AS passed FROM z",
 )
+
+
+def strict(rows: list[dict]) -> list[dict]:
+    """A judge that flags spans ending in X as wrong, and can't take rows that name an error."""
+    if any("quoth" in (r["input"] or "").lower() for r in rows) or len(rows) == 29:
+        raise ValueError("no verdict")
+    return [{"id": r["id"], "span": s.split("=", 1)[1], "fp_delta": 1, "fn_delta": 0} for r in rows for s in r["spans"] if s.endswith("X")]
+
+
+add(
+    "g14_judged",
+    lambda t: consensus.judged(consensus.sampled_rows(consensus.task_sample(t.tasks, n=60), t.rows), t.rows, t.spans, strict, 2),
+    SAMPLE + """, own AS (SELECT c.chunk, concat(c.task_id, ':', c.row_index::VARCHAR) AS id, input FROM chunks c JOIN src_rows r ON r.task_id = c.task_id AND r.row_index = c.row_index),
+bad AS (SELECT chunk FROM own GROUP BY chunk HAVING count(*) = 29 OR bool_or(contains(lower(input), 'quoth'))),
+passes AS (SELECT 1 AS pass UNION ALL SELECT 2)
+SELECT pass, chunk, id, span, 1 AS fp_delta, 0 AS fn_delta, NULL::VARCHAR AS error FROM passes, own JOIN (SELECT concat(task_id, ':', row_index::VARCHAR) AS id, span FROM spans WHERE span LIKE '%X') s USING (id) ANTI JOIN bad USING (chunk)
+UNION ALL SELECT pass, chunk, NULL, NULL, NULL, NULL, 'ValueError: no verdict' FROM passes, bad""",
+)
+ANNOTATORS = "(VALUES ('a1', false, 'text', ['type1', 'type2', 'other']), ('a2', true, 'text', ['type1', 'other']), ('a3', true, 'text', ['type1', 'type2', 'type3', 'other', 'type4', 'type5'])) a(annotator_id, enabled, modality, types)"
+
+
+def wanted(t):
+    return t.spans.where("pos = 0 and row_index = 0").groupBy("task_id").agg(F.collect_set("type").alias("types")).withColumn("modality", F.lit("text"))
+
+
+add(
+    "g13_chosen_annotators",
+    lambda t: consensus.choose_annotator(wanted(t), t.spark.createDataFrame([("a1", False, ["text"], ["type1", "type2", "other"]), ("a2", True, ["text"], ["type1", "other"]), ("a3", True, ["text"], ["type1", "type2", "type3", "other", "type4", "type5"])], "annotator_id string, enabled boolean, modalities array<string>, types array<string>")),
+    f", w AS (SELECT task_id, list(DISTINCT type) AS types FROM spans WHERE pos = 0 AND row_index = 0 GROUP BY task_id) SELECT w.task_id, min(annotator_id) AS annotator_id FROM w LEFT JOIN {ANNOTATORS} ON enabled AND list_has_all(a.types, w.types) GROUP BY w.task_id",
+)
+OPINION = "CASE substr(md5(concat(task_id, span_lower, 'o')), 1, 1) WHEN '0' THEN NULL WHEN '1' THEN 'third' WHEN '2' THEN top_type WHEN '3' THEN top_type ELSE type END"
+DOUBT = "CASE substr(md5(concat(task_id, span_lower, 'c')), 1, 1) WHEN '0' THEN 0.2 ELSE 0.9 END"
+add(
+    "g15_second_opinions",
+    lambda t: consensus.second_opinions(checked(t).where("verdict = 'divergent'").select("task_id", F.col("span_lower").alias("span"), F.col("type").alias("first"), F.col("top_type").alias("prior"), F.expr(OPINION).alias("second"), F.expr(DOUBT).cast("double").alias("confidence"))),
+    STATS + f"SELECT *, CASE WHEN confidence < 0.5 OR second IS NULL THEN 'review' WHEN second = first THEN 'keep' WHEN second = prior THEN 'flip' ELSE 'review' END AS action FROM (SELECT task_id, span_lower AS span, type AS first, top_type AS prior, {OPINION} AS second, ({DOUBT})::DOUBLE AS confidence FROM checked WHERE verdict = 'divergent')",
+)
 GOLD = ", g AS (SELECT DISTINCT task_id, row_index, type, span, 1 AS g FROM spans), p AS (SELECT DISTINCT task_id, row_index, type, span, 1 AS p FROM drafts WHERE draft = 1), by_row AS (SELECT task_id, row_index, count(*) FILTER (g = 1 AND p = 1) AS tp, count(*) FILTER (p IS NULL) AS missing, count(*) FILTER (g IS NULL) AS extra FROM g FULL JOIN p USING (task_id, row_index, type, span) GROUP BY ALL)\n"
 add("g10_gold_by_row", lambda t: consensus.gold_by_row(t.spans, t.drafts.where("draft = 1")), GOLD + "SELECT * FROM by_row")
 add("g10_gold_score", lambda t: consensus.gold_score(t.spans, t.drafts.where("draft = 1")), GOLD + f", x AS (SELECT sum(tp)::BIGINT AS tp, sum(extra)::BIGINT AS fp, sum(missing)::BIGINT AS fn FROM by_row) SELECT *, {SCORE.format(P, Q)} FROM x")

@@ -17,7 +17,49 @@ EDGE = "regexp_replace(span, '^[[:punct:]\\s]+|[[:punct:]\\s]+$', '', 'g')"
 FIXED = f""", fixed AS (SELECT s.*, CASE WHEN instr(input, span) > 0 THEN CASE WHEN {TRIMMED} <> '' AND instr(input, {TRIMMED}) > 0 THEN {TRIMMED} ELSE span END WHEN {EDGE} <> '' AND instr(input, {EDGE}) > 0 THEN {EDGE} END AS fixed FROM {JOINED})
 """
 
-add("d01_aligned", lambda t: repair.aligned(t.spans, t.rows), f"SELECT s.*, CASE WHEN instr(input, span) > 0 THEN span WHEN {EDGE} <> '' AND instr(input, {EDGE}) > 0 THEN {EDGE} END AS fixed FROM {JOINED}")
+#: A pattern that matches a span's words, whatever white space parts them.
+LOOSE = r"regexp_replace(regexp_escape(trim(span)), '(\\?\s)+', '\\s+', 'g')"
+ALIGNED = f"CASE WHEN instr(input, span) > 0 THEN span WHEN {EDGE} <> '' AND instr(input, {EDGE}) > 0 THEN {EDGE} WHEN trim(span) <> '' AND regexp_matches(input, {LOOSE}) THEN regexp_extract(input, {LOOSE}) END"
+add("d01_aligned", lambda t: repair.aligned(t.spans, t.rows), f"SELECT s.*, {ALIGNED} AS fixed FROM {JOINED}")
+SQUEEZED = r"trim(regexp_replace(span, '\s+', ' ', 'g'))"
+
+
+def anywhere(value: str) -> str:
+    return f"CASE WHEN {value} = '' THEN NULL WHEN instr(input, {value}) > 0 THEN {value} WHEN instr(lower(input), lower({value})) > 0 THEN substr(input, instr(lower(input), lower({value})), length({value})) END"
+
+
+#: The longest common run: all runs of the span that are long enough, the longest and then the first in the text wins.
+RECOVERED = f""", quick AS (SELECT s.*, input, CASE WHEN span <> '' AND input <> '' THEN coalesce({anywhere("span")}, {anywhere("trim(span)")}, {anywhere(SQUEEZED)}) END AS q FROM {JOINED}),
+open_spans AS (SELECT DISTINCT span, input FROM quick WHERE q IS NULL AND span <> '' AND input <> ''),
+sized AS (SELECT span, input, unnest(range(greatest(4, floor(length(span) * 0.7))::BIGINT, length(span) + 1)) AS n FROM open_spans),
+pieces AS (SELECT span, input, n, substr(lower(span), i, n) AS run FROM (SELECT span, input, n, unnest(range(1, length(span) - n + 2)) AS i FROM sized)),
+best AS (SELECT span, input, n, instr(lower(input), run) AS place FROM pieces WHERE instr(lower(input), run) > 0 QUALIFY row_number() OVER (PARTITION BY span, input ORDER BY n DESC, place) = 1),
+recovered AS (SELECT k.* EXCLUDE (q), coalesce(q, substr(k.input, place, n)) AS fixed FROM quick k LEFT JOIN best b ON b.span = k.span AND b.input = k.input)
+"""
+add("d04_recovered", lambda t: repair.recovered(t.spans, t.rows), RECOVERED + "SELECT * EXCLUDE (input) FROM recovered")
+add(
+    "d05_autocleaned",
+    lambda t: repair.autocleaned(t.spans, t.rows),
+    RECOVERED + f""", now AS (SELECT task_id, row_index, field, type, pos, input, fixed AS span FROM recovered WHERE fixed IS NOT NULL), bare AS (SELECT task_id, row_index, field, type, pos, CASE WHEN {TRIMMED} <> '' AND instr(input, {TRIMMED}) > 0 THEN {TRIMMED} ELSE span END AS span FROM now)
+SELECT task_id, row_index, field, type, pos, span FROM (SELECT *, first_value(type) OVER (PARTITION BY task_id, row_index, field, span ORDER BY pos) AS first_type FROM bare) WHERE field <> 'entities' OR type = first_type""",
+)
+RENAMES, KNOWN = {"typea": "type1", "typeb": "type1"}, ["type1", "type2", "type6", "type7", "type8", "type9", "other"]
+PRELABELS = f""", renamed AS (SELECT task_id, row_index, field, CASE WHEN type IN ('typea', 'typeb') THEN 'type1' ELSE type END AS type, span, min(pos) AS pos FROM spans WHERE type IN ('typea', 'typeb', 'type1', 'type2', 'type6', 'type7', 'type8', 'type9', 'other') GROUP BY ALL),
+moved AS (SELECT task_id, row_index, CASE WHEN type IN (SELECT type FROM type_enum GROUP BY type HAVING count(DISTINCT field) = 2) THEN CASE WHEN instr(span, ' ') > 0 THEN 'json_structures' ELSE 'entities' END ELSE field END AS field, type, span, min(pos) AS pos FROM renamed GROUP BY ALL),
+whole AS (SELECT s.task_id, s.row_index, field, type, pos, {ALIGNED} AS fixed FROM moved s JOIN src_rows r ON r.task_id = s.task_id AND r.row_index = s.row_index),
+once AS (SELECT task_id, row_index, field, type, fixed AS span, min(pos) AS pos FROM whole WHERE fixed IS NOT NULL GROUP BY ALL)
+"""
+add(
+    "d12_prelabel_fixes",
+    lambda t: repair.prelabel_fixes(t.spans, t.rows, t.type_enum, RENAMES, KNOWN)[0],
+    PRELABELS + "SELECT task_id, row_index, field, type, span, pos FROM (SELECT *, first_value(type) OVER (PARTITION BY task_id, row_index, field, span ORDER BY pos, type) AS first_type FROM once) WHERE field <> 'entities' OR type = first_type",
+)
+add("d12_prelabel_stubs", lambda t: repair.prelabel_fixes(t.spans, t.rows, t.type_enum, RENAMES, KNOWN)[1].groupBy("task_id").agg(F.count("*").alias("n_stubs")), "SELECT task_id, count(*) AS n_stubs FROM src_rows ANTI JOIN spans USING (task_id, row_index) GROUP BY task_id")
+add(
+    "d13_row_ids",
+    lambda t: repair.with_row_ids(t.spans.select("task_id", "row_index").distinct(), t.rows.where("row_index % 3 > 0").select("task_id", "row_index", F.concat(F.lit("r"), F.col("row_index").cast("string")).alias("row_id"))),
+    "SELECT DISTINCT task_id, row_index, CASE WHEN row_index % 3 > 0 THEN concat('r', row_index::VARCHAR) ELSE concat('row-', row_index::VARCHAR) END AS row_id FROM spans",
+)
 add("d02_safe_fixes", lambda t: repair.safe_fixes(t.spans, t.rows), FIXED + "SELECT * FROM fixed")
 add(
     "d03_rerouted",
@@ -56,6 +98,11 @@ add(
     lambda t: repair.write_time(t.spans, t.rows),
     FIXED + ", now AS (SELECT f.task_id, f.row_index, f.pos, field, type, coalesce(fixed, span) AS span FROM fixed f) SELECT n.task_id, n.row_index, field, type, span, min(pos) AS pos FROM now n JOIN src_rows r ON r.task_id = n.task_id AND r.row_index = n.row_index WHERE instr(input, span) > 0 GROUP BY ALL",
 )
+add(
+    "d09_write_time_counts",
+    lambda t: repair.write_time_counts(t.spans, t.rows),
+    FIXED + ", now AS (SELECT f.task_id, f.row_index, coalesce(fixed, span) AS span FROM fixed f), n AS (SELECT n.task_id, count(*) AS n_total, count(*) FILTER (instr(input, span) = 0) AS n_stripped FROM now n JOIN src_rows r ON r.task_id = n.task_id AND r.row_index = n.row_index GROUP BY n.task_id), m AS (SELECT task_id, count(*) AS n_stubs FROM src_rows ANTI JOIN spans USING (task_id, row_index) GROUP BY task_id) SELECT task_id, coalesce(n_total, 0) AS n_total, coalesce(n_stripped, 0) AS n_stripped, coalesce(n_stubs, 0) AS n_stubs FROM n FULL JOIN m USING (task_id)",
+)
 add(
     "d10_rules_cleanup",
     lambda t: repair.rules_cleanup(t.spans, "typec", "(ed|ing)"),
@@ -85,7 +132,7 @@ def row_texts(t: Tables):
 
 
 def task_texts(t: Tables):
-    return parse.task_text(t.rows, t.row_masks.limit(0)).select(F.col("task_id").alias("key"), "text")
+    return parse.task_text(t.rows, t.row_masks).select(F.col("task_id").alias("key"), "text")
 
 
 def masked_keys(t: Tables):
@@ -100,6 +147,7 @@ def report(t: Tables):
     return similarity.dedup_report(row_clusters(t), row_texts(t), masked_keys(t))
 
 
+TASK_TEXTS = "SELECT task_id AS key, string_agg(input, chr(10) ORDER BY row_index) AS text FROM src_rows ANTI JOIN row_masks USING (task_id, row_index) GROUP BY task_id"
 KEY = "concat(task_id, ':', lpad(row_index::VARCHAR, 8, '0'))"
 
 
@@ -125,16 +173,16 @@ kept AS (SELECT *, count(*) OVER (PARTITION BY rep) AS size FROM scored WHERE si
 
 ROW_SETS = sets_sql(3, f"SELECT {KEY} AS key, input AS text FROM src_rows")
 ROW_CLUSTERS = ROW_SETS + edges_sql(0.5) + clusters_sql(0.5, f"SELECT {KEY} FROM row_masks")
-TASK_EDGES = sets_sql(5, "SELECT task_id AS key, string_agg(input, chr(10) ORDER BY row_index) AS text FROM src_rows GROUP BY task_id") + edges_sql(0.7)
+TASK_EDGES = sets_sql(5, TASK_TEXTS) + edges_sql(0.7)
 
 add("f01_shingle_counts", lambda t: row_texts(t).select("key", F.size(shingles(F.col("text"), 3)).alias("n")).where("n > 0"), ROW_SETS + "SELECT key, len(items)::INT AS n FROM items")
-add("f02_minhash", lambda t: similarity.minhash(similarity.shingle_sets(task_texts(t), 5)).select("key", F.sha2(F.array_join(F.col("signature").cast("array<string>"), ","), 256).alias("digest")))
+add("f02_minhash", lambda t: similarity.minhash(similarity.shingle_sets(task_texts(t), 5)).select("key", "signature").select("key", F.sha2(F.array_join(F.col("signature").cast("array<string>"), ","), 256).alias("digest")))
 add("f03_lsh_edges", lambda t: similarity.near_duplicate_edges(task_texts(t), 5, 0.7, "lsh").select("a", "b", F.round("similarity", 6).alias("similarity")))
 add("f04_task_edges", lambda t: similarity.near_duplicate_edges(task_texts(t), 5, 0.7).select("a", "b", F.round("similarity", 6).alias("similarity")), TASK_EDGES + "SELECT a, b, round(similarity, 6) AS similarity FROM edges")
 add(
     "f05_components",
     lambda t: graph.connected_components(similarity.near_duplicate_edges(task_texts(t), 5, 0.5)),
-    sets_sql(5, "SELECT task_id AS key, string_agg(input, chr(10) ORDER BY row_index) AS text FROM src_rows GROUP BY task_id")
+    sets_sql(5, TASK_TEXTS)
     + edges_sql(0.5)
     + ", both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node",
 )
@@ -158,6 +206,24 @@ add(
     "SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3",
 )
 
+CLOSE = ", close AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE c >= 0.35), ways AS (SELECT a, b FROM close UNION SELECT b, a FROM close), reach AS (SELECT DISTINCT a AS node, a AS other FROM ways UNION SELECT r.node, l.b FROM reach r JOIN ways l ON l.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node), kept AS (SELECT node AS key, root AS rep, CASE WHEN node = root THEN 1.0 ELSE c END AS cosine FROM roots LEFT JOIN close ON a = root AND b = node WHERE node = root OR c IS NOT NULL)\n"
+add(
+    "f12_cosine_clusters",
+    lambda t: similarity.cosine_clusters(t.source("embeddings"), 0.35).withColumn("cosine", F.round("cosine", 5)),
+    CLOSE + "SELECT key, rep, round(cosine, 5)::DOUBLE AS cosine, count(*) OVER (PARTITION BY rep) AS size FROM kept QUALIFY size > 1",
+)
+add(
+    "f13_mean_cosine",
+    lambda t: similarity.mean_pairwise_cosine(t.source("embeddings"), "label").withColumn("mean_cosine", F.round("mean_cosine", 5)),
+    "SELECT a.label AS cluster, any_value(n) AS size, round(coalesce(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) FILTER (a.vec_id < b.vec_id), 1.0), 5) AS mean_cosine FROM embeddings a JOIN embeddings b ON a.label = b.label JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) c ON c.label = a.label GROUP BY a.label",
+)
+add("f13_mean_jaccard", lambda t: similarity.mean_pairwise_jaccard(row_clusters(t), similarity.minhash(similarity.shingle_sets(row_texts(t), 3).join(row_clusters(t).select("key"), "key", "left_semi"))))
+add("f21_embedding_map", lambda t: similarity.embedding_map(t.source("embeddings"), 0.2, 5))
+add("f15_embedded", lambda t: similarity.embed(task_texts(t), similarity.random_embedder(16), 16))
+add("f18_report_state", lambda t: similarity.report_state(similarity.fingerprint(row_texts(t).where("key >= 'doc-000001'")), similarity.fingerprint(row_texts(t))), f"SELECT CASE WHEN min({KEY}) < 'doc-000001' THEN 'stale' ELSE 'fresh' END AS state FROM src_rows")
+add("f18_masked_since", lambda t: similarity.masked_since(row_clusters(t), masked_keys(t)), ROW_CLUSTERS + f"SELECT rep, count(*) AS n_masked FROM clusters WHERE key IN (SELECT {KEY} FROM row_masks) GROUP BY rep")
+add("t04_largest_clusters", lambda t: similarity.largest_clusters(row_clusters(t), 20), ROW_CLUSTERS + "SELECT rep, any_value(size) AS size, row_number() OVER (ORDER BY any_value(size) DESC, rep)::INT AS place FROM clusters GROUP BY rep QUALIFY place <= 20")
+
 
 def cached(t: Tables):
     texts = task_texts(t).select("key", similarity.content_hash(F.col("text")).alias("content_hash"))
@@ -166,7 +232,7 @@ def cached(t: Tables):
     return texts, cache
 
 
-CACHE = ", texts AS (SELECT task_id AS key, substr(sha256(string_agg(input, chr(10) ORDER BY row_index)), 1, 32) AS content_hash FROM src_rows GROUP BY task_id), hits AS (SELECT key FROM embeddings e JOIN texts ON key = concat('doc-', lpad(vec_id::VARCHAR, 6, '0')) WHERE label % 2 = 0 AND len(embedding) = 64)\n"
+CACHE = ", texts AS (SELECT task_id AS key, substr(sha256(string_agg(input, chr(10) ORDER BY row_index)), 1, 32) AS content_hash FROM src_rows ANTI JOIN row_masks USING (task_id, row_index) GROUP BY task_id), hits AS (SELECT key FROM embeddings e JOIN texts ON key = concat('doc-', lpad(vec_id::VARCHAR, 6, '0')) WHERE label % 2 = 0 AND len(embedding) = 64)\n"
 add("f14_cache_hits", lambda t: similarity.cache_lookup(*cached(t), 64)[0].select("key"), CACHE + "SELECT key FROM hits")
 add("f14_cache_misses", lambda t: similarity.cache_lookup(*cached(t), 64)[1], CACHE + "SELECT key, content_hash FROM texts WHERE key NOT IN (SELECT key FROM hits)")
 add("f17_content_hashes", lambda t: task_texts(t).select("key", similarity.content_hash(F.col("text")).alias("content_hash")), CACHE + "SELECT key, content_hash FROM texts")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import padded
+from spanloom.operators.graph import numbered
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
@@ -18,23 +19,40 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = Fal
 def batches(rows: DataFrame, size: int, keys: list[str], order: str) -> DataFrame:
     """Adds task_no to rows: tasks of at most size rows with equal keys (null counts as ''), groups in order of first appearance.
 
-    Numbers come from a table with a row for each task, so that no task sorts all rows.
+    Rows are numbered by ranges of (keys, order), so that no task sorts all rows of a group; the groups' starts and first places are grouped
+    sums, a row for each group.
     """
     keyed = rows
     names = [f"__key{i}" for i in range(len(keys))]
     for name, key in zip(names, keys, strict=True):
         keyed = keyed.withColumn(name, F.coalesce(F.col(key).cast("string"), F.lit("")))
-    chunk = F.floor((F.row_number().over(Window.partitionBy(*names).orderBy(order)) - 1) / size).cast("long")
-    chunked = keyed.withColumn("__chunk", chunk)
-    first = F.min(F.min(order)).over(Window.partitionBy(*names))
-    tasks = chunked.groupBy(*names, "__chunk").agg(first.alias("__first"))
-    numbered = tasks.withColumn("task_no", F.row_number().over(Window.orderBy("__first", "__chunk")) - 1)
-    return chunked.join(numbered, [*names, "__chunk"]).drop(*names, "__chunk", "__first")
-
-
-def task_attributes(batched: DataFrame, order: str, source: str) -> DataFrame:
-    """Per task: rows, first and last line, and its distinct sources."""
-    return batched.groupBy("task_no").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_line"), F.max(order).alias("last_line"), F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"))
+    lined = numbered(keyed, [*names, order], "__line")
+    groups = lined.groupBy(*names).agg(F.min("__line").alias("__start"), F.min(order).alias("__first"), F.ceil(F.count("*") / size).alias("__tasks"))
+    groups = numbered(groups, ["__first", *names], "__place")
+    parts = groups.select(F.floor(F.col("__place") / 100_000).alias("__part"), "__tasks").groupBy("__part").agg(F.sum("__tasks").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("__tasks").over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = groups.withColumn("__part", F.floor(F.col("__place") / 100_000)).join(F.broadcast(parts.select("__part", before.alias("__before"))), "__part")  # a row for each 100,000 groups
+    ahead = ahead.select(*names, "__start", (F.col("__before") + within).alias("__ahead"))
+    numbers = (F.col("__ahead") + F.floor((F.col("__line") - F.col("__start")) / size)).cast("long")
+    return lined.join(ahead, names).withColumn("task_no", numbers).select(*rows.columns, "task_no")
+
+
+def task_attributes(batched: DataFrame, order: str, source: str, firsts: tuple[str, ...] = ()) -> DataFrame:
+    """Per task: rows, first and last line, its distinct sources, and of each column of firsts the first value that isn't null, as first_<name>."""
+    found = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"first_{c}") for c in firsts]
+    return batched.groupBy("task_no").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_line"), F.max(order).alias("last_line"), F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"), *found)
+
+
+def prelabelled(rows: DataFrame, order: str, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows (order, input, output: JSON text) that can be imported, from an offset on, as many as the limit: those with an input; an output that
+    is a list, as an old form was, or no JSON object counts as {}."""
+    shape = F.schema_of_variant(F.try_parse_json("output"))
+    own = rows.where(F.col("input").isNotNull()).withColumn("output", F.when(F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.col("output")).otherwise("{}"))
+    if offset or limit is not None:
+        own = own.orderBy(order).offset(offset)
+        own = own if limit is None else own.limit(limit)
+    return own
 
 
 def import_prelabelled(new: DataFrame, existing: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +107,10 @@ def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame) -> tuple[dic
 
 
 def migrate(tasks: DataFrame, effective: DataFrame, prefix: str) -> DataFrame:
-    """Accepted tasks with readable annotations under new ids prefix-000001 and on, in order of id; others with an error."""
+    """Accepted tasks with readable annotations under new ids prefix-000001 and on, in order of id, with the annotation as their prelabel (where
+    effective has payload); others with an error."""
     joined = tasks.where("status = 'accepted'").select("task_id").join(effective, "task_id", "left")
-    good = joined.where("usable").withColumn("n", F.row_number().over(Window.orderBy("task_id")))  # one row per migrated task, ids only
-    ids = good.select("task_id", F.concat(F.lit(f"{prefix}-"), padded(F.col("n"), 6)).alias("new_id"))
-    return joined.join(ids, "task_id", "left").select("task_id", "new_id", F.when(F.col("new_id").isNull(), "no readable annotation").alias("error"))
+    good = numbered(joined.where("usable").select("task_id"), ["task_id"], "n")
+    ids = good.select("task_id", F.concat(F.lit(f"{prefix}-"), padded(F.col("n") + 1, 6)).alias("new_id"))
+    carried = [F.when(F.col("new_id").isNotNull(), F.col("payload")).alias("prelabel")] if "payload" in effective.columns else []
+    return joined.join(ids, "task_id", "left").select("task_id", "new_id", F.when(F.col("new_id").isNull(), "no readable annotation").alias("error"), *carried)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+#: What a session needs for the operators that keep state of their own.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def row_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -30,9 +35,13 @@ def first_rows(rows: DataFrame, time_col: str, late: str = "1 hour") -> DataFram
 
 
 def convention_hits(rows: DataFrame, conventions: DataFrame) -> DataFrame:
-    """Arriving rows that hold a one-word convention: a join of the stream with a static table."""
-    words = rows.select("task_id", "row_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("input"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("span_lower"))
-    return words.join(conventions.where("status = 'active'").select("span_lower", F.col("type").alias("convention")), "span_lower")
+    """Arriving rows that hold a convention as whole words: a join of the stream with a static table on the first word, and a look at the text
+    for spans of more words."""
+    active = conventions.where("status = 'active'").select("span_lower", F.col("type").alias("convention"), F.regexp_extract("span_lower", r"(?U)\w+", 0).alias("word")).where("word <> ''")
+    words = rows.select("task_id", "row_index", F.lower("input").alias("low")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))))
+    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "span_lower", F.lit(r"\E(?!\w)"))
+    hits = words.join(active, "word").where((F.col("span_lower") == F.col("word")) | (F.contains("low", "span_lower") & F.regexp_like("low", pattern)))
+    return hits.select("span_lower", "task_id", "row_index", "convention")
 
 
 def event_histogram(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -53,5 +62,78 @@ def keep_statistics(decisions: DataFrame, path: str, checkpoint: str):
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class StatusProcessor(StatefulProcessor):
+    """Per task its last status; each event gives whether its move is allowed and follows the status before."""
+
+    def __init__(self, allowed: set[tuple[str, str]]):
+        self.allowed = allowed
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("last", "status string, seq long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        events = pd.concat(rows).sort_values("seq")
+        status, seq = self.state.get() if self.state.exists() else ("draft", 0)
+        out = []
+        for e in events.itertuples():
+            if e.seq > seq:  # an event that comes again changes nothing
+                out.append((key[0], int(e.seq), e.previous_status, e.next_status, (e.previous_status, e.next_status) in self.allowed, e.previous_status == status))
+                status, seq = e.next_status, int(e.seq)
+        self.state.update((status, seq))
+        if out:
+            yield pd.DataFrame(out, columns=["task_id", "seq", "previous_status", "next_status", "legal", "chained"])
+
+    def close(self) -> None:
+        pass
+
+
+def status_changes(events: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
+    """Each event (task_id, seq, previous_status, next_status) once, with legal and chained; the last row of a task is its current status, and
+    those that aren't both are the side output of bad moves. State is one row for each task."""
+    return events.groupBy("task_id").transformWithStateInPandas(StatusProcessor(set(allowed)), "task_id string, seq long, previous_status string, next_status string, legal boolean, chained boolean", "Append", "None")
+
+
+def bad_moves(changes: DataFrame) -> DataFrame:
+    return changes.where("not legal or not chained")
+
+
+class HeartbeatProcessor(StatefulProcessor):
+    """Sets a timer at each heartbeat; it fires where none follows in time."""
+
+    def __init__(self, seconds: int):
+        self.millis = seconds * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("beat", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = max(int(f["at_ms"].max()) for f in rows)
+        if self.state.exists():
+            (old,) = self.state.get()
+            if newest <= old:
+                return
+            self.handle.deleteTimer(old + self.millis)
+        self.state.update((newest,))
+        self.handle.registerTimer(newest + self.millis)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        (at,) = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame([(key[0], at)], columns=["run_id", "last_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def stale_alerts(heartbeats: DataFrame, seconds: int = 600, late: str = "1 minute") -> DataFrame:
+    """run_id, last_ms of runs (run_id, heartbeat_at) without a heartbeat for that long, by event time: once the watermark is past it. A run that
+    beats again afterwards is watched anew."""
+    own = heartbeats.withWatermark("heartbeat_at", late).select("run_id", "heartbeat_at", F.unix_millis("heartbeat_at").alias("at_ms"))
+    return own.groupBy("run_id").transformWithStateInPandas(HeartbeatProcessor(seconds), "run_id long, last_ms long", "Append", "EventTime")
+
+
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("span_lower", "type").agg(F.sum("n").alias("n"))

@@ -40,6 +40,9 @@ def test_parse_annotations(spark):
     assert got == {(2, "entities", "person", 0, "Ann"), (2, "entities", "person", 2, "Bo"), (2, "json_structures", "act", 0, "runs fast")}
     enum = spark.createDataFrame([("entities", "person")], "field string, type string")
     assert {(r.task_id, r.rule) for r in defects.schema_violations(parsed, enum).collect()} == {("a", "type"), ("b", "type"), ("c", "unreadable"), ("d", "unreadable")}
+    more = spark.createDataFrame([("a", '{"rows": 3}'), ("b", '{"rows": []}'), ("c", '{"rows": [{"row_index": 1}]}'), ("d", good)], "task_id string, payload string")
+    found = {(r.task_id, r.rule) for r in defects.schema_violations(parse.parse_annotations(more), enum, 1).collect()}
+    assert found == {("a", "rows_type"), ("b", "no_rows"), ("c", "row_output"), ("d", "too_many"), ("d", "type")}
 
 
 def test_payload_round_trip(spark):
@@ -73,6 +76,38 @@ def test_alignment(spark):
     assert got == {'"red': "red", "big red barn": "big   red\tbarn", "big": "big", "absent": None, "barn.": "barn"}
 
 
+def longest_common(text, span):
+    """The longest run of the span that the text holds, by comparing all places."""
+    best = (0, 0)
+    for i in range(len(text)):
+        for j in range(len(span)):
+            n = 0
+            while i + n < len(text) and j + n < len(span) and text[i + n] == span[j + n]:
+                n += 1
+            best = max(best, (n, -i))
+    return best[0], -best[1]
+
+
+def test_recovery_of_spans(spark):
+    text = "The quick Brown fox  jumps over the lazy dog near Zürich"
+    values = ["Brown", "brown FOX", " quick ", "over  the", "lazy dogs", "lazy cats", "near Zurich", "jumps ovr", "xyz", "", "near Zürichs"]
+    rows = spark.createDataFrame([("t", 0, text)], "task_id string, row_index int, input string")
+    got = {r.span: r.fixed for r in repair.recovered(spans(spark, *(("entities", "a", v) for v in values)), rows).collect()}
+    want = {"Brown": "Brown", "brown FOX": "Brown fox", " quick ": "quick", "over  the": "over the", "": None}
+    for v in values:
+        if v not in want:
+            n, at = longest_common(text.lower(), v.lower())
+            want[v] = text[at : at + n] if n >= max(4, int(len(v) * 0.7)) else None
+    assert got == want and want["lazy dogs"] == "lazy dog" and want["xyz"] is None
+    clean = repair.autocleaned(spans(spark, ("entities", "a", "lazy dog."), ("entities", "b", "lazy dog"), ("entities", "a", "absent"), ("notes", "a", "fox"), ("json_structures", "b", "lazy dog")), rows)
+    assert {(r.field, r.type, r.span) for r in clean.collect()} == {("entities", "a", "lazy dog"), ("json_structures", "b", "lazy dog")}
+
+
+def test_row_inputs(spark):
+    s = spark.createDataFrame([("t", [(None, "a"), (5, "b"), (0, "c"), (None, None)])], "task_id string, rows array<struct<row_index: int, input: string>>")
+    assert {(r.row_index, r.input) for r in parse.row_inputs(s).collect()} == {(0, "c"), (5, "b")}
+
+
 def test_placeholders(spark):
     s = spans(spark, ("entities", "a", "XXXX"), ("entities", "time", "XXXX"), ("entities", "a", "XX"), ("entities", "a", "[REDACTED]"), ("entities", "a", "a***b"))
     assert {r.span for r in defects.placeholders(s).collect()} == {"XXXX", "[REDACTED]", "a***b"}
@@ -116,6 +151,129 @@ def test_components_of_random_graphs(spark):
     assert all(got[v] == v for v in set(got.values()))
 
 
+def brute_edges(rows, n, threshold):
+    sets, first = {}, {}
+    for k, text in rows:
+        w = text.lower().split()
+        s = frozenset(" ".join(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))) if w else frozenset()
+        if s and s not in first:
+            first[s] = k
+            sets[k] = s
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize(("rare", "block", "threshold", "n"), [(64, 1024, 0.5, 3), (2, 4, 0.7, 2)])
+def test_edges_by_brute_force(spark, monkeypatch, rare, block, threshold, n):
+    """Texts with a common head and copies with a few words changed, also where most items count as frequent and blocks are small."""
+    monkeypatch.setattr(similarity, "RARE", rare)
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    r = random.Random(1)
+    texts = []
+    for _ in range(250):
+        if texts and r.random() < 0.5:
+            w = r.choice(texts).split()
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice("abcdefgh")
+            texts.append(" ".join(w[: r.randint(1, len(w))] if r.random() < 0.3 else w))
+        else:
+            texts.append(" ".join(["x", "y", "z", "common", *(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(r.randint(0, 12)))]))
+    rows = [(f"k{i:04}", x) for i, x in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "key string, text string")
+    want = brute_edges(rows, n, threshold)
+    got = {(x.a, x.b): x.similarity for x in similarity.near_duplicate_edges(frame, n, threshold).collect()}
+    assert got == pytest.approx(want) and len(want) > 10
+    sets, _ = similarity.distinct_sets(similarity.shingle_sets(frame, n))
+    near = {}
+    for a, b in want:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    names = {x.uid: x.key for x in sets.select("uid", "key").collect()}
+    roots = {}
+    for x in similarity.components(sets, threshold).collect():
+        roots.setdefault(x.root, set()).add(names[x.node])
+    reached = set()
+    for start in near:
+        seen, todo = {start}, [start]
+        while todo:
+            for y in near[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        reached.add(frozenset(seen))
+    assert {frozenset(x) for x in roots.values()} == reached
+
+
+def test_a_common_shingle_makes_no_pairs(spark):
+    """Rows that share one shingle and differ in all else: candidates don't grow with the square of the rows."""
+    rows = spark.range(3000).select(F.format_string("k%05d", "id").alias("key"), F.concat(F.lit("one common head "), F.col("id").cast("string"), F.lit("a "), F.col("id").cast("string"), F.lit("b")).alias("text"))
+    sets, _ = similarity.distinct_sets(similarity.shingle_sets(rows, 3))
+    assert sets.count() == 3000 and similarity.exact_candidates(sets, 0.5).count() == 0
+
+
+def test_recall_of_signatures(spark):
+    """The edges that bands of signatures find, of those that the exact mode finds."""
+    t = repairs.task_texts(Tables(spark, "/root/testdata/sf0.01"))
+    exact, lsh = ({(r.a, r.b) for r in similarity.near_duplicate_edges(t, 5, 0.7, mode).collect()} for mode in ("exact", "lsh"))
+    assert lsh <= exact and len(lsh) >= 0.9 * len(exact) > 0
+
+
+def test_mean_pairwise_values(spark):
+    r = np.random.default_rng(3)
+    vectors = [(int(i % 3), [float(x) for x in r.normal(size=5)]) for i in range(12)] + [(7, [1.0] * 5), (1, [0.0] * 5), (1, None)]
+    got = {x.cluster: (x.size, x.mean_cosine) for x in similarity.mean_pairwise_cosine(spark.createDataFrame(vectors, "label int, embedding array<double>"), "label").collect()}
+    for c in range(3):
+        own = similarity.unit(np.array([v for k, v in vectors[:12] if k == c]))
+        assert got[c] == (4, pytest.approx((own @ own.T)[np.triu_indices(4, 1)].mean()))
+    assert got[7] == (1, 1.0)
+    signatures = {f"k{i}": [int(x) for x in r.integers(0, 3, 8)] for i in range(6)}
+    members = [(k, "k0" if i < 5 else "k5") for i, k in enumerate(signatures)]
+    out = {x.rep: (x.size, x.mean_similarity) for x in similarity.mean_pairwise_jaccard(spark.createDataFrame(members, "key string, rep string"), spark.createDataFrame(list(signatures.items()), "key string, signature array<long>")).collect()}
+    pairs = [np.mean(np.array(signatures[f"k{i}"]) == np.array(signatures[f"k{j}"])) for i in range(5) for j in range(i)]
+    assert out == {"k0": (5, pytest.approx(np.mean(pairs))), "k5": (1, 1.0)}
+
+
+def test_diverse_examples_by_brute_force(spark):
+    r = random.Random(5)
+    texts = [(g, " ".join(r.choice("abcde") for _ in range(r.randint(1, 9)))) for g in "xyz" for _ in range(12)] + [("w", "only one"), ("w", "only one")]
+    got = {}
+    for x in similarity.diverse_examples(spark.createDataFrame(texts, "g string, text string"), ["g"], 4).orderBy("rank").collect():
+        got.setdefault(x.g, []).append(x.text)
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(max(len(t.split()) - 2, 1))}
+    for g in "wxyz":
+        rest = sorted({t for k, t in texts if k == g})
+        chosen = [rest.pop(0)]
+        while rest and len(chosen) < 4:
+            best = min(rest, key=lambda t: (max(len(grams(t) & grams(c)) / len(grams(t) | grams(c)) for c in chosen), t))
+            chosen.append(best)
+            rest.remove(best)
+        assert got[g] == chosen
+
+
+def test_embedding_map_finds_groups(spark):
+    r = np.random.default_rng(1)
+    points = np.concatenate([r.normal(c, 0.05, (30, 4)) for c in (0, 3, 6)] + [[[20.0, -9, 4, 1]]])
+    out = {x.vec_id: x.cluster for x in similarity.embedding_map(spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "vec_id long, embedding array<double>"), 0.8, 4).collect()}
+    assert [out[i] for i in range(91)] == [0] * 30 + [30] * 30 + [60] * 30 + [None]
+
+
+def test_numbers_by_ranges(spark):
+    frame = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"), F.lit("pad").alias("n"))
+    out = graph.numbered(frame.repartition(7), ["x"], "place").collect()
+    assert len(out) == 1000 and all(r.place == r.x for r in out)
+
+
+def test_ratio_samples(spark):
+    frame = spark.range(997).select(F.format_string("t%04d", "id").alias("task_id"), F.lit("accepted").alias("status"))
+    order = [r.task_id for r in frame.orderBy(F.md5(F.concat(F.lit("0|"), "task_id"))).collect()]
+    assert {r.task_id for r in consensus.task_sample(frame, ratio=0.25).collect()} == set(order[:250])
+    assert consensus.task_sample(frame, ratio=0.0000001).count() == 1 and consensus.task_sample(frame, ratio=1.0).count() == 997
+
+
+def test_conventions_in_scripts_without_blanks(spark):
+    rows = spark.createDataFrame([("t", 0, "私は東京大学院へ行く"), ("t", 1, "Über naïveté and c++ code"), ("t", 2, "scattered catalog")], "task_id string, row_index int, input string")
+    known = spark.createDataFrame([("東京大学", "org"), ("naïveté", "word"), ("++ code", "sign"), ("scat", "no"), ("catalog", "yes")], "span_lower string, type string")
+    assert {r.span_lower for r in conventions.found_in_text(rows, known).collect()} == {"東京大学", "naïveté", "++ code", "catalog"}
+
+
 def test_clusters_hold_to_their_representative(spark):
     r = random.Random(6)
     texts = []
@@ -173,8 +331,29 @@ def test_streams_equal_batches(spark, tmp_path):
         stream = twin(spark.readStream.schema(attempts.schema).parquet(str(tmp_path / "in")))
         q = stream.writeStream.format("memory").queryName(name).outputMode("complete" if name != "g" else "append").option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
-        if name != "g":
-            assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, twin(attempts).collect()))
+        got, want = (sorted(map(tuple, f.collect())) for f in (spark.table(name), twin(attempts)))
+        assert got == want if name != "g" else set(got) <= set(want) and len(got) >= len(want) - 1  # the last session is still open
+
+
+def test_stale_runs_and_bad_moves_on_streams(spark, tmp_path):
+    """Files arrive one by one: a run is reported once its time is over, one that beats again isn't; events that come twice count once."""
+    for key, value in live.STATE_STORE.items():
+        spark.conf.set(key, value)
+    at = lambda s: f"2024-01-01 00:{s // 60:02}:{s % 60:02}"
+    beats = [[(1, at(0)), (2, at(0))], [(2, at(500))], [(3, at(1000))], [(3, at(1500)), (3, at(1400))]]
+    moves = [[("t", 1, "draft", "pending"), ("t", 2, "pending", "annotating")], [("t", 2, "pending", "annotating"), ("t", 3, "annotating", "draft"), ("u", 1, "draft", "pending")], [("t", 4, "qc", "accepted"), ("u", 2, "pending", "annotating")]]
+    schemas = "run_id long, heartbeat_at timestamp", "task_id string, seq long, previous_status string, next_status string"
+    for name, batches, schema, twin in (("beats", beats, schemas[0], lambda s: live.stale_alerts(s, 600)), ("moves", moves, schemas[1], lambda s: live.status_changes(s, [(a, b) for a, bs in workflow.ALLOWED.items() for b in bs]))):
+        columns = [c.split()[0] for c in schema.split(", ")]
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c == 'heartbeat_at' else s.split()[1]}" for c, s in zip(columns, schema.split(", "), strict=True))).coalesce(1).write.json(str(tmp_path / f"{name}{i}"))
+        stream = twin(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / f"{name}*")))
+        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    assert {r.run_id for r in spark.table("beats").collect()} == {1, 2}
+    out = {(r.task_id, r.seq): (r.legal, r.chained) for r in spark.table("moves").collect()}
+    assert out == {("t", 1): (True, True), ("t", 2): (True, True), ("t", 3): (False, True), ("t", 4): (True, False), ("u", 1): (True, True), ("u", 2): (True, True)}
+    assert spark.table("moves").count() == 6 and live.bad_moves(spark.table("moves")).count() == 2
 
 
 def test_statistics_stream_counts_once(spark, tmp_path):
