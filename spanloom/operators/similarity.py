@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -310,17 +312,20 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, threshold: float, bloc
         packed = {d: (np.array([r[0] for r in rs]), unit(np.array([r[1] for r in rs], np.float64))) for d, rs in by_dim.items() if d}
         shared = queries.sparkSession.sparkContext.broadcast(packed)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                lists, names = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 for d, (ids, matrix) in shared.value.items():
-                    own = batch[[v is not None and len(v) == d for v in batch["v"]]]
+                    own = np.flatnonzero(lengths == d)
                     if len(own):
-                        cosines = matrix @ unit(np.stack(own["v"].to_numpy()).astype(np.float64)).T
+                        rows = unit(lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), d))
+                        cosines = matrix @ rows.T
                         q, v = np.nonzero(cosines >= threshold)
-                        keep = ids[q] != own["id"].to_numpy()[v]
-                        yield pd.DataFrame({"query": ids[q][keep], "id": own["id"].to_numpy()[v][keep], "cosine": cosines[q, v][keep]})
+                        keep = ids[q] != names[own[v]]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[q][keep], pa.int64()), pa.array(names[own[v]][keep], pa.int64()), pa.array(cosines[q, v][keep])], names=["query", "id", "cosine"])
 
-        return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, "query long, id long, cosine double")
+        return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "query long, id long, cosine double")
 
     for row in queries.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).toLocalIterator():
         pending.append((row[0], row[1]))

@@ -142,12 +142,20 @@ def pruned_pairs(events: DataFrame, start: str, recovery: str) -> DataFrame:
 
 
 def version_in_force(facts: DataFrame, time_col: str, versions: DataFrame) -> DataFrame:
-    """facts with version: the last one created up to their time, null before the first. Versions are rules documents, edited by hand and few;
-    their validity intervals are joined as a broadcast range."""
-    until = F.lead("created_at").over(Window.orderBy("created_at", "version"))
-    spans = versions.select("version", F.col("created_at").alias("since"), until.alias("until")).where("until is null or until > since")
+    """facts with version: the last one created up to their time, null before the first.
+
+    Each version stands for the days from its creation to the next one's, so that facts meet versions in an equi-join on the day; there are
+    no more such rows than days and versions together.
+    """
+    last = facts.agg(F.max(F.col(time_col).cast("timestamp")).alias("newest"))
+    until = F.lead("created_at").over(Window.orderBy("created_at", "version"))  # a row for each version
+    spans = versions.select("version", F.col("created_at").alias("since"), until.alias("until")).where("until is null or until > since").crossJoin(last)  # one row
+    day = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / 86400)
+    stop = F.coalesce(F.col("until").cast("timestamp"), F.greatest("newest", F.col("since").cast("timestamp")))
+    days = spans.select("version", "since", "until", F.explode(F.sequence(day(F.col("since")), day(stop))).alias("__day"))
     t = F.col(time_col)
-    return facts.join(F.broadcast(spans), (t >= F.col("since")) & (F.col("until").isNull() | (t < F.col("until"))), "left").drop("since", "until")
+    dated = facts.withColumn("__day", day(t)).alias("f").join(days.alias("v"), (F.col("f.__day") == F.col("v.__day")) & (t >= F.col("since")) & (F.col("until").isNull() | (t < F.col("until"))), "left")
+    return dated.select(*(F.col(f"f.`{c}`") for c in facts.columns), F.col("v.version").alias("version"))
 
 
 def latest_version(versions: DataFrame) -> DataFrame:

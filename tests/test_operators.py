@@ -90,10 +90,10 @@ def longest_common(text, span):
 
 def test_recovery_of_spans(spark):
     text = "The quick Brown fox  jumps over the lazy dog near Zürich"
-    values = ["Brown", "brown FOX", " quick ", "over  the", "lazy dogs", "lazy cats", "near Zurich", "jumps ovr", "xyz", "", "near Zürichs"]
+    values = ["Brown", "brown FOX", "  quick ", "over  the", "lazy dogs", "lazy cats", "near Zurich", "jumps ovr", "xyz", "", "near Zürichs"]
     rows = spark.createDataFrame([("t", 0, text)], "task_id string, row_index int, input string")
     got = {r.span: r.fixed for r in repair.recovered(spans(spark, *(("entities", "a", v) for v in values)), rows).collect()}
-    want = {"Brown": "Brown", "brown FOX": "Brown fox", " quick ": "quick", "over  the": "over the", "": None}
+    want = {"Brown": "Brown", "brown FOX": "Brown fox", "  quick ": "quick", "over  the": "over the", "": None}
     for v in values:
         if v not in want:
             n, at = longest_common(text.lower(), v.lower())
@@ -269,7 +269,7 @@ def test_ratio_samples(spark):
 
 
 def test_conventions_in_scripts_without_blanks(spark):
-    rows = spark.createDataFrame([("t", 0, "私は東京大学院へ行く"), ("t", 1, "Über naïveté and c++ code"), ("t", 2, "scattered catalog")], "task_id string, row_index int, input string")
+    rows = spark.createDataFrame([("t", 0, "私は東京大学院へ行く"), ("t", 1, "Über naïveté and ++ code"), ("t", 2, "scattered catalog")], "task_id string, row_index int, input string")
     known = spark.createDataFrame([("東京大学", "org"), ("naïveté", "word"), ("++ code", "sign"), ("scat", "no"), ("catalog", "yes")], "span_lower string, type string")
     assert {r.span_lower for r in conventions.found_in_text(rows, known).collect()} == {"東京大学", "naïveté", "++ code", "catalog"}
 
