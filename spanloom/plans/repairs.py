@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.fixtures import Tables
 from spanloom.functions.text import padded, shingles
 from spanloom.operators import graph, parse, repair, similarity
-from spanloom.plans.annotation import JOINED, NON_VERBATIM, TRIMMED
+from spanloom.plans.annotation import JOINED, TRIMMED
 from spanloom.plans.oracle import Registry
 
 R = Registry()
@@ -217,7 +217,15 @@ add(
     lambda t: similarity.mean_pairwise_cosine(t.source("embeddings"), "label").withColumn("mean_cosine", F.round("mean_cosine", 5)),
     "SELECT a.label AS cluster, any_value(n) AS size, round(coalesce(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) FILTER (a.vec_id < b.vec_id), 1.0), 5) AS mean_cosine FROM embeddings a JOIN embeddings b ON a.label = b.label JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) c ON c.label = a.label GROUP BY a.label",
 )
-add("f13_mean_jaccard", lambda t: similarity.mean_pairwise_jaccard(row_clusters(t), similarity.minhash(similarity.shingle_sets(row_texts(t), 3).join(row_clusters(t).select("key"), "key", "left_semi"))))
+
+
+def mean_jaccard(t: Tables):
+    members = graph.written(row_clusters(t))
+    own = similarity.shingle_sets(row_texts(t).join(members.select("key"), "key", "left_semi"), 3)
+    return similarity.mean_pairwise_jaccard(members, graph.written(similarity.minhash(own, 32)))
+
+
+add("f13_mean_jaccard", mean_jaccard)
 add("f21_embedding_map", lambda t: similarity.embedding_map(t.source("embeddings"), 0.2, 5))
 add("f15_embedded", lambda t: similarity.embed(task_texts(t), similarity.random_embedder(16), 16))
 add("f18_report_state", lambda t: similarity.report_state(similarity.fingerprint(row_texts(t).where("key >= 'doc-000001'")), similarity.fingerprint(row_texts(t))), f"SELECT CASE WHEN min({KEY}) < 'doc-000001' THEN 'stale' ELSE 'fresh' END AS state FROM src_rows")
