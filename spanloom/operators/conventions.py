@@ -76,16 +76,22 @@ def found_in_text(rows: DataFrame, conventions: DataFrame, most: int = 50, least
     """Per task up to `most` conventions whose span its text holds: as whole words, or, for spans with characters beyond ASCII, anywhere.
 
     The first word of an ASCII span meets the words of the text in an equi-join; only spans of more than that word are then looked up in the
-    text. Of other spans the first two characters meet those of the text. An ASCII span that doesn't start with a word character is met by
-    its first word.
+    text. Of other spans two neighbouring characters, one of them beyond ASCII, meet those of the text. An ASCII span that doesn't start
+    with a word character is met by its first word.
     """
+    from spanloom.operators.graph import written
+
     ascii_only = F.col("span_lower").rlike(r"^[\x00-\x7F]*$")
     spans = conventions.where(F.length("span_lower") >= least_length).select("span_lower", F.col("type").alias("convention"), ascii_only.alias("plain"))
     word = F.regexp_extract("span_lower", r"(?U)\w+", 0)
-    spans = spans.withColumn("word", F.when(F.col("plain") & (word != ""), word).otherwise(F.substring("span_lower", 1, 2)))
+    first = F.length(F.regexp_extract("span_lower", r"^[\x00-\x7F]*", 0)) + 1  # the place of the first character beyond ASCII
+    pair = F.substr("span_lower", F.least(first, F.length("span_lower") - 1), F.lit(2))
+    spans = written(spans.withColumn("word", F.when(F.col("plain"), word).otherwise(pair)))  # they are used several times
     low = rows.select("task_id", "row_index", F.lower("input").alias("low"))
-    runs = F.when(F.col("low").rlike(r"[^\x00-\x7F]"), F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 1, F.lit(1))), lambda i: F.substr("low", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    words = low.select("task_id", "row_index", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)), runs))).alias("word"))
+    keys = F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0))
+    if not spans.where(~F.col("plain")).isEmpty():
+        keys = F.concat(keys, F.regexp_extract_all("low", F.lit(r"(?=([^\x00-\x7F][\s\S]|[\s\S][^\x00-\x7F]))[\s\S]"), F.lit(1)))
+    words = low.select("task_id", "row_index", F.explode(F.array_distinct(keys)).alias("word"))
     known = spans.select("word").distinct()
     if known.count() <= BROADCAST_WORDS:
         words = words.join(F.broadcast(known), "word", "left_semi")  # the count bounds it
