@@ -68,22 +68,22 @@ def injectable(recounted: DataFrame, least: int = 5, dispute: float = 0.20) -> D
     return recounted.where((F.col("status") == "active") & (calm | F.col("locked"))).select("span_lower", "type", "distinct_tasks", "locked")
 
 
-#: First words of conventions that may be broadcast, of about 20 bytes each, so that other words of the texts are dropped before the join.
+#: Words of conventions that may be broadcast, of about 20 bytes each, so that other words of the texts are dropped before the join.
 BROADCAST_WORDS = 200_000
 
 
 def found_in_text(rows: DataFrame, conventions: DataFrame, most: int = 50, least_length: int = 4) -> DataFrame:
     """Per task up to `most` conventions whose span its text holds: as whole words, or, for spans with characters beyond ASCII, anywhere.
 
-    The first word of an ASCII span meets the words of the text in an equi-join; only spans of more than that word are then looked up in the
-    text. Of other spans two neighbouring characters, one of them beyond ASCII, meet those of the text. An ASCII span that doesn't start
-    with a word character is met by its first word.
+    The longest word of an ASCII span meets the words of the text in an equi-join; only spans of more than that word are then looked up in
+    the text. Of other spans two neighbouring characters, one of them beyond ASCII, meet those of the text.
     """
     from spanloom.operators.graph import written
 
     ascii_only = F.col("span_lower").rlike(r"^[\x00-\x7F]*$")
     spans = conventions.where(F.length("span_lower") >= least_length).select("span_lower", F.col("type").alias("convention"), ascii_only.alias("plain"))
-    word = F.regexp_extract("span_lower", r"(?U)\w+", 0)
+    own = F.transform(F.regexp_extract_all("span_lower", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    word = F.coalesce(F.array_max(own)["w"], F.lit(""))
     first = F.length(F.regexp_extract("span_lower", r"^[\x00-\x7F]*", 0)) + 1  # the place of the first character beyond ASCII
     pair = F.substr("span_lower", F.least(first, F.length("span_lower") - 1), F.lit(2))
     spans = written(spans.withColumn("word", F.when(F.col("plain"), word).otherwise(pair)))  # they are used several times
