@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.parse import rebuild_payload
+from spanloom.sources.tasks import dealt
 
 #: For DuckDB, and up to 999,999 for Spark as well: lpad cuts longer ids to six digits. SPARK_TASK is the same up to there and whole beyond.
 TASK = "concat('doc-', lpad(cast(doc_id as string), 6, '0'))"
@@ -108,7 +109,7 @@ class Tables:
 
     @property
     def documents(self) -> DataFrame:
-        return self.source("documents")
+        return dealt(self.source("documents"))
 
     @property
     def rows(self) -> DataFrame:

@@ -10,7 +10,8 @@ TRAILING = r"[.,;:!?。，；：！？]+$"
 #: Unicode white space and punctuation or quotes at either end.
 EDGES = r"^[\s\p{Punct}“”‘’«»]+|[\s\p{Punct}“”‘’«»]+$"
 #: A run of letters and digits outside the scripts that are written without blanks, or one character of such a script.
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]++"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+TOKEN = rf"{UNSPACED}|[^\s{UNSPACED[1:]}++"
 
 
 def stripped(text: Column) -> Column:
@@ -42,15 +43,19 @@ def without_thoughts(text: Column) -> Column:
     return stripped(F.regexp_replace(bare, r"(?m)^\s*```[A-Za-z0-9]*\s*$", ""))
 
 
+def tokens(text: Column) -> Column:
+    """The TOKENs of a text in lower case; cutting at blanks takes less than half as long as looking for each token."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), UNSPACED, " $0 "), r"\s+"), "")
+
+
 def shingles(text: Column, n: int) -> Column:
     """Distinct word n-grams in lower case; a shorter text is one shingle, a blank one has none."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
     def of(w: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
 
-    return F.element_at(F.transform(F.array(tokens), of), 1)  # the tokens are computed once
+    return F.element_at(F.transform(F.array(tokens(text)), of), 1)  # the tokens are computed once
 
 
 def snippet(text: Column, needle: Column, reach: int = 80) -> Column:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import first_tokens, shingles, word_count
+from spanloom.functions.text import first_tokens, shingles, tokens, word_count
 from spanloom.operators.graph import connected_components, written
 
 #: Keys of a bucket that meet under one join key, about.
@@ -28,8 +28,14 @@ def row_key() -> Column:
 
 
 def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
-    """key, items: the sorted distinct n-grams of each text (key, text), as 64-bit hashes; texts without tokens are left out."""
-    return texts.select("key", F.array_sort(F.array_distinct(F.transform(shingles(F.col("text"), n), lambda x: F.xxhash64(x)))).alias("items")).where(F.size("items") > 0)
+    """key, items: the sorted distinct n-grams of each text (key, text), as 64-bit hashes of their words; texts without tokens are left out."""
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+        return F.when(F.size(w) < n, F.array(F.xxhash64(w))).otherwise(F.sort_array(F.array_distinct(runs)))
+
+    # a filter on the items would be pushed below them and compute them twice
+    return texts.where(F.col("text").rlike(r"\S")).select("key", F.element_at(F.transform(F.array(tokens(F.col("text"))), of), 1).alias("items"))
 
 
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:

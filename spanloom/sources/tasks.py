@@ -16,6 +16,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = Fal
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """The rows of files, as read, dealt to as many tasks as there are cores where the scan has fewer, since one task reads a whole row group.
+    Larger input has more tasks than cores and isn't shuffled."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def batches(rows: DataFrame, size: int, keys: list[str], order: str) -> DataFrame:
     """Adds task_no to rows: tasks of at most size rows with equal keys (null counts as ''), groups in order of first appearance.
 
