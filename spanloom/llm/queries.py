@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, containment, hmm, langid, lines, media, neardup, pii, sharding, toxicity
+from spanloom.llm import bpe, containment, hmm, langid, lines, media, neardup, negatives, neighbours, phrases, pii, sharding, toxicity
 from spanloom.llm.common import materialise, scratch, table
 
 
@@ -53,6 +54,20 @@ def op10_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(images, keep=("n_bytes",)).drop("width", "height")  # error stays: it is null but for a damaged image
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("k")
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), negatives.whole(F.col("embedding")).alias("embedding"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm": op1_hmm,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_png": op10_png,
+    "op11_phrases": op11_phrases,
+    "op12_nearest": op12_nearest,
+    "op13_negatives": op13_negatives,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -104,8 +122,50 @@ SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*) / n
 FROM doc JOIN item USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.75 * n
 """
 
+OP11_SQL = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({LOWER.format("text")}, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+total AS (SELECT lang, count(*) AS n FROM starts GROUP BY lang),
+runs AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM starts),
+counts AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, m, count(*) AS a FROM runs GROUP BY lang, phrase, m HAVING count(*) >= 100),
+words AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM counts),
+parts AS (SELECT lang, a, m AS whole, w, unnest(range(2, m)) AS m FROM words WHERE m > 2),
+inner_parts AS (SELECT lang, a, w, m, unnest(range(1, whole - m + 2)) AS i FROM parts),
+longer AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (SELECT c.* FROM words c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase WHERE c.m > 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+cuts AS (SELECT lang, phrase, m, a, w, unnest(range(1, m)) AS k FROM kept),
+scores AS (SELECT c.lang, c.phrase, c.a, o.a AS l, t.a AS r, n, k, 1000 * c.a::HUGEINT * n::HUGEINT // (o.a::HUGEINT * t.a::HUGEINT) AS score
+  FROM cuts c JOIN counts o ON o.lang = c.lang AND o.phrase = array_to_string(w[1 : k], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(w[k + 1 : c.m], ' ') JOIN total ON total.lang = c.lang),
+worst AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM worst QUALIFY rank <= 2000
+"""
+
+OP12_SQL = """
+WITH rows AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS length FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, least(1, greatest(-1, list_dot_product(q.v, c.v) / (q.length * c.length))) AS score
+  FROM rows q JOIN rows c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0 AND q.length > 0 AND c.length > 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 5
+"""
+
+OP13_SQL = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, c.label = a.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM rows a JOIN rows c ON len(c.v) = len(a.v) WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same AND other_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_minmax": OP5_SQL,
     "op6_lines": OP6_SQL,
     "op8_decontamination": OP8_SQL,
+    "op11_phrases": OP11_SQL,
+    "op12_nearest": OP12_SQL,
+    "op13_negatives": OP13_SQL,
 }
