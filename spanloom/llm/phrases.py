@@ -1,8 +1,8 @@
 """Phrase collocations: frequent phrases by multikey three-way quicksort of suffix pointers, scored by their weakest cut.
 
-Words that are rarer than the threshold can't stand in a frequent phrase: they end the suffixes before them. What is left of the suffix at
-each word, at most as many words as the longest phrase, goes as hashes of words to one of many ranges of suffixes in order, so that
-suffixes that begin with the same words come together however frequent these words are. In a range, pointers to suffixes are sorted by their
+Words and pairs of neighbours that are rarer than the threshold can't stand in a frequent phrase: they end the suffixes before them. What is
+left of the suffix at each word, at most as many words as the longest phrase, goes as hashes of words to one of many ranges of suffixes in
+order, so that suffixes that begin with the same words come together however frequent these words are. In a range, pointers to suffixes are sorted by their
 first word, those that are equal there by their second, and so on to the greatest depth: the weight of a part of equal pointers is the count
 of the phrase they share. Parts whose weight is below the threshold are abandoned. A phrase that begins the first or the last suffix of a
 range may go on in the next one; its counts are added up, and only then is it held against the threshold.
@@ -11,6 +11,7 @@ range may go on in the next one; its counts are added up, and only then is it he
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from spanloom.llm.common import CACHE_WORDS, materialise, mix, scratch, text_chu
 
 #: Suffixes that a task holds at a time before equal ones are added up, and that a range holds, about.
 HELD, RANGE = 1 << 20, 1 << 21
-#: Bits of the filter of frequent words that goes to the tasks, a fixed size whatever the vocabulary: 2 MB.
-FILTER_BITS = 1 << 24
+#: Bits of each of the two filters, of frequent words and pairs, that go to the tasks: a fixed size whatever the vocabulary, 8 MB.
+FILTER_BITS = 1 << 26
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP = 32_768
 
@@ -70,7 +71,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     what they read before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, dict[bytes, int]] = {}
+        counts: dict[str, Counter[bytes]] = {}
 
         def flushed() -> pa.RecordBatch:
             langs, words, keys, n = [], [], [], []
@@ -87,9 +88,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch, texts in text_chunks(batches, "text"):
             for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                own = counts.setdefault(lang, {})
-                for w in tokens(text):
-                    own[w] = own.get(w, 0) + 1
+                own = counts.setdefault(lang, Counter())
+                own.update(tokens(text))
                 del own[STOP]
             if sum(map(len, counts.values())) > CACHE_WORDS:
                 yield flushed()
@@ -100,16 +100,62 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "word").agg(F.first("key").alias("key"), F.first("bit").alias("bit"), F.sum("n").alias("n"))
 
 
-def frequent_filter(words: DataFrame) -> np.ndarray:
-    """Which bits of the filter frequent words have; its size is fixed, and a rare word that shares a bit is only sorted out later."""
-    own = words.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
-    out = np.zeros(FILTER_BITS, bool)
+def frequent_filter(found: DataFrame) -> np.ndarray:
+    """The packed filter of a table with bit, a place for each frequent word or pair. Its size is fixed; a rare one that shares a place is only
+    sorted out later."""
+    own = found.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in own.toLocalIterator():  # FILTER_BITS / BITMAP rows of 4 kB at most
-        start = (r.bucket - 1) * BITMAP
-        out[start : start + BITMAP] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        start = (r.bucket - 1) * BITMAP // 8
+        out[start : start + BITMAP // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
+def has(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = bits(keys)
+    return (packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def pair_keys(flat: np.ndarray) -> np.ndarray:
+    """A key of each word and the next one."""
+    first, second = flat[:-1].view(np.uint64), flat[1:].view(np.uint64)
+    return mix(mix(first) + second).view(np.int64)
+
+
+def word_runs(rows: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of the words of whole texts, about HELD at a time, with 0 for stops and in place of rare words; a stop ends each text."""
+    keys, held, total = WordKeys(), [], 0
+
+    def flushed() -> np.ndarray:
+        flat = np.concatenate(held)
+        held.clear()
+        flat[~has(words, flat)] = 0
+        return flat
+
+    for batch, texts in text_chunks(rows, "text"):
+        for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            held.append(keys(tokens(text), lang))
+            total += len(held[-1])
+        if total >= HELD:
+            yield flushed()
+            total = 0
+    if held:
+        yield flushed()
+
+
+def frequent_pairs(rows: DataFrame, words: np.ndarray, least: int) -> DataFrame:
+    """bit: places of the pairs of neighbouring frequent words that occur at least `least` times."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)  # a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flat in word_runs(batches, shared.value):
+            pair, n = np.unique(pair_keys(flat)[(flat[:-1] != 0) & (flat[1:] != 0)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(bits(pair)), pa.array(n.astype(np.int32))], names=["pair", "bit", "n"])
+
+    counts = rows.mapInArrow(run, "pair long, bit long, n int").groupBy("pair").agg(F.sum("n").alias("n"), F.first("bit").alias("bit"))
+    return counts.where(F.col("n") >= least).select("bit")
+
+
 def added_up(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, told apart by 64 bits of hash and then by themselves, and how often each occurs."""
     hashed = np.zeros(len(suffixes), np.uint64)
@@ -121,43 +167,28 @@ def added_up(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return suffixes[heads], np.diff(heads, append=len(suffixes))
 
 
-def suffix_rows(rows: DataFrame, frequent: np.ndarray, longest: int) -> DataFrame:
-    """w1 .. w<longest>, n: the suffix at each frequent word, 0 beyond its end, and how often it occurs; a suffix ends before a rare word, at the
-    end of its piece, and after longest words. The same suffix comes from several tasks."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # a fixed size
+def suffix_rows(rows: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
+    """w1 .. w<longest>, n: the suffix at each frequent word, 0 beyond its end, and how often it occurs; a suffix ends before a rare word, inside
+    a rare pair, at the end of its piece, and after longest words. The same suffix comes from several tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast((words, pairs))  # a fixed size
     names = [f"w{i + 1}" for i in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, keys = np.unpackbits(shared.value).astype(bool), WordKeys()
-        held: list[np.ndarray] = []
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            flat = np.append(np.concatenate(held), np.zeros(longest, np.int64))
-            held.clear()
-            flat[~frequent[bits(flat)]] = 0
-            for a in range(0, len(flat) - longest, HELD):
-                own = flat[a : a + HELD + longest - 1]
-                n = min(HELD, len(flat) - longest - a)
-                at = np.flatnonzero(own[:n])
+        words, pairs = shared.value
+        for flat in word_runs(batches, words):
+            flat = np.append(flat, np.zeros(longest, np.int64))
+            goes_on = (flat[:-1] != 0) & (flat[1:] != 0)
+            goes_on &= has(pairs, pair_keys(flat))
+            for a in range(0, len(flat) - longest, HELD):  # a single text may be longer
+                at = a + np.flatnonzero(flat[a : min(a + HELD, len(flat) - longest)])
                 suffixes = np.empty((len(at), longest), np.int64)
                 open_ = np.ones(len(at), bool)
                 for i in range(longest):
-                    suffixes[:, i] = np.where(open_, own[at + i], 0)
-                    open_ &= suffixes[:, i] != 0
+                    suffixes[:, i] = np.where(open_, flat[at + i], 0)
+                    open_ &= goes_on[np.minimum(at + i, len(goes_on) - 1)]
                 distinct, n = added_up(suffixes)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(distinct[:, i])) for i in range(longest)), pa.array(n.astype(np.int64))], names=[*names, "n"])
 
-        total = 0
-        for batch, texts in text_chunks(batches, "text"):
-            for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                held.append(keys(tokens(text), lang))
-                total += len(held[-1])
-            if total >= HELD:
-                yield from flushed()
-                total = 0
-        if held:
-            yield from flushed()
-
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
 
 
@@ -229,18 +260,15 @@ def phrase_counts(suffixes: DataFrame, least: int, longest: int) -> DataFrame:
     ranges = max(math.ceil(suffixes.count() / RANGE), 2 * suffixes.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not len(table):
+        held = list(batches)  # one range
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         own = np.stack([table[c].to_numpy() for c in names], axis=1)
         rows, depth, n = frequent_prefixes(own, table["n"].to_numpy(), least)
         yield pa.RecordBatch.from_arrays([*(pa.array(np.where(depth > i, own[rows, i], 0)) for i in range(longest)), pa.array(n)], names=[*names, "n"])
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        return run(held) if held else iter(())
-
-    part = suffixes.repartitionByRange(ranges, *names).mapInArrow(checked, ", ".join(f"{c} long" for c in (*names, "n")))
+    part = suffixes.repartitionByRange(ranges, *names).mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
     total = part.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return total.select(F.filter(F.array(*names), lambda w: w != 0).alias("phrase"), "n")
 
@@ -268,8 +296,9 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int |
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
     words = materialise(word_counts(rows).where((F.col("n") >= least) | (F.length("word") == 0)))
     dictionary = words.where(F.length("word") > 0)
-    frequent = frequent_filter(dictionary)
-    suffixes = materialise(suffix_rows(rows, frequent, longest))
+    known = frequent_filter(dictionary)
+    pairs = frequent_filter(materialise(frequent_pairs(rows, known, least)))
+    suffixes = materialise(suffix_rows(rows, known, pairs, longest))
     counts = materialise(phrase_counts(suffixes, least, longest))
     size = F.size("phrase")
     candidates = counts.where(size > 1)
