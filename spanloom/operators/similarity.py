@@ -344,19 +344,6 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, threshold: float, bloc
     return out.select("query", F.col("id").alias(id_col), "cosine")
 
 
-def cosine_clusters(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """key, rep, cosine, size: components of the vectors under cosines at the threshold or above; the representative is the least id, and
-    members keep to it by their own cosine. Exact: all vectors are searched, a block of queries at a time."""
-    edges = cosine_search(vectors, vectors, threshold, block, id_col, vector_col).select(F.col("query").alias("a"), F.col(id_col).alias("b"), "cosine")
-    edges = written(edges.where("a < b"))
-    labels = connected_components(edges.select("a", "b"))
-    kept = labels.where("node <> root").join(edges.select(F.col("a").alias("root"), F.col("b").alias("node"), "cosine"), ["node", "root"])
-    reps = kept.select(F.col("root").alias("node"), "root", F.lit(1.0).alias("cosine")).distinct()
-    members = kept.select("node", "root", "cosine").unionByName(reps)
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    return members.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("rep"), "cosine", "size")
-
-
 def embedding_map(vectors: DataFrame, radius: float, least: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, x, y and cluster: the two principal components of each vector, and the least id of its density cluster, null for noise.
 
