@@ -61,7 +61,10 @@ def shingles(text: Column, n: int) -> Column:
 def snippet(text: Column, needle: Column, reach: int = 80) -> Column:
     """reach characters on both sides of the needle's first place, whatever the case, with … where text is cut; the head of the text
     if the needle isn't there."""
-    at = F.instr(F.lower(text), F.lower(needle))
+    low = F.lower(text)
+    literal = F.concat(F.lit(r"(?iu)\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    # lower case makes some characters two, which moves the places behind them
+    at = F.when(needle == "", 0).when(F.length(low) == F.length(text), F.instr(low, F.lower(needle))).otherwise(F.regexp_instr(text, literal))
     start, stop = F.greatest(at - reach, F.lit(1)), F.least(at + F.length(needle) + reach - 1, F.length(text))
     cut = F.concat(F.when(start > 1, "…").otherwise(""), text.substr(start, stop - start + 1), F.when(stop < F.length(text), "…").otherwise(""))
     head = F.concat(text.substr(1, 2 * reach), F.when(F.length(text) > 2 * reach, "…").otherwise(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.runs import meant_pieces
 from spanloom.functions.text import EDGES, stripped, without_trailing, word_count
 from spanloom.operators.defects import bare_names, nested_spans, placeholders
 from spanloom.operators.parse import KEY, missing_row_stubs, rename_types
@@ -73,23 +74,27 @@ def recovered(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds fixed, a piece of the row's text that the span probably means: the span itself if the text holds it; else its first place whatever
     the case; the same without white space at its ends, and with inner white space as single blanks; else their longest common run of
     characters, whatever the case, of at least 4 and 70 % of the span (the first in the text if there are several). Null if there is none.
-    Spans of rows without text stay as they are."""
+    Spans of rows without text stay as they are.
+
+    What Spark's own functions find stays with them, where lower case moves no character; only the rest goes to Python, where a suffix
+    automaton of the span reads the text once, and places of the lowered text are taken back to the original.
+    """
     joined = spans.join(rows, ROW, "left")
     span, text = F.col("span"), F.col("input")
     low = F.lower(text)
+    still = (F.length(low) == F.length(text)) & ~F.contains(text, F.lit("Σ")) & ~F.contains(span, F.lit("Σ"))  # at a word's end its lower case is another
 
     def anywhere(value: Column) -> Column:
-        at = F.instr(low, F.lower(value))
+        at = F.when(still & (F.length(F.lower(value)) == F.length(value)), F.instr(low, F.lower(value)))
         return F.when(value == "", None).when(F.contains(text, value), value).when(at > 0, text.substr(at, F.length(value)))
 
-    need = F.greatest(F.lit(4), F.floor(F.length(span) * 0.7).cast("int"))
-    sizes = F.when(F.length(span) >= need, F.sequence(F.length(span), need, F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(span) - n + 1), lambda i: F.struct((-n).alias("size"), F.instr(low, F.substr(F.lower(span), i, n)).alias("at")))))
-    best = F.array_min(F.filter(runs, lambda r: r["at"] > 0))
-    common = text.substr(best["at"], -best["size"])
     collapsed = stripped(F.regexp_replace(span, r"(?U)\s+", " "))
-    fixed = F.when(text.isNull(), span).when((span == "") | (text == ""), None).otherwise(F.coalesce(anywhere(span), anywhere(stripped(span)), anywhere(collapsed), common))
-    return joined.withColumn("fixed", fixed).drop("input")
+    # an earlier way that only Python can try comes before a later one
+    quick = F.when(F.contains(text, span), span).when(still, F.coalesce(anywhere(span), anywhere(stripped(span)), anywhere(collapsed)))
+    found = joined.withColumn("quick", F.when((span != "") & (text != ""), quick))
+    rest = text.isNotNull() & F.col("quick").isNull()
+    slow = F.pandas_udf(meant_pieces, "string")(F.when(rest, span), F.when(rest, text))
+    return found.withColumn("fixed", F.when(text.isNull(), span).otherwise(F.coalesce("quick", slow))).drop("input", "quick")
 
 
 def first_types(spans: DataFrame, field: str = "entities") -> DataFrame:
