@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from spanloom.operators.conventions import row_hits
+
 #: What a session needs for the operators that keep state of their own.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -35,13 +37,9 @@ def first_rows(rows: DataFrame, time_col: str, late: str = "1 hour") -> DataFram
 
 
 def convention_hits(rows: DataFrame, conventions: DataFrame) -> DataFrame:
-    """Arriving rows that hold a convention as whole words: a join of the stream with a static table on the first word, and a look at the text
-    for spans of more words."""
-    active = conventions.where("status = 'active'").select("span_lower", F.col("type").alias("convention"), F.regexp_extract("span_lower", r"(?U)\w+", 0).alias("word")).where("word <> ''")
-    words = rows.select("task_id", "row_index", F.lower("input").alias("low")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))))
-    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "span_lower", F.lit(r"\E(?!\w)"))
-    hits = words.join(active, "word").where((F.col("span_lower") == F.col("word")) | (F.contains("low", "span_lower") & F.regexp_like("low", pattern)))
-    return hits.select("span_lower", "task_id", "row_index", "convention")
+    """Arriving rows with each active convention that their text holds, found as in a batch: by automata of the conventions as they stand when
+    the stream is started, and without state."""
+    return row_hits(rows, conventions.where("status = 'active'"), least_length=1).select("span_lower", "task_id", "row_index", "convention")
 
 
 def event_histogram(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
