@@ -67,10 +67,13 @@ DISCUSSIONS = f"""select concat('f-', cast(conv_id as string), '-', cast(turn -
 
 RULES_VERSIONS = "select 'v1' as version, timestamp '2024-01-01 00:00:00' as created_at union all select 'v2', timestamp '2024-01-08 00:00:00' union all select 'v3', timestamp '2024-01-20 12:00:00'"
 
-#: Up to three annotations and a human answer for each task; some payloads don't parse, some hold no rows.
+#: Up to three annotations and a human answer for each task: some bare, some in a fence after thoughts, some between sentences; some don't parse, some hold no rows.
 ARTIFACTS = f"""select * from (select task_id, cast(k as int) as seq, case when k = 3 and {one_of("0123", "concat(task_id, 'h')")} then 'human_review_answer' else 'annotation_result' end as kind,
- case when {one_of("01", "concat(task_id, '|', cast(k as string))")} then '{{{{broken' when {one_of("2", "concat(task_id, '|', cast(k as string))")} then '{{{{"rows": 0}}}}'
-  else concat('{{{{"rows": ', cast(k as string), '}}}}') end as payload from {{tasks}} cross join {THREE} n) x
+ case when {one_of("01", "concat(task_id, '|', cast(k as string))")} then '{{{{broken' when {one_of("2", "concat(task_id, '|', cast(k as string))")} then '{{{{"rows": []}}}}'
+  when {one_of("345", "concat(task_id, '|', cast(k as string))")} then concat('<think>', cast(k as string), ' {{{{rows}}}} at most</think>', chr(10), '```json', chr(10), '{{{{"rows": [{{{{"row_index": ', cast(k as string), ', "output": {{{{"entities": {{{{"type1": ["a"]}}}}}}}}}}}}]}}}}', chr(10), '```')
+  when {one_of("67", "concat(task_id, '|', cast(k as string))")} then concat('Sure! {{{{"rows": [{{{{"row_index": ', cast(k as string), '}}}}]}}}} Done.')
+  when {one_of("8", "concat(task_id, '|', cast(k as string))")} then ''
+  else concat('{{{{"rows": [{{{{"row_index": 0, "output": {{{{"entities": {{{{"type2": ["', cast(k as string), '"]}}}}}}}}}}}}]}}}}') end as payload from {{tasks}} cross join {THREE} n) x
 where seq = 1 or {one_of("456789abcdef", "concat(task_id, '|', cast(seq as string), '|', 'a')")}"""
 
 #: Proposals of a type for a span, in order within the span.
@@ -231,7 +234,7 @@ def duckdb_tables() -> str:
         "runs": RUNS.format(**same),
         "alerts": ALERTS.format(**same),
         "reasons": REASONS.format(**same),
-        "artifacts": ARTIFACTS.format(**same).replace("{{", "{").replace("}}", "}"),
+        "artifacts": ARTIFACTS.format(**same),
         "proposals": PROPOSALS.format(**same),
         "type_enum": "select unnest(case when n < 6 then ['entities'] when n < 10 then ['entities', 'json_structures'] else ['json_structures'] end) as field, concat('type', substr('0123456789abcdef', n + 1, 1)) as type from (select unnest(range(16))::int as n) x union all select 'entities', 'other' union all select 'json_structures', 'other'",
     }

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.graph import numbered
+from spanloom.operators.graph import in_ranges, numbered
 
 ITEM = ["task_id", "row_index", "field", "type", "span"]
 
@@ -160,11 +160,28 @@ def qc_sample(rows: DataFrame, ratio: float) -> DataFrame:
     return rows.join(n, "task_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= take).select("task_id", "row_index")
 
 
-def rescaled(values: DataFrame, key: str, value: str, order: list[str], frame: int = 200, least: int = 10) -> DataFrame:
-    """Adds scaled: the value within the least and greatest of the key's last `frame` values; itself before there are enough, or if they are one."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-frame + 1, 0)
-    low, high, n = F.min(value).over(w), F.max(value).over(w), F.count("*").over(w)
-    return values.withColumn("scaled", F.when((n < least) | (high == low), F.col(value)).otherwise((F.col(value) - low) / (high - low)))
+def rescaled(values: DataFrame, key: str, value: str, order: list[str], frame: int = 200, least: int = 10, size: int = 1 << 16) -> DataFrame:
+    """Adds scaled: the value within the least and greatest of the key's last `frame` values; itself before there are enough, or if they are one.
+
+    Rows are cut into ranges of `size` in order of key and time, each with the frame - 1 rows before it, so that a key which holds all rows is
+    many tasks. In a range the least of 2, 4, 8, ... values follows from that of half as many, and two of the longest cover the frame, which
+    takes as many steps as the frame has binary digits instead of one for each of its rows.
+    """
+    ranged = in_ranges(values, [key, *order], frame - 1, max(size, frame))
+    w = Window.partitionBy("__range", key).orderBy("__place")
+    out = ranged.withColumns({"__low": F.col(value), "__high": F.col(value), "__n": F.least(F.row_number().over(w), F.lit(frame))})
+
+    def widened(step: int) -> dict[str, Column]:
+        return {"__low": F.least("__low", F.lag("__low", step).over(w)), "__high": F.greatest("__high", F.lag("__high", step).over(w))}
+
+    width = 1
+    while 2 * width <= frame:
+        out, width = out.withColumns(widened(width)), 2 * width
+    if width < frame:
+        out = out.withColumns(widened(frame - width))
+    low, high = F.col("__low"), F.col("__high")
+    scaled = F.when((F.col("__n") < least) | (high == low), F.col(value)).otherwise((F.col(value) - low) / (high - low))
+    return out.where(~F.col("__carried")).withColumn("scaled", scaled).drop("__range", "__place", "__carried", "__low", "__high", "__n")
 
 
 def choose_annotator(tasks: DataFrame, annotators: DataFrame) -> DataFrame:

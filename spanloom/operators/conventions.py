@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPERATOR = "declared:"
+from spanloom.functions.phrases import phrases_in_text
+from spanloom.functions.text import stripped
+from spanloom.operators.graph import numbered
 
+# How sources begin that speak for an operator, the second by settling a dispute.
+DECLARED, RESOLVED = "declared:", "dispute_resolved_by:"
+#: Proposals of a span that are put in order in one task, at most.
+RUN = 1 << 16
 
-def from_proposals(proposals: DataFrame) -> DataFrame:
-    """Folds the proposals of each span, in order of seq, into one convention: span_lower, type, status, source, evidence, locked.
 
-    A proposal that repeats its predecessor's type, source and task doesn't count. The last declared type wins and locks the span; without
-    one, the first type holds as long as no other is proposed, after which the span is disputed.
+def by_operator(source: Column) -> Column:
+    return source.startswith(DECLARED) | source.startswith(RESOLVED)
+
+
+def from_proposals(proposals: DataFrame, run: int = RUN) -> DataFrame:
+    """Folds the proposals of each span, in order of seq, into one convention: span_lower, type, status, source, evidence, n_tasks, locked.
+
+    A proposal that repeats its predecessor's type, source and task doesn't count, but for settled disputes. What an operator last declared, or
+    settled a dispute with, wins and locks the span; without that, the first type holds as long as no other is proposed, after which the
+    span is disputed. Each seq of a span is one proposal; tasks may be null.
+
+    Proposals are put in order in runs of at most `run` values of seq, and what a run leaves can be merged: its first and last proposal, by which
+    repeats at the seams are found, and counts. So no task sorts all proposals of a frequent span.
     """
-    w = Window.partitionBy("span_lower").orderBy("seq")
-    same = (F.col("type") == F.lag("type").over(w)) & (F.col("source") == F.lag("source").over(w)) & (F.col("task_id") == F.lag("task_id").over(w))
-    own = proposals.withColumn("repeat", F.coalesce(same, F.lit(False))).where("not repeat")
-    declared = F.col("source").startswith(OPERATOR)
+    w = Window.partitionBy("span_lower", "__run").orderBy("seq")
+    same = lambda x, y: x["type"].eqNullSafe(y["type"]) & x["source"].eqNullSafe(y["source"]) & x["task_id"].eqNullSafe(y["task_id"]) & ~y["source"].startswith(RESOLVED)
+    own = proposals.withColumn("__run", F.floor(F.col("seq") / run)).withColumn("__it", F.struct("type", "source", "task_id"))
+    own = own.withColumns({"__before": F.lag("__it").over(w), "__after": F.lead("__it").over(w)})
+    own = own.withColumn("__repeat", F.col("__before").isNotNull() & same(F.col("__before"), F.col("__it")))
+    end = F.struct("seq", F.col("__before").isNull().alias("head"), F.col("__after").isNull().alias("tail"), F.col("__it").alias("it"))
+    operator = F.when(by_operator(F.col("source")), F.col("seq"))
     folded = own.groupBy("span_lower").agg(
-        F.min_by("type", "seq").alias("first_type"), F.max_by("type", F.when(declared, F.col("seq"))).alias("declared_type"), F.countDistinct("type").alias("n_types"), F.count("*").alias("evidence"),
-        F.coalesce(F.max_by("source", F.when(declared, F.col("seq"))), F.min_by("source", "seq")).alias("source"), F.countDistinct("task_id").alias("n_tasks"),
+        F.min_by("type", "seq").alias("first_type"), F.max_by("type", operator).alias("operator_type"), F.countDistinct("type").alias("n_types"), F.count_if(~F.col("__repeat")).alias("n"),
+        F.coalesce(F.max_by("source", operator), F.min_by("source", "seq")).alias("source"), F.countDistinct("task_id").alias("n_tasks"),
+        F.collect_list(F.when(F.col("__before").isNull() | F.col("__after").isNull(), end)).alias("ends"),  # two for each run
     )
-    locked = F.col("declared_type").isNotNull()
-    return folded.select("span_lower", F.coalesce("declared_type", "first_type").alias("type"), F.when(locked | (F.col("n_types") == 1), "active").otherwise("disputed").alias("status"), "source", "evidence", "n_tasks", locked.alias("locked"))
+    ends = F.array_sort("ends")  # by seq
+    seams = F.size(F.filter(F.zip_with(F.slice("ends", F.lit(1), F.size("ends") - 1), F.slice("ends", F.lit(2), F.size("ends") - 1), lambda x, y: x["tail"] & y["head"] & same(x["it"], y["it"])), lambda x: x))
+    locked = F.col("operator_type").isNotNull()
+    status = F.when(locked | (F.col("n_types") == 1), "active").otherwise("disputed")
+    folded = folded.withColumn("ends", ends).withColumn("evidence", F.col("n") - F.when(F.size("ends") > 1, seams).otherwise(0))
+    return folded.select("span_lower", F.coalesce("operator_type", "first_type").alias("type"), status.alias("status"), "source", "evidence", "n_tasks", locked.alias("locked"))
+
+
+def without_spans(conventions: DataFrame, spans: DataFrame) -> DataFrame:
+    """Conventions but for those of spans (span, as written) that an operator cancelled."""
+    return conventions.join(spans.select(F.lower(stripped(F.col("span"))).alias("span_lower")), "span_lower", "left_anti")
 
 
 def tally(votes: DataFrame) -> DataFrame:
@@ -35,7 +63,7 @@ def tally(votes: DataFrame) -> DataFrame:
 
 def tally_proposals(proposals: DataFrame) -> DataFrame:
     """tally() of each task's latest proposal that no operator made."""
-    votes = proposals.where(~F.col("source").startswith(OPERATOR)).groupBy("span_lower", "task_id").agg(F.max_by("type", "seq").alias("type"))
+    votes = proposals.where(~by_operator(F.col("source"))).groupBy("span_lower", "task_id").agg(F.max_by("type", "seq").alias("type"))
     return tally(votes)
 
 
@@ -68,40 +96,17 @@ def injectable(recounted: DataFrame, least: int = 5, dispute: float = 0.20) -> D
     return recounted.where((F.col("status") == "active") & (calm | F.col("locked"))).select("span_lower", "type", "distinct_tasks", "locked")
 
 
-#: Words of conventions that may be broadcast, of about 20 bytes each, so that other words of the texts are dropped before the join.
-BROADCAST_WORDS = 200_000
+def row_hits(rows: DataFrame, conventions: DataFrame, least_length: int = 4) -> DataFrame:
+    """task_id, row_index, span_lower, convention: each row with each convention (span_lower, type) of at least that many characters that its text
+    holds. Rows may be a stream."""
+    phrases = conventions.where(F.length("span_lower") >= least_length).select(F.col("span_lower").alias("phrase"), F.col("type").alias("note"))
+    return phrases_in_text(rows, phrases, F.col("input"), ["task_id", "row_index"], "convention").withColumnRenamed("phrase", "span_lower")
 
 
 def found_in_text(rows: DataFrame, conventions: DataFrame, most: int = 50, least_length: int = 4) -> DataFrame:
-    """Per task up to `most` conventions whose span its text holds: as whole words, or, for spans with characters beyond ASCII, anywhere.
-
-    The longest word of an ASCII span meets the words of the text in an equi-join; only spans of more than that word are then looked up in
-    the text. Of other spans two neighbouring characters, one of them beyond ASCII, meet those of the text.
-    """
-    from spanloom.operators.graph import written
-
-    ascii_only = F.col("span_lower").rlike(r"^[\x00-\x7F]*$")
-    spans = conventions.where(F.length("span_lower") >= least_length).select("span_lower", F.col("type").alias("convention"), ascii_only.alias("plain"))
-    own = F.transform(F.regexp_extract_all("span_lower", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    word = F.coalesce(F.array_max(own)["w"], F.lit(""))
-    first = F.length(F.regexp_extract("span_lower", r"^[\x00-\x7F]*", 0)) + 1  # the place of the first character beyond ASCII
-    pair = F.substr("span_lower", F.least(first, F.length("span_lower") - 1), F.lit(2))
-    spans = written(spans.withColumn("word", F.when(F.col("plain"), word).otherwise(pair)))  # they are used several times
-    low = rows.select("task_id", "row_index", F.lower("input").alias("low"))
-    keys = F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0))
-    if not spans.where(~F.col("plain")).isEmpty():
-        keys = F.concat(keys, F.regexp_extract_all("low", F.lit(r"(?=([^\x00-\x7F][\s\S]|[\s\S][^\x00-\x7F]))[\s\S]"), F.lit(1)))
-    words = low.select("task_id", "row_index", F.explode(F.array_distinct(keys)).alias("word"))
-    known = spans.select("word").distinct()
-    if known.count() <= BROADCAST_WORDS:
-        words = words.join(F.broadcast(known), "word", "left_semi")  # the count bounds it
-    keyed = words.join(spans, "word")
-    single = (F.col("span_lower") == F.col("word")) & F.col("plain")
-    whole = keyed.where(single).select("task_id", "row_index", "span_lower", "convention")
-    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "span_lower", F.lit(r"\E(?!\w)"))
-    longer = keyed.where(~single).join(low, ["task_id", "row_index"]).where(F.contains("low", "span_lower") & (~F.col("plain") | F.regexp_like("low", pattern)))
-    hits = whole.unionByName(longer.select("task_id", "row_index", "span_lower", "convention"))
-    per = hits.groupBy("task_id", "span_lower", "convention").agg(F.count("*").alias("n_rows"))
+    """Per task up to `most` conventions whose span its text holds, the longest first: as whole words, or, for spans of other characters than
+    ASCII letters, digits, blanks and . - _ ', anywhere."""
+    per = row_hits(rows, conventions, least_length).groupBy("task_id", "span_lower", "convention").agg(F.count("*").alias("n_rows"))
     w = Window.partitionBy("task_id").orderBy(F.desc(F.length("span_lower")), "span_lower")
     return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
 
@@ -113,8 +118,10 @@ def backfill_proposals(final: DataFrame, prelabel: DataFrame, tasks: DataFrame,
 
     able = effective.where("usable").select("task_id", "kind").join(tasks.where("status = 'accepted'").select("task_id"), "task_id", "left_semi").join(touched, "task_id", "left_anti")
     diff = decision_diff(final.join(able.select("task_id"), "task_id", "left_semi"), prelabel).join(able, "task_id")
-    seq = F.row_number().over(Window.partitionBy("span_lower").orderBy("task_id"))
-    return diff.select("span_lower", seq.alias("seq"), "type", "task_id", F.when(F.col("kind") == "human_review_answer", "hr_correction").otherwise("qc_consensus").alias("source"))
+    placed = numbered(diff, ["span_lower", "task_id"], "place")  # by ranges: a frequent span isn't sorted in one task
+    starts = placed.groupBy("span_lower").agg(F.min("place").alias("start"))
+    seq = (F.col("place") - F.col("start") + 1).cast("int")
+    return placed.join(starts, "span_lower").select("span_lower", seq.alias("seq"), "type", "task_id", F.when(F.col("kind") == "human_review_answer", "hr_correction").otherwise("qc_consensus").alias("source"))
 
 
 def backfill_counts(tasks: DataFrame, effective: DataFrame, touched: DataFrame) -> DataFrame:

@@ -92,16 +92,6 @@ def first_failure(spans: DataFrame, rows: DataFrame, type_enum: DataFrame) -> Da
     return per.select("task_id", first.alias("f")).where("f is not null").select("task_id", "f.category", F.col("f.n").alias("n_violations"))
 
 
-def first_failure(spans: DataFrame, rows: DataFrame, type_enum: DataFrame) -> DataFrame:
-    """The first failing check of each task, in a fixed order, and its violations."""
-    checks = [("missing_rows", missing_rows(rows, spans)), ("non_verbatim", non_verbatim(spans, rows)), ("cross_type", type_collisions(spans)), ("punctuation", trailing_punctuation(spans, rows)), ("shared_type", misplaced_shared(spans, type_enum))]
-    found = None
-    for rank, (name, frame) in enumerate(checks):
-        one = frame.groupBy("task_id").agg(F.count("*").alias("n")).select("task_id", F.lit(rank).alias("rank"), F.lit(name).alias("category"), "n")
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("task_id").agg(F.min_by(F.struct("category", "n"), "rank").alias("f")).select("task_id", "f.category", F.col("f.n").alias("n_violations"))
-
-
 def export_audit(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """Violations by kind, field and type."""
     kinds = {"duplicate": repeated_spans(spans), "non_verbatim": non_verbatim(spans, rows), "cross_type": type_collisions(spans)}

@@ -41,6 +41,17 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return spread.join(F.broadcast(starts), part).withColumn(name, F.col("start") + F.col(at)).drop(part, at, "start")
 
 
+def in_ranges(rows: DataFrame, order: list[str], carry: int, size: int = 1 << 16) -> DataFrame:
+    """rows with __range, __place and __carried: in that order of columns they are cut into ranges of size rows, and each range also holds the
+    carry rows before it, marked as carried. A window inside a range then sees as far back as one over all rows would, and no task holds
+    more than size + carry rows for it. carry is at most size."""
+    placed = numbered(rows, order, "__place")
+    own = F.floor(F.col("__place") / size)
+    more = F.col("__place") % size >= size - carry
+    each = F.when(more, F.array(F.struct(own.alias("r"), F.lit(False).alias("c")), F.struct((own + 1).alias("r"), F.lit(True).alias("c")))).otherwise(F.array(F.struct(own.alias("r"), F.lit(False).alias("c"))))
+    return placed.withColumn("__in", F.explode(each)).withColumn("__range", F.col("__in.r")).withColumn("__carried", F.col("__in.c")).drop("__in")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root: each node of edges (a, b) with the least node it is connected to.
 

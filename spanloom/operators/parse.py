@@ -35,22 +35,30 @@ def row_inputs(sources: DataFrame) -> DataFrame:
     return last.select("task_id", "row_index", "input")
 
 
+def annotation_json(payload: Column) -> Column:
+    """The JSON object of a payload, as text: model text without thoughts and fences, from its outermost braces."""
+    return F.regexp_extract(without_thoughts(payload), r"(?s)\{.*\}", 0)
+
+
 def readable(payload: Column) -> Column:
-    """Whether a payload is JSON."""
-    return F.try_parse_json(payload).isNotNull()
+    """Whether a payload holds a JSON object, as parse_annotations() reads it."""
+    return F.try_parse_json(annotation_json(payload)).isNotNull()
 
 
 def effective_annotation(artifacts: DataFrame, keep_payload: bool = False) -> DataFrame:
     """One row per task: its last human answer, else its last annotation; usable tells whether the payload can be read."""
     rank = F.when(F.col("kind") == "human_review_answer", 1).otherwise(0)
     best = artifacts.groupBy("task_id").agg(F.max_by(F.struct("seq", "kind", "payload"), F.struct(rank, F.col("seq"))).alias("b"))
-    return best.select("task_id", "b.seq", "b.kind", readable(F.col("b.payload")).alias("usable"), *(["b.payload"] if keep_payload else []))
+    return best.select("task_id", "b.seq", "b.kind", F.coalesce(readable(F.col("b.payload")), F.lit(False)).alias("usable"), *(["b.payload"] if keep_payload else []))
 
 
 def last_readable_annotation(artifacts: DataFrame) -> DataFrame:
-    """As effective_annotation(), but walks back past payloads that can't be read or hold no rows."""
-    some = readable(F.col("payload")) & (F.coalesce(F.get_json_object("payload", "$.rows").cast("int"), F.lit(0)) > 0)
-    return effective_annotation(artifacts.where(some)).drop("usable")
+    """One row per task (seq, kind): its last human answer; without one, its last annotation that can be read, past those that can't. A task
+    whose last human answer can't be read has no row: no annotation stands in for a person's decision."""
+    human = F.col("kind") == "human_review_answer"
+    can = F.coalesce(readable(F.col("payload")), F.lit(False))
+    best = artifacts.where(human | can).select("task_id", "seq", "kind", can.alias("can")).groupBy("task_id").agg(F.max_by(F.struct("seq", "kind", "can"), F.struct(human, F.col("seq"))).alias("b"))
+    return best.where("b.can").select("task_id", "b.seq", "b.kind")
 
 
 def span_decisions(spans: DataFrame) -> DataFrame:

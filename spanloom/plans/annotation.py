@@ -19,12 +19,12 @@ WS = r"'[ \t\n\x0B\f\r]+'"
 add(
     "b03_effective_annotation",
     lambda t: parse.effective_annotation(t.artifacts),
-    "SELECT task_id, seq, kind, json_valid(payload) AS usable FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1",
+    "SELECT task_id, seq, kind, json_valid(regexp_extract(regexp_replace(payload, '(?is)<think>.*?</think>', '', 'g'), '(?s)\x7b.*\x7d')) AS usable FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1",
 )
 add(
     "b03b_last_readable_annotation",
     lambda t: parse.last_readable_annotation(t.artifacts),
-    "SELECT task_id, seq, kind FROM artifacts WHERE json_valid(payload) AND coalesce(try_cast(json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.rows') AS INT), 0) > 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1",
+    "SELECT task_id, seq, kind FROM (SELECT *, json_valid(regexp_extract(regexp_replace(payload, '(?is)<think>.*?</think>', '', 'g'), '(?s)\x7b.*\x7d')) AS can FROM artifacts WHERE kind = 'human_review_answer' OR json_valid(regexp_extract(regexp_replace(payload, '(?is)<think>.*?</think>', '', 'g'), '(?s)\x7b.*\x7d')) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1) WHERE can",
 )
 add(
     "b01_model_text",
@@ -255,6 +255,17 @@ add(
 )
 add("e17_rebuild_conventions", lambda t: conventions.rebuild(accepted_decisions(t)), STATS + VOTES + "SELECT *, round(n_dispute / n_tasks, 6) AS dispute_share FROM tallied")
 add("e18_fold_proposals", lambda t: agreed_conventions(t), STATS + "SELECT * FROM conventions")
+#: Settlements of disputes in the middle of the proposals of some spans, on which declarations of later ones have the last word.
+SETTLED = f"""select span_lower, 2 * seq as seq, type, task_id, source from {{proposals}}
+union all select span_lower, 2 * cast(floor(count(*) / 2) as bigint) + 1 as seq, max(type) as type, cast(null as string) as task_id, 'dispute_resolved_by:lead' as source from {{proposals}} where {one_of("01234567", "concat(span_lower, '|res')")} group by span_lower
+union all select span_lower, 2 * cast(count(*) as bigint) + k as seq, min(type) as type, cast(null as string) as task_id, 'declared:operator' as source from {{proposals}} cross join (select 1 as k union all select 2) n where {one_of("01", "concat(span_lower, '|dec')")} group by span_lower, k"""
+add(
+    "e18_settled_disputes",
+    lambda t: conventions.from_proposals(t.sql(SETTLED, proposals=t.proposals)),
+    f", settled AS ({SETTLED.format(proposals='proposals')})" + r""", marked AS (SELECT *, source LIKE 'declared:%' OR source LIKE 'dispute\_resolved\_by:%' ESCAPE '\' AS op, source NOT LIKE 'dispute\_resolved\_by:%' ESCAPE '\' AND coalesce(lag(type) OVER w = type AND lag(source) OVER w = source AND lag(task_id) OVER w IS NOT DISTINCT FROM task_id, false) AS again FROM settled WINDOW w AS (PARTITION BY span_lower ORDER BY seq))
+SELECT span_lower, coalesce(last(type ORDER BY seq) FILTER (op), first(type ORDER BY seq)) AS type, CASE WHEN bool_or(op) OR count(DISTINCT type) = 1 THEN 'active' ELSE 'disputed' END AS status, coalesce(last(source ORDER BY seq) FILTER (op), first(source ORDER BY seq)) AS source, count(*) FILTER (NOT again) AS evidence, count(DISTINCT task_id) AS n_tasks, bool_or(op) AS locked FROM marked GROUP BY span_lower""",
+)
+add("e18_cancelled", lambda t: conventions.without_spans(agreed_conventions(t), t.spans.where("type = 'type1'").select("span").distinct()), STATS + "SELECT * FROM conventions WHERE span_lower NOT IN (SELECT lower(trim(span)) FROM spans WHERE type = 'type1')")
 add(
     "e19_without_overridden",
     lambda t: conventions.without_overridden(stats.lower_decisions(t.spans), t.artifacts),
@@ -299,7 +310,7 @@ add(
 )
 #: Tasks that an arbiter touched, and the prelabels: the first draft.
 TOUCHED = one_of("0123", "concat(task_id, '|arb')")
-BACKFILL = f""", eff AS (SELECT task_id, kind, json_valid(payload) AS usable FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1),
+BACKFILL = f""", eff AS (SELECT task_id, kind, json_valid(regexp_extract(regexp_replace(payload, '(?is)<think>.*?</think>', '', 'g'), '(?s)\x7b.*\x7d')) AS usable FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1),
 scanned AS (SELECT task_id, kind, usable, {TOUCHED} AS touched FROM tasks LEFT JOIN eff USING (task_id) WHERE status = 'accepted'),
 able AS (SELECT task_id, kind FROM scanned WHERE NOT touched AND usable),
 fin AS (SELECT task_id, row_index, lower(span) AS span_lower, type, pos FROM spans SEMI JOIN able USING (task_id) WHERE field = 'entities' QUALIFY row_number() OVER (PARTITION BY task_id, row_index, lower(span) ORDER BY pos) = 1),

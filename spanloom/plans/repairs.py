@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.fixtures import Tables
 from spanloom.functions.text import padded, shingles
-from spanloom.operators import graph, parse, repair, similarity
+from spanloom.operators import graph, parse, repair, similarity, vectors
 from spanloom.plans.annotation import JOINED, TRIMMED
 from spanloom.plans.oracle import Registry
 
@@ -209,9 +209,10 @@ add(
 CLOSE = ", close AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE c >= 0.35), ways AS (SELECT a, b FROM close UNION SELECT b, a FROM close), reach AS (SELECT DISTINCT a AS node, a AS other FROM ways UNION SELECT r.node, l.b FROM reach r JOIN ways l ON l.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node), kept AS (SELECT node AS key, root AS rep, CASE WHEN node = root THEN 1.0 ELSE c END AS cosine FROM roots LEFT JOIN close ON a = root AND b = node WHERE node = root OR c IS NOT NULL)\n"
 add(
     "f12_cosine_clusters",
-    lambda t: similarity.cosine_clusters(t.source("embeddings"), 0.35).withColumn("cosine", F.round("cosine", 5)),
+    lambda t: vectors.cosine_clusters(t.source("embeddings"), 0.35).withColumn("cosine", F.round("cosine", 5)),
     CLOSE + "SELECT key, rep, round(cosine, 5)::DOUBLE AS cosine, count(*) OVER (PARTITION BY rep) AS size FROM kept QUALIFY size > 1",
 )
+add("f12_cosine_clusters_lsh", lambda t: vectors.cosine_clusters(t.source("embeddings"), 0.35, mode="lsh").withColumn("cosine", F.round("cosine", 5)))
 add(
     "f13_mean_cosine",
     lambda t: similarity.mean_pairwise_cosine(t.source("embeddings"), "label").withColumn("mean_cosine", F.round("mean_cosine", 5)),

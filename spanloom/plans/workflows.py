@@ -44,7 +44,7 @@ def now():
 MOVES = ", ".join(f"('{a}', '{b}')" for a, bs in workflow.ALLOWED.items() for b in bs)
 STATUS = ", status AS (SELECT task_id, last(next_status ORDER BY seq) AS status, max(seq) AS seq FROM audit_events GROUP BY task_id)\n"
 OPEN = "SELECT * FROM feedback WHERE feedback_id NOT IN (SELECT feedback_id FROM discussions WHERE consensus)"
-EFF = ", eff AS (SELECT task_id, seq, kind, json_valid(payload) AS usable FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1)\n"
+EFF = ", eff AS (SELECT task_id, seq, kind, json_valid(regexp_extract(regexp_replace(payload, '(?is)<think>.*?</think>', '', 'g'), '(?s)\x7b.*\x7d')) AS usable FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1)\n"
 EXPORT = EFF + """, n AS (SELECT task_id, count(*) AS n_spans FROM spans ANTI JOIN row_masks USING (task_id, row_index) GROUP BY task_id),
 export AS (SELECT task_id, project_id, seq, kind = 'human_review_answer' AS human, coalesce(n_spans, 0) AS n_spans, concat_ws(',', CASE WHEN kind IS NULL THEN 'missing_result' END, CASE WHEN NOT coalesce(usable, false) THEN 'missing_payload' END, CASE WHEN coalesce(n_spans, 0) = 0 THEN 'no_spans' END) AS errors FROM tasks LEFT JOIN eff USING (task_id) LEFT JOIN n USING (task_id) WHERE status = 'accepted')
 """
@@ -220,7 +220,7 @@ def dated_artifacts(t):
     return t.artifacts.withColumn("created_at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(seq * 7)"))
 
 
-TRAIN = """, best AS (SELECT task_id, kind, json_valid(payload) AS usable, TIMESTAMP '2024-01-01 00:00:00' + to_days(seq * 7) AS created_at FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1),
+TRAIN = """, best AS (SELECT task_id, kind, json_valid(regexp_extract(regexp_replace(payload, '(?is)<think>.*?</think>', '', 'g'), '(?s)\x7b.*\x7d')) AS usable, TIMESTAMP '2024-01-01 00:00:00' + to_days(seq * 7) AS created_at FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1),
 dated AS (SELECT b.*, v.version FROM best b ASOF LEFT JOIN rules_versions v ON b.created_at >= v.created_at), c AS (SELECT task_id, row_index, count(*) AS n FROM spans GROUP BY ALL), m AS (SELECT DISTINCT task_id, row_index, true AS masked FROM row_masks),
 train AS (SELECT r.task_id, r.row_index, project_id, coalesce(n, 0) AS n_spans, coalesce(kind = 'human_review_answer', false) AS human, version AS rules_version, concat_ws(',', CASE WHEN kind IS NULL THEN 'missing_result' END, CASE WHEN kind IS NOT NULL AND NOT usable THEN 'missing_payload' END, CASE WHEN trim(input) = '' THEN 'empty_input' END, CASE WHEN coalesce(n, 0) = 0 THEN 'no_spans' END, CASE WHEN masked THEN 'masked' END) AS errors FROM src_rows r JOIN tasks t ON t.task_id = r.task_id AND status = 'accepted' LEFT JOIN dated d ON d.task_id = r.task_id LEFT JOIN c ON c.task_id = r.task_id AND c.row_index = r.row_index LEFT JOIN m ON m.task_id = r.task_id AND m.row_index = r.row_index)
 """
@@ -301,7 +301,7 @@ add(
 add(
     "a11_migrated_annotations",
     lambda t: tasks.migrate(t.tasks, parse.effective_annotation(t.artifacts, keep_payload=True), "v5").where("new_id is not null").select("task_id", "prelabel"),
-    "SELECT task_id, payload AS prelabel FROM tasks JOIN (SELECT task_id, payload FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1) USING (task_id) WHERE status = 'accepted' AND json_valid(payload)",
+    "SELECT task_id, payload AS prelabel FROM tasks JOIN (SELECT task_id, payload FROM artifacts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY (kind = 'human_review_answer') DESC, seq DESC) = 1) USING (task_id) WHERE status = 'accepted' AND json_valid(regexp_extract(regexp_replace(payload, '(?is)<think>.*?</think>', '', 'g'), '(?s)\x7b.*\x7d'))",
 )
 
 

@@ -405,3 +405,65 @@ def test_queries_of_the_whole_job(spark, tmp_path):
     deviations = annotation.R.queries["e12_all_task_deviations"](spark, sf).select("task_id").distinct().collect()
     assert any(r.task_id >= "doc-000050" for r in deviations)
     assert len(repairs.R.queries["f19_unjustified_duplicate_masks"](spark, sf).select("rep").distinct().collect()) > 1
+
+
+def test_annotations_as_models_write_them(spark):
+    row = '{"rows": [{"row_index": 0, "output": {"entities": {"person": ["Ann"]}}}]}'
+    fenced = f"<think>which {{rows}}?</think>\n```json\n{row}\n```"
+    kinds = {"h": "human_review_answer", "a": "annotation_result"}
+    data = [("fenced", 1, "a", fenced), ("prose", 1, "a", f"Sure! {row} Done."), ("list", 1, "a", row), ("back", 1, "a", fenced), ("back", 2, "a", ""), ("back", 3, "a", '{"rows": ['), ("human", 1, "h", row), ("human", 2, "a", row)]
+    data += [("person", 1, "a", row), ("person", 2, "h", "{broken"), ("none", 1, "a", None), ("array", 1, "a", "[1]"), ("empty", 1, "a", '{"rows": []}')]
+    frame = spark.createDataFrame([(t, s, kinds[k], p) for t, s, k, p in data], "task_id string, seq int, kind string, payload string")
+    usable = {r.task_id: (r.seq, r.usable) for r in parse.effective_annotation(frame).collect()}
+    assert usable == {"fenced": (1, True), "prose": (1, True), "list": (1, True), "back": (3, False), "human": (1, True), "person": (2, False), "none": (1, False), "array": (1, False), "empty": (1, True)}
+    # a human answer that can't be read ends the search
+    assert {r.task_id: r.seq for r in parse.last_readable_annotation(frame).collect()} == {"fenced": 1, "prose": 1, "list": 1, "back": 1, "human": 1, "empty": 1}
+
+
+def test_no_name_is_defined_twice():
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    for path in Path(repair.__file__).parents[1].rglob("*.py"):
+        names = Counter(x.name for x in ast.parse(path.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef))
+        assert not [n for n, k in names.items() if k > 1], path
+
+
+def test_settled_disputes_and_runs(spark):
+    """Against a plain walk over each span's proposals, with runs so short that repeats fall on their seams."""
+    r = random.Random(12)
+    sources = ["qc_consensus", "arbiter_correction", "declared:ann", "dispute_resolved_by:bo"]
+    events = [(s, i, r.choice("xy"), r.choice([None, "t1", "t2"]), r.choices(sources, [6, 3, w, w])[0]) for s, n, w in (("hot", 300, 0.05), ("calm", 40, 0), ("settled", 60, 1), ("one", 1, 0)) for i in range(n)]
+    want = {}
+    for span in ("hot", "calm", "settled", "one"):
+        kind = by = last = None
+        locked, n, kinds, tasks = False, 0, set(), set()
+        for _, _, t, task, source in (e for e in events if e[0] == span):
+            if last == (t, source, task) and not source.startswith("dispute"):
+                continue
+            last, n, kinds, tasks = (t, source, task), n + 1, kinds | {t}, tasks | {task}
+            operator = source.startswith(("declared:", "dispute_resolved_by:"))
+            if operator or kind is None:
+                kind, by = t, source
+            locked |= operator
+        want[span] = (kind, "active" if locked or len(kinds) == 1 else "disputed", by, n, len(tasks - {None}), locked)
+    frame = spark.createDataFrame(events, "span_lower string, seq long, type string, task_id string, source string").repartition(5)
+    for run in (1, 7, conventions.RUN):
+        got = {x.span_lower: tuple(x)[1:] for x in conventions.from_proposals(frame, run).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize(("frame", "size"), [(5, 16), (8, 8), (1, 4), (200, 1 << 16)])
+def test_rescaled_in_ranges(spark, frame, size):
+    r = random.Random(frame)
+    data = [(r.choice("aab"), i, r.choice([None, float(r.randint(0, 9))])) for i in range(150)]
+    rows = spark.createDataFrame(data, "k string, i int, v double").repartition(4)
+    got = {x.i: x.scaled for x in consensus.rescaled(rows, "k", "v", ["i"], frame, 3, size).collect()}
+    for k in "ab":
+        own = [x for x in data if x[0] == k]
+        for at, (_, i, v) in enumerate(own):
+            seen = [x[2] for x in own[max(0, at - frame + 1) : at + 1]]
+            known = [x for x in seen if x is not None]
+            flat = len(seen) < 3 or (known and min(known) == max(known))
+            assert got[i] == (v if flat or v is None else (v - min(known)) / (max(known) - min(known)))
