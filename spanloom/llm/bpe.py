@@ -2,11 +2,14 @@
 
 A round computes the key of each pair of neighbours, finds its rank by binary search over the sorted keys of all merges,
 takes the lowest rank of each word and merges every place of that pair, from left to right. Words without a mergeable pair
-leave the active set. Words are encoded once and remembered up to a bound.
+leave the active set. Words are encoded once and remembered up to a bound. A round looks at all of a word, so long words are merged apart:
+pair by pair in order of rank, all places of a pair at once, with links between neighbours in place of moved symbols, so that the work
+grows with the merges and not with rounds times length.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import CHUNK_BYTES, text_chunks, text_of
 
 NO_RANK = np.int64(1) << 40
+#: Bytes beyond which a word is long.
+LONG = 512
 
 # Fixed value: the public pre-tokenizer pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,7 +59,8 @@ class Tokenizer:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
-        self.pair_ids = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        self.rank_keys, self.rank_ids = keys, np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.pair_ids = self.rank_ids[order]
         back = {s: b for b, s in symbols.items()}
         pieces = [b""] * self.size
         for token, i in vocab.items():
@@ -76,9 +82,73 @@ class Tokenizer:
         self.lengths = np.ones(len(self.flat), np.int64)
         self.starts = np.arange(len(self.flat), dtype=np.int64)
 
-    def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
         raw = [w.encode() for w in words]
+        long = np.array([len(r) > LONG for r in raw], bool)
+        if not long.any():
+            return self.merge_rounds(raw)
+        short_ids, short_n = self.merge_rounds([r for r, x in zip(raw, long, strict=True) if not x])
+        long_ids, long_n = self.merge_by_rank([r for r, x in zip(raw, long, strict=True) if x])
+        n = np.empty(len(raw), np.int64)
+        n[~long], n[long] = short_n, long_n
+        at = np.repeat(long, n)
+        ids = np.empty(len(at), np.int64)
+        ids[~at], ids[at] = short_ids, long_ids
+        return ids, n
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each pair's key, NO_RANK for pairs that don't merge."""
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK)
+
+    def merge_by_rank(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merge_rounds(). Places wait under the rank of their pair; the lowest rank is taken with all its places that still hold the pair."""
+        lengths = np.array([len(r) for r in raw], np.int64)
+        symbol = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        word = np.repeat(np.arange(len(raw)), lengths)
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        ends = np.cumsum(lengths)
+        after[ends - 1], before[ends - lengths] = -1, -1
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[at >= 0]
+            at = at[after[at] >= 0]
+            rank = self.ranks(symbol[at] * self.size + symbol[after[at]])
+            at, rank = at[rank < NO_RANK], rank[rank < NO_RANK]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            heads = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, places in zip(rank[heads].tolist(), np.split(at, heads[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(places)
+
+        wait(np.arange(len(symbol)))
+        while order:
+            r = heapq.heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[(symbol[at] >= 0) & (after[at] >= 0)]
+            at = at[symbol[at] * self.size + symbol[after[at]] == self.rank_keys[r]]
+            if not len(at):
+                continue
+            # overlapping places of one pair: every second one of a run, from the left
+            run = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
+            gone = after[at]
+            symbol[at], symbol[gone] = self.rank_ids[r], -1
+            after[at] = after[gone]
+            next_ = after[at]
+            before[next_[next_ >= 0]] = at[next_ >= 0]
+            wait(np.unique(np.concatenate([before[at], at])))
+        left = symbol >= 0
+        return symbol[left], np.bincount(word[left], minlength=len(raw)).astype(np.int64)
+
+    def merge_rounds(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
         lengths = np.array([len(r) for r in raw], np.int64)
         flat = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), lengths)
@@ -132,7 +202,7 @@ class Tokenizer:
             ends.append(len(words))
         new = sorted(set(words).difference(self.known)) if words else []
         if new:
-            ids, lengths = self.merge_rounds(new)
+            ids, lengths = self.merged(new)
             self.known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)

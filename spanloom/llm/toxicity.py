@@ -8,6 +8,7 @@ function words, and the score is shifted so that 0.5 is the language's threshold
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -47,14 +48,21 @@ class Features:
 
     def __init__(self):
         self.votes_of = {w.encode(): np.array([w in ws.split() for ws in FUNCTION_WORDS.values()], np.float32) for ws in FUNCTION_WORDS.values() for w in ws.split()}
+        self.times_forgotten = -1
         self.forget()
 
     def forget(self) -> None:
+        self.times_forgotten += 1
         self.known: dict[bytes, int] = {}
         self.buckets, self.votes = np.zeros((0, 1 + len(BEGINNINGS)), np.int32), np.zeros((0, len(FUNCTION_WORDS)), np.float32)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets of the words of all texts, words of each text, and its language."""
+        ids, lengths, language = self.index(texts)
+        return self.buckets[ids], lengths, language
+
+    def index(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words of all texts, words of each text, and its language."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
         words = [[w.strip(b".,;:!?\"'()*%#$&") for w in words_of(t)] for t in texts]
@@ -70,7 +78,7 @@ class Features:
         lengths = np.array([len(w) for w in words], np.int64)
         totals = sums_by_text(self.votes[ids], lengths)
         language = np.where(totals.max(axis=1) > 0, totals.argmax(axis=1), len(FUNCTION_WORDS))
-        return self.buckets[ids], lengths, language
+        return ids, lengths, language
 
 
 def sums_by_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -158,8 +166,60 @@ class Model:
             return np.zeros(0)
         return self.pooled(buckets, lengths)[0] @ self.weights + self.bias
 
-    def scores(self, buckets: np.ndarray, lengths: np.ndarray, language: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(buckets, lengths) - self.thresholds[language], -40, 40)))
+
+class Scorer:
+    """Scores of texts by a model. What a word adds to each filter is computed once for the word alone, and these parts are added up in one
+    order, so that a text has the same score, to the last bit, in any company, batch and task."""
+
+    def __init__(self, model: Model):
+        self.model, self.make = model, Features()
+        self.known, self.seen, self.parts = 0, 0, [[np.zeros((0, FILTERS), np.float32) for _ in range(w)] for w in WIDTHS]
+
+    def learn(self) -> None:
+        """Parts of the words that are new since the last call."""
+        if self.seen != self.make.times_forgotten:
+            self.known, self.seen = 0, self.make.times_forgotten
+        new = self.model.embed(self.make.buckets[self.known :]).astype(np.float64)
+        for parts, kernel in zip(self.parts, self.model.kernels, strict=True):
+            for j in range(len(parts)):
+                own = np.zeros((len(new), FILTERS))
+                for d in range(DIMENSION):
+                    own += new[:, d, None] * kernel[j * DIMENSION + d]
+                if len(parts[j]) < self.known + len(new):  # room grows by doubling
+                    room = np.zeros((2 * (self.known + len(new)), FILTERS), np.float32)
+                    room[: self.known] = parts[j][: self.known]
+                    parts[j] = room
+                parts[j][self.known : self.known + len(new)] = own
+        self.known = len(self.make.buckets)
+
+    def pooled(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """As Model.pooled(), from the parts of the words; PIECE windows at a time."""
+        ends = np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        best = np.where(lengths[:, None] > 0, np.float32(-np.inf), np.float32(0)) * np.ones(FILTERS * len(WIDTHS), np.float32)
+        for a in range(0, len(ids), PIECE):
+            at = np.arange(a, min(a + PIECE, len(ids)))
+            own = owner[at]
+            room = ends[own] - at
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            for i, parts in enumerate(self.parts):
+                value = parts[0][ids[at]]
+                for j in range(1, len(parts)):
+                    inside = np.flatnonzero(room > j)
+                    value[inside] += parts[j][ids[at[inside] + j]]
+                column = slice(i * FILTERS, (i + 1) * FILTERS)
+                best[own[heads], column] = np.maximum(best[own[heads], column], np.maximum.reduceat(value, heads, axis=0))
+        return np.maximum(best + np.concatenate(self.model.offsets), 0)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Score and language of each text."""
+        ids, lengths, language = self.make.index(texts)
+        self.learn()
+        pooled = self.pooled(ids, lengths).astype(np.float64)
+        logit = self.model.bias - self.model.thresholds[language]
+        for f in range(pooled.shape[1]):
+            logit = logit + pooled[:, f] * float(self.model.weights[f])
+        return np.array([1 / (1 + math.exp(-min(max(x, -40.0), 40.0))) for x in logit.tolist()]), language
 
 
 def gradients(model: Model, buckets: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -312,10 +372,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, model = Features(), shared.value
+        score = Scorer(shared.value)
         for batch, texts in text_chunks(batches, "text"):
-            buckets, lengths, language = make(texts)
-            scores = model.scores(buckets, lengths, language)
+            scores, language = score(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores.astype(np.float64)), pa.array((scores >= 0.5).astype(np.int32)), pa.array([LANGUAGES[k] for k in language.tolist()], pa.string())],
                 names=["id", "held_out", "score", "predicted", "language"],

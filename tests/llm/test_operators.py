@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -171,7 +172,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_gradients_and_pooling_in_pieces(monkeypatch):
-    """Gradients against differences of the loss; pooling of pieces, of several texts and of one at a time gives the same."""
+    """Gradients against differences of the loss; pooling of pieces, of several texts and of one at a time gives nearly the same in training."""
     r = np.random.default_rng(0)
     m = toxicity.Model.new(1)
     m.offsets = [r.normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
@@ -179,10 +180,10 @@ def test_gradients_and_pooling_in_pieces(monkeypatch):
     buckets = r.integers(0, 50, (lengths.sum(), 3)).astype(np.int32)
     whole, places = m.pooled(buckets, lengths, places=True)
     alone = [m.pooled(buckets[e - n : e], np.array([n]))[0] for n, e in zip(lengths, np.cumsum(lengths), strict=True)]
-    assert (np.concatenate(alone) == whole).all()
+    assert np.allclose(np.concatenate(alone), whole, atol=1e-6)
     monkeypatch.setattr(toxicity, "PIECE", 5)
     cut, again = m.pooled(buckets, lengths, places=True)
-    assert (cut == whole).all() and (again == places).all()
+    assert np.allclose(cut, whole, atol=1e-6) and (again == places).mean() > 0.99
     m.table, m.weights = m.table.astype(np.float64), m.weights.astype(np.float64)
     m.kernels, m.offsets = [k.astype(np.float64) for k in m.kernels], [o.astype(np.float64) for o in m.offsets]
     y, w = np.array([1, 0, 1, 0, 1, 1, 0]), np.array([1, 2, 1, 1, 0.5, 1, 1])
@@ -206,6 +207,26 @@ def test_gradients_and_pooling_in_pieces(monkeypatch):
     assert slope(m.weights, 9) == pytest.approx(g["weights"][9], abs=1e-5)
 
 
+def test_scores_are_the_same_in_any_company(monkeypatch):
+    """To the last bit: alone, together, in any order, in pieces and after the words were forgotten; and close to the model's own pooling."""
+    r = np.random.default_rng(4)
+    m = toxicity.Model.new(2)
+    m.offsets = [r.normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    m.thresholds = r.normal(0, 0.1, len(toxicity.LANGUAGES))
+    texts = [b"", *(prose(n, n).encode() for n in (1, 2, 3, 17, 40, 400)), b"the " * 9, b"snarlo", b"\xff\xfe raw"]
+    whole, language = toxicity.Scorer(m)(texts)
+    alone = np.concatenate([toxicity.Scorer(m)([t])[0] for t in texts])
+    assert (alone == whole).all()
+    order = r.permutation(len(texts))
+    assert (toxicity.Scorer(m)([texts[i] for i in order] * 2)[0] == np.concatenate([whole[order]] * 2)).all()
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 30)
+    again = toxicity.Scorer(m)
+    assert all((again(texts[i : i + 2])[0] == whole[i : i + 2]).all() for i in range(len(texts) - 1))
+    buckets, lengths, _ = toxicity.Features()(texts)
+    assert np.allclose(1 / (1 + np.exp(m.thresholds[language] - m.logits(buckets, lengths))), whole, atol=1e-6)
+
+
 def test_the_network_learns_without_counted_evidence():
     """Which of two words comes first: no count of words tells, a filter of two words does."""
     r = np.random.default_rng(2)
@@ -710,3 +731,23 @@ def test_cosine_hash_keeps_to_the_picture():
     a = media.cosine_hash(smooth.astype(np.uint8))
     assert distance(a, media.cosine_hash((smooth + r.normal(0, 3, smooth.shape)).astype(np.uint8))) <= 12
     assert distance(a, media.cosine_hash(r.integers(0, 256, (96, 64)).astype(np.uint8))) > 15
+
+
+def test_bpe_of_long_words():
+    """Words without blanks, merged by rank, against merged in rounds and against the library; a million letters take seconds."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.Tokenizer(path)
+    r = random.Random(8)
+    words = ["a" * 5_000, "ab" * 2_000, "é日" * 900, "".join(r.choice("etaoinshrdlu") for _ in range(6_000)), "".join(r.choice(WORDS) for _ in range(900)), "x" * (bpe.LONG + 1), "aaab" * 700]
+    for raw in ([w.encode() for w in words], [w.encode() for w in words + WORDS[:50]]):
+        rounds, ranked = own.merge_rounds(raw), own.merge_by_rank(raw)
+        assert (rounds[0] == ranked[0]).all() and (rounds[1] == ranked[1]).all()
+    texts = [*words, "short " + words[3] + " words " + words[4], " ".join(WORDS)]
+    ids, ends = own.encode_batch(texts)
+    for t, a, b in zip(texts, np.append(0, ends[:-1]), ends, strict=True):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
+    huge = "".join(r.choice("etaoinshrdlu") for _ in range(1_000_000))
+    start = time.time()
+    ids, ends = own.encode_batch([huge])
+    assert time.time() - start < 60 and own.decode_batch(ids, ends) == [huge]
+    assert ids.tolist() == library.encode(huge, add_special_tokens=False).ids
