@@ -26,7 +26,34 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where, files = hadoop_path(spark, path)
+    files.delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for table in tables:
+        removed(table.sparkSession, table.written_at)
+
+
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder whose writer has ended well."""
+    where, files = hadoop_path(spark, path)
+    if not files.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in files.listStatus(where) if s.isDirectory() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -65,7 +92,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         better = labels.join(around, "node").select("node", F.least("root", "other").alias("root"))
         jumped = better.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"))
         new = written(jumped)
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old")
+        settled = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty()
+        dropped(labels)
         labels = new
-        if changed.isEmpty():
+        if settled:
+            dropped(both)
             return labels

@@ -220,6 +220,106 @@ def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | N
     return kept.join(kept.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1"), "rep").select("key", "rep", "similarity", "size")
 
 
+#: Columns of a matrix of sets and items that are multiplied at a time.
+COLUMNS = 4096
+
+
+def shared_items(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many items each pair of sets (arrays of distinct items) has in common, COLUMNS items at a time."""
+    both = np.concatenate([*x, *y]) if x or y else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    kinds, item = np.unique(both, return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    out = np.zeros((len(x), len(y)))
+    for a in range(0, len(kinds), COLUMNS):
+        own = slice(np.searchsorted(item, a), np.searchsorted(item, a + COLUMNS))
+        held = np.zeros((len(x) + len(y), min(COLUMNS, len(kinds) - a)), np.float32)
+        held[owner[own], item[own] - a] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out
+
+
+def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard index of each pair of sets, as jaccard() has it."""
+    both = shared_items(x, y)
+    sizes = np.array([len(s) for s in x], float)[:, None] + np.array([len(s) for s in y], float)[None]
+    return both / (sizes - both)
+
+
+def linked_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """key, rep, root, n_links of each text (key, text) with tokens: the least key of those with the same set of shingles, the least key of its
+    component, and how many other texts reach the threshold with it.
+
+    The result grows with the texts and not with their pairs. Links lie inside of components; there, distinct sets meet block by block,
+    where their sizes allow a link, and a task gives the number of links of each set only. near_duplicate_edges() lists single links.
+    """
+    sets, same = distinct_sets(shingle_sets(texts, n))
+    copies = same.groupBy("rep").agg(F.count("*").alias("copies"))
+    roots = components(sets, threshold).withColumnRenamed("node", "uid")
+    own = sets.join(roots, "uid", "left").join(copies.withColumnRenamed("rep", "key"), "key").select("uid", "key", "items", "copies", F.coalesce("root", "uid").alias("root"), F.col("root").isNotNull().alias("linked"))
+    own = written(own.withColumn("class", size_class(F.size("items"))))
+    groups = own.where("linked").groupBy("root", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min(F.size("items")).alias("least"), F.max(F.size("items")).alias("most"))
+    groups = written(groups)
+    meet = groups.alias("g").join(groups.alias("h"), "root").where((F.col("g.most") >= threshold * F.col("h.least") - 1e-9) & (F.col("h.most") >= threshold * F.col("g.least") - 1e-9))  # some dozen size classes
+    pairs = meet.select("root", F.col("g.class").alias("class"), F.col("h.class").alias("other"), F.col("g.blocks").alias("blocks"), F.col("h.blocks").alias("other_blocks"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    at = lambda c: F.pmod(F.xxhash64("uid"), F.col(c)).cast("int")
+    linked, cell = own.where("linked").drop("linked", "key"), ["root", "class", "other", "i", "j"]
+    one = linked.join(pairs, ["root", "class"]).withColumn("i", at("blocks")).withColumn("j", every("other_blocks")).select(*cell, "uid", "items", "copies").toDF(*cell, "uid", "items", "copies")
+    two = linked.withColumnRenamed("class", "other").join(pairs, ["root", "other"]).withColumn("j", at("other_blocks")).withColumn("i", every("blocks")).select(*cell, "uid", "items", "copies").toDF(*cell, "uid", "items", "copies")
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        total = np.zeros(len(x), np.int64)
+        if len(x) and len(y):
+            held = [np.array(v, np.int64) for v in y["items"].to_pylist()]
+            weight, names = y["copies"].to_numpy(), y["uid"].to_numpy()
+            for a in range(0, len(x), 256):
+                part = x.slice(a, 256)
+                close = similarities([np.array(v, np.int64) for v in part["items"].to_pylist()], held) >= threshold
+                close &= part["uid"].to_numpy()[:, None] != names[None]
+                total[a : a + 256] = close @ weight
+        return pa.table({"uid": x["uid"], "n": pa.array(total)})
+
+    counts = one.groupBy(*cell).cogroup(two.groupBy(*cell)).applyInArrow(run, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
+    least = own.groupBy("root").agg(F.min("key").alias("root_key"))
+    full = own.join(counts, "uid", "left").join(least, "root").select(F.col("key").alias("rep"), F.col("root_key").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return same.join(full, "rep").select("key", "rep", "root", "n_links")
+
+
+def text_components(texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """node, root: texts of distinct sets, each set once by its least key, with the least key of their component; those without a link are left out."""
+    sets, _ = distinct_sets(shingle_sets(texts, n))
+    named = components(sets, threshold).join(sets.select(F.col("uid").alias("node"), "key"), "node")
+    named = written(named.select("root", "key"))
+    return named.join(named.groupBy("root").agg(F.min("key").alias("least")), "root").select(F.col("key").alias("node"), F.col("least").alias("root"))
+
+
+def pairwise_summary(members: DataFrame, sets: DataFrame, exact_up_to: int = 256, permutations: int = 128, every: DataFrame | None = None) -> DataFrame:
+    """rep, size, mean_similarity, error: of each cluster (key, rep) the mean Jaccard index of its pairs of sets (key, items). Clusters of up to
+    exact_up_to members are computed in full, each in one task, with error 0; larger ones are estimated from signatures, with the standard error
+    of that. Of every (key), those in no cluster come as clusters of one, with a mean of 1."""
+    sizes = written(members.groupBy("rep").agg(F.count("*").alias("size")))
+    own = members.select("key", "rep").join(sizes, "rep")
+
+    def run(table: pa.Table) -> pa.Table:
+        held = [np.array(v, np.int64) for v in table["items"].to_pylist()]
+        value, m = similarities(held, held), len(held)
+        mean = (value.sum() - np.trace(value)) / (m * (m - 1)) if m > 1 else 1.0
+        return pa.table({"rep": table["rep"].slice(0, 1), "size": pa.array([m], pa.int64()), "mean_similarity": pa.array([float(mean)]), "error": pa.array([0.0])})
+
+    schema = f"rep {members.schema['rep'].dataType.simpleString()}, size long, mean_similarity double, error double"
+    exact = own.where(F.col("size") <= exact_up_to).join(sets, "key").groupBy("rep").applyInArrow(run, schema)
+    large = own.where(F.col("size") > exact_up_to)
+    about = mean_pairwise_jaccard(large, written(minhash(sets.join(large.select("key"), "key", "left_semi"), permutations)))
+    mean = F.col("mean_similarity")
+    out = exact.unionByName(about.withColumn("error", F.sqrt(mean * (1 - mean) / permutations)))
+    if every is not None:
+        alone = every.select("key").join(members.select("key"), "key", "left_anti")
+        out = out.unionByName(alone.select(F.col("key").alias("rep"), F.lit(1).cast("long").alias("size"), F.lit(1.0).alias("mean_similarity"), F.lit(0.0).alias("error")))
+    return out
+
+
 def cluster_summary(members: DataFrame) -> DataFrame:
     """Per cluster its size and the members' mean similarity to the representative."""
     return members.groupBy("rep").agg(F.count("*").alias("size"), F.round(F.avg(F.when(F.col("key") != F.col("rep"), F.col("similarity"))), 6).alias("mean_similarity"))

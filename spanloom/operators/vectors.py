@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,3 +206,132 @@ def cosine_clusters(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
     pairs = own.select("uid", "rep_uid").distinct().join(one, "uid").join(two, "rep_uid").select("uid", "rep_uid", F.when(F.col("uid") == F.col("rep_uid"), F.lit(1.0)).otherwise(cosine(F.col("x"), F.col("y"))).alias("cosine"))
     kept = written(own.join(pairs.where(F.col("cosine") >= threshold), ["uid", "rep_uid"]).select(F.col("id").alias("key"), "rep", "cosine"))
     return kept.join(kept.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1"), "rep").select("key", "rep", "cosine", "size")
+
+
+#: Pivots of the cells in which neighbours are looked for, at most: a sample of the vectors, chosen by hash.
+MOST_PIVOTS = 1024
+
+
+def pivot_cells(vectors: DataFrame, radius: float, seed: int = 11) -> DataFrame:
+    """uid, cell, home: each vector (uid, v) in the cell of its nearest pivot, and as a guest in every cell that may hold a vector within radius of it:
+    where the pivot is farther than the nearest one by no more than twice the radius. Vectors of another dimension have cells of their own."""
+    n = vectors.count()
+    most = max(1, min(MOST_PIVOTS, math.isqrt(n)))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(1 << 53)) / float(1 << 53)
+    sample: dict[int, list] = {}
+    for r in vectors.where(draw < 4 * most / max(n, 1)).select("v").limit(2 * MOST_PIVOTS).collect():  # any sample will do
+        if len(sample.setdefault(len(r.v), [])) < most:
+            sample[len(r.v)].append(r.v)
+    shared = vectors.sparkSession.sparkContext.broadcast({d: np.array(rows) for d, rows in sample.items()})  # most for each dimension
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            for d in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == d)
+                x = lists.take(pa.array(own)).flatten().to_numpy().reshape(-1, d)
+                pivots = shared.value.get(d, np.zeros((1, d)))
+                far = np.sqrt(squares(x, pivots))
+                nearest = far.argmin(axis=1)
+                row, cell = np.nonzero(far <= far.min(axis=1, keepdims=True) * (1 + NEAR) + 2 * radius + NEAR)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[row])), pa.array(cell.astype(np.int64) + (d << 40)), pa.array(nearest[row] == cell)], names=["uid", "cell", "home"])
+
+    return vectors.select("uid", "v").mapInArrow(run, f"uid {vectors.schema['uid'].dataType.simpleString()}, cell long, home boolean")
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows."""
+    return np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * (x @ y.T), 0)
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: float, rows: int = 512):
+    """Places and squared distance of the pairs of rows within radius, some rows of x at a time; those near the radius are computed anew."""
+    for a in range(0, len(x), rows):
+        value = squares(x[a : a + rows], y)
+        close = np.abs(value - radius**2) < NEAR * (1 + value)
+        if close.any():
+            i, j = np.nonzero(close)
+            value[i, j] = ((x[a + i] - y[j]) ** 2).sum(axis=1)
+        i, j = np.nonzero(value <= radius**2)
+        yield i + a, j, value[i, j]
+
+
+def density_clusters(vectors: DataFrame, radius: float, least: int = 5, smallest: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, cluster and kind of each vector: core, with at least `least` vectors within radius of it, itself included; border, not core but near one; or noise.
+    Cores within radius of each other share a cluster, named by its least core; a border vector belongs to its nearest core's, of equally near
+    ones to the least. Members of clusters of fewer than `smallest` vectors are noise, and so are vectors that are null, empty or not finite.
+
+    Distances are those of the whole space, exact. Neighbours are looked for in cells around pivots, a block of a cell's own vectors with a block
+    of all that may be near them in a task; counts, links and nearest cores leave the task, and no pairs do.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    fits = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.col("id").isNotNull()
+    distinct, members = distinct_vectors(rows.where(fits))
+    weights = members.groupBy("uid").agg(F.count("*").alias("weight"))
+    points = written(distinct.join(weights, "uid"))
+    cells = written(pivot_cells(points, radius))
+    blocks = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("home_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("home_blocks > 0")
+    dealt = cells.join(blocks, "cell").withColumns({"h": F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("home_blocks")).cast("int"), "g": F.pmod(F.xxhash64(F.lit(2), "uid"), F.col("blocks")).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = written(dealt.where("home").select("uid", "cell", "h", every("blocks").alias("g")))
+    guests = written(dealt.select("uid", "cell", "g", every("home_blocks").alias("h")))
+    key = ["cell", "h", "g"]
+
+    def tiles(facts: DataFrame, run, schema: str) -> DataFrame:
+        columns = [c for c in facts.columns if c != "uid"]
+        one = home.join(facts, "uid").select("uid", *(F.col(c).alias(f"h_{c}") for c in key), *columns).toDF("uid", *key, *columns)
+        two = guests.join(facts, "uid").select("uid", *(F.col(c).alias(f"g_{c}") for c in key), *columns).toDF("uid", *key, *columns)
+        return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(run, schema)
+
+    def counted(one: pa.Table, two: pa.Table) -> pa.Table:
+        n = np.zeros(len(one), np.int64)
+        if len(one) and len(two):
+            weight = two["weight"].to_numpy()
+            for i, j, _ in near_pairs(matrix(one["v"]), matrix(two["v"]), radius):
+                n += np.bincount(i, weights=weight[j], minlength=len(n)).astype(np.int64)
+        return pa.table({"uid": one["uid"], "n": pa.array(n)})
+
+    around = tiles(points.select("uid", "v", "weight"), counted, f"uid {kind}, n long").groupBy("uid").agg(F.sum("n").alias("n"))
+    marked = written(points.join(around, "uid").select("uid", "v", (F.col("n") >= least).alias("core")))
+
+    def linked(one: pa.Table, two: pa.Table) -> pa.Table:
+        """Of each core the least one that the tile connects it to; of others the nearest core."""
+        none = pa.table({"uid": one["uid"].slice(0, 0), "near": one["uid"].slice(0, 0), "square": pa.array([], pa.float64()), "core": pa.array([], pa.bool_())})
+        two = two.filter(two["core"])
+        if not len(one) or not len(two):
+            return none
+        core, x, y = one["core"].to_numpy(), matrix(one["v"]), matrix(two["v"])
+        both = pa.concat_tables([one.select(["uid"]), two.select(["uid"])])["uid"]
+        rank = np.empty(len(two), np.int64)
+        rank[pc.sort_indices(two["uid"]).to_numpy()] = np.arange(len(two))
+        best = np.full(len(one), -1)
+        square = np.full(len(one), np.inf)
+        edges = []
+        for i, j, d in near_pairs(x, y, radius):
+            edges.append((i[core[i]], j[core[i]] + len(one)))
+            i, j, d = i[~core[i]], j[~core[i]], d[~core[i]]
+            order = np.lexsort((rank[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            best[i[first]], square[i[first]] = j[first], d[first]
+        label = least_connected(len(both), iter(edges))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        border = np.flatnonzero(best >= 0)
+        return pa.table({
+            "uid": pa.concat_arrays([both.take(pa.array(moved)).combine_chunks(), one["uid"].take(pa.array(border)).combine_chunks()]),
+            "near": pa.concat_arrays([both.take(pa.array(label[moved])).combine_chunks(), two["uid"].take(pa.array(best[border])).combine_chunks()]),
+            "square": pa.array(np.append(np.zeros(len(moved)), square[border])),
+            "core": pa.array(np.append(np.ones(len(moved), bool), np.zeros(len(border), bool))),
+        })
+
+    found = written(tiles(marked, linked, f"uid {kind}, near {kind}, square double, core boolean"))
+    roots = connected_components(found.where("core and uid <> near").select(F.col("uid").alias("a"), F.col("near").alias("b")))
+    cores = marked.where("core").select("uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"))
+    border = found.where("not core").groupBy("uid").agg(F.min(F.struct("square", "near")).alias("b")).select("uid", F.col("b.near").alias("core_uid"))
+    border = border.join(cores.withColumnRenamed("uid", "core_uid"), "core_uid").select("uid", "root")
+    own = written(cores.withColumn("kind", F.lit("core")).unionByName(border.withColumn("kind", F.lit("border"))).join(members, "uid").select("id", "root", "kind"))
+    large = own.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= smallest).select("root")
+    kept = own.join(large, "root").select("id", F.col("root").alias("cluster"), "kind")
+    return vectors.select(F.col(id_col).alias("id")).join(kept.dropDuplicates(["id"]), "id", "left").select(F.col("id").alias(id_col), "cluster", F.coalesce("kind", F.lit("noise")).alias("kind"))

@@ -181,13 +181,28 @@ add("f03_lsh_edges", lambda t: similarity.near_duplicate_edges(task_texts(t), 5,
 add("f04_task_edges", lambda t: similarity.near_duplicate_edges(task_texts(t), 5, 0.7).select("a", "b", F.round("similarity", 6).alias("similarity")), TASK_EDGES + "SELECT a, b, round(similarity, 6) AS similarity FROM edges")
 add(
     "f05_components",
-    lambda t: graph.connected_components(similarity.near_duplicate_edges(task_texts(t), 5, 0.5)),
+    lambda t: similarity.text_components(task_texts(t), 5, 0.5),
     sets_sql(5, TASK_TEXTS)
     + edges_sql(0.5)
     + ", both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node",
 )
+add(
+    "f04_linked_texts",
+    lambda t: similarity.linked_texts(task_texts(t), 5, 0.5),
+    sets_sql(5, TASK_TEXTS)
+    + edges_sql(0.5)
+    + """, same AS (SELECT i.key, s.key AS rep FROM items i JOIN sets s ON s.items = i.items), n AS (SELECT rep, count(*) AS copies FROM same GROUP BY rep), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT rep AS node, rep AS other FROM n UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node), links AS (SELECT a, sum(copies)::BIGINT AS n FROM both_ways JOIN n ON n.rep = b GROUP BY a)
+SELECT key, same.rep, root, coalesce(links.n, 0) + copies - 1 AS n_links FROM same JOIN roots ON node = same.rep JOIN n ON n.rep = same.rep LEFT JOIN links ON a = same.rep""",
+)
 add("f06_row_clusters", lambda t: row_clusters(t).withColumn("similarity", F.round("similarity", 6)), ROW_CLUSTERS + "SELECT key, rep, round(similarity, 6) AS similarity, size FROM clusters")
 add("f07_cluster_summary", lambda t: similarity.cluster_summary(row_clusters(t)), ROW_CLUSTERS + "SELECT rep, count(*) AS size, round(avg(similarity) FILTER (key <> rep), 6) AS mean_similarity FROM clusters GROUP BY rep")
+add(
+    "f07_pairwise_summary",
+    lambda t: similarity.pairwise_summary(row_clusters(t), similarity.shingle_sets(row_texts(t), 3), every=row_texts(t).where(F.col("text").rlike("\\S"))).withColumn("mean_similarity", F.round("mean_similarity", 6)).select("rep", "size", "mean_similarity"),
+    ROW_CLUSTERS + """, pairs AS (SELECT c.rep, avg(len(list_intersect(x.items, y.items)) / (len(x.items) + len(y.items) - len(list_intersect(x.items, y.items)))) AS mean FROM clusters c JOIN clusters d ON d.rep = c.rep AND c.key < d.key JOIN items x ON x.key = c.key JOIN items y ON y.key = d.key GROUP BY c.rep)
+SELECT c.rep, count(*) AS size, round(any_value(mean), 6) AS mean_similarity FROM clusters c JOIN pairs p ON p.rep = c.rep GROUP BY c.rep UNION ALL SELECT key, 1, 1.0::DOUBLE FROM items WHERE key NOT IN (SELECT key FROM clusters)""",
+)
 add("f08_rejects", lambda t: similarity.rejects(row_clusters(t)), ROW_CLUSTERS + "SELECT key, rep FROM clusters QUALIFY key <> min(key) OVER (PARTITION BY rep)")
 add(
     "f09_dedup_report",
@@ -228,6 +243,8 @@ def mean_jaccard(t: Tables):
 
 add("f13_mean_jaccard", mean_jaccard)
 add("f21_embedding_map", lambda t: similarity.embedding_map(t.source("embeddings"), 0.2, 5))
+NEAR = ", near AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.15), cores AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3), ways AS (SELECT a, b FROM near WHERE a IN (FROM cores) AND b IN (FROM cores)), reach AS (SELECT a AS node, a AS other FROM cores UNION SELECT r.node, w.b FROM reach r JOIN ways w ON w.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node), border AS (SELECT a AS node, arg_min(b, struct_pack(d := d, b := b)) AS core FROM near WHERE a NOT IN (FROM cores) AND b IN (FROM cores) GROUP BY a), found AS (SELECT node, root, 'core' AS kind FROM roots UNION ALL SELECT border.node, root, 'border' FROM border JOIN roots ON roots.node = core), large AS (SELECT * FROM found QUALIFY count(*) OVER (PARTITION BY root) >= 4)\n"
+add("f21_density_clusters", lambda t: vectors.density_clusters(t.source("embeddings"), 1.15, 3, 4), NEAR + "SELECT vec_id, root AS cluster, coalesce(kind, 'noise') AS kind FROM embeddings LEFT JOIN large ON node = vec_id")
 add("f15_embedded", lambda t: similarity.embed(task_texts(t), similarity.random_embedder(16), 16))
 add("f18_report_state", lambda t: similarity.report_state(similarity.fingerprint(row_texts(t).where("key >= 'doc-000001'")), similarity.fingerprint(row_texts(t))), f"SELECT CASE WHEN min({KEY}) < 'doc-000001' THEN 'stale' ELSE 'fresh' END AS state FROM src_rows")
 add("f18_masked_since", lambda t: similarity.masked_since(row_clusters(t), masked_keys(t)), ROW_CLUSTERS + f"SELECT rep, count(*) AS n_masked FROM clusters WHERE key IN (SELECT {KEY} FROM row_masks) GROUP BY rep")

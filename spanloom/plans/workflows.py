@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from spanloom.fixtures import one_of
 from spanloom.operators import parse, stats, workflow
 from spanloom.operators.graph import shared_folder
 from spanloom.plans.oracle import Registry
@@ -37,6 +38,49 @@ def streamed_statistics(t):
     return live.read_statistics(t.spark, f"{base}/out")
 
 
+#: States of each task: accepted with the first draft; rejected some time later, for some; accepted again with other spans, for some.
+AGAIN, BACK = one_of("01234567", "concat(task_id, '|again')"), one_of("012345", "concat(task_id, '|back')")
+
+
+def replaced(t):
+    """The statistics that a stream of task states keeps, after two restarts and with a compaction between them."""
+    base = f"{shared_folder(t.spark)}/spanloom-{uuid.uuid4().hex}"
+    for key, value in live.STATE_STORE.items():
+        t.spark.conf.set(key, value)
+    decided = lambda spans: stats.lower_decisions(spans).groupBy("task_id").agg(F.collect_set(F.struct("span_lower", "type")).alias("decisions"))
+    own = t.tasks.select("task_id", "project_id")
+    first = own.join(decided(t.drafts.where("draft = 1")), "task_id", "left").withColumn("status", F.lit("accepted"))
+    for version, states in enumerate([first, first.where(AGAIN).withColumn("status", F.lit("rejected")), own.where(BACK).join(decided(t.spans), "task_id", "left").withColumn("status", F.lit("accepted"))]):
+        rows = states.select("task_id", F.lit(version).cast("long").alias("version"), "project_id", "status", "decisions")
+        rows.write.mode("append").parquet(f"{base}/in")
+        live.replace_statistics(t.spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+        if version < 2:
+            live.compact_statistics(t.spark, f"{base}/out")
+    return live.replaced_statistics(t.spark, f"{base}/out")
+
+
+def beats(t):
+    """Heartbeats of runs, one for each user: their events, some of them twice."""
+    own = t.source("events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("heartbeat_at"), "event_id")
+    return own.unionByName(own.where("event_id % 5 = 0")).drop("event_id")
+
+
+def stale(t, seconds, late):
+    """Alerts of a stream that gets the heartbeats in three parts, in order of time but for late ones."""
+    base = f"{shared_folder(t.spark)}/spanloom-{uuid.uuid4().hex}"
+    for key, value in live.STATE_STORE.items():
+        t.spark.conf.set(key, value)
+    rows = beats(t)
+    first, last = rows.agg(F.min(F.unix_millis("heartbeat_at")), F.max(F.unix_millis("heartbeat_at"))).first()
+    # some heartbeats come as late as the watermark allows
+    part = F.least(F.floor((F.unix_millis("heartbeat_at") + F.pmod(F.hash("run_id", "heartbeat_at"), F.lit(late * 1000 - 1)) - first) * 3 / (last + late * 1000 - first)), F.lit(2)).cast("int")
+    for k in range(3):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        live.stale_alerts(stream, seconds, f"{late} seconds").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("run_id long, last_ms long").parquet(f"{base}/out")
+
+
 def now():
     return F.lit(NOW).cast("timestamp")
 
@@ -345,6 +389,20 @@ add(
     lambda t: streamed_statistics(t),
     "SELECT span_lower, type, count(*) AS n FROM (SELECT DISTINCT task_id, lower(span) AS span_lower, type FROM spans) GROUP BY ALL",
 )
+DECIDED = "(SELECT task_id, lower(trim(span)) AS span_lower, type FROM {} WHERE trim(span) <> '' GROUP BY ALL)"
+add(
+    "s05_replaced_statistics",
+    lambda t: replaced(t),
+    f""", first AS (SELECT * FROM {DECIDED.format("(SELECT * FROM drafts WHERE draft = 1)")}), last AS (SELECT * FROM {DECIDED.format("spans")}),
+kept AS (SELECT * FROM first WHERE NOT {AGAIN} AND NOT {BACK} UNION ALL SELECT * FROM last WHERE {BACK})
+SELECT project_id, span_lower, type, count(*) AS n FROM kept JOIN tasks USING (task_id) GROUP BY ALL""",
+)
+add(
+    "s04_stale_alerts",
+    lambda t: stale(t, 20_000, 3_000),
+    """, beats AS (SELECT DISTINCT user_id AS run_id, epoch_us(ts) // 1000 AS ms FROM events), gaps AS (SELECT *, lead(ms) OVER (PARTITION BY run_id ORDER BY ms) AS following FROM beats)
+SELECT run_id, ms AS last_ms FROM gaps WHERE (following IS NULL OR following > ms + 20000000) AND ms + 20000000 <= (SELECT max(ms) FROM beats) - 3000000""",
+)
 add(
     "s02_throughput_windows",
     lambda t: live.throughput(t.attempts, "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "n"),

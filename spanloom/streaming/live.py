@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from spanloom.operators.conventions import row_hits
+from spanloom.operators.graph import complete_folders, removed
 
 #: What a session needs for the operators that keep state of their own.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -96,42 +99,114 @@ def bad_moves(changes: DataFrame) -> DataFrame:
 
 
 class HeartbeatProcessor(StatefulProcessor):
-    """Sets a timer at each heartbeat; it fires where none follows in time."""
+    """Sets a timer at each heartbeat; when it fires without another heartbeat since, the run was stale. A heartbeat goes from the state when
+    its timer has fired, so that late ones may still fill a gap and the state holds no more than the watched time."""
 
     def __init__(self, seconds: int):
         self.millis = seconds * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("beat", "at long")
+        self.beats = handle.getMapState("beats", "at long", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = max(int(f["at_ms"].max()) for f in rows)
-        if self.state.exists():
-            (old,) = self.state.get()
-            if newest <= old:
-                return
-            self.handle.deleteTimer(old + self.millis)
-        self.state.update((newest,))
-        self.handle.registerTimer(newest + self.millis)
+        for frame in rows:
+            for at in frame["at_ms"].unique().tolist():
+                if not self.beats.containsKey((at,)):  # a heartbeat that comes again changes nothing
+                    self.beats.updateValue((at,), (True,))
+                    self.handle.registerTimer(at + self.millis)
         return
         yield
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        (at,) = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame([(key[0], at)], columns=["run_id", "last_ms"])
+        at = expiredTimerInfo.getExpiryTimeInMs() - self.millis
+        stale = not any(at < other <= at + self.millis for (other,) in self.beats.keys())
+        self.beats.removeKey((at,))
+        if stale:
+            yield pd.DataFrame([(key[0], at)], columns=["run_id", "last_ms"])
 
     def close(self) -> None:
         pass
 
 
 def stale_alerts(heartbeats: DataFrame, seconds: int = 600, late: str = "1 minute") -> DataFrame:
-    """run_id, last_ms of runs (run_id, heartbeat_at) without a heartbeat for that long, by event time: once the watermark is past it. A run that
-    beats again afterwards is watched anew."""
+    """run_id, last_ms: each heartbeat of a run (run_id, heartbeat_at) that no other follows within that long, once the watermark is past it. Heartbeats
+    may come again, and late by as much as the watermark waits. A run that beats again afterwards is watched anew."""
     own = heartbeats.withWatermark("heartbeat_at", late).select("run_id", "heartbeat_at", F.unix_millis("heartbeat_at").alias("at_ms"))
     return own.groupBy("run_id").transformWithStateInPandas(HeartbeatProcessor(seconds), "run_id long, last_ms long", "Append", "EventTime")
 
 
+class ContributionProcessor(StatefulProcessor):
+    """Per task what it now adds to the statistics; each newer version gives the differences to that, so that counts are taken back as well."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("counted", "version long, items string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        version, counted = (-1, set())
+        if self.state.exists():
+            version, items = self.state.get()
+            counted = {tuple(x) for x in json.loads(items)}
+        before = set(counted)
+        events = pd.concat(rows).sort_values("version")
+        for e in events.itertuples():
+            if e.version > version:  # versions that come again, or after a newer one, change nothing
+                version = int(e.version)
+                counted = {(e.project_id, d["span_lower"], d["type"]) for d in e.decisions} if e.status == "accepted" and e.decisions is not None else set()
+        self.state.update((version, json.dumps(sorted(counted))))
+        changes = [(*x, 1) for x in sorted(counted - before)] + [(*x, -1) for x in sorted(before - counted)]
+        if changes:
+            yield pd.DataFrame(changes, columns=["project_id", "span_lower", "type", "delta"])
+
+    def close(self) -> None:
+        pass
+
+
+def statistics_changes(states: DataFrame) -> DataFrame:
+    """project_id, span_lower, type, delta: how each change of a task (task_id, version, project_id, status, decisions array<struct<span_lower, type>>) moves
+    the counts of accepted tasks: 1 for what it adds, -1 for what it takes back. State is one row for each task: the decisions that it has
+    in the counts."""
+    return states.groupBy("task_id").transformWithStateInPandas(ContributionProcessor(), "project_id string, span_lower string, type string, delta long", "Append", "None")
+
+
+COUNTED = ["project_id", "span_lower", "type"]
+
+
+def replace_statistics(states: DataFrame, path: str, checkpoint: str):
+    """Starts a query that keeps the statistics at path in step with the tasks' states. A batch that runs again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*COUNTED).agg(F.sum("delta").alias("n")).where("n <> 0").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return statistics_changes(states).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def statistics_folders(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The folders whose counts add up to the statistics: the last snapshot and the batches after it; and those that it has made superfluous."""
+    found = [(kind, int(number)) for kind, number in (name.split("=") for name in complete_folders(spark, path) if "=" in name)]
+    last = max([number for kind, number in found if kind == "snapshot"], default=-1)
+    live = [f"{kind}={number}" for kind, number in found if number > last and kind == "batch" or number == last and kind == "snapshot"]
+    return live, [name for kind, number in found if (name := f"{kind}={number}") not in live]
+
+
+def replaced_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """project_id, span_lower, type, n of the accepted tasks, as replace_statistics() has left it."""
+    folders, _ = statistics_folders(spark, path)
+    schema = "project_id string, span_lower string, type string, n long"
+    parts = spark.read.schema(schema).parquet(*(f"{path}/{x}" for x in folders)) if folders else spark.createDataFrame([], schema)
+    return parts.groupBy(*COUNTED).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def compact_statistics(spark: SparkSession, path: str) -> None:
+    """Adds the batches so far up in one snapshot. What an earlier snapshot has made superfluous goes; what this one has goes at the next
+    call, so that readers that have begun can end."""
+    folders, old = statistics_folders(spark, path)
+    batches = [int(x.split("=")[1]) for x in folders if x.startswith("batch=")]
+    if batches:
+        replaced_statistics(spark, path).write.mode("overwrite").parquet(f"{path}/snapshot={max(batches)}")
+    for name in old:
+        removed(spark, f"{path}/{name}")
+
+
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("span_lower", "type").agg(F.sum("n").alias("n"))

@@ -99,3 +99,40 @@ def test_copies_of_one_vector(spark):
     frame = spark.createDataFrame([(i, [1.0, 2.0, 3.0], "x") for i in range(50)] + [(1, [1.0, 2.0, 3.0], "x"), (70, [-1.0, 0.0, 0.0], "x")], SCHEMA)
     got = cosine_clusters(frame, 0.99).collect()
     assert {r["rep"] for r in got} == {0} and {r["size"] for r in got} == {51} and {r["cosine"] for r in got} == {1.0}
+
+
+def brute_density(x, ids, radius, least, smallest):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) if len(x) <= 400 else np.array([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in x])
+    near = d <= radius
+    core = near.sum(axis=1) >= least
+    label = least_connected(len(x), iter([np.nonzero(near & core[:, None] & core[None])]))
+    cluster, kind = np.full(len(x), -1), np.array(["noise"] * len(x), object)
+    for i in range(len(x)):
+        if core[i]:
+            cluster[i], kind[i] = ids[label[i]], "core"
+        elif (near[i] & core).any():
+            own = np.flatnonzero(near[i] & core)
+            best = min(own, key=lambda j: (d[i, j], ids[j]))
+            cluster[i], kind[i] = ids[label[best]], "border"
+    for c in np.unique(cluster):
+        if c >= 0 and (cluster == c).sum() < smallest:
+            kind[cluster == c], cluster[cluster == c] = "noise", -1
+    return {(int(i), None if c < 0 else int(c), k) for i, c, k in zip(ids, cluster, kind, strict=True)}
+
+
+@pytest.mark.parametrize(("n", "d", "radius", "block"), [(2000, 64, 3.0, 512), (300, 3, 0.6, 40), (300, 2, 0.25, 2048)])
+def test_density_clusters(spark, monkeypatch, n, d, radius, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    r = np.random.default_rng(d)
+    centres = r.standard_normal((25, d)) * 2
+    own = np.where(r.random(n) < 0.3, 0, r.integers(0, 25, n))
+    x = centres[own] + r.standard_normal((n, d)) * np.where(r.random((n, 1)) < 0.8, 0.25, 1.2)
+    x[7] = x[3]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(n + 1, None), (n + 2, [float("inf")] * d)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r["vec_id"], r["cluster"], r["kind"]) for r in vectors.density_clusters(frame, radius, 5, 3).collect()}
+    want = brute_density(x, np.arange(n), radius, 5, 3) | {(n + 1, None, "noise"), (n + 2, None, "noise")}
+    assert got == want and {k for _, _, k in got} == {"core", "border", "noise"} and len({c for _, c, _ in got}) > 3
+
+
+def test_density_of_nothing(spark):
+    assert vectors.density_clusters(spark.createDataFrame([], SCHEMA), 1.0).count() == 0
