@@ -24,18 +24,27 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the least id; rows that share it stay together. Documents without words
-    have no duplicates and stay. The texts are those that the lines' removal left."""
-    return neardup.keep_one(docs)
+    """Keeps one document of each group of near-duplicates, that with the least id; rows that share it stay together. Documents without words,
+    null and empty texts among them, have no duplicates and stay; very long texts are compared whole; an empty table stays empty.
+
+    The texts that the lines' removal left are compared first. A near copy that lost other lines than its original may no longer resemble
+    it, so those that are left are compared once more by the texts in documents; rows whose id isn't there stay.
+    """
+    left = materialise(neardup.keep_one(docs))
+    whole = table(spark, sf_dir, "documents").join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    copies = neardup.near_duplicates(whole.select("doc_id", "text")).where("not kept and doc_id <> component_id").select("doc_id").distinct()
+    return left.join(materialise(copies), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, and those that share their id; null and empty texts hold none."""
+    """Drops documents that hold a benchmark item, and those that share their id; null and empty texts hold none, very long ones are searched
+    whole, repeated rows go together; an empty table, or no items, changes nothing."""
     return containment.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for each row; a null text counts as empty."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for each row, repeated ones too; a null text counts as empty, very long ones are encoded whole, an empty table gives an
+    empty result."""
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 

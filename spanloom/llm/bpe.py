@@ -242,7 +242,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Token count and digests of encode_decode()'s rows."""
+    """The id, token count and digests of each of encode_decode()'s rows: of an empty text, 0 and the digests of nothing; an empty table gives an
+    empty result."""
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),

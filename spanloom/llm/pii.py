@@ -6,9 +6,12 @@ pseudonyms in all documents, whatever their separators, and who has the key can
 - card: 13 to 19 digits that pass the Luhn check. All but the last are permuted; the last is set so that the check passes.
 - iban: account numbers of the countries listed whose check digits are right; country and layout stay, new check digits fit.
 - ssn: area, group and serial as three, two and four digits with dashes, none of them one that is never issued.
-- phone: 8 to 15 digits, with their layout kept. - ip: four octets up to 255. - email: letters and digits of the local part; the domain stays.
+- phone: 8 to 15 digits, with their layout kept; a number of ten digits is the same with and without a 1 before it. Other country codes are
+  part of the number. - email: letters and digits of the local part; the domain stays.
+- ip: four octets up to 255; zeros that fill an octet are lost.
 - date: days from 1800 to 2199 as year-month-day, year/month/day, day.month.year, month/day/year, or, where only that is a date,
-  day/month/year, also before a time; a valid date becomes a valid date of the same layout.
+  day/month/year, also before a time; a valid date becomes a valid date of the same layout, but that a day/month/year becomes a
+  day.month.year (and comes back as one) where its pseudonym's day is one of the first twelve.
 
 What fails its kind's test stays as it is. The keystream is HMAC-SHA-512. The key reaches the executors as a literal of the plan, so
 whoever can read the plan in the web UI or the event log can read it there: keep both as closed as the key, or switch them off.
@@ -51,8 +54,6 @@ ANY = "|".join((EMAIL, IBAN, SSN, PHONE, DATE, ADDRESS, CARD))
 
 #: Days of 400 years, which is a whole number of calendar cycles; the two factors are the halves of the network for dates.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
-#: The same for the days after the twelfth of their month, which alone can't be read as month/day/year.
-LATE_DAYS = (9, 9_833)
 #: Social security numbers: areas (1 to 899 without 666), and groups times serials.
 AREAS, SERIALS = 898, 9_999
 
@@ -151,10 +152,17 @@ def ssn(value: Column, key: str, undo: bool) -> Column:
 
 
 def phone(value: Column, key: str, undo: bool) -> Column:
-    n = F.length(digits(value))
-    kept = F.when(value.rlike(f"^(?:{TRUNK})$"), 1).otherwise(0)  # digits that mark the layout
-    body = permuted_text(digits(value).substr(kept + 1, n), "phone", key, undo)
-    return F.when(n.between(8, 15), let(body, lambda p: refilled(value, F.concat(digits(value).substr(F.lit(1), kept), p))))
+    """A leading 0 of a national layout stays, and so does the 1 before a number of ten digits, which is linked with that number alone; other numbers of
+    eleven digits keep away from those that begin with 1."""
+    every = digits(value)
+    n, trunk = F.length(every), value.rlike(f"^(?:{TRUNK})$")
+    kept = F.when(trunk | ((n == 11) & every.startswith("1")), 1).otherwise(0)
+    body = permuted_text(every.substr(kept + 1, n), "phone", key, undo)
+    first = every.substr(1, 1).cast("long")
+    pair = permuted_pair(F.when(first > 1, first - 1).otherwise(first), every.substr(2, 10).cast("long"), (9, 10**10), "phone", key, undo)
+    other = let(pair, lambda p: F.concat(F.when(p.l > 0, p.l + 1).otherwise(p.l).cast("string"), F.lpad(p.r.cast("string"), 10, "0")))
+    new = F.when((n == 11) & (kept == 0), other).otherwise(F.concat(every.substr(F.lit(1), kept), body))
+    return F.when(n.between(8, 15), let(new, lambda p: refilled(value, p)))
 
 
 def address(value: Column, key: str, undo: bool) -> Column:
@@ -169,22 +177,10 @@ def email(value: Column, key: str, undo: bool) -> Column:
     return F.concat(permuted_text(value.substr(F.lit(1), at - 1), "email", key, undo), value.substr(at, F.length(value)))
 
 
-def months_since(first: Column, day: Column) -> Column:
-    return (F.year(day) - F.year(first)) * 12 + F.month(day) - F.month(first)
-
-
-def late_day(number: Column) -> Column:
-    """The day with that number, from 0 on, of those after the twelfth of their month. Months have 18.44 such days on average."""
-    first = F.lit(FIRST_DAY).cast("date")
-    before = lambda month: F.date_diff(F.add_months(first, month), first) - 12 * month
-    guess = F.floor(number / 18.4369).cast("int")
-    month = F.array_max(F.filter(F.sequence(guess - 2, guess + 2), lambda m: before(m) <= number))
-    return let(month, lambda m: F.date_add(F.add_months(first, m), (number - before(m)).cast("int") + 12))
-
-
 def date(value: Column, key: str, undo: bool) -> Column:
     """Layouts: year first, or by separator: . day first, / month first, or day first where that alone is a date. Parts are filled with
-    zeros to their former widths."""
+    zeros to their former widths. One day has one pseudonym in all layouts; where that of a day/month/year would read as month/day/year,
+    it is written with dots."""
     first = F.lit(FIRST_DAY).cast("date")
     parts = F.split(value, r"[./-]")
     late = value.rlike(r"^\d{1,2}/") & parts[0].cast("int").between(13, 31)
@@ -194,14 +190,11 @@ def date(value: Column, key: str, undo: bool) -> Column:
     number = F.date_diff(day, first).cast("long")
     pair = permuted_pair(F.floor(number / DAYS[1]), number % DAYS[1], DAYS, "date", key, undo)
     made = let(pair, lambda p: F.date_add(first, (p.l * DAYS[1] + p.r).cast("int")))
-    own = number - 12 * (months_since(first, day) + 1)
-    pair = permuted_pair(F.floor(own / LATE_DAYS[1]), own % LATE_DAYS[1], LATE_DAYS, "late date", key, undo)
-    made = F.when(late, let(pair, lambda p: late_day(p.l * LATE_DAYS[1] + p.r))).otherwise(made)
 
     def written(d: Column) -> Column:
         new = F.array(F.date_format(d, "yyyy"), F.date_format(d, "M"), F.date_format(d, "d"))
         fill = lambda i: F.lpad(F.get(new, F.array_position(order, i).cast("int") - 1), F.greatest(F.length(F.get(parts, F.lit(i))), F.length(F.get(new, F.array_position(order, i).cast("int") - 1))), F.lit("0"))
-        mark = F.regexp_extract(value, "[./-]", 0)
+        mark = F.when(late & (F.dayofmonth(d) <= 12), ".").otherwise(F.regexp_extract(value, "[./-]", 0))
         return F.concat(fill(0), mark, fill(1), mark, fill(2))
 
     return F.when(number.between(0, DAYS[0] * DAYS[1] - 1), let(made, written))

@@ -16,6 +16,8 @@ from spanloom.llm.common import fresh, materialise, scratch, text_of
 
 #: Rows in a block at most.
 BLOCK_ROWS = 50_000
+#: Rows of a small table (a block's sums, a lane's offset) that are broadcast at most, after a count: some 100 MB. More are joined.
+BROADCAST_ROWS = 500_000
 #: Nodes below one node of the tree of sums, and halvings after which the nodes are dealt to tasks anew.
 FAN, DEAL = 512, 3
 #: Standard deviations beyond which a hypergeometric count is impossible to double precision (mass under 1e-30).
@@ -122,14 +124,15 @@ def shuffle_rows(docs: DataFrame, shards: int = 8, seed: int = 17, block_rows: i
     quotas = [n // shards + (s < n % shards) for s in range(shards)]
     matrix = materialise(communication_matrix(found.select("block", "n"), max(blocks, 1), quotas, seed).join(found, "block").select("part", "run", "ends"), 1)
     lanes = max(1, -(-blocks // shards))
-    sent = rows.join(F.broadcast(matrix), ["part", "run"]).withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
+    counted = lambda table, n: F.broadcast(table) if n <= BROADCAST_ROWS else table
+    sent = rows.join(counted(matrix, blocks), ["part", "run"]).withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
     sent = sent.withColumn("lane", F.pmod(draw("lane", F.col("uid")), F.lit(lanes)).cast("int")).select("row", "uid", "shard", "lane")
 
     lane_counts = sent.groupBy("shard", "lane").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(lane_counts.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), 1)
     within = F.row_number().over(Window.partitionBy("shard", "lane").orderBy(draw("slot", F.col("uid")), "uid"))
-    out = sent.withColumn("within", within).join(F.broadcast(offsets), ["shard", "lane"])
+    out = sent.withColumn("within", within).join(counted(offsets, shards * lanes), ["shard", "lane"])
     return out.select("row.*", F.col("shard").alias(fresh(docs, "shard")), (F.col("offset") + F.col("within") - 1).cast("long").alias(fresh(docs, "slot")))
 
 

@@ -26,10 +26,40 @@ def test_stages_shrink_and_keep_columns(stages):
 
 
 def test_one_document_of_each_group_stays(spark, stages):
+    """By what the lines' removal left, and then by the texts in documents."""
     from tests.llm.test_operators import brute_components
 
     before = [(r.doc_id, r.text) for r in stages[2].select("doc_id", "text").collect()]
-    assert {r.doc_id for r in stages[3].collect()} == {k[2] for k in brute_components(before)}
+    kept = {k[2] for k in brute_components(before)}
+    whole = [(r.doc_id, r.text) for r in stages[0].select("doc_id", "text").collect() if r.doc_id in kept]
+    assert {r.doc_id for r in stages[3].collect()} == {k[2] for k in brute_components(whole)}
+
+
+def test_near_copies_that_lost_other_lines(spark, tmp_path):
+    """Near copies of which the first keeps its boilerplate and the others lose it are found; documents that share boilerplate only stay."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    boiler = [" ".join(word() for _ in range(12)) for _ in range(4)]
+    rows, copies = [], set()
+    for group in range(40):
+        own = [word() for _ in range(60)]
+        for copy in range(3):
+            w = list(own)
+            for _ in range(copy):
+                w[r.randrange(60)] = word()
+            i = len(rows)
+            rows.append((i, "\n".join([*(boiler if copy != 1 else boiler[:2]), " ".join(w)]), "en", f"site{i % 9}", 1))
+            if copy:
+                copies.add(i)
+        rows.append((len(rows), "\n".join([*boiler, " ".join(word() for _ in range(60))]), "en", f"site{len(rows) % 9}", 1))
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    docs = common.table(spark, path, "documents")
+    left = common.materialise(corpus_pipeline.drop_lines(spark, docs, path))
+    kept = {x.doc_id for x in corpus_pipeline.deduplicate(spark, left, path).collect()}
+    assert len(copies & kept) <= 0.1 * len(copies) and {x[0] for x in rows} - copies <= kept | {x[0] for x in rows if x[0] not in {y.doc_id for y in left.collect()}}
 
 
 def test_lines_by_brute_force(spark, stages):
