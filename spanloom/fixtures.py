@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from spanloom.operators.parse import rebuild_payload
 from spanloom.sources.tasks import dealt
 
-#: For DuckDB, and up to 999,999 for Spark as well: lpad cuts longer ids to six digits. SPARK_TASK is the same up to there and whole beyond.
-TASK = "concat('doc-', lpad(cast(doc_id as string), 6, '0'))"
-SPARK_TASK = "concat('doc-', lpad(cast(doc_id as string), greatest(6, length(cast(doc_id as string))), '0'))"
+#: Six digits at least, and ids beyond them whole.
+TASK = "concat('doc-', lpad(cast(doc_id as string), cast(greatest(6, length(cast(doc_id as string))) as int), '0'))"
 FIRST = "substr(md5({}), 1, 1)"
 
 
@@ -116,7 +115,7 @@ class Tables:
 
     @property
     def rows(self) -> DataFrame:
-        return self.documents.select(F.expr(SPARK_TASK).alias("task_id"), F.posexplode(F.split("text", "\\n")).alias("row_index", "input"))
+        return self.documents.select(F.expr(TASK).alias("task_id"), F.posexplode(F.split("text", "\\n")).alias("row_index", "input"))
 
     @property
     def raw_spans(self) -> DataFrame:
@@ -128,7 +127,7 @@ class Tables:
 
     @property
     def tasks(self) -> DataFrame:
-        return self.sql(TASKS.replace(TASK, SPARK_TASK), documents=self.documents)
+        return self.sql(TASKS, documents=self.documents)
 
     @property
     def row_masks(self) -> DataFrame:

@@ -230,7 +230,7 @@ add("e09_low_information", lambda t: stats.low_information(everywhere(t), stats.
 add("e10_frequency_scores", lambda t: stats.frequency_scores(t.spans, stats.zipf_table(t.rows)).withColumn("score", F.round("score", 6)), ZIPF + "SELECT span_lower, round(score, 6) AS score FROM scored")
 AUDIT = "SELECT c.task_id, c.span_lower, c.type, coalesce(v.type, top_type) AS expected, v.type IS NOT NULL AS by_convention FROM checked c LEFT JOIN conventions v ON v.span_lower = c.span_lower AND v.status = 'active' WHERE verdict = 'divergent' AND c.type <> coalesce(v.type, top_type)"
 add("e11_posterior_audit", lambda t: stats.posterior_audit(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)), STATS + AUDIT)
-add("e12_task_deviations", lambda t: stats.posterior_audit(stats.lower_decisions(t.spans).where("task_id < 'doc-000050'"), stats.summaries(everywhere(t)), agreed_conventions(t)), STATS + AUDIT + " AND c.task_id < 'doc-000050'")
+add("e12_task_deviations", lambda t: stats.posterior_audit(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)).groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("by_convention").alias("n_by_convention")), STATS + f"SELECT task_id, count(*) AS n, count(*) FILTER (by_convention) AS n_by_convention FROM ({AUDIT}) GROUP BY task_id")
 add(
     "e12_all_task_deviations",
     lambda t: stats.task_deviations(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)).withColumn("top_share", F.round("top_share", 6)),
@@ -419,17 +419,20 @@ passes AS (SELECT 1 AS pass UNION ALL SELECT 2)
 SELECT pass, chunk, id, span, 1 AS fp_delta, 0 AS fn_delta, NULL::VARCHAR AS error FROM passes, own JOIN (SELECT concat(task_id, ':', row_index::VARCHAR) AS id, span FROM spans WHERE span LIKE '%X') s USING (id) ANTI JOIN bad USING (chunk)
 UNION ALL SELECT pass, chunk, NULL, NULL, NULL, NULL, 'ValueError: no verdict' FROM passes, bad""",
 )
-ANNOTATORS = "(VALUES ('a1', false, 'text', ['type1', 'type2', 'other']), ('a2', true, 'text', ['type1', 'other']), ('a3', true, 'text', ['type1', 'type2', 'type3', 'other', 'type4', 'type5'])) a(annotator_id, enabled, modality, types)"
+EVERY_TYPE = [*(f"type{x}" for x in "0123456789abcdef"), "other"]
+#: Whom a task may go to: id, enabled, and the types that each doesn't do.
+CREW = [("a1", False, []), ("a2", True, EVERY_TYPE[3:16]), ("a3", True, EVERY_TYPE[8:12]), ("a4", True, EVERY_TYPE[:2]), ("a5", True, ["typef"])]
+ANNOTATORS = "(VALUES " + ", ".join(f"('{a}', {str(on).lower()}, 'text', {[x for x in EVERY_TYPE if x not in lacks]})" for a, on, lacks in CREW) + ") a(annotator_id, enabled, modality, types)"
 
 
-def wanted(t):
-    return t.spans.where("pos = 0 and row_index = 0").groupBy("task_id").agg(F.collect_set("type").alias("types")).withColumn("modality", F.lit("text"))
+def crew(t):
+    return t.spark.createDataFrame([(a, on, ["text"], [x for x in EVERY_TYPE if x not in lacks]) for a, on, lacks in CREW], "annotator_id string, enabled boolean, modalities array<string>, types array<string>")
 
 
 add(
     "g13_chosen_annotators",
-    lambda t: consensus.choose_annotator(wanted(t), t.spark.createDataFrame([("a1", False, ["text"], ["type1", "type2", "other"]), ("a2", True, ["text"], ["type1", "other"]), ("a3", True, ["text"], ["type1", "type2", "type3", "other", "type4", "type5"])], "annotator_id string, enabled boolean, modalities array<string>, types array<string>")),
-    f", w AS (SELECT task_id, list(DISTINCT type) AS types FROM spans WHERE pos = 0 AND row_index = 0 GROUP BY task_id) SELECT w.task_id, min(annotator_id) AS annotator_id FROM w LEFT JOIN {ANNOTATORS} ON enabled AND list_has_all(a.types, w.types) GROUP BY w.task_id",
+    lambda t: consensus.choose_annotator(t.spans.groupBy("task_id").agg(F.collect_set("type").alias("types")).withColumn("modality", F.lit("text")), crew(t)),
+    f", w AS (SELECT task_id, list(DISTINCT type) AS types FROM spans GROUP BY task_id) SELECT w.task_id, min(annotator_id) AS annotator_id FROM w LEFT JOIN {ANNOTATORS} ON enabled AND list_has_all(a.types, w.types) GROUP BY w.task_id",
 )
 OPINION = "CASE substr(md5(concat(task_id, span_lower, 'o')), 1, 1) WHEN '0' THEN NULL WHEN '1' THEN 'third' WHEN '2' THEN top_type WHEN '3' THEN top_type ELSE type END"
 DOUBT = "CASE substr(md5(concat(task_id, span_lower, 'c')), 1, 1) WHEN '0' THEN 0.2 ELSE 0.9 END"

@@ -258,20 +258,24 @@ def cached(t: Tables):
     return texts, cache
 
 
-CACHE = ", texts AS (SELECT task_id AS key, substr(sha256(string_agg(input, chr(10) ORDER BY row_index)), 1, 32) AS content_hash FROM src_rows ANTI JOIN row_masks USING (task_id, row_index) GROUP BY task_id), hits AS (SELECT key FROM embeddings e JOIN texts ON key = concat('doc-', lpad(vec_id::VARCHAR, 6, '0')) WHERE label % 2 = 0 AND len(embedding) = 64)\n"
+CACHE = ", texts AS (SELECT task_id AS key, substr(sha256(string_agg(input, chr(10) ORDER BY row_index)), 1, 32) AS content_hash FROM src_rows ANTI JOIN row_masks USING (task_id, row_index) GROUP BY task_id), hits AS (SELECT key FROM embeddings e JOIN texts ON key = concat('doc-', lpad(vec_id::VARCHAR, greatest(6, length(vec_id::VARCHAR))::INT, '0')) WHERE label % 2 = 0 AND len(embedding) = 64)\n"
 add("f14_cache_hits", lambda t: similarity.cache_lookup(*cached(t), 64)[0].select("key"), CACHE + "SELECT key FROM hits")
 add("f14_cache_misses", lambda t: similarity.cache_lookup(*cached(t), 64)[1], CACHE + "SELECT key, content_hash FROM texts WHERE key NOT IN (SELECT key FROM hits)")
 add("f17_content_hashes", lambda t: task_texts(t).select("key", similarity.content_hash(F.col("text")).alias("content_hash")), CACHE + "SELECT key, content_hash FROM texts")
-add("f17_fingerprint", lambda t: similarity.fingerprint(row_texts(t)).drop("fingerprint"), "SELECT count(*) AS n_texts FROM src_rows")
+add(
+    "f17_fingerprint",
+    lambda t: similarity.fingerprint(task_texts(t)),
+    f", texts AS ({TASK_TEXTS}) SELECT count(*) AS n_texts, sum(concat('0x', substr(sha256(concat(key, '|', substr(sha256(text), 1, 32))), 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM texts",
+)
 add(
     "f17_text_fingerprint",
     lambda t: similarity.fingerprint(row_texts(t)),
     f"SELECT count(*) AS n_texts, sum(concat('0x', substr(sha256(concat({KEY}, '|', substr(sha256(input), 1, 32))), 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM src_rows",
 )
 add(
-    "f19_unjustified_masks",
-    lambda t: similarity.unjustified_masks(masked_keys(t).select("key", F.concat(F.lit("near-duplicate of doc-000000:00000000")).alias("reason")), row_texts(t)).withColumn("similarity", F.round("similarity", 6)),
-    ROW_SETS + f", m AS (SELECT {KEY} AS key FROM row_masks), e AS (SELECT m.key, 'doc-000000:00000000' AS rep, coalesce(len(list_intersect(x.items, y.items)) / nullif(len(list_distinct(list_concat(x.items, y.items))), 0), 0.0) AS s FROM m LEFT JOIN items x ON x.key = m.key JOIN items y ON y.key = 'doc-000000:00000000') SELECT key, rep, round(coalesce(s, 0.0), 6) AS similarity FROM e WHERE coalesce(s, 0.0) < 0.05",
+    "f19_unjustified_masks",  # masks that say a row is like the first of its task
+    lambda t: similarity.unjustified_masks(t.row_masks.select(similarity.row_key().alias("key"), F.concat(F.lit("near-duplicate of "), "task_id", F.lit(":00000000")).alias("reason")), row_texts(t)).withColumn("similarity", F.round("similarity", 6)),
+    ROW_SETS + f", m AS (SELECT {KEY} AS key, concat(task_id, ':00000000') AS rep FROM row_masks), e AS (SELECT m.key, m.rep, coalesce(len(list_intersect(x.items, y.items)) / nullif(len(list_distinct(list_concat(x.items, y.items))), 0), 0.0) AS s FROM m LEFT JOIN items x ON x.key = m.key LEFT JOIN items y ON y.key = m.rep) SELECT key, rep, round(coalesce(s, 0.0), 6) AS similarity FROM e WHERE coalesce(s, 0.0) < 0.05",
 )
 add(
     "f19_unjustified_duplicate_masks",  # masks of clusters at 0.5 that 0.6 no longer justifies

@@ -139,6 +139,13 @@ add(
 REASONS = "SELECT task_id, seq, CASE previous_status WHEN 'qc' THEN 'disagreement' WHEN 'annotating' THEN 'uncertain' ELSE 'other' END AS reason FROM audit_events WHERE next_status = 'arbitrating' QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1"
 add("h16_review_reasons", lambda t: workflow.review_reasons(t.audit_events), REASONS)
 add("h17_illegal_moves", lambda t: workflow.illegal_moves(t.audit_events, workflow.transitions(t.spark)), f"SELECT task_id, seq, previous_status, next_status, false AS broken FROM audit_events WHERE (previous_status, next_status) NOT IN (VALUES {MOVES})")
+#: Events of which some are lost, so that others don't follow the status before.
+GAPS = "event_id % 7 > 0"
+add(
+    "h17_broken_chains",
+    lambda t: workflow.illegal_moves(t.audit_events.where(GAPS), workflow.transitions(t.spark)),
+    f"SELECT * FROM (SELECT task_id, seq, previous_status, next_status, coalesce(lag(next_status) OVER (PARTITION BY task_id ORDER BY seq), 'draft') <> previous_status AS broken FROM audit_events WHERE {GAPS}) WHERE broken OR (previous_status, next_status) NOT IN (VALUES {MOVES})",
+)
 add("h18_current_status", lambda t: workflow.current_status(t.audit_events), STATUS + "SELECT * FROM status")
 add(
     "h19_pruned_pairs",
@@ -340,7 +347,7 @@ add(
 add(
     "a11_migrate",
     lambda t: tasks.migrate(t.tasks, parse.effective_annotation(t.artifacts), "v5"),
-    EFF + ", g AS (SELECT task_id, concat('v5-', lpad((row_number() OVER (ORDER BY task_id))::VARCHAR, 6, '0')) AS new_id FROM tasks JOIN eff USING (task_id) WHERE status = 'accepted' AND usable) SELECT task_id, new_id, CASE WHEN new_id IS NULL THEN 'no readable annotation' END AS error FROM tasks LEFT JOIN g USING (task_id) WHERE status = 'accepted'",
+    EFF + ", g AS (SELECT task_id, concat('v5-', lpad((row_number() OVER (ORDER BY task_id))::VARCHAR, greatest(6, length((row_number() OVER (ORDER BY task_id))::VARCHAR))::INT, '0')) AS new_id FROM tasks JOIN eff USING (task_id) WHERE status = 'accepted' AND usable) SELECT task_id, new_id, CASE WHEN new_id IS NULL THEN 'no readable annotation' END AS error FROM tasks LEFT JOIN g USING (task_id) WHERE status = 'accepted'",
 )
 add(
     "a11_migrated_annotations",
@@ -384,6 +391,11 @@ add(
     lambda t: streamed(t, t.audit_events.select("task_id", "seq", "previous_status", "next_status"), "task_id string, seq long, previous_status string, next_status string", lambda s: live.status_changes(s, [(a, b) for a, bs in workflow.ALLOWED.items() for b in bs])),
     f"SELECT task_id, seq, previous_status, next_status, (previous_status, next_status) IN (VALUES {MOVES}) AS legal, true AS chained FROM audit_events",
 )
+add(
+    "s03_broken_chains",
+    lambda t: streamed(t, t.audit_events.where(GAPS).select("task_id", "seq", "previous_status", "next_status"), "task_id string, seq long, previous_status string, next_status string", lambda s: live.status_changes(s, [(a, b) for a, bs in workflow.ALLOWED.items() for b in bs])),
+    f"SELECT task_id, seq, previous_status, next_status, (previous_status, next_status) IN (VALUES {MOVES}) AS legal, coalesce(lag(next_status) OVER (PARTITION BY task_id ORDER BY seq), 'draft') = previous_status AS chained FROM audit_events WHERE {GAPS}",
+)
 add(
     "s05_streamed_statistics",
     lambda t: streamed_statistics(t),
