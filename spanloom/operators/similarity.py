@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import first_tokens, shingles, tokens, word_count
 from spanloom.operators.graph import connected_components, written
+from spanloom.operators.vectors import density_clusters
 
 #: Keys of a bucket that meet under one join key, about.
 BLOCK = 1024
@@ -444,29 +445,19 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, threshold: float, bloc
     return out.select("query", F.col("id").alias(id_col), "cosine")
 
 
-def embedding_map(vectors: DataFrame, radius: float, least: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, x, y and cluster: the two principal components of each vector, and the least id of its density cluster, null for noise.
-
-    Cells of half the radius hold the points; those with at least `least` points in their cell and its neighbours are dense, and dense cells
-    that touch make a cluster. Work follows the number of cells and not the pairs of points.
-    """
+def embedding_map(vectors: DataFrame, radius: float, least: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", smallest: int = 2) -> DataFrame:
+    """id, x, y and cluster: the two principal components of each vector, to draw it at, and its density cluster in the whole space, null for
+    noise (see density_clusters()). Vectors that are null, empty or not finite have no place on the map; all others have one length."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    own = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector_col, lambda x: x.cast("double"))).alias("v"))
+    fits = F.coalesce(F.size(vector_col) > 0, F.lit(False)) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    good = vectors.where(fits)
+    own = good.select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector_col, lambda x: x.cast("double"))).alias("v"))
     at = vector_to_array(F.col("p"))
-    points = PCA(k=2, inputCol="v", outputCol="p").fit(own).transform(own).select("id", at[0].alias("x"), at[1].alias("y"))
-    cell = radius / 2
-    points = written(points.withColumn("i", F.floor(F.col("x") / cell)).withColumn("j", F.floor(F.col("y") / cell)))
-    cells = points.groupBy("i", "j").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    spread = cells.select("i", "j", "n", "first", F.explode(steps).alias("s")).select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), "n", "first")
-    dense = cells.join(spread.groupBy("i", "j").agg(F.sum("n").alias("around")), ["i", "j"]).where(F.col("around") >= least).select("i", "j", F.col("first").alias("own"))
-    dense = written(dense)
-    touching = dense.join(spread.select("i", "j", F.col("first").alias("near")), ["i", "j"]).join(dense.select(F.col("own").alias("near")), "near", "left_semi")
-    labels = connected_components(touching.select(F.col("own").alias("a"), F.col("near").alias("b")))
-    marked = dense.join(labels.withColumnRenamed("node", "own"), "own", "left").select("i", "j", F.coalesce("root", "own").alias("cluster"))
-    return points.join(marked, ["i", "j"], "left").select(F.col("id").alias(id_col), "x", "y", "cluster")
+    points = PCA(k=2, inputCol="v", outputCol="p").fit(own).transform(own).select(F.col("id").alias(id_col), at[0].alias("x"), at[1].alias("y"))
+    clusters = density_clusters(good, radius, least, smallest, id_col, vector_col).where("kind <> 'noise'")
+    return points.join(clusters.select(id_col, "cluster").distinct(), id_col, "left")
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:

@@ -242,7 +242,7 @@ def mean_jaccard(t: Tables):
 
 
 add("f13_mean_jaccard", mean_jaccard)
-add("f21_embedding_map", lambda t: similarity.embedding_map(t.source("embeddings"), 0.2, 5))
+add("f21_embedding_map", lambda t: similarity.embedding_map(t.source("embeddings"), 1.15, 3, smallest=4))
 NEAR = ", near AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.15), cores AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3), ways AS (SELECT a, b FROM near WHERE a IN (FROM cores) AND b IN (FROM cores)), reach AS (SELECT a AS node, a AS other FROM cores UNION SELECT r.node, w.b FROM reach r JOIN ways w ON w.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node), border AS (SELECT a AS node, arg_min(b, struct_pack(d := d, b := b)) AS core FROM near WHERE a NOT IN (FROM cores) AND b IN (FROM cores) GROUP BY a), found AS (SELECT node, root, 'core' AS kind FROM roots UNION ALL SELECT border.node, root, 'border' FROM border JOIN roots ON roots.node = core), large AS (SELECT * FROM found QUALIFY count(*) OVER (PARTITION BY root) >= 4)\n"
 add("f21_density_clusters", lambda t: vectors.density_clusters(t.source("embeddings"), 1.15, 3, 4).fillna(-1, ["cluster"]), NEAR + "SELECT vec_id, coalesce(root, -1) AS cluster, coalesce(kind, 'noise') AS kind FROM embeddings LEFT JOIN large ON node = vec_id")
 add("f15_embedded", lambda t: similarity.embed(task_texts(t), similarity.random_embedder(16), 16))
