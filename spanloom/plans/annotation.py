@@ -8,6 +8,7 @@ from spanloom.fixtures import one_of
 from spanloom.functions.text import first_tokens, snippet, without_thoughts
 from spanloom.operators import consensus, conventions, defects, parse, similarity, stats
 from spanloom.plans.oracle import Registry
+from spanloom.sources import registry
 
 R = Registry()
 add = R.add
@@ -118,6 +119,12 @@ add("c02_trailing_punctuation", lambda t: defects.trailing_punctuation(t.spans,
 add("c03_repeated_spans", lambda t: defects.repeated_spans(t.spans), REPEATED)
 add("c04_type_collisions", lambda t: defects.type_collisions(t.spans), COLLIDE)
 add("c05_misplaced_shared", lambda t: defects.misplaced_shared(t.spans, t.type_enum), SHARED)
+RULES = {"verbatim": NON_VERBATIM, "punctuation": TRAILING, "repeated": REPEATED, "collision": COLLIDE}
+add(
+    "c05_validators",
+    lambda t: registry.violations(t.spans, t.rows).groupBy("rule", "field", "type").agg(F.count("*").alias("n"), F.countDistinct("task_id").alias("n_tasks")),
+    " UNION ALL ".join(f"SELECT '{name}' AS rule, field, type, count(*) AS n, count(DISTINCT task_id) AS n_tasks FROM ({sql}) GROUP BY field, type" for name, sql in RULES.items()),
+)
 add("c06_missing_rows", lambda t: defects.missing_rows(t.rows, t.spans), MISSING)
 add(
     "c07_schema_violations",

@@ -10,7 +10,7 @@ from spanloom.fixtures import Tables
 from spanloom.functions.text import first_tokens, shingles, snippet, without_thoughts
 from spanloom.operators import consensus, conventions, defects, graph, parse, repair, similarity, stats, workflow
 from spanloom.plans import annotation, repairs
-from spanloom.sources import tasks
+from spanloom.sources import registry, tasks
 from spanloom.streaming import live
 
 
@@ -467,3 +467,20 @@ def test_rescaled_in_ranges(spark, frame, size):
             known = [x for x in seen if x is not None]
             flat = len(seen) < 3 or (known and min(known) == max(known))
             assert got[i] == (v if flat or v is None else (v - min(known)) / (max(known) - min(known)))
+
+
+def test_names_of_adapters_validators_and_sinks(spark, tmp_path):
+    (tmp_path / "dir").mkdir()
+    (tmp_path / "dir/t1.task.json").write_text('{"task_id": "t1", "status": "accepted"}')
+    (tmp_path / "dir/t1.jsonl").write_text('{"row_index": 0, "text": "Ann runs."}\n')
+    registry.moved(spark, "task_directory", str(tmp_path / "dir"), "jsonl", str(tmp_path / "out"), status="accepted")
+    rows = registry.ADAPTERS["jsonl"](spark, str(tmp_path / "out"), "task_id string, row_index int, input string")
+    spans_ = spark.createDataFrame([("t1", 0, 0, "entities", "person", "Ann"), ("t1", 0, 1, "entities", "person", "Bob"), ("t1", 0, 2, "entities", "verb", "Ann")], "task_id string, row_index int, pos int, field string, type string, span string")
+    assert {(r.rule, r.pos) for r in registry.violations(spans_, rows).collect()} == {("verbatim", 1), ("collision", 2)}
+    registry.VALIDATORS.register("short", lambda spans, rows: spans.where("length(span) < 4"))
+    try:
+        assert registry.violations(spans_, rows, ["short"]).count() == 3 and "short" in registry.VALIDATORS.names()
+    finally:
+        del registry.VALIDATORS.known["short"]
+    with pytest.raises(KeyError, match="no sink is called 'tape'; there are jsonl, parquet"):
+        registry.SINKS["tape"]
