@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import padded
-from spanloom.operators.graph import numbered
+from spanloom.operators.graph import numbered, written
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
@@ -23,11 +23,15 @@ def dealt(files: DataFrame) -> DataFrame:
     return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
 
 
+#: Groups that are numbered in one task and broadcast, at most.
+FEW_GROUPS = 100_000
+
+
 def batches(rows: DataFrame, size: int, keys: list[str], order: str) -> DataFrame:
     """Adds task_no to rows: tasks of at most size rows with equal keys (null counts as ''), groups in order of first appearance.
 
     Rows are numbered by ranges of (keys, order), so that no task sorts all rows of a group; the groups' starts and first places are grouped
-    sums, a row for each group.
+    sums, a row for each group. Up to FEW_GROUPS groups are put in order in one task, more by ranges as well.
     """
     keyed = rows
     names = [f"__key{i}" for i in range(len(keys))]
@@ -35,14 +39,18 @@ def batches(rows: DataFrame, size: int, keys: list[str], order: str) -> DataFram
         keyed = keyed.withColumn(name, F.coalesce(F.col(key).cast("string"), F.lit("")))
     lined = numbered(keyed, [*names, order], "__line")
     groups = lined.groupBy(*names).agg(F.min("__line").alias("__start"), F.min(order).alias("__first"), F.ceil(F.count("*") / size).alias("__tasks"))
+    numbers = lambda ahead: ahead.withColumn("task_no", (F.col("__ahead") + F.floor((F.col("__line") - F.col("__start")) / size)).cast("long")).select(*rows.columns, "task_no")
+    groups = written(groups)
+    if groups.count() <= FEW_GROUPS:
+        ahead = F.coalesce(F.sum("__tasks").over(Window.orderBy("__first", *names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return numbers(lined.join(F.broadcast(groups.select(*names, "__start", ahead.alias("__ahead"))), names))  # the count bounds it
     groups = numbered(groups, ["__first", *names], "__place")
     parts = groups.select(F.floor(F.col("__place") / 100_000).alias("__part"), "__tasks").groupBy("__part").agg(F.sum("__tasks").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.coalesce(F.sum("__tasks").over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ahead = groups.withColumn("__part", F.floor(F.col("__place") / 100_000)).join(F.broadcast(parts.select("__part", before.alias("__before"))), "__part")  # a row for each 100,000 groups
     ahead = ahead.select(*names, "__start", (F.col("__before") + within).alias("__ahead"))
-    numbers = (F.col("__ahead") + F.floor((F.col("__line") - F.col("__start")) / size)).cast("long")
-    return lined.join(ahead, names).withColumn("task_no", numbers).select(*rows.columns, "task_no")
+    return numbers(lined.join(ahead, names))
 
 
 def task_attributes(batched: DataFrame, order: str, source: str, firsts: tuple[str, ...] = ()) -> DataFrame:

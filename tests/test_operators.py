@@ -484,3 +484,20 @@ def test_names_of_adapters_validators_and_sinks(spark, tmp_path):
         del registry.VALIDATORS.known["short"]
     with pytest.raises(KeyError, match="no sink is called 'tape'; there are jsonl, parquet"):
         registry.SINKS["tape"]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_batches_of_few_and_many_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(tasks, "FEW_GROUPS", few)
+    r = random.Random(1)
+    data = [(i, r.choice(["a", "b", None, "c"]), r.choice("xy")) for i in range(200)]
+    groups: dict[tuple, list[int]] = {}
+    for i, a, b in data:
+        groups.setdefault((a or "", b), []).append(i)
+    want, number = {}, 0
+    for own in groups.values():
+        for k, i in enumerate(own):
+            want[i] = number + k // 7
+        number += -(-len(own) // 7)
+    frame = spark.createDataFrame(data, "line int, k string, j string").repartition(5)
+    assert {x.line: x.task_no for x in tasks.batches(frame, 7, ["k", "j"], "line").collect()} == want
