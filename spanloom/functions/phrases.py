@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.graph import written
+
 #: Characters of phrases that an automaton holds: some 200 MB in a Python worker.
 BLOCK_CHARACTERS = 4 << 20
 #: Phrases of these characters are found as whole words only, others anywhere.
@@ -81,7 +83,7 @@ def phrases_in_text(rows: DataFrame, phrases: DataFrame, text: Column, keep: lis
     texts = rows.select(*keep, F.lower(text).alias("low")).where(F.length("low") > 0)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]) + f", phrase string, `{note}` string"
     out = None
-    for block in blocks(known, characters):
+    for block in blocks(written(known), characters):  # all tasks work out the phrases, which are then read one partition after the other
         shared, name = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
