@@ -87,6 +87,10 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
 
 
+def doubles(column: pa.ChunkedArray) -> np.ndarray:
+    return matrix(column).astype(np.float64)
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # lengths neither overflow nor vanish
     return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
@@ -245,51 +249,94 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * (x @ y.T), 0)
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, radius: float, rows: int = 512):
-    """Places and squared distance of the pairs of rows within radius, some rows of x at a time; those near the radius are computed anew."""
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows side by side, in a fixed order of sums."""
+    return np.concatenate([np.zeros(0)] + [((x[a : a + 65536] - y[a : a + 65536]) ** 2).sum(axis=1) for a in range(0, len(x), 65536)])
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: float, cells: int = 1 << 22):
+    """Places of the pairs of rows within radius, so many pairs at a time. Single precision finds those that may be, where its error is known to be
+    small; these and, of many, those near the radius are computed in double precision in a fixed order."""
+    long_x, long_y = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    longest = long_x.max(initial=0) + long_y.max(initial=0)
+    margin = (x.shape[1] + 8) * 2.4e-7 * longest
+    single = longest < 1e30 and radius**2 > 1e-25 and margin < radius**2 / 4
+    if single:
+        # the inner product of these is less than half the squared distance, times -1
+        one = np.concatenate([x, -long_x[:, None] / 2, np.ones((len(x), 1))], axis=1).astype(np.float32)
+        two = np.concatenate([y, np.ones((len(y), 1)), -long_y[:, None] / 2], axis=1).astype(np.float32)
+    rows = max(1, cells // max(len(y), 1))
     for a in range(0, len(x), rows):
+        if single:
+            i, j = np.nonzero(one[a : a + rows] @ two.T >= np.float32(-(radius**2) / 2 - margin))
+            if len(i) < min(rows, len(x) - a) * len(y) / 16:
+                within = apart(x[a + i], y[j]) <= radius**2
+                yield i[within] + a, j[within]
+                continue
         value = squares(x[a : a + rows], y)
         close = np.abs(value - radius**2) < NEAR * (1 + value)
         if close.any():
             i, j = np.nonzero(close)
-            value[i, j] = ((x[a + i] - y[j]) ** 2).sum(axis=1)
+            value[i, j] = apart(x[a + i], y[j])
         i, j = np.nonzero(value <= radius**2)
-        yield i + a, j, value[i, j]
+        yield i + a, j
 
 
-def density_clusters(vectors: DataFrame, radius: float, least: int = 5, smallest: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+#: Vectors of a block where all vectors meet all, in BLOCKs; and pairs that take as long to compare as one vector takes to be sent to a task.
+WIDE, SENT = 8, 500
+
+
+def density_clusters(vectors: DataFrame, radius: float, least: int = 5, smallest: int = 2, id_col: str = "vec_id", vector_col: str = "embedding", by_cells: bool | None = None) -> DataFrame:
     """id, cluster and kind of each vector: core, with at least `least` vectors within radius of it, itself included; border, not core but near one; or noise.
     Cores within radius of each other share a cluster, named by its least core; a border vector belongs to its nearest core's, of equally near
     ones to the least. Members of clusters of fewer than `smallest` vectors are noise, and so are vectors that are null, empty or not finite.
 
     Distances are those of the whole space, exact. Neighbours are looked for in cells around pivots, a block of a cell's own vectors with a block
-    of all that may be near them in a task; counts, links and nearest cores leave the task, and no pairs do.
+    of all that may be near them in a task, or, where most vectors may be near most cells, as in many dimensions, in blocks of all vectors with
+    all; by_cells says which, else their costs do. Counts, links and nearest cores leave the task, and no pairs do.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
+    width = vectors.schema[vector_col].dataType.simpleString()
+    width = width if width == "array<float>" else "array<double>"  # vectors travel as they came, and are compared in double precision
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fits = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.col("id").isNotNull()
     distinct, members = distinct_vectors(rows.where(fits))
     weights = members.groupBy("uid").agg(F.count("*").alias("weight"))
     points = written(distinct.join(weights, "uid"))
-    cells = written(pivot_cells(points, radius))
-    blocks = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("home_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("home_blocks > 0")
-    dealt = cells.join(blocks, "cell").withColumns({"h": F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("home_blocks")).cast("int"), "g": F.pmod(F.xxhash64(F.lit(2), "uid"), F.col("blocks")).cast("int")})
+    blocks_of = lambda n, size: F.ceil(n / size).cast("int")
+    whole = points.groupBy(F.size("v").cast("long").alias("cell")).agg(F.count("*").alias("n")).withColumn("blocks", blocks_of(F.col("n"), WIDE * BLOCK))
+    if by_cells is not False:
+        found = pivot_cells(points, radius)
+        blocks = found.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("n")).where("homes > 0").withColumn("home_blocks", blocks_of(F.col("homes"), BLOCK)).withColumn("blocks", blocks_of(F.col("n"), BLOCK))
+        blocks = written(blocks)
+        if by_cells is None:
+            celled = blocks.agg(F.sum(F.col("homes") * F.col("n") + SENT * (F.col("homes") * F.col("blocks") + F.col("n") * F.col("home_blocks")))).first()[0]
+            by_cells = (celled or 0) <= (whole.agg(F.sum(F.col("n") * F.col("n") + 2 * SENT * F.col("n") * F.col("blocks"))).first()[0] or 0)
+    if by_cells:
+        places = written(found.join(F.broadcast(blocks.select("cell", "home_blocks", "blocks")), "cell")).hint("merge")  # small as a file, but of many rows
+    else:
+        own = F.size("v").cast("long")
+        every_cell = F.broadcast(whole.select("cell", F.col("blocks").alias("home_blocks"), "blocks"))  # a row for each dimension
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = written(dealt.where("home").select("uid", "cell", "h", every("blocks").alias("g")))
-    guests = written(dealt.select("uid", "cell", "g", every("home_blocks").alias("h")))
+    at = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "uid"), F.col(n)).cast("int")
     key = ["cell", "h", "g"]
 
     def tiles(facts: DataFrame, run, schema: str) -> DataFrame:
         columns = [c for c in facts.columns if c != "uid"]
-        one = home.join(facts, "uid").select("uid", *(F.col(c).alias(f"h_{c}") for c in key), *columns).toDF("uid", *key, *columns)
-        two = guests.join(facts, "uid").select("uid", *(F.col(c).alias(f"g_{c}") for c in key), *columns).toDF("uid", *key, *columns)
+        if by_cells:
+            dealt = places.join(facts, "uid")
+        else:
+            dealt = facts.withColumn("cell", own).join(every_cell, "cell").withColumn("home", F.lit(True))
+        sent = ["uid", *key, *(F.col(c).cast(width).alias(c) if c == "v" else c for c in columns)]
+        one = dealt.where("home").withColumn("h", at(1, "home_blocks")).withColumn("g", every("blocks")).select(*sent).toDF("uid", *key, *columns)
+        two = dealt.withColumn("g", at(2, "blocks")).withColumn("h", every("home_blocks")).select(*sent).toDF("uid", *key, *columns)
         return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(run, schema)
 
     def counted(one: pa.Table, two: pa.Table) -> pa.Table:
         n = np.zeros(len(one), np.int64)
         if len(one) and len(two):
             weight = two["weight"].to_numpy()
-            for i, j, _ in near_pairs(matrix(one["v"]), matrix(two["v"]), radius):
+            for i, j in near_pairs(doubles(one["v"]), doubles(two["v"]), radius):
                 n += np.bincount(i, weights=weight[j], minlength=len(n)).astype(np.int64)
         return pa.table({"uid": one["uid"], "n": pa.array(n)})
 
@@ -302,21 +349,24 @@ def density_clusters(vectors: DataFrame, radius: float, least: int = 5, smallest
         two = two.filter(two["core"])
         if not len(one) or not len(two):
             return none
-        core, x, y = one["core"].to_numpy(), matrix(one["v"]), matrix(two["v"])
+        core, x, y = one["core"].to_numpy(), doubles(one["v"]), doubles(two["v"])
         both = pa.concat_tables([one.select(["uid"]), two.select(["uid"])])["uid"]
         rank = np.empty(len(two), np.int64)
         rank[pc.sort_indices(two["uid"]).to_numpy()] = np.arange(len(two))
         best = np.full(len(one), -1)
         square = np.full(len(one), np.inf)
-        edges = []
-        for i, j, d in near_pairs(x, y, radius):
-            edges.append((i[core[i]], j[core[i]] + len(one)))
-            i, j, d = i[~core[i]], j[~core[i]], d[~core[i]]
-            order = np.lexsort((rank[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            first = np.flatnonzero(np.diff(i, prepend=-1))
-            best[i[first]], square[i[first]] = j[first], d[first]
-        label = least_connected(len(both), iter(edges))
+
+        def edges():
+            for i, j in near_pairs(x, y, radius):
+                yield i[core[i]], j[core[i]] + len(one)
+                i, j = i[~core[i]], j[~core[i]]  # fewer than least of each
+                d = apart(x[i], y[j])
+                order = np.lexsort((rank[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.flatnonzero(np.diff(i, prepend=-1))
+                best[i[first]], square[i[first]] = j[first], d[first]
+
+        label = least_connected(len(both), edges())
         moved = np.flatnonzero(label != np.arange(len(label)))
         border = np.flatnonzero(best >= 0)
         return pa.table({

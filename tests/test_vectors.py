@@ -136,3 +136,24 @@ def test_density_clusters(spark, monkeypatch, n, d, radius, block):
 
 def test_density_of_nothing(spark):
     assert vectors.density_clusters(spark.createDataFrame([], SCHEMA), 1.0).count() == 0
+
+
+@pytest.mark.parametrize(("by_cells", "block"), [(True, 40), (False, 5)])
+def test_density_clusters_by_cells_and_in_blocks(spark, monkeypatch, by_cells, block):
+    """Both ways to look for neighbours find the same, and no table of their places is broadcast."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    r = np.random.default_rng(4)
+    x = (r.standard_normal((12, 6))[r.integers(0, 12, 250)] + r.standard_normal((250, 6)) * 0.25).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vectors.density_clusters(frame, 0.7, 4, 3, by_cells=by_cells)
+    assert {tuple(r) for r in got.select("vec_id", "cluster", "kind").collect()} == brute_density(x.astype(float), np.arange(250), 0.7, 4, 3)
+
+
+@pytest.mark.parametrize(("scale", "shift"), [(1.0, 0.0), (1e-9, 0.0), (1e20, 0.0), (1.0, 1e6)])
+def test_near_pairs_at_any_scale(scale, shift):
+    r = np.random.default_rng(2)
+    x, y = r.standard_normal((60, 8)) * scale + shift, r.standard_normal((90, 8)) * scale + shift
+    y[5] = x[7]
+    found = {(int(i), int(j)) for a, b in vectors.near_pairs(x, y, 2.5 * scale, 1000) for i, j in zip(a, b, strict=True)}
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(((x[:, None] - y[None]) ** 2).sum(axis=2) <= (2.5 * scale) ** 2), strict=True)}
+    assert found == want and 0 < len(want) < 2000
