@@ -75,7 +75,7 @@ def stale(t, seconds, late):
     # some heartbeats come as late as the watermark allows
     part = F.least(F.floor((F.unix_millis("heartbeat_at") + F.pmod(F.hash("run_id", "heartbeat_at"), F.lit(late * 1000 - 1)) - first) * 3 / (last + late * 1000 - first)), F.lit(2)).cast("int")
     for k in range(3):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows.where(part == k).write.mode("append").parquet(f"{base}/in")
         stream = t.spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         live.stale_alerts(stream, seconds, f"{late} seconds").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema("run_id long, last_ms long").parquet(f"{base}/out")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -99,31 +100,40 @@ def bad_moves(changes: DataFrame) -> DataFrame:
 
 
 class HeartbeatProcessor(StatefulProcessor):
-    """Sets a timer at each heartbeat; when it fires without another heartbeat since, the run was stale. A heartbeat goes from the state when
-    its timer has fired, so that late ones may still fill a gap and the state holds no more than the watched time."""
+    """Keeps a run's heartbeats until the watermark is past the time in which another should follow, and then tells which had none. The state is
+    read and written once for all of a run's heartbeats, and a run has one timer, for its earliest heartbeat. Late ones may
+    still fill a gap, and the state holds no more than the watched time and what the watermark waits for."""
 
     def __init__(self, seconds: int):
         self.millis = seconds * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.beats = handle.getMapState("beats", "at long", "seen boolean")
+        self.beats = handle.getValueState("beats", "at array<long>")
 
     def handleInputRows(self, key, rows, timerValues):
-        for frame in rows:
-            for at in frame["at_ms"].unique().tolist():
-                if not self.beats.containsKey((at,)):  # a heartbeat that comes again changes nothing
-                    self.beats.updateValue((at,), (True,))
-                    self.handle.registerTimer(at + self.millis)
+        before = list(self.beats.get()[0]) if self.beats.exists() else []
+        beats = sorted({*before, *(at for frame in rows for at in frame["at_ms"].tolist())})  # a heartbeat that comes again changes nothing
+        self.beats.update((beats,))
+        if not before or beats[0] < before[0]:
+            self.handle.registerTimer(beats[0] + self.millis)
         return
         yield
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs() - self.millis
-        stale = not any(at < other <= at + self.millis for (other,) in self.beats.keys())
-        self.beats.removeKey((at,))
-        if stale:
-            yield pd.DataFrame([(key[0], at)], columns=["run_id", "last_ms"])
+        beats = list(self.beats.get()[0]) if self.beats.exists() else []
+        done = bisect_right(beats, max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - self.millis)
+        if not done:  # the timer of a heartbeat that went with an earlier one's
+            return
+        if done < len(beats):
+            self.beats.update((beats[done:],))
+            self.handle.registerTimer(beats[done] + self.millis)
+        else:
+            self.beats.clear()
+        following = [*beats[1:], None]
+        last = [at for at, other in zip(beats[:done], following) if other is None or other > at + self.millis]
+        if last:
+            yield pd.DataFrame({"run_id": key[0], "last_ms": last})
 
     def close(self) -> None:
         pass

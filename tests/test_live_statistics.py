@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from spanloom.streaming import live
@@ -58,3 +59,42 @@ def test_stale_alerts_with_late_and_repeated_beats(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(180)
     got = sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).selectExpr("run_id", f"(last_ms - unix_millis(timestamp'{minute(0)}')) div 60000").collect())
     assert got == [(1, 5), (1, 40), (2, 9), (2, 41), (3, 31)]
+
+
+def test_heartbeats_of_a_run_cost_few_calls():
+    """State and timers are asked once for all heartbeats of a run, not once for each."""
+    calls = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append((name, *args))
+                if name == "update":
+                    self.value = args[0]
+                if name == "clear":
+                    self.value = None
+                return {"exists": self.value is not None, "get": self.value}.get(name)
+
+            return call
+
+    class Timer:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+        def getCurrentWatermarkInMs(self):
+            return 10_000_000
+
+    handle, processor = Handle(), live.HeartbeatProcessor(5)
+    processor.init(handle)
+    assert list(processor.handleInputRows((1,), iter([pd.DataFrame({"at_ms": [k * 10_000 for k in range(1000)]})]), None)) == []
+    (timer,) = [c[1] for c in calls if c[0] == "registerTimer"]
+    out = pd.concat(processor.handleExpiredTimer((1,), Timer(timer), Timer(timer)))
+    assert out["last_ms"].tolist() == [k * 10_000 for k in range(1000)] and handle.value is None and len(calls) < 12
