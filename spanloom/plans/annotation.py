@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.fixtures import one_of
@@ -237,7 +238,11 @@ add("e09_low_information", lambda t: stats.low_information(everywhere(t), stats.
 add("e10_frequency_scores", lambda t: stats.frequency_scores(t.spans, stats.zipf_table(t.rows)).withColumn("score", F.round("score", 6)), ZIPF + "SELECT span_lower, round(score, 6) AS score FROM scored")
 AUDIT = "SELECT c.task_id, c.span_lower, c.type, coalesce(v.type, top_type) AS expected, v.type IS NOT NULL AS by_convention FROM checked c LEFT JOIN conventions v ON v.span_lower = c.span_lower AND v.status = 'active' WHERE verdict = 'divergent' AND c.type <> coalesce(v.type, top_type)"
 add("e11_posterior_audit", lambda t: stats.posterior_audit(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)), STATS + AUDIT)
-add("e12_task_deviations", lambda t: stats.posterior_audit(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)).groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("by_convention").alias("n_by_convention")), STATS + f"SELECT task_id, count(*) AS n, count(*) FILTER (by_convention) AS n_by_convention FROM ({AUDIT}) GROUP BY task_id")
+add(
+    "e12_task_deviations",  # every deviation of every task, with the counts of its task
+    lambda t: stats.posterior_audit(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)).withColumns({"n": F.count("*").over(Window.partitionBy("task_id")), "n_by_convention": F.count_if("by_convention").over(Window.partitionBy("task_id"))}),
+    STATS + f"SELECT *, count(*) OVER (PARTITION BY task_id) AS n, count(*) FILTER (by_convention) OVER (PARTITION BY task_id) AS n_by_convention FROM ({AUDIT})",
+)
 add(
     "e12_all_task_deviations",
     lambda t: stats.task_deviations(stats.lower_decisions(t.spans), stats.summaries(everywhere(t)), agreed_conventions(t)).withColumn("top_share", F.round("top_share", 6)),

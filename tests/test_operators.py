@@ -407,6 +407,14 @@ def test_queries_of_the_whole_job(spark, tmp_path):
     assert len(repairs.R.queries["f19_unjustified_duplicate_masks"](spark, sf).select("rep").distinct().collect()) > 1
 
 
+def test_deviations_one_by_one(spark):
+    """The query lists each deviation of each task, with the counts of its task."""
+    rows = annotation.R.queries["e12_task_deviations"](spark, "/root/testdata/sf0.001").collect()
+    each = {(r.task_id, r.span_lower, r.type) for r in rows}
+    assert len(each) == len(rows) > len({r.task_id for r in rows}) and max(r.task_id for r in rows) >= "doc-000050"
+    assert all(r.n == sum(t == r.task_id for t, _, _ in each) for r in rows)
+
+
 def test_annotations_as_models_write_them(spark):
     row = '{"rows": [{"row_index": 0, "output": {"entities": {"person": ["Ann"]}}}]}'
     fenced = f"<think>which {{rows}}?</think>\n```json\n{row}\n```"
