@@ -405,6 +405,10 @@ def slider(report: DataFrame, least: float) -> DataFrame:
     return kept.withColumn("left_size", F.count("*").over(Window.partitionBy("rep"))).where("left_size > 1").select("key", "rep", "left_size")
 
 
+#: Cosines of queries and vectors that a task holds at a time.
+PAIRS = 1 << 20
+
+
 def cosine_search(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query, vec_id, cosine: all vectors that near a stated set of queries, which is sent to the executors in blocks of bounded size.
 
@@ -424,8 +428,9 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, threshold: float, bloc
                 lists, names = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
                 lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 for d, (ids, matrix) in shared.value.items():
-                    own = np.flatnonzero(lengths == d)
-                    if len(own):
+                    every = np.flatnonzero(lengths == d)
+                    for a in range(0, len(every), step := max(1, PAIRS // len(ids))):
+                        own = every[a : a + step]
                         rows = unit(lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), d))
                         cosines = matrix @ rows.T
                         q, v = np.nonzero(cosines >= threshold)

@@ -415,6 +415,17 @@ def test_deviations_one_by_one(spark):
     assert all(r.n == sum(t == r.task_id for t, _, _ in each) for r in rows)
 
 
+def test_cosine_search_a_few_cosines_at_a_time(spark, monkeypatch):
+    """However many queries there are, a task holds a bounded number of cosines."""
+    monkeypatch.setattr(similarity, "PAIRS", 60)
+    r = np.random.default_rng(3)
+    x = r.standard_normal((200, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<float>")
+    got = {(q.query, q.vec_id) for q in similarity.cosine_search(frame.where("vec_id % 4 = 0"), frame, 0.5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == {(int(q), int(v)) for q, v in zip(*np.nonzero(u @ u.T >= 0.5), strict=True) if q % 4 == 0 and q != v} and got
+
+
 def test_annotations_as_models_write_them(spark):
     row = '{"rows": [{"row_index": 0, "output": {"entities": {"person": ["Ann"]}}}]}'
     fenced = f"<think>which {{rows}}?</think>\n```json\n{row}\n```"
