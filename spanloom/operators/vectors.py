@@ -14,6 +14,8 @@ from spanloom.operators.graph import connected_components, written
 
 #: Vectors of a bucket that meet in one task, about, and those of a large bucket that every one of its blocks sees.
 BLOCK, LEADERS = 2048, 16
+#: Vectors of a batch whose sides of all hyperplanes are held at a time.
+ROWS = 512
 #: Codes that a vector has in a band beside its own: with one bit flipped, those nearest to their hyperplane.
 FLIPS = 2
 #: Bands of hyperplanes, at most; a threshold that would need more is searched exactly.
@@ -69,16 +71,18 @@ def hyperplane_buckets(vectors: DataFrame, bits: int, bands: int, seed: int) ->
             lists = batch.column(1)
             sizes = lists.value_lengths().to_numpy()
             for d in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == d)
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((d, bits * bands))
-                side = (lists.take(pa.array(own)).flatten().to_numpy().reshape(-1, d) @ planes[d]).reshape(len(own), bands, bits)
-                code = ((side > 0) << np.arange(bits)).sum(axis=2)
-                nearest = np.argsort(np.abs(side), axis=2)[:, :, :FLIPS]
-                codes = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << nearest)], axis=2)
-                buckets = (codes + (np.arange(bands)[None, :, None] << bits)).reshape(len(own), -1) + (d << 40)
-                uid = batch.column(0).take(pa.array(np.repeat(own, buckets.shape[1])))
-                yield pa.RecordBatch.from_arrays([uid, pa.array(buckets.reshape(-1))], names=["uid", "bucket"])
+                every = np.flatnonzero(sizes == d)
+                for a in range(0, len(every), ROWS):
+                    own = every[a : a + ROWS]
+                    side = (lists.take(pa.array(own)).flatten().to_numpy().reshape(-1, d) @ planes[d]).reshape(len(own), bands, bits)
+                    code = ((side > 0) << np.arange(bits)).sum(axis=2)
+                    nearest = np.argsort(np.abs(side), axis=2)[:, :, :FLIPS]
+                    codes = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << nearest)], axis=2)
+                    buckets = (codes + (np.arange(bands)[None, :, None] << bits)).reshape(len(own), -1) + (d << 40)
+                    uid = batch.column(0).take(pa.array(np.repeat(own, buckets.shape[1])))
+                    yield pa.RecordBatch.from_arrays([uid, pa.array(buckets.reshape(-1))], names=["uid", "bucket"])
 
     return vectors.select("uid", "v").mapInArrow(run, f"uid {vectors.schema['uid'].dataType.simpleString()}, bucket long")
 
