@@ -41,13 +41,13 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
 
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct sets as (uid, key, items), key the least of those with the set, and members as (key, rep), rep that least key. Sets are
-    told apart by their size and 128 bits of hash."""
+    told apart by their size and 128 bits of hash. Only ids are kept beside the texts' own sets: who reads the items of distinct sets
+    more than once should write them."""
     hashed = written(sets.select("key", "items", F.size("items").alias("size"), F.xxhash64("items").alias("h1"), F.xxhash64(F.lit(1), "items").alias("h2")))
     same = ["size", "h1", "h2"]
-    low = hashed.groupBy(*same).agg(F.min("key").alias("rep"))
+    low = written(hashed.groupBy(*same).agg(F.min("key").alias("rep")).withColumn("uid", F.monotonically_increasing_id()))
     members = written(hashed.select("key", *same).join(low, same).select("key", "rep"))
-    own = hashed.join(members.where("key = rep").select("key"), "key").select("key", "items")
-    return written(own.withColumn("uid", F.monotonically_increasing_id())), members
+    return hashed.select("key", "items").join(low.select(F.col("rep").alias("key"), "uid"), "key").select("uid", "key", "items"), members
 
 
 def minhash(sets: DataFrame, permutations: int = 64) -> DataFrame:
@@ -83,8 +83,22 @@ def least_size(c: Column) -> Column:
     return F.when(c <= SMALL, c).otherwise(F.floor(SMALL * F.pow(F.lit(STEP), c - SMALL))).cast("int")
 
 
-def prefix_entries(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """What sets (uid, items) must share to reach a Jaccard threshold: rare (item, uid), and hot (item, low, high, own, uid).
+def shared_sets(sets: DataFrame) -> DataFrame:
+    """uid, m, items, df of the sets (uid, items) that share an item with another: the set's size, its items that stand in several sets, the rarest
+    first, and in how many. Items of one set can't be common to two, so similarities follow from these and the sizes.
+
+    Items are sent once to be counted and then, without those of one set, back to their sets. What has been through here stays as it is.
+    """
+    if "df" in sets.columns:
+        return sets
+    items = sets.select("uid", F.size("items").alias("m"), F.explode("items").alias("item"))
+    shared = items.withColumn("df", F.count("*").over(Window.partitionBy("item"))).where("df > 1")
+    ordered = shared.groupBy("uid", "m").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("i"))
+    return written(ordered.select("uid", "m", F.col("i.item").alias("items"), F.col("i.df").alias("df")))
+
+
+def prefix_entries(shared: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What sets (see shared_sets()) must share to reach a Jaccard threshold: rare (item, uid), and hot (item, low, high, own, uid).
 
     Two sets of sizes m and n reach it only with ceil(t / (1 + t) * (m + n)) common items, so they share one among the m - that + 1 rarest of the one
     and the n - that + 1 rarest of the other. If that item stands in RARE sets or fewer, both have a rare entry of it. If not, both have a
@@ -92,15 +106,12 @@ def prefix_entries(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     classes ask for: a frequent item on which sets differ in all else has no entry at all.
     """
     ratio = threshold / (1 + threshold)
-    items = sets.select("uid", F.size("items").alias("m"), F.explode("items").alias("item"))
-    frequency = items.groupBy("item").agg(F.count("*").alias("df"))
-    shared = items.join(frequency.where("df > 1"), "item")
-    alone = F.col("m") - F.count("*").over(Window.partitionBy("uid"))  # items of one set come before all others
-    place = F.row_number().over(Window.partitionBy("uid").orderBy("df", "item"))
+    alone = F.col("m") - F.size("items")  # items of one set come before all others
     longest = lambda least: F.col("m") - F.greatest(F.ceil(ratio * (F.col("m") + least) - 1e-9), F.lit(1)) + 1
     least = F.ceil(F.col("m") * threshold - 1e-9)
-    ranked = shared.select("uid", "m", "item", "df", (place + alone).alias("place")).where(F.col("place") <= longest(least))
-    ranked = written(ranked)
+    first = F.slice("items", F.lit(1), F.greatest(longest(least) - alone, F.lit(0)).cast("int"))
+    ranked = shared.select("uid", "m", "df", alone.alias("alone"), F.posexplode(first).alias("at", "item"))
+    ranked = ranked.select("uid", "m", "item", F.get("df", F.col("at")).alias("df"), (F.col("at") + 1 + F.col("alone")).alias("place"))
     own = size_class(F.col("m"))
     partners = F.sequence(size_class(F.greatest(least, F.lit(1))), size_class(F.floor(F.col("m") / threshold + 1e-9)))
     hot = ranked.where(F.col("df") > RARE).select("uid", "m", "item", "place", own.alias("own"), F.explode(partners).alias("other"))
@@ -135,7 +146,7 @@ def roles() -> Column:
 
 def exact_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of uids that may reach the threshold, none missed."""
-    rare, hot = prefix_entries(sets, threshold)
+    rare, hot = prefix_entries(shared_sets(sets), threshold)
     hot = written(hot)
     sizes = hot.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(*GROUP, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     once = ((F.col("x.low") == F.col("x.high")) & (F.col("x.uid") < F.col("y.uid"))) | (F.col("x.own") < F.col("y.own"))
@@ -143,27 +154,27 @@ def exact_candidates(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of uids with similarity, the exact Jaccard index of their sets, at the threshold or above."""
-    one, two = sets.select(F.col("uid").alias("a"), F.col("items").alias("x")), sets.select(F.col("uid").alias("b"), F.col("items").alias("y"))
-    fits = pairs.join(one, "a").join(two, "b").where((F.size("x") >= threshold * F.size("y") - 1e-9) & (F.size("y") >= threshold * F.size("x") - 1e-9))
-    return fits.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def jaccard(x: Column, y: Column) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return both / (F.size(x) + F.size(y) - both)
+    """Pairs (a, b) of uids with similarity, the exact Jaccard index of their sets, at the threshold or above. sets: uid, m and items; of the
+    items, those that stand in one set only may be left out."""
+    one, two = sets.select(F.col("uid").alias("a"), F.col("m").alias("x_m"), F.col("items").alias("x")), sets.select(F.col("uid").alias("b"), F.col("m").alias("y_m"), F.col("items").alias("y"))
+    fits = pairs.join(one, "a").join(two, "b").where((F.col("x_m") >= threshold * F.col("y_m") - 1e-9) & (F.col("y_m") >= threshold * F.col("x_m") - 1e-9))
+    both = F.size(F.array_intersect("x", "y"))
+    return fits.select("a", "b", (both / (F.col("x_m") + F.col("y_m") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def near_duplicate_edges(texts: DataFrame, n: int, threshold: float, mode: str = "exact") -> DataFrame:
     """a, b, similarity between texts of distinct sets, each set once, by its least key. mode 'exact' misses none, 'lsh' few."""
     sets, _ = distinct_sets(shingle_sets(texts, n))
     if mode == "exact":
-        pairs = exact_candidates(sets, threshold)
+        own = shared_sets(sets)
+        pairs = exact_candidates(own, threshold)
     else:
+        sets = written(sets)
+        own = sets.withColumn("m", F.size("items"))
         ids = sets.select("key", "uid")
         pairs = lsh_candidates(minhash(sets.select("key", "items")))
         pairs = pairs.join(ids.withColumnsRenamed({"key": "a", "uid": "u"}), "a").join(ids.withColumnsRenamed({"key": "b", "uid": "v"}), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    found, names = verified(pairs, sets, threshold), sets.select("key", "uid")
+    found, names = verified(pairs, own, threshold), sets.select("key", "uid")
     named = found.join(names.withColumnsRenamed({"key": "x", "uid": "a"}), "a").join(names.withColumnsRenamed({"key": "y", "uid": "b"}), "b")
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
@@ -174,11 +185,12 @@ def components(sets: DataFrame, threshold: float) -> DataFrame:
     A group of hot entries is linked to its heads, the least uid of each side, first. Groups that are then still of several components
     compare what lies outside of their largest one with all of the group: in proportion to the group, times those outside.
     """
-    rare, hot = prefix_entries(sets, threshold)
+    shared = shared_sets(sets)
+    rare, hot = prefix_entries(shared, threshold)
     hot = written(hot)
     heads = hot.groupBy(*GROUP, "own").agg(F.min("uid").alias("head")).withColumnRenamed("own", "side")
     star = hot.join(heads, GROUP).where(((F.col("low") == F.col("high")) | (F.col("own") != F.col("side"))) & (F.col("uid") != F.col("head"))).select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b"))
-    links = written(verified(rare_pairs(rare).unionByName(star).distinct(), sets, threshold).select("a", "b"))
+    links = written(verified(rare_pairs(rare).unionByName(star).distinct(), shared, threshold).select("a", "b"))
     labels = connected_components(links)
     marked = written(hot.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("root", "uid")).drop("root"))
     parts = marked.groupBy(*GROUP, "label").agg(F.count("*").alias("n"))
@@ -191,7 +203,7 @@ def components(sets: DataFrame, threshold: float) -> DataFrame:
     every = own.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*GROUP, "at")]
     extra = rest.join(every, [*on, F.col("x.label") != F.col("y.label"), roles()]).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
-    more = verified(extra, sets, threshold).select("a", "b")
+    more = verified(extra, shared, threshold).select("a", "b")
     return connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
@@ -200,8 +212,11 @@ def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | N
     representative is the least key that isn't excluded, else the least; members keep to it by their own similarity."""
     sets, same = distinct_sets(shingle_sets(texts, n))
     if mode == "exact":
-        roots = components(sets, threshold)
+        items = shared_sets(sets)
+        roots = components(items, threshold)
     else:
+        sets = written(sets)
+        items = sets.withColumn("m", F.size("items"))
         named = sets.select("key", "uid")
         edges = near_duplicate_edges(texts, n, threshold, mode)
         roots = connected_components(edges.join(named.withColumnsRenamed({"key": "a", "uid": "u"}), "a").join(named.withColumnsRenamed({"key": "b", "uid": "v"}), "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
@@ -215,9 +230,10 @@ def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | N
     best = labels.groupBy("root").agg(F.count("*").alias("n"), F.min(F.when(F.col("out").isNull(), F.struct("key", "uid"))).alias("free"), F.min(F.struct("key", "uid")).alias("any")).where("n > 1")
     reps = best.select("root", F.coalesce("free", "any").alias("r")).select("root", F.col("r.key").alias("rep"), F.col("r.uid").alias("rep_uid"))
     members = labels.join(reps, "root").select("key", "uid", "rep", "rep_uid")
-    one, two = sets.select("uid", F.col("items").alias("x")), sets.select(F.col("uid").alias("rep_uid"), F.col("items").alias("y"))
-    pairs = members.select("uid", "rep_uid").distinct().join(one, "uid").join(two, "rep_uid").select("uid", "rep_uid", jaccard(F.col("x"), F.col("y")).alias("similarity"))
-    kept = written(members.join(pairs.where(F.col("similarity") >= threshold), ["uid", "rep_uid"]).select("key", "rep", "similarity"))
+    others = members.where("uid <> rep_uid").select(F.col("uid").alias("a"), F.col("rep_uid").alias("b")).distinct()
+    pairs = verified(others, items, threshold).toDF("uid", "rep_uid", "similarity")
+    near = members.where("uid <> rep_uid").join(pairs, ["uid", "rep_uid"]).select("key", "rep", "similarity")
+    kept = written(members.where("uid = rep_uid").select("key", "rep", F.lit(1.0).alias("similarity")).unionByName(near))
     return kept.join(kept.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1"), "rep").select("key", "rep", "similarity", "size")
 
 
@@ -257,6 +273,7 @@ def linked_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """
     sets, same = distinct_sets(shingle_sets(texts, n))
     copies = same.groupBy("rep").agg(F.count("*").alias("copies"))
+    sets = written(sets)
     roots = components(sets, threshold).withColumnRenamed("node", "uid")
     own = sets.join(roots, "uid", "left").join(copies.withColumnRenamed("rep", "key"), "key").select("uid", "key", "items", "copies", F.coalesce("root", "uid").alias("root"), F.col("root").isNotNull().alias("linked"))
     own = written(own.withColumn("class", size_class(F.size("items"))))

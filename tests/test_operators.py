@@ -426,6 +426,15 @@ def test_cosine_search_a_few_cosines_at_a_time(spark, monkeypatch):
     assert got == {(int(q), int(v)) for q, v in zip(*np.nonzero(u @ u.T >= 0.5), strict=True) if q % 4 == 0 and q != v} and got
 
 
+def test_only_shared_items_are_compared(spark):
+    """Of each set the items that another has too, the rarest first, with its whole size; similarities from these are those of the whole sets."""
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [2, 3, 4, 5, 6, 7]), (3, [5, 90, 91]), (4, [80])], "uid long, items array<long>")
+    shared = similarity.shared_sets(sets)
+    assert {r.uid: (r.m, r["items"], r.df) for r in shared.collect()} == {1: (5, [2, 3, 4, 5], [2, 2, 2, 3]), 2: (6, [2, 3, 4, 5], [2, 2, 2, 3]), 3: (3, [5], [3])}
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert {(r.a, r.b): round(r.similarity, 9) for r in similarity.verified(pairs, shared, 0.1).collect()} == {(1, 2): round(4 / 7, 9), (1, 3): round(1 / 7, 9), (2, 3): 0.125}
+
+
 def test_annotations_as_models_write_them(spark):
     row = '{"rows": [{"row_index": 0, "output": {"entities": {"person": ["Ann"]}}}]}'
     fenced = f"<think>which {{rows}}?</think>\n```json\n{row}\n```"
