@@ -1,16 +1,15 @@
 """Phrase collocations: frequent phrases by multikey three-way quicksort of suffix pointers, scored by their weakest cut.
 
-Words and pairs of neighbours that are rarer than the threshold can't stand in a frequent phrase: they end the suffixes before them. What is
-left of the suffix at each word, at most as many words as the longest phrase, goes as hashes of words to one of many ranges of suffixes in
-order, so that suffixes that begin with the same words come together however frequent these words are. In a range, pointers to suffixes are sorted by their
-first word, those that are equal there by their second, and so on to the greatest depth: the weight of a part of equal pointers is the count
-of the phrase they share. Parts whose weight is below the threshold are abandoned. A phrase that begins the first or the last suffix of a
-range may go on in the next one; its counts are added up, and only then is it held against the threshold.
+Words and pairs of neighbours are counted first. Those that are rarer than the threshold can't stand in a frequent phrase: they end the suffixes
+before them. What is left of the suffix at each word, at least three words, since shorter phrases are counted already, and at most as many as the
+longest phrase has, goes as hashes of words to one of many parts by its first three words, so that phrases that begin with the same words come
+together. A task adds up equal suffixes and sends those of a part as one row. In a part, pointers to suffixes are sorted by their first word, those
+that are equal there by their second, and so on to the greatest depth: the weight of a group of equal pointers is the count of the phrase they
+share. Groups whose weight is below the threshold are abandoned.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import CACHE_WORDS, materialise, mix, scratch, text_chunks, text_of
 
-#: Suffixes that a task holds at a time before equal ones are added up, and that a range holds, about.
-HELD, RANGE = 1 << 20, 1 << 21
+#: Suffixes that a task holds at a time before equal ones are added up, and parts that they are dealt to, at least.
+HELD, PARTS = 1 << 20, 1 << 10
 #: Bits of each of the two filters, of frequent words and pairs, that go to the tasks: a fixed size whatever the vocabulary, 8 MB.
 FILTER_BITS = 1 << 26
 #: Bits of one bitmap of Spark's bitmap functions.
@@ -144,16 +143,24 @@ def word_runs(rows: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[np.
 
 
 def frequent_pairs(rows: DataFrame, words: np.ndarray, least: int) -> DataFrame:
-    """bit: places of the pairs of neighbouring frequent words that occur at least `least` times."""
+    """w1, w2, n, bit: the pairs of neighbouring frequent words that occur at least `least` times, and the place of each in the filter."""
     shared = rows.sparkSession.sparkContext.broadcast(words)  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flat in word_runs(batches, shared.value):
-            pair, n = np.unique(pair_keys(flat)[(flat[:-1] != 0) & (flat[1:] != 0)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(bits(pair)), pa.array(n.astype(np.int32))], names=["pair", "bit", "n"])
+            at = np.flatnonzero((flat[:-1] != 0) & (flat[1:] != 0))
+            _, first, n = np.unique(pair_keys(flat)[at], return_index=True, return_counts=True)
+            order = np.argsort(flat[at[first]])  # equal words stand together, which takes less room
+            w1, w2 = flat[at[first]][order], flat[at[first] + 1][order]
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(n[order].astype(np.int32))], names=["w1", "w2", "n"])
 
-    counts = rows.mapInArrow(run, "pair long, bit long, n int").groupBy("pair").agg(F.sum("n").alias("n"), F.first("bit").alias("bit"))
-    return counts.where(F.col("n") >= least).select("bit")
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1).reshape(-1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits(pair_keys(both)[::2]))], names=["w1", "w2", "n", "bit"])
+
+    counts = rows.mapInArrow(run, "w1 long, w2 long, n int").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= least).mapInArrow(placed, "w1 long, w2 long, n long, bit long")
 
 
 def added_up(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,28 +175,49 @@ def added_up(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_rows(rows: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
-    """w1 .. w<longest>, n: the suffix at each frequent word, 0 beyond its end, and how often it occurs; a suffix ends before a rare word, inside
-    a rare pair, at the end of its piece, and after longest words. The same suffix comes from several tasks."""
+    """part, suffixes, n: the suffixes at each frequent word, as a packed matrix of their words, 0 beyond their ends, and how often each occurs; a
+    suffix ends before a rare word, inside a rare pair, at the end of its piece, and after longest words. Those of fewer than three words are left
+    out. The first three words decide on the part; the same suffix comes from several tasks."""
     shared = rows.sparkSession.sparkContext.broadcast((words, pairs))  # a fixed size
-    names = [f"w{i + 1}" for i in range(longest)]
+    parts = max(PARTS, rows.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = shared.value
+        held, total = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            distinct, n = added_up(np.concatenate(held))
+            held.clear()
+            first = mix(pair_keys(distinct[:, :2].reshape(-1))[::2].view(np.uint64) + distinct[:, 2].view(np.uint64))
+            part = (first % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, distinct, n = part[order], distinct[order], n[order]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(starts[1:], len(part))
+            packed = [[x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for x in (distinct, n)]
+            return pa.RecordBatch.from_arrays([pa.array(part[starts]), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "suffixes", "n"])
+
         for flat in word_runs(batches, words):
             flat = np.append(flat, np.zeros(longest, np.int64))
             goes_on = (flat[:-1] != 0) & (flat[1:] != 0)
             goes_on &= has(pairs, pair_keys(flat))
+            long_ = goes_on[:-1] & goes_on[1:]
             for a in range(0, len(flat) - longest, HELD):  # a single text may be longer
-                at = a + np.flatnonzero(flat[a : min(a + HELD, len(flat) - longest)])
+                at = a + np.flatnonzero(long_[a : min(a + HELD, len(flat) - longest)])
                 suffixes = np.empty((len(at), longest), np.int64)
                 open_ = np.ones(len(at), bool)
                 for i in range(longest):
                     suffixes[:, i] = np.where(open_, flat[at + i], 0)
                     open_ &= goes_on[np.minimum(at + i, len(goes_on) - 1)]
-                distinct, n = added_up(suffixes)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(distinct[:, i])) for i in range(longest)), pa.array(n.astype(np.int64))], names=[*names, "n"])
+                held.append(suffixes)
+                total += len(at)
+                if total >= HELD:
+                    yield flushed()
+                    total = 0
+        if total:
+            yield flushed()
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
+    return rows.mapInArrow(run, "part int, suffixes binary, n binary")
 
 
 def edge_row(suffixes: np.ndarray, pick) -> int:
@@ -255,21 +283,18 @@ def frequent_prefixes(suffixes: np.ndarray, weight: np.ndarray, least: int) -> t
 
 
 def phrase_counts(suffixes: DataFrame, least: int, longest: int) -> DataFrame:
-    """phrase array<long> (keys of its words) and n, of at least `least`, from a written table of suffix_rows()."""
+    """phrase array<long> (keys of its words) and n, of three words or more and at least `least`, from suffix_rows()."""
     names = [f"w{i + 1}" for i in range(longest)]
-    ranges = max(math.ceil(suffixes.count() / RANGE), 2 * suffixes.sparkSession.sparkContext.defaultParallelism)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # one range
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        own = np.stack([table[c].to_numpy() for c in names], axis=1)
-        rows, depth, n = frequent_prefixes(own, table["n"].to_numpy(), least)
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.where(depth > i, own[rows, i], 0)) for i in range(longest)), pa.array(n)], names=[*names, "n"])
-
-    part = suffixes.repartitionByRange(ranges, *names).mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
-    total = part.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    def run(table: pa.Table) -> pa.Table:
+        unpacked = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in table[c].to_pylist()])
+        own = unpacked("suffixes").reshape(-1, longest)
+        rows, depth, n = frequent_prefixes(own, unpacked("n"), least)
+        whole = (depth > 2) & (n >= least)  # of shorter prefixes only the suffixes of three words or more are here
+        rows, depth, n = rows[whole], depth[whole], n[whole]
+        return pa.table([*(pa.array(np.where(depth > i, own[rows, i], 0)) for i in range(longest)), pa.array(n)], names=[*names, "n"])
+
+    total = suffixes.groupBy("part").applyInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
     return total.select(F.filter(F.array(*names), lambda w: w != 0).alias("phrase"), "n")
 
 
@@ -297,11 +322,14 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int |
     words = materialise(word_counts(rows).where((F.col("n") >= least) | (F.length("word") == 0)))
     dictionary = words.where(F.length("word") > 0)
     known = frequent_filter(dictionary)
-    pairs = frequent_filter(materialise(frequent_pairs(rows, known, least)))
-    suffixes = materialise(suffix_rows(rows, known, pairs, longest))
-    counts = materialise(phrase_counts(suffixes, least, longest))
+    pairs = materialise(frequent_pairs(rows, known, least))
+    counts = dictionary.select(F.array("key").alias("phrase"), "n").unionByName(pairs.select(F.array("w1", "w2").alias("phrase"), "n"))
+    if longest > 2:
+        suffixes = suffix_rows(rows, known, frequent_filter(pairs), longest)
+        counts = counts.unionByName(phrase_counts(suffixes, least, longest))
+    counts = materialise(counts)
     size = F.size("phrase")
-    candidates = counts.where(size > 1)
+    candidates = counts.where((size > 1) & (size <= longest))
     # only a phrase of one word more needs to be looked at: any longer one that occurs as often holds such a one, which does too
     inside = candidates.where(size > 2).select(F.explode(F.array(F.slice("phrase", F.lit(1), size - 1), F.slice("phrase", F.lit(2), size - 1))).alias("phrase"), F.col("n").alias("longer"))
     inside = inside.groupBy("phrase").agg(F.max("longer").alias("longer"))

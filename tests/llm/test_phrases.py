@@ -96,3 +96,17 @@ def test_sorting_counts_prefixes(seed):
     ends = [min(own.tolist()), max(own.tolist())] if len(own) else []
     edge = {tuple(s[:k]) for s in ends for k in range(1, longest + 1) if s[k - 1]}
     assert len(found) == len(rows) and found == {p: x for p, x in want.items() if x >= least or p in edge}
+
+
+def test_short_phrases_are_no_suffixes(spark):
+    """What is counted before, words and pairs, isn't sent again: suffixes have three words or more, each once for a task."""
+    texts = spark.createDataFrame([("en", b"a b. c. a b c. d e f g." + b" a." * 50)] * 200, "lang string, text binary").coalesce(1)
+    words = phrases.word_counts(texts)
+    known = phrases.frequent_filter(words.where("length(word) > 0"))
+    pairs = phrases.frequent_pairs(texts, known, 100)
+    key = {bytes(r["word"]).decode(): r["key"] for r in words.collect()}
+    assert {(r["w1"], r["w2"]): r["n"] for r in pairs.collect()} == {(key[a], key[b]): n for a, b, n in [("a", "b", 400), ("b", "c", 200), ("d", "e", 200), ("e", "f", 200), ("f", "g", 200)]}
+    sent = phrases.suffix_rows(texts, known, phrases.frequent_filter(pairs), 5).collect()
+    assert len({r["part"] for r in sent}) == len(sent)  # one row for each part
+    found = sorted((*s, n) for r in sent for s, n in zip(np.frombuffer(r["suffixes"], np.int64).reshape(-1, 5).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True))
+    assert found == sorted([(key["a"], key["b"], key["c"], 0, 0, 200), (key["d"], key["e"], key["f"], key["g"], 0, 200), (key["e"], key["f"], key["g"], 0, 0, 200)])
