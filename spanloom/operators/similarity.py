@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import first_tokens, shingles, tokens, word_count
+from spanloom.functions.text import UNSPACED, first_tokens, shingles, tokens, word_count
 from spanloom.operators.graph import connected_components, written
 from spanloom.operators.vectors import density_clusters
 
@@ -19,6 +20,8 @@ from spanloom.operators.vectors import density_clusters
 BLOCK = 1024
 #: Sets that hold an item, up to which all pairs of them may meet; more frequent items ask for sizes that fit as well.
 RARE = 64
+#: Items that a task holds at a time before it sends them, parts that they are dealt to, and parts of sets that they come back to.
+HELD, PARTS, SET_PARTS = 1 << 20, 1 << 10, 1 << 8
 #: Set sizes up to which each size is a class of its own; beyond, classes grow by STEP.
 SMALL, STEP = 8, 1.25
 
@@ -39,6 +42,154 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.where(F.col("text").rlike(r"\S")).select("key", F.element_at(F.transform(F.array(tokens(F.col("text"))), of), 1).alias("items"))
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def packed_shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """shingle_sets() with other hashes: of each word of a batch once, and of runs of words from those of their words. For whole sets that are
+    compared with each other; signatures keep to shingle_sets(), whose values they follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.ascii_split_whitespace(batch.column(1))
+            flat, owner = lists.flatten(), np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+            there = pc.greater(pc.binary_length(flat), 0)
+            known = flat.filter(there).dictionary_encode()
+            owner = owner[there.to_numpy(zero_copy_only=False)]
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known.dictionary.to_pylist()], np.uint64)
+            words, count = hashes[known.indices.to_numpy()], np.bincount(owner, minlength=len(batch))
+            first = np.cumsum(count) - count
+            starts, sizes = [np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)], [n]
+            for size in range(1, n):  # a shorter text is one run
+                starts.append(first[count == size])
+                sizes.append(size)
+            runs = []
+            for at, size in zip(starts, sizes, strict=True):
+                value = np.full(len(at), size, np.uint64)
+                for k in range(size):
+                    value = mix(value + words[at + k])
+                runs.append(value.view(np.int64))
+            value, owner = np.concatenate(runs), owner[np.concatenate(starts)]
+            order = np.lexsort((value, owner))
+            value, owner = value[order], owner[order]
+            new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))[: len(value)]
+            value, owner = value[new], owner[new]
+            offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(batch)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))], names=["key", "items"])
+
+    text = F.col("text")
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.regexp_replace(F.lower(text), UNSPACED, " $0 "))  # as tokens() has it
+    own = texts.where(text.rlike(r"\S")).select("key", low.alias("low"))
+    return own.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, items array<long>")
+
+
+def packed(part: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """A row for each part: its number, and the values of each column there."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(starts[1:], len(part))[: len(starts)]
+    return [pa.array(part[starts].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (c[order] for c in columns))]
+
+
+def unpacked(column: pa.ChunkedArray, kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x is not None)])
+
+
+def place(x: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(x.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
+
+
+def named_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets of sets (key, items), and members (key, rep, uid), rep the least key of those with the set. Sets are told apart by 64
+    bits of hash, uid, as their items are.
+
+    Of the sets that share an item with another come uid, m, items, df: the set's size, its items that stand in several sets, the rarest first,
+    and in how many. Items of one set can't be common to two, so similarities follow from these and the sizes.
+
+    Items are sent once to be counted and then, without those of one set, back to their sets; a task sends those of a part as one row. A part
+    holds all sets of its items, so a task needs room for the sets of the most frequent item. The sets themselves are never written.
+    """
+    kind = sets.schema["key"].dataType.simpleString()
+    names = ["part", "item", "uid", "m", "keys"]
+    arrow_keys = pa.list_(pa.string() if kind == "string" else pa.int64())
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            item, uid = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            part, *columns = packed(place(item, PARTS), item, uid)
+            return pa.RecordBatch.from_arrays([part, *columns, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), arrow_keys)], names=names)
+
+        for batch in batches:
+            uid, lists = batch.column(0).to_numpy(), batch.column(2)
+            m = pc.list_value_length(lists).to_numpy()
+            part, own, size, rows = packed(to := place(uid, PARTS), uid, m.astype(np.int32), np.arange(len(uid)))
+            keys = batch.column(1).take(pa.array(np.argsort(to, kind="stable")))
+            offsets = np.append(0, np.cumsum([len(x) // 8 for x in rows.to_pylist()])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.binary()), own, size, pa.ListArray.from_arrays(pa.array(offsets), keys)], names=names)
+            held.append((lists.flatten().to_numpy(), np.repeat(uid, m)))
+            total += len(held[-1][0])
+            if total >= HELD:
+                yield flushed()
+                total = 0
+        if total:
+            yield flushed()
+
+    def counted(table: pa.Table) -> pa.Table:
+        of_items, of_sets = table.filter(pc.is_valid(table["item"])), table.filter(pc.is_null(table["item"]))
+        item, uid = unpacked(of_items["item"]), unpacked(of_items["uid"])
+        order = np.lexsort((uid, item))
+        item, uid = item[order], uid[order]
+        new = np.append(True, (item[1:] != item[:-1]) | (uid[1:] != uid[:-1]))[: len(item)]  # copies of a set
+        item, uid = item[new], uid[new]
+        heads = np.flatnonzero(np.append(True, item[1:] != item[:-1])[: len(item)])
+        n = np.diff(heads, append=len(item))
+        df = np.repeat(n, n)
+        item, uid, df = item[df > 1], uid[df > 1], df[df > 1]
+        part, *columns = packed(place(uid, SET_PARTS), item, uid, df.astype(np.int32))
+        none = lambda k, n: pa.nulls(n, k)
+        back = [part, *columns, none(pa.binary(), len(part)), none(arrow_keys, len(part)), none(arrow_keys, len(part)), none(pa.list_(pa.int64()), len(part))]
+        owner, m, keys = unpacked(of_sets["uid"]), unpacked(of_sets["m"], np.int32), [k for x in of_sets["keys"].to_pylist() for k in x]
+        least: dict[int, object] = {}
+        for u, k in zip(owner.tolist(), keys, strict=True):
+            if u not in least or k < least[u]:
+                least[u] = k
+        distinct, at = np.unique(owner, return_index=True)
+        part, *columns = packed(place(distinct, SET_PARTS), distinct, m[at])
+        own = [part, none(pa.binary(), len(part)), columns[0], none(pa.binary(), len(part)), columns[1], none(arrow_keys, len(part)), none(arrow_keys, len(part)), none(pa.list_(pa.int64()), len(part))]
+        some = int(len(keys) > 0)
+        members = [none(pa.int32(), some), *(none(pa.binary(), some) for _ in range(4)), pa.array([keys][:some], arrow_keys), pa.array([[least[u] for u in owner.tolist()]][:some], arrow_keys), pa.array([owner.tolist()][:some], pa.list_(pa.int64()))]
+        out = ["part", "item", "uid", "df", "m", "keys", "reps", "owners"]
+        return pa.concat_tables([pa.table(x, names=out) for x in (back, own, members)])
+
+    def ordered(table: pa.Table) -> pa.Table:
+        back, own = table.filter(pc.is_valid(table["item"])), table.filter(pc.is_null(table["item"]))
+        item, uid, df = unpacked(back["item"]), unpacked(back["uid"]), unpacked(back["df"], np.int32)
+        order = np.lexsort((item, df, uid))
+        item, uid, df = item[order], uid[order], df[order]
+        heads = np.flatnonzero(np.append(True, uid[1:] != uid[:-1])[: len(uid)])
+        known, m = unpacked(own["uid"]), unpacked(own["m"], np.int32)
+        order = np.argsort(known)
+        size = m[order][np.searchsorted(known[order], uid[heads])] if len(heads) else m[:0]
+        offsets = pa.array(np.append(heads, len(uid)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (item, df.astype(np.int64))]
+        return pa.table([pa.array(uid[heads]), pa.array(size), *lists], names=["uid", "m", "items", "df"])
+
+    hashed = sets.select(F.xxhash64(F.size("items"), "items").alias("uid") if "uid" not in sets.columns else F.col("uid"), "key", "items")
+    parts = hashed.mapInArrow(sent, f"part int, item binary, uid binary, m binary, keys array<{kind}>").groupBy("part")
+    table = written(parts.applyInArrow(counted, f"part int, item binary, uid binary, df binary, m binary, keys array<{kind}>, reps array<{kind}>, owners array<long>"))
+    shared = table.where("part is not null").select("part", "item", "uid", "df", "m").groupBy("part").applyInArrow(ordered, "uid long, m int, items array<long>, df array<long>")
+    members = table.where("part is null").select(F.explode(F.arrays_zip("keys", "reps", "owners")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.reps").alias("rep"), F.col("x.owners").alias("uid"))
+    return written(shared), members
+
+
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct sets as (uid, key, items), key the least of those with the set, and members as (key, rep), rep that least key. Sets are
     told apart by their size and 128 bits of hash. Only ids are kept beside the texts' own sets: who reads the items of distinct sets
@@ -84,17 +235,8 @@ def least_size(c: Column) -> Column:
 
 
 def shared_sets(sets: DataFrame) -> DataFrame:
-    """uid, m, items, df of the sets (uid, items) that share an item with another: the set's size, its items that stand in several sets, the rarest
-    first, and in how many. Items of one set can't be common to two, so similarities follow from these and the sizes.
-
-    Items are sent once to be counted and then, without those of one set, back to their sets. What has been through here stays as it is.
-    """
-    if "df" in sets.columns:
-        return sets
-    items = sets.select("uid", F.size("items").alias("m"), F.explode("items").alias("item"))
-    shared = items.withColumn("df", F.count("*").over(Window.partitionBy("item"))).where("df > 1")
-    ordered = shared.groupBy("uid", "m").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("i"))
-    return written(ordered.select("uid", "m", F.col("i.item").alias("items"), F.col("i.df").alias("df")))
+    """The shared items of distinct sets (uid, items), as named_sets() gives them. What has been through here stays as it is."""
+    return sets if "df" in sets.columns else named_sets(sets.select("uid", F.col("uid").alias("key"), "items"))[0]
 
 
 def prefix_entries(shared: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -164,17 +306,17 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicate_edges(texts: DataFrame, n: int, threshold: float, mode: str = "exact") -> DataFrame:
     """a, b, similarity between texts of distinct sets, each set once, by its least key. mode 'exact' misses none, 'lsh' few."""
-    sets, _ = distinct_sets(shingle_sets(texts, n))
     if mode == "exact":
-        own = shared_sets(sets)
-        pairs = exact_candidates(own, threshold)
+        own, same = named_sets(packed_shingle_sets(texts, n))
+        pairs, names = exact_candidates(own, threshold), same.where("key = rep").select("key", "uid")
     else:
+        sets, _ = distinct_sets(shingle_sets(texts, n))
         sets = written(sets)
         own = sets.withColumn("m", F.size("items"))
-        ids = sets.select("key", "uid")
+        names = ids = sets.select("key", "uid")
         pairs = lsh_candidates(minhash(sets.select("key", "items")))
         pairs = pairs.join(ids.withColumnsRenamed({"key": "a", "uid": "u"}), "a").join(ids.withColumnsRenamed({"key": "b", "uid": "v"}), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    found, names = verified(pairs, own, threshold), sets.select("key", "uid")
+    found = verified(pairs, own, threshold)
     named = found.join(names.withColumnsRenamed({"key": "x", "uid": "a"}), "a").join(names.withColumnsRenamed({"key": "y", "uid": "b"}), "b")
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
@@ -210,18 +352,18 @@ def components(sets: DataFrame, threshold: float) -> DataFrame:
 def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | None = None, mode: str = "exact") -> DataFrame:
     """key, rep, similarity: members of clusters of two or more. Texts that edges or equal sets connect form a component; its
     representative is the least key that isn't excluded, else the least; members keep to it by their own similarity."""
-    sets, same = distinct_sets(shingle_sets(texts, n))
     if mode == "exact":
-        items = shared_sets(sets)
+        items, same = named_sets(packed_shingle_sets(texts, n))
         roots = components(items, threshold)
     else:
+        sets, same = distinct_sets(shingle_sets(texts, n))
         sets = written(sets)
+        same = same.join(sets.select(F.col("key").alias("rep"), "uid"), "rep")
         items = sets.withColumn("m", F.size("items"))
         named = sets.select("key", "uid")
         edges = near_duplicate_edges(texts, n, threshold, mode)
         roots = connected_components(edges.join(named.withColumnsRenamed({"key": "a", "uid": "u"}), "a").join(named.withColumnsRenamed({"key": "b", "uid": "v"}), "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    own = sets.select("uid", F.col("key").alias("first")).join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("first", "uid", F.coalesce("root", "uid").alias("root"))
-    labels = same.withColumnRenamed("rep", "first").join(own, "first").select("key", "uid", "root")
+    labels = same.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
     if excluded is not None:
         labels = labels.join(excluded.select("key", F.lit(True).alias("out")), "key", "left")
     else:
@@ -307,8 +449,8 @@ def linked_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 
 def text_components(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, root: texts of distinct sets, each set once by its least key, with the least key of their component; those without a link are left out."""
-    sets, _ = distinct_sets(shingle_sets(texts, n))
-    named = components(sets, threshold).join(sets.select(F.col("uid").alias("node"), "key"), "node")
+    sets, same = named_sets(packed_shingle_sets(texts, n))
+    named = components(sets, threshold).join(same.where("key = rep").select(F.col("uid").alias("node"), "key"), "node")
     named = written(named.select("root", "key"))
     return named.join(named.groupBy("root").agg(F.min("key").alias("least")), "root").select(F.col("key").alias("node"), F.col("least").alias("root"))
 

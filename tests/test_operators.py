@@ -435,6 +435,28 @@ def test_only_shared_items_are_compared(spark):
     assert {(r.a, r.b): round(r.similarity, 9) for r in similarity.verified(pairs, shared, 0.1).collect()} == {(1, 2): round(4 / 7, 9), (1, 3): round(1 / 7, 9), (2, 3): 0.125}
 
 
+def test_sets_are_counted_without_being_written(spark, monkeypatch):
+    """Copies, short, blank and unspaced texts: the sets of shingle_sets(), each once, and no table of whole sets in the shared folder."""
+    texts = ["a b c d e", "A  b\tc d e", "a b c d f", "a b", "a b", "b a", " ", "", "大阪 x y", "a b c\u00a0d", "z"] + [f"q w {i}" for i in range(40)]
+    frame = spark.createDataFrame([(f"k{i:03}", x) for i, x in enumerate(texts)] + [("none", None)], "key string, text string")
+    plain, whole = ({r.key: set(r["items"]) for r in of(frame, 3).collect()} for of in (similarity.shingle_sets, similarity.packed_shingle_sets))
+    assert plain.keys() == whole.keys()
+    assert all((len(plain[a] & plain[b]), len(plain[a])) == (len(whole[a] & whole[b]), len(whole[a])) for a in plain for b in plain)
+    tables = []
+    monkeypatch.setattr(similarity, "written", lambda df, own=similarity.written: tables.append(own(df)) or tables[-1])
+    shared, members = similarity.named_sets(similarity.packed_shingle_sets(frame, 3))
+    rep = {k: min(b for b in plain if plain[b] == plain[k]) for k in plain}
+    assert {r.key: r.rep for r in members.collect()} == rep
+    names = {r.uid: r.rep for r in members.collect()}
+    df = {}
+    for k in set(rep.values()):
+        for i in whole[k]:
+            df[i] = df.get(i, 0) + 1
+    want = {k: (len(whole[k]), sorted((df[i], i) for i in whole[k] if df[i] > 1)) for k in set(rep.values()) if any(df[i] > 1 for i in whole[k])}
+    assert {names[r.uid]: (r.m, list(zip(r.df, r["items"], strict=True))) for r in shared.collect()} == want
+    assert all("items" not in t.columns or "df" in t.columns for t in tables)
+
+
 def test_annotations_as_models_write_them(spark):
     row = '{"rows": [{"row_index": 0, "output": {"entities": {"person": ["Ann"]}}}]}'
     fenced = f"<think>which {{rows}}?</think>\n```json\n{row}\n```"
