@@ -104,15 +104,17 @@ def place(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
 
 
-def named_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataFrame]:
     """The distinct sets of sets (key, items), and members (key, rep, uid), rep the least key of those with the set. Sets are told apart by 64
     bits of hash, uid, as their items are.
 
     Of the sets that share an item with another come uid, m, items, df: the set's size, its items that stand in several sets, the rarest first,
-    and in how many. Items of one set can't be common to two, so similarities follow from these and the sizes.
+    and in how many. Items of one set can't be common to two, so similarities follow from these and the sizes. With numbers, shared items are
+    numbered where they are counted and go on by their numbers, of 32 bits: room for 4 billion shared items, more than PARTS parts hold.
 
     Items are sent once to be counted and then, without those of one set, back to their sets; a task sends those of a part as one row. A part
-    holds all sets of its items, so a task needs room for the sets of the most frequent item. The sets themselves are never written.
+    holds all sets of its items, so a task needs room for the sets of the most frequent item. The sets themselves are never written, nor is
+    what lies between the two shuffles: the members go along with the second.
     """
     kind = sets.schema["key"].dataType.simpleString()
     names = ["part", "item", "uid", "m", "keys"]
@@ -142,7 +144,15 @@ def named_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         if total:
             yield flushed()
 
+    lists = {"keys": arrow_keys, "reps": arrow_keys, "owners": pa.list_(pa.int64())}
+
+    def row_of(n: int, **columns: object) -> pa.Table:
+        """n rows of what is sent back, null but for some columns."""
+        own = {"part": pa.int32(), "item": pa.binary(), "uid": pa.binary(), "df": pa.binary(), "m": pa.binary()} | lists
+        return pa.table({name: columns.get(name, pa.nulls(n, k)) for name, k in own.items()})
+
     def counted(table: pa.Table) -> pa.Table:
+        own_part = table["part"][0].as_py()
         of_items, of_sets = table.filter(pc.is_valid(table["item"])), table.filter(pc.is_null(table["item"]))
         item, uid = unpacked(of_items["item"]), unpacked(of_items["uid"])
         order = np.lexsort((uid, item))
@@ -153,9 +163,13 @@ def named_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         n = np.diff(heads, append=len(item))
         df = np.repeat(n, n)
         item, uid, df = item[df > 1], uid[df > 1], df[df > 1]
+        if numbers:
+            several = n[n > 1]
+            if len(several) * PARTS > 1 << 32:
+                raise ValueError("more than 4 billion shared items")
+            item = (np.repeat(np.arange(len(several)), several) * PARTS + own_part).astype(np.uint32).view(np.int32)
         part, *columns = packed(place(uid, SET_PARTS), item, uid, df.astype(np.int32))
-        none = lambda k, n: pa.nulls(n, k)
-        back = [part, *columns, none(pa.binary(), len(part)), none(arrow_keys, len(part)), none(arrow_keys, len(part)), none(pa.list_(pa.int64()), len(part))]
+        back = row_of(len(part), part=part, item=columns[0], uid=columns[1], df=columns[2])
         owner, m, keys = unpacked(of_sets["uid"]), unpacked(of_sets["m"], np.int32), [k for x in of_sets["keys"].to_pylist() for k in x]
         least: dict[int, object] = {}
         for u, k in zip(owner.tolist(), keys, strict=True):
@@ -163,15 +177,15 @@ def named_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                 least[u] = k
         distinct, at = np.unique(owner, return_index=True)
         part, *columns = packed(place(distinct, SET_PARTS), distinct, m[at])
-        own = [part, none(pa.binary(), len(part)), columns[0], none(pa.binary(), len(part)), columns[1], none(arrow_keys, len(part)), none(arrow_keys, len(part)), none(pa.list_(pa.int64()), len(part))]
+        own = row_of(len(part), part=part, uid=columns[0], m=columns[1])
         some = int(len(keys) > 0)
-        members = [none(pa.int32(), some), *(none(pa.binary(), some) for _ in range(4)), pa.array([keys][:some], arrow_keys), pa.array([[least[u] for u in owner.tolist()]][:some], arrow_keys), pa.array([owner.tolist()][:some], pa.list_(pa.int64()))]
-        out = ["part", "item", "uid", "df", "m", "keys", "reps", "owners"]
-        return pa.concat_tables([pa.table(x, names=out) for x in (back, own, members)])
+        named = {"keys": [keys], "reps": [[least[u] for u in owner.tolist()]], "owners": [owner.tolist()]}
+        members = row_of(some, part=pa.array([own_part % SET_PARTS] * some, pa.int32()), **{name: pa.array(x[:some], lists[name]) for name, x in named.items()})
+        return pa.concat_tables([back, own, members])
 
     def ordered(table: pa.Table) -> pa.Table:
-        back, own = table.filter(pc.is_valid(table["item"])), table.filter(pc.is_null(table["item"]))
-        item, uid, df = unpacked(back["item"]), unpacked(back["uid"]), unpacked(back["df"], np.int32)
+        back, own, members = table.filter(pc.is_valid(table["item"])), table.filter(pc.is_valid(table["m"])), table.filter(pc.is_valid(table["keys"]))
+        item, uid, df = unpacked(back["item"], np.int32 if numbers else np.int64), unpacked(back["uid"]), unpacked(back["df"], np.int32)
         order = np.lexsort((item, df, uid))
         item, uid, df = item[order], uid[order], df[order]
         heads = np.flatnonzero(np.append(True, uid[1:] != uid[:-1])[: len(uid)])
@@ -179,15 +193,18 @@ def named_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         order = np.argsort(known)
         size = m[order][np.searchsorted(known[order], uid[heads])] if len(heads) else m[:0]
         offsets = pa.array(np.append(heads, len(uid)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (item, df.astype(np.int64))]
-        return pa.table([pa.array(uid[heads]), pa.array(size), *lists], names=["uid", "m", "items", "df"])
+        of_sets = {"uid": pa.array(uid[heads]), "m": pa.array(size), **{name: pa.ListArray.from_arrays(offsets, pa.array(x)) for name, x in (("items", item), ("df", df))}}
+        sets = pa.table(of_sets | {name: pa.nulls(len(heads), k) for name, k in lists.items()})
+        rest = pa.table({name: pa.nulls(len(members), x.type) for name, x in of_sets.items()} | {name: members[name].cast(k) for name, k in lists.items()})
+        return pa.concat_tables([sets, rest])
 
     hashed = sets.select(F.xxhash64(F.size("items"), "items").alias("uid") if "uid" not in sets.columns else F.col("uid"), "key", "items")
     parts = hashed.mapInArrow(sent, f"part int, item binary, uid binary, m binary, keys array<{kind}>").groupBy("part")
-    table = written(parts.applyInArrow(counted, f"part int, item binary, uid binary, df binary, m binary, keys array<{kind}>, reps array<{kind}>, owners array<long>"))
-    shared = table.where("part is not null").select("part", "item", "uid", "df", "m").groupBy("part").applyInArrow(ordered, "uid long, m int, items array<long>, df array<long>")
-    members = table.where("part is null").select(F.explode(F.arrays_zip("keys", "reps", "owners")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.reps").alias("rep"), F.col("x.owners").alias("uid"))
-    return written(shared), members
+    named = f"keys array<{kind}>, reps array<{kind}>, owners array<long>"
+    back = parts.applyInArrow(counted, f"part int, item binary, uid binary, df binary, m binary, {named}").groupBy("part")
+    table = written(back.applyInArrow(ordered, f"uid long, m int, items array<{'int' if numbers else 'long'}>, df array<int>, {named}"))
+    members = table.where("keys is not null").select(F.explode(F.arrays_zip("keys", "reps", "owners")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.reps").alias("rep"), F.col("x.owners").alias("uid"))
+    return table.where("uid is not null").select("uid", "m", "items", "df"), members
 
 
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,9 +251,9 @@ def least_size(c: Column) -> Column:
     return F.when(c <= SMALL, c).otherwise(F.floor(SMALL * F.pow(F.lit(STEP), c - SMALL))).cast("int")
 
 
-def shared_sets(sets: DataFrame) -> DataFrame:
+def shared_sets(sets: DataFrame, numbers: bool = False) -> DataFrame:
     """The shared items of distinct sets (uid, items), as named_sets() gives them. What has been through here stays as it is."""
-    return sets if "df" in sets.columns else named_sets(sets.select("uid", F.col("uid").alias("key"), "items"))[0]
+    return sets if "df" in sets.columns else named_sets(sets.select("uid", F.col("uid").alias("key"), "items"), numbers)[0]
 
 
 def prefix_entries(shared: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +305,7 @@ def roles() -> Column:
 
 def exact_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of uids that may reach the threshold, none missed."""
-    rare, hot = prefix_entries(shared_sets(sets), threshold)
+    rare, hot = prefix_entries(shared_sets(sets, numbers=True), threshold)
     hot = written(hot)
     sizes = hot.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(*GROUP, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     once = ((F.col("x.low") == F.col("x.high")) & (F.col("x.uid") < F.col("y.uid"))) | (F.col("x.own") < F.col("y.own"))
@@ -307,7 +324,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_duplicate_edges(texts: DataFrame, n: int, threshold: float, mode: str = "exact") -> DataFrame:
     """a, b, similarity between texts of distinct sets, each set once, by its least key. mode 'exact' misses none, 'lsh' few."""
     if mode == "exact":
-        own, same = named_sets(packed_shingle_sets(texts, n))
+        own, same = named_sets(packed_shingle_sets(texts, n), numbers=True)
         pairs, names = exact_candidates(own, threshold), same.where("key = rep").select("key", "uid")
     else:
         sets, _ = distinct_sets(shingle_sets(texts, n))
@@ -327,7 +344,7 @@ def components(sets: DataFrame, threshold: float) -> DataFrame:
     A group of hot entries is linked to its heads, the least uid of each side, first. Groups that are then still of several components
     compare what lies outside of their largest one with all of the group: in proportion to the group, times those outside.
     """
-    shared = shared_sets(sets)
+    shared = shared_sets(sets, numbers=True)
     rare, hot = prefix_entries(shared, threshold)
     hot = written(hot)
     heads = hot.groupBy(*GROUP, "own").agg(F.min("uid").alias("head")).withColumnRenamed("own", "side")
@@ -353,7 +370,7 @@ def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | N
     """key, rep, similarity: members of clusters of two or more. Texts that edges or equal sets connect form a component; its
     representative is the least key that isn't excluded, else the least; members keep to it by their own similarity."""
     if mode == "exact":
-        items, same = named_sets(packed_shingle_sets(texts, n))
+        items, same = named_sets(packed_shingle_sets(texts, n), numbers=True)
         roots = components(items, threshold)
     else:
         sets, same = distinct_sets(shingle_sets(texts, n))
@@ -449,7 +466,7 @@ def linked_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 
 def text_components(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, root: texts of distinct sets, each set once by its least key, with the least key of their component; those without a link are left out."""
-    sets, same = named_sets(packed_shingle_sets(texts, n))
+    sets, same = named_sets(packed_shingle_sets(texts, n), numbers=True)
     named = components(sets, threshold).join(same.where("key = rep").select(F.col("uid").alias("node"), "key"), "node")
     named = written(named.select("root", "key"))
     return named.join(named.groupBy("root").agg(F.min("key").alias("least")), "root").select(F.col("key").alias("node"), F.col("least").alias("root"))

@@ -77,3 +77,26 @@ def test_mean_similarities(spark, texts):
     about = {x.rep: x for x in similarity.pairwise_summary(members, sets, exact_up_to=10).collect()}
     large = [r for r, (n, _) in want.items() if n > 10]
     assert large and about.keys() == want.keys() and all(0 < about[r].error < 0.05 and abs(about[r].mean_similarity - want[r][1]) < 4 * about[r].error for r in large)
+
+
+def test_shared_items_go_by_number(spark, texts, monkeypatch):
+    """One table is written, no other lies between the shuffles; items are of 32 bits, and similarities from them those of the whole sets."""
+    tables = []
+    monkeypatch.setattr(similarity, "written", lambda df, own=similarity.written: tables.append(own(df)) or tables[-1])
+    frame = spark.createDataFrame(texts, "key string, text string").repartition(4)
+    shared, members = similarity.named_sets(similarity.packed_shingle_sets(frame, 3), numbers=True)
+    assert len(tables) == 1 and shared.schema["items"].dataType.simpleString() == "array<int>"
+    sets = {k: shingles(t or "", 3) for k, t in texts}
+    names = {r.key: r.uid for r in members.where("key = rep").collect()}
+    held = {r.uid: (r.m, r["items"], r.df) for r in shared.collect()}
+    assert set(names) == {min(k for k in sets if sets[k] == s) for s in sets.values() if s}
+    df = {}
+    for k in names:
+        for i in sets[k]:
+            df[i] = df.get(i, 0) + 1
+    for k, uid in names.items():
+        m, items, counts = held.get(uid, (len(sets[k]), [], []))
+        assert m == len(sets[k]) and len(set(items)) == len(items) and counts == sorted(df[i] for i in sets[k] if df[i] > 1)
+    for a, b in combinations(names, 2):
+        both = set(held.get(names[a], (0, []))[1]) & set(held.get(names[b], (0, []))[1])
+        assert len(both) == len(sets[a] & sets[b])
