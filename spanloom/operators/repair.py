@@ -76,27 +76,17 @@ def recovered(spans: DataFrame, rows: DataFrame, keep_text: bool = False) -> Dat
     characters, whatever the case, of at least 4 and 70 % of the span (the first in the text if there are several). Null if there is none.
     Spans of rows without text stay as they are.
 
-    What Spark's own functions find stays with them, where lower case moves no character; only the rest goes to Python, once, where few
+    Spans that stand in the text stay with Spark; only the rest goes to Python, once, where neighbours with one text share its lowered form, few
     runs are looked for one by one and for many a suffix automaton of the span reads the text once, and places of the lowered text are taken
-    back to the original.
+    back to the original. Lowering a text for each span in Spark takes longer.
     """
     joined = spans.join(rows, ROW, "left")
     span, text = F.col("span"), F.col("input")
-    low = F.lower(text)
-    still = (F.length(low) == F.length(text)) & ~F.contains(text, F.lit("Σ")) & ~F.contains(span, F.lit("Σ"))  # at a word's end its lower case is another
-
-    def anywhere(value: Column) -> Column:
-        at = F.when(still & (F.length(F.lower(value)) == F.length(value)), F.instr(low, F.lower(value)))
-        return F.when(value == "", None).when(F.contains(text, value), value).when(at > 0, text.substr(at, F.length(value)))
-
-    collapsed = stripped(F.regexp_replace(span, r"(?U)\s+", " "))
-    # an earlier way that only Python can try comes before a later one
-    quick = F.when(F.contains(text, span), span).when(still, F.coalesce(anywhere(span), anywhere(stripped(span)), anywhere(collapsed)))
-    found = joined.withColumn("quick", F.when((span != "") & (text != ""), quick))
-    rest = text.isNotNull() & F.col("quick").isNull()
+    there = F.contains(text, span)
     # else a filter on what it gives would be pushed below it, and all be worked out twice
-    slow = F.pandas_udf(meant_pieces, "string").asNondeterministic()(F.when(rest, span), F.when(rest, text))
-    return found.withColumn("fixed", F.when(text.isNull(), span).otherwise(F.coalesce("quick", slow))).drop("quick", *([] if keep_text else ["input"]))
+    meant = F.pandas_udf(meant_pieces, "string").asNondeterministic()(F.when(~there, span), F.when(~there, text))
+    fixed = joined.withColumn("fixed", F.when(text.isNull() | there & (span != ""), span).otherwise(meant))
+    return fixed.drop(*([] if keep_text else ["input"]))
 
 
 def first_types(spans: DataFrame, field: str = "entities") -> DataFrame:
