@@ -6,9 +6,12 @@ to have settled, contested and cold spans, and with defects of every kind. Text
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.graph import written
 from spanloom.operators.parse import rebuild_payload
 from spanloom.sources.tasks import dealt
 
@@ -212,6 +215,18 @@ class Tables:
         return types.select(field.alias("field"), "type").unionByName(others)
 
 
+class HeldTables(Tables):
+    """Tables whose spans are derived once and written, for queries that read them several times."""
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return written(super().spans)
+
+
+def held(t: Tables) -> HeldTables:
+    return HeldTables(t.spark, t.sf_dir)
+
+
 def duckdb_tables() -> str:
     """WITH ... of all derived tables, to put before a query."""
     same = {n: n for n in ("raw_spans", "src_rows", "spans", "tasks", "documents", "events", "conversations", "audit_events")}

@@ -31,15 +31,17 @@ def row_key() -> Column:
     return F.concat_ws(":", "task_id", F.lpad(F.col("row_index").cast("string"), 8, "0"))
 
 
+def hashed_runs(w: Column, n: int) -> Column:
+    """The sorted distinct hashes of the runs of n words of w; fewer words are one run."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+    return F.when(F.size(w) < n, F.array(F.xxhash64(w))).otherwise(F.sort_array(F.array_distinct(runs)))
+
+
 def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
     """key, items: the sorted distinct n-grams of each text (key, text), as 64-bit hashes of their words; texts without tokens are left out."""
 
-    def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
-        return F.when(F.size(w) < n, F.array(F.xxhash64(w))).otherwise(F.sort_array(F.array_distinct(runs)))
-
     # a filter on the items would be pushed below them and compute them twice
-    return texts.where(F.col("text").rlike(r"\S")).select("key", F.element_at(F.transform(F.array(tokens(F.col("text"))), of), 1).alias("items"))
+    return texts.where(F.col("text").rlike(r"\S")).select("key", F.element_at(F.transform(F.array(tokens(F.col("text"))), lambda w: hashed_runs(w, n)), 1).alias("items"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -558,13 +560,15 @@ def diverse_examples(texts: DataFrame, group: list[str], k: int = 3) -> DataFram
     """Up to k texts of each group (group columns, text) that are far from each other: rank 1 is the least text, each further one that whose
     greatest similarity to those chosen is least, ties to the smaller text.
 
-    Each round picks one text of every group by a grouped minimum and joins it back, so that no task holds a group.
+    Each round picks one text of every group, with its shingles, by a grouped minimum, so that no task holds a group, and joins it with the
+    others. Shingles are hashes, as in shingle_sets().
     """
-    rest = written(texts.select(*group, "text").distinct().select(*group, "text", shingles(F.col("text"), 3).alias("items")).withColumn("near", F.lit(0.0)))
+    own = texts.select(*group, "text").distinct()
+    rest = written(own.select(*group, "text", F.element_at(F.transform(F.array(tokens(F.col("text"))), lambda w: F.when(F.size(w) > 0, hashed_runs(w, 3)).otherwise(F.array().cast("array<bigint>"))), 1).alias("items"), F.lit(0.0).alias("near")))
     out = None
     for rank in range(1, k + 1):
-        best = rest.groupBy(*group).agg(F.min(F.struct("near", "text")).alias("p")).select(*group, F.col("p.text").alias("chosen"))
-        best = written(rest.join(best, group).where(F.col("text") == F.col("chosen")).select(*group, "chosen", F.col("items").alias("own")))
+        best = rest.groupBy(*group).agg(F.min_by(F.struct("text", "items"), F.struct("near", "text")).alias("p"))
+        best = written(best.select(*group, F.col("p.text").alias("chosen"), F.col("p.items").alias("own")))
         one = best.select(*group, F.lit(rank).alias("rank"), F.col("chosen").alias("text"))
         out = one if out is None else out.unionByName(one)
         if rank < k:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import blank, stripped
+from spanloom.operators.graph import written
 from spanloom.operators.parse import span_decisions
 
 SPAN_TYPE = ["span_lower", "type"]
@@ -85,6 +86,7 @@ def type_entropy(statistics: DataFrame) -> DataFrame:
 def zipf_table(rows: DataFrame) -> DataFrame:
     """word, zipf: log10 of a word's occurrences in 10^9 words of the texts."""
     words = rows.select(F.explode(F.regexp_extract_all(F.lower("input"), F.lit(r"[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = written(words)  # read twice, so that texts are read once
     total = words.agg(F.sum("n").alias("total"))
     return words.crossJoin(F.broadcast(total)).select("word", F.log10(F.lit(1e9) * F.col("n") / F.col("total")).alias("zipf"))  # total is one row
 

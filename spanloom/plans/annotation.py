@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.fixtures import one_of
+from spanloom.fixtures import held, one_of
 from spanloom.functions.text import first_tokens, snippet, without_thoughts
 from spanloom.operators import consensus, conventions, defects, parse, similarity, stats
+from spanloom.operators.graph import written
 from spanloom.plans.oracle import Registry
 from spanloom.sources import registry
 
@@ -352,7 +353,8 @@ add(
 
 def shown_proposals(t):
     """Proposals with the head of the row in which their task first says so."""
-    heads = t.spans.join(t.rows, ["task_id", "row_index"]).groupBy(F.lower("span").alias("span_lower"), "type", "task_id").agg(F.min_by(F.substring("input", 1, 80), F.struct("row_index", "pos")).alias("context"))
+    rows = t.rows.select("task_id", "row_index", F.substring("input", 1, 80).alias("head"))  # before the join, which then ships heads and not texts
+    heads = t.spans.join(rows, ["task_id", "row_index"]).groupBy(F.lower("span").alias("span_lower"), "type", "task_id").agg(F.min_by("head", F.struct("row_index", "pos")).alias("context"))
     return t.proposals.join(heads, ["span_lower", "type", "task_id"])
 
 
@@ -367,9 +369,16 @@ p3 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY span_lower, type
 picked AS (SELECT span_lower, type, 1 AS rank, text FROM p1 UNION ALL SELECT span_lower, type, 2, text FROM p2 UNION ALL SELECT span_lower, type, 3, text FROM p3)
 """
 add("f16_diverse_examples", lambda t: similarity.diverse_examples(shown_proposals(t).where(F.trim("context") != "").select("span_lower", "type", F.concat(F.lit("["), "task_id", F.lit("] "), "context").alias("text")), ["span_lower", "type"]), DIVERSE + "SELECT * FROM picked")
+
+
+def past_experience(t):
+    t = held(t)
+    return conventions.past_experience(agreed_conventions(t), written(shown_proposals(t)), stats.frequency_scores(t.spans, stats.zipf_table(t.rows)))
+
+
 add(
     "e23_past_experience",
-    lambda t: conventions.past_experience(agreed_conventions(t), shown_proposals(t), stats.frequency_scores(t.spans, stats.zipf_table(t.rows))),
+    past_experience,
     STATS + ZIPF + DIVERSE + "SELECT span_lower, s.type, s.n, coalesce(examples, '') AS examples, coalesce(status, 'none') AS status, c.type AS convention, coalesce(evidence, 0) AS evidence, round(coalesce(score, 0), 3) AS zipf, coalesce(score, 0) >= 5 AND coalesce(evidence, 0) < 5 AS generic_word FROM (SELECT span_lower, type, count(*) AS n FROM shown GROUP BY ALL) s LEFT JOIN (SELECT span_lower, type, string_agg(text, ' | ' ORDER BY rank) AS examples FROM picked GROUP BY ALL) e USING (span_lower, type) LEFT JOIN conventions c USING (span_lower) LEFT JOIN scored USING (span_lower)",
 )
 add(

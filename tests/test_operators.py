@@ -248,6 +248,16 @@ def test_diverse_examples_by_brute_force(spark):
         assert got[g] == chosen
 
 
+def test_diverse_examples_keep_hashes(spark, monkeypatch):
+    """What the rounds write are hashes, not words, and the chosen ones come with theirs: no join but one of each round after the first."""
+    tables = []
+    monkeypatch.setattr(similarity, "written", lambda df, own=similarity.written: tables.append(df) or own(df))
+    frame = spark.createDataFrame([("g", f"a b c d {i}") for i in range(5)] + [("h", "one"), ("h", " "), ("h", None)], "g string, text string")
+    similarity.diverse_examples(frame, ["g"], 3)
+    assert all(f.dataType.simpleString() == "array<bigint>" for t in tables for f in t.schema if f.name in ("items", "own"))
+    assert sum(t._jdf.queryExecution().optimizedPlan().toString().count("Join ") for t in tables) == 2
+
+
 def test_embedding_map_finds_groups(spark):
     r = np.random.default_rng(1)
     points = np.concatenate([r.normal(c, 0.05, (30, 4)) for c in (0, 3, 6)] + [[[20.0, -9, 4, 1]]])
