@@ -6,6 +6,7 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -72,33 +73,55 @@ def held_phrases(found, text: str) -> list[int]:
     return list(seen)
 
 
-def phrases_in_text(rows: DataFrame, phrases: DataFrame, text: Column, keep: list[str], note: str = "note", characters: int = BLOCK_CHARACTERS) -> DataFrame:
+def phrases_in_text(rows: DataFrame, phrases: DataFrame, text: Column, keep: list[str], note: str = "note", characters: int = BLOCK_CHARACTERS, *, most: int | None = None) -> DataFrame:
     """keep, phrase and note: each row of rows with each phrase (phrase, note) that its text, in lower case, holds: whole words of ASCII letters, digits and
     blanks . - _ ' as whole words, other phrases anywhere. Phrases are in lower case.
 
     Works on a stream as on a table. Phrases come to the driver a block at a time and go on to the executors; each block is another scan
     of the rows, and what a task holds is bounded by the block. Null and empty texts and phrases hold and are nothing.
+
+    With most, neighbouring rows of equal keep give one row for each phrase, with n_rows, how many of them hold it, and of these rows only the
+    `most` longest phrases (ties: the smaller ones). What is among that many of all rows of a keep is so among any part of them: sums by keep and
+    phrase are whole for the `most` longest of each keep, and for no others.
     """
     known = phrases.where(F.length("phrase") > 0).select("phrase", F.col("note").cast("string").alias("note"), F.col("phrase").rlike(WHOLE_WORDS).alias("whole"))
     texts = rows.select(*keep, F.lower(text).alias("low")).where(F.length("low") > 0)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]) + f", phrase string, `{note}` string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]) + f", phrase string, `{note}` string" + ("" if most is None else ", n_rows long")
     out = None
     for block in blocks(written(known), characters):  # all tasks work out the phrases, which are then read one partition after the other
+        if most is not None:
+            block.sort(key=lambda r: (-len(r[0]), r[0], r[1] or ""))
         shared, name = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             held = shared.value
             found = automaton(name, held)
+            named, notes = (pa.array([r[k] for r in held], pa.string()) for k in (0, 1))
             for batch in batches:
-                at, which = [], []
-                for i, low in enumerate(batch.column(len(keep)).to_pylist()):
-                    own = held_phrases(found, low)
-                    at += [i] * len(own)
-                    which += own
+                at, which, counts = [], [], []
+                lows = batch.column(len(keep)).to_pylist()
+                if most is None:
+                    for i, low in enumerate(lows):
+                        own = held_phrases(found, low)
+                        at += [i] * len(own)
+                        which += own
+                else:
+                    keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(keep))), strict=True))
+                    for _, same in groupby(range(len(lows)), keys.__getitem__):
+                        n: dict[int, int] = {}
+                        for i in same:
+                            for k in held_phrases(found, lows[i]):
+                                n[k] = n.get(k, 0) + 1
+                        own = sorted(n)[:most]  # phrases stand in that order in their block
+                        at += [i] * len(own)
+                        which += own
+                        counts += [n[k] for k in own]
                 if at:
-                    index = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in range(len(keep))), pa.array([held[k][0] for k in which], pa.string()), pa.array([held[k][1] for k in which], pa.string())], names=[*keep, "phrase", note])
+                    index, phrase = pa.array(at), pa.array(which)
+                    more = {} if most is None else {"n_rows": pa.array(counts, pa.int64())}
+                    columns = {c: batch.column(k).take(index) for k, c in enumerate(keep)} | {"phrase": named.take(phrase), note: notes.take(phrase)} | more
+                    yield pa.RecordBatch.from_pydict(columns)
 
         part = texts.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return texts.select(*keep, F.lit("").alias("phrase"), F.lit("").alias(note)).where(F.lit(False)) if out is None else out
+    return texts.select(*keep, F.lit("").alias("phrase"), F.lit("").alias(note), *([] if most is None else [F.lit(0).cast("long").alias("n_rows")])).where(F.lit(False)) if out is None else out

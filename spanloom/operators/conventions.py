@@ -96,17 +96,24 @@ def injectable(recounted: DataFrame, least: int = 5, dispute: float = 0.20) -> D
     return recounted.where((F.col("status") == "active") & (calm | F.col("locked"))).select("span_lower", "type", "distinct_tasks", "locked")
 
 
+def convention_phrases(conventions: DataFrame, least_length: int) -> DataFrame:
+    return conventions.where(F.length("span_lower") >= least_length).select(F.col("span_lower").alias("phrase"), F.col("type").alias("note"))
+
+
 def row_hits(rows: DataFrame, conventions: DataFrame, least_length: int = 4) -> DataFrame:
     """task_id, row_index, span_lower, convention: each row with each convention (span_lower, type) of at least that many characters that its text
     holds. Rows may be a stream."""
-    phrases = conventions.where(F.length("span_lower") >= least_length).select(F.col("span_lower").alias("phrase"), F.col("type").alias("note"))
-    return phrases_in_text(rows, phrases, F.col("input"), ["task_id", "row_index"], "convention").withColumnRenamed("phrase", "span_lower")
+    return phrases_in_text(rows, convention_phrases(conventions, least_length), F.col("input"), ["task_id", "row_index"], "convention").withColumnRenamed("phrase", "span_lower")
 
 
 def found_in_text(rows: DataFrame, conventions: DataFrame, most: int = 50, least_length: int = 4) -> DataFrame:
     """Per task up to `most` conventions whose span its text holds, the longest first: as whole words, or, for spans of other characters than
-    ASCII letters, digits, blanks and . - _ ', anywhere."""
-    per = row_hits(rows, conventions, least_length).groupBy("task_id", "span_lower", "convention").agg(F.count("*").alias("n_rows"))
+    ASCII letters, digits, blanks and . - _ ', anywhere.
+
+    Rows of a task that stand together are counted where they are read, which sends no more than `most` conventions; they go to their task once.
+    """
+    hits = phrases_in_text(rows, convention_phrases(conventions, least_length), F.col("input"), ["task_id"], "convention", most=most).withColumnRenamed("phrase", "span_lower")
+    per = hits.repartition("task_id").groupBy("task_id", "span_lower", "convention").agg(F.sum("n_rows").alias("n_rows"))
     w = Window.partitionBy("task_id").orderBy(F.desc(F.length("span_lower")), "span_lower")
     return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
 

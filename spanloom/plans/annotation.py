@@ -291,9 +291,16 @@ add(
 )
 INJECTABLE = "SELECT span_lower, type, distinct_tasks, locked FROM recounted WHERE status = 'active' AND (locked OR (distinct_tasks >= 5 AND n_dispute < 0.20 * distinct_tasks))"
 add("e21_injectable", lambda t: conventions.injectable(conventions.recount(accepted_decisions(t), agreed_conventions(t))), STATS + VOTES + INJECTABLE)
+
+
+def found_in_text(t):
+    t = held(t)
+    return conventions.found_in_text(t.rows, conventions.injectable(conventions.recount(accepted_decisions(t), agreed_conventions(t))))
+
+
 add(
     "e22_found_in_text",
-    lambda t: conventions.found_in_text(t.rows, conventions.injectable(conventions.recount(accepted_decisions(t), agreed_conventions(t)))),
+    found_in_text,
     STATS + VOTES + f""", inj AS ({INJECTABLE}), w AS (SELECT DISTINCT task_id, row_index, unnest(regexp_extract_all(lower(input), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM src_rows)
 SELECT task_id, span_lower, type AS convention, count(*) AS n_rows FROM w JOIN inj ON regexp_extract(span_lower, '^[\\p{{L}}\\p{{N}}_]+') = word JOIN src_rows r USING (task_id, row_index) WHERE length(span_lower) >= 4 AND (span_lower = word OR CASE WHEN contains(lower(input), span_lower) THEN regexp_matches(concat(' ', lower(input), ' '), concat('[^\\p{{L}}\\p{{N}}_]', regexp_escape(span_lower), '[^\\p{{L}}\\p{{N}}_]')) ELSE false END) GROUP BY task_id, span_lower, type QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY length(span_lower) DESC, span_lower) <= 50""",
 )

@@ -78,3 +78,26 @@ def test_stream_equals_batch(spark, made, tmp_path):
 def test_nothing_known(spark, made):
     assert row_hits(made[2], made[3].limit(0)).count() == 0
     assert row_hits(made[2].limit(0), made[3]).count() == 0
+
+
+def test_longest_phrases_are_counted_where_rows_are_read(spark, monkeypatch):
+    """Rows of a task in several tasks of Spark, beside others, and phrases in several blocks: the longest few with whole counts, and no more rows sent."""
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import conventions
+
+    words = [f"word{c}" for c in "abcdefgh"] + ["words", "a longer one"]
+    texts = [(f"t{i % 3}", i, " ".join(w for k, w in enumerate(words) if (i * 7 + k * 5) % 4 < 2)) for i in range(60)]
+    rows = spark.createDataFrame(texts, "task_id string, row_index int, input string").repartition(5)
+    known = spark.createDataFrame([(w, w[-1]) for w in words], "span_lower string, type string")
+    want = set()
+    for task in {t for t, _, _ in texts}:
+        n = {w: sum(f" {w} " in f" {x} " for t, _, x in texts if t == task) for w in words}
+        want |= {(task, w, w[-1], n[w]) for w in sorted((w for w in words if n[w]), key=lambda w: (-len(w), w))[:3]}
+    for characters in (1 << 20, 12):
+        monkeypatch.setattr("spanloom.functions.phrases.phrases_in_text.__defaults__", ("note", characters))
+        assert {tuple(r) for r in conventions.found_in_text(rows, known, 3).select("task_id", "span_lower", "convention", "n_rows").collect()} == want
+    monkeypatch.undo()
+    one = spark.createDataFrame([("t", w) for w in (" ".join(words),) * 9], "task_id string, input string").coalesce(1)
+    sent = phrases.phrases_in_text(one, conventions.convention_phrases(known, 4), F.col("input"), ["task_id"], most=3)
+    assert {(r.phrase, r.n_rows) for r in sent.collect()} == {("a longer one", 9), ("worda", 9), ("wordb", 9)} and sent.count() == 3
