@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ BLOCK = 1024
 RARE = 64
 #: Items that a task holds at a time before it sends them, parts that they are dealt to, and parts of sets that they come back to.
 HELD, PARTS, SET_PARTS = 1 << 20, 1 << 10, 1 << 8
+#: Bits that mark an item inside of its part, marks that a task holds at a time, and bits of a part's filter at most: 64 MB for all parts.
+MARK, MARKS_HELD, SLOTS = 27, 1 << 22, 1 << 19
 #: Set sizes up to which each size is a class of its own; beyond, classes grow by STEP.
 SMALL, STEP = 8, 1.25
 
@@ -90,30 +92,98 @@ def packed_shingle_sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def packed(part: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
-    """A row for each part: its number, and the values of each column there."""
+    """A row for each part: its number, and the values of each column there, first bytes of all values first, which shrinks small numbers."""
     order = np.argsort(part, kind="stable")
     part = part[order]
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(starts[1:], len(part))[: len(starts)]
-    return [pa.array(part[starts].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (c[order] for c in columns))]
+    return [pa.array(part[starts].astype(np.int32)), *(pa.array([planes(x[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (c[order] for c in columns))]
+
+
+def planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplaned(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def unpacked(column: pa.ChunkedArray, kind=np.int64) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x is not None)])
+    return np.concatenate([np.zeros(0, kind), *(unplaned(x, kind) for x in column.to_pylist() if x is not None)])
 
 
 def place(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
 
 
-def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets of sets (key, items), and members (key, rep, uid), rep the least key of those with the set. Sets are told apart by 64
-    bits of hash, uid, as their items are.
+def repeated_items(sets: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A filter of items: true for each that stands in two rows of sets (key, items) or more, and for a few others.
+
+    Marks of items are sorted and sent as differences, about 2.5 bytes for each item, and a part tells which of its marks came twice, by
+    a bit for each slot. A part's filter has at most SLOTS bits, whatever its items, so that all of them, which go through the driver, have a
+    fixed size; if more items are repeated, more of the others pass as well.
+    """
+    shift = 64 - (PARTS.bit_length() - 1)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            x = np.sort(np.concatenate(held))
+            held.clear()
+            part, mark = (x >> np.uint64(shift)).astype(np.int32), ((x >> np.uint64(shift - MARK)) & np.uint64((1 << MARK) - 1)).astype(np.uint32)
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            step = np.diff(mark, prepend=np.uint32(0))
+            step[starts] = mark[starts]
+            steps = pa.array([planes(step[a:b]) for a, b in zip(starts, np.append(starts[1:], len(x)), strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part[starts]), steps], names=["part", "steps"])
+
+        for batch in batches:
+            held.append(mix(batch.column(0).flatten().to_numpy().view(np.uint64)))
+            total += len(held[-1])
+            if total >= MARKS_HELD:
+                yield flushed()
+                total = 0
+        if total:
+            yield flushed()
+
+    def told(table: pa.Table) -> pa.Table:
+        mark = np.sort(np.concatenate([np.cumsum(unplaned(x, np.uint32), dtype=np.uint32) for x in table["steps"].to_pylist()]))
+        twice = np.unique(mark[1:][mark[1:] == mark[:-1]])
+        bits = np.zeros(min(SLOTS, max(64, 1 << (16 * len(twice)).bit_length())), bool)
+        bits[twice & np.uint32(len(bits) - 1)] = True
+        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    rows = sets.select("items").mapInArrow(sent, "part int, steps binary").groupBy("part").applyInArrow(told, "part int, bits binary").collect()
+    first, slots, data = np.zeros(PARTS, np.int64), np.full(PARTS, 64, np.uint64), [bytes(8)]  # nothing is repeated in a part without a row
+    at = 8
+    for part, bits in rows:
+        first[part], slots[part] = at, 8 * len(bits)
+        data.append(bytes(bits))
+        at += len(bits)
+    known = sets.sparkSession.sparkContext.broadcast((first, slots - np.uint64(1), np.frombuffer(b"".join(data), np.uint8)))
+
+    def repeated(items: np.ndarray) -> np.ndarray:
+        first, last, data = known.value
+        x = mix(items.view(np.uint64))
+        part = (x >> np.uint64(shift)).astype(np.int64)
+        slot = ((x >> np.uint64(shift - MARK)) & last[part]).astype(np.int64)
+        return (data[first[part] + (slot >> 3)] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+    return repeated
+
+
+def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets of sets (key, items), and members (key, rep, uid, copies): rep the least key of those with the set, copies their number.
+    Sets are told apart by 64 bits of hash, uid, as their items are.
 
     Of the sets that share an item with another come uid, m, items, df: the set's size, its items that stand in several sets, the rarest first,
     and in how many. Items of one set can't be common to two, so similarities follow from these and the sizes. With numbers, shared items are
     numbered where they are counted and go on by their numbers, of 32 bits: room for 4 billion shared items, more than PARTS parts hold.
 
+    With a threshold, only sets come that may reach this Jaccard index with another one: of m items as many as threshold * m must be shared.
+    Most are told by repeated_items() already, before any item is sent, and then sets is computed twice.
+
     Items are sent once to be counted and then, without those of one set, back to their sets; a task sends those of a part as one row. A part
     holds all sets of its items, so a task needs room for the sets of the most frequent item. The sets themselves are never written, nor is
     what lies between the two shuffles: the members go along with the second.
@@ -121,6 +191,7 @@ def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataF
     kind = sets.schema["key"].dataType.simpleString()
     names = ["part", "item", "uid", "m", "keys"]
     arrow_keys = pa.list_(pa.string() if kind == "string" else pa.int64())
+    repeated = repeated_items(sets) if threshold is not None else None
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -134,11 +205,17 @@ def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataF
         for batch in batches:
             uid, lists = batch.column(0).to_numpy(), batch.column(2)
             m = pc.list_value_length(lists).to_numpy()
+            item, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(uid)), m)
+            if repeated is not None:
+                there = repeated(item)
+                fits = np.bincount(owner[there], minlength=len(uid)) >= threshold * m - 1e-6
+                there &= fits[owner]
+                item, owner, m = item[there], owner[there], np.where(fits, m, 0)  # 0: of this set no item goes on
             part, own, size, rows = packed(to := place(uid, PARTS), uid, m.astype(np.int32), np.arange(len(uid)))
             keys = batch.column(1).take(pa.array(np.argsort(to, kind="stable")))
             offsets = np.append(0, np.cumsum([len(x) // 8 for x in rows.to_pylist()])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.binary()), own, size, pa.ListArray.from_arrays(pa.array(offsets), keys)], names=names)
-            held.append((lists.flatten().to_numpy(), np.repeat(uid, m)))
+            held.append((item, uid[owner]))
             total += len(held[-1][0])
             if total >= HELD:
                 yield flushed()
@@ -146,7 +223,7 @@ def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataF
         if total:
             yield flushed()
 
-    lists = {"keys": arrow_keys, "reps": arrow_keys, "owners": pa.list_(pa.int64())}
+    lists = {"keys": arrow_keys, "reps": arrow_keys, "owners": pa.list_(pa.int64()), "copies": pa.list_(pa.int64())}
 
     def row_of(n: int, **columns: object) -> pa.Table:
         """n rows of what is sent back, null but for some columns."""
@@ -177,11 +254,12 @@ def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataF
         for u, k in zip(owner.tolist(), keys, strict=True):
             if u not in least or k < least[u]:
                 least[u] = k
-        distinct, at = np.unique(owner, return_index=True)
-        part, *columns = packed(place(distinct, SET_PARTS), distinct, m[at])
+        distinct, at, which, count = np.unique(owner, return_index=True, return_inverse=True, return_counts=True)
+        copies, on = count[which], m[at] > 0
+        part, *columns = packed(place(distinct[on], SET_PARTS), distinct[on], m[at][on])
         own = row_of(len(part), part=part, uid=columns[0], m=columns[1])
         some = int(len(keys) > 0)
-        named = {"keys": [keys], "reps": [[least[u] for u in owner.tolist()]], "owners": [owner.tolist()]}
+        named = {"keys": [keys], "reps": [[least[u] for u in owner.tolist()]], "owners": [owner.tolist()], "copies": [copies.tolist()]}
         members = row_of(some, part=pa.array([own_part % SET_PARTS] * some, pa.int32()), **{name: pa.array(x[:some], lists[name]) for name, x in named.items()})
         return pa.concat_tables([back, own, members])
 
@@ -194,6 +272,11 @@ def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataF
         known, m = unpacked(own["uid"]), unpacked(own["m"], np.int32)
         order = np.argsort(known)
         size = m[order][np.searchsorted(known[order], uid[heads])] if len(heads) else m[:0]
+        if threshold is not None:
+            fits = np.diff(heads, append=len(uid)) >= threshold * size - 1e-6
+            there = np.repeat(fits, np.diff(heads, append=len(uid)))
+            item, uid, df, size = item[there], uid[there], df[there], size[fits]
+            heads = np.flatnonzero(np.append(True, uid[1:] != uid[:-1])[: len(uid)])
         offsets = pa.array(np.append(heads, len(uid)).astype(np.int32))
         of_sets = {"uid": pa.array(uid[heads]), "m": pa.array(size), **{name: pa.ListArray.from_arrays(offsets, pa.array(x)) for name, x in (("items", item), ("df", df))}}
         sets = pa.table(of_sets | {name: pa.nulls(len(heads), k) for name, k in lists.items()})
@@ -202,10 +285,10 @@ def named_sets(sets: DataFrame, numbers: bool = False) -> tuple[DataFrame, DataF
 
     hashed = sets.select(F.xxhash64(F.size("items"), "items").alias("uid") if "uid" not in sets.columns else F.col("uid"), "key", "items")
     parts = hashed.mapInArrow(sent, f"part int, item binary, uid binary, m binary, keys array<{kind}>").groupBy("part")
-    named = f"keys array<{kind}>, reps array<{kind}>, owners array<long>"
+    named = f"keys array<{kind}>, reps array<{kind}>, owners array<long>, copies array<long>"
     back = parts.applyInArrow(counted, f"part int, item binary, uid binary, df binary, m binary, {named}").groupBy("part")
     table = written(back.applyInArrow(ordered, f"uid long, m int, items array<{'int' if numbers else 'long'}>, df array<int>, {named}"))
-    members = table.where("keys is not null").select(F.explode(F.arrays_zip("keys", "reps", "owners")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.reps").alias("rep"), F.col("x.owners").alias("uid"))
+    members = table.where("keys is not null").select(F.explode(F.arrays_zip(*lists)).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.reps").alias("rep"), F.col("x.owners").alias("uid"), F.col("x.copies").alias("copies"))
     return table.where("uid is not null").select("uid", "m", "items", "df"), members
 
 
@@ -253,9 +336,9 @@ def least_size(c: Column) -> Column:
     return F.when(c <= SMALL, c).otherwise(F.floor(SMALL * F.pow(F.lit(STEP), c - SMALL))).cast("int")
 
 
-def shared_sets(sets: DataFrame, numbers: bool = False) -> DataFrame:
+def shared_sets(sets: DataFrame, numbers: bool = False, threshold: float | None = None) -> DataFrame:
     """The shared items of distinct sets (uid, items), as named_sets() gives them. What has been through here stays as it is."""
-    return sets if "df" in sets.columns else named_sets(sets.select("uid", F.col("uid").alias("key"), "items"), numbers)[0]
+    return sets if "df" in sets.columns else named_sets(sets.select("uid", F.col("uid").alias("key"), "items"), numbers, threshold)[0]
 
 
 def prefix_entries(shared: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -307,7 +390,7 @@ def roles() -> Column:
 
 def exact_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of uids that may reach the threshold, none missed."""
-    rare, hot = prefix_entries(shared_sets(sets, numbers=True), threshold)
+    rare, hot = prefix_entries(shared_sets(sets, True, threshold), threshold)
     hot = written(hot)
     sizes = hot.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(*GROUP, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     once = ((F.col("x.low") == F.col("x.high")) & (F.col("x.uid") < F.col("y.uid"))) | (F.col("x.own") < F.col("y.own"))
@@ -326,7 +409,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_duplicate_edges(texts: DataFrame, n: int, threshold: float, mode: str = "exact") -> DataFrame:
     """a, b, similarity between texts of distinct sets, each set once, by its least key. mode 'exact' misses none, 'lsh' few."""
     if mode == "exact":
-        own, same = named_sets(packed_shingle_sets(texts, n), numbers=True)
+        own, same = named_sets(packed_shingle_sets(texts, n), True, threshold)
         pairs, names = exact_candidates(own, threshold), same.where("key = rep").select("key", "uid")
     else:
         sets, _ = distinct_sets(shingle_sets(texts, n))
@@ -346,7 +429,7 @@ def components(sets: DataFrame, threshold: float) -> DataFrame:
     A group of hot entries is linked to its heads, the least uid of each side, first. Groups that are then still of several components
     compare what lies outside of their largest one with all of the group: in proportion to the group, times those outside.
     """
-    shared = shared_sets(sets, numbers=True)
+    shared = shared_sets(sets, True, threshold)
     rare, hot = prefix_entries(shared, threshold)
     hot = written(hot)
     heads = hot.groupBy(*GROUP, "own").agg(F.min("uid").alias("head")).withColumnRenamed("own", "side")
@@ -372,17 +455,17 @@ def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | N
     """key, rep, similarity: members of clusters of two or more. Texts that edges or equal sets connect form a component; its
     representative is the least key that isn't excluded, else the least; members keep to it by their own similarity."""
     if mode == "exact":
-        items, same = named_sets(packed_shingle_sets(texts, n), numbers=True)
+        items, same = named_sets(packed_shingle_sets(texts, n), True, threshold)
         roots = components(items, threshold)
     else:
         sets, same = distinct_sets(shingle_sets(texts, n))
         sets = written(sets)
-        same = same.join(sets.select(F.col("key").alias("rep"), "uid"), "rep")
+        same = same.join(sets.select(F.col("key").alias("rep"), "uid"), "rep").join(same.groupBy("rep").agg(F.count("*").alias("copies")), "rep")
         items = sets.withColumn("m", F.size("items"))
         named = sets.select("key", "uid")
         edges = near_duplicate_edges(texts, n, threshold, mode)
         roots = connected_components(edges.join(named.withColumnsRenamed({"key": "a", "uid": "u"}), "a").join(named.withColumnsRenamed({"key": "b", "uid": "v"}), "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    labels = same.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
+    labels = same.join(roots.withColumnRenamed("node", "uid"), "uid", "left").where("copies > 1 or root is not null").select("key", "uid", F.coalesce("root", "uid").alias("root"))
     if excluded is not None:
         labels = labels.join(excluded.select("key", F.lit(True).alias("out")), "key", "left")
     else:
@@ -468,7 +551,7 @@ def linked_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 
 def text_components(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, root: texts of distinct sets, each set once by its least key, with the least key of their component; those without a link are left out."""
-    sets, same = named_sets(packed_shingle_sets(texts, n), numbers=True)
+    sets, same = named_sets(packed_shingle_sets(texts, n), True, threshold)
     named = components(sets, threshold).join(same.where("key = rep").select(F.col("uid").alias("node"), "key"), "node")
     named = written(named.select("root", "key"))
     return named.join(named.groupBy("root").agg(F.min("key").alias("least")), "root").select(F.col("key").alias("node"), F.col("least").alias("root"))

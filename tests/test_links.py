@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from spanloom.operators import similarity
@@ -100,3 +101,30 @@ def test_shared_items_go_by_number(spark, texts, monkeypatch):
     for a, b in combinations(names, 2):
         both = set(held.get(names[a], (0, []))[1]) & set(held.get(names[b], (0, []))[1])
         assert len(both) == len(sets[a] & sets[b])
+
+
+def test_sets_that_reach_no_other_are_left_out(spark, monkeypatch):
+    """Rows with one run of words in common and no more are neither sent as items nor written, nor are rows outside of clusters."""
+    rows = [(f"k{i:03}", f"one common head {i}a {i}b {i}c {i}d {i}e {i}f") for i in range(300)]
+    rows += [("l0", rows[7][1]), ("l1", rows[7][1] + " g"), ("l2", "one common head of its own"), ("l3", "one common head of its own")]
+    tables = []
+    monkeypatch.setattr(similarity, "written", lambda df, own=similarity.written: tables.append(own(df)) or tables[-1])
+    got = {tuple(r) for r in similarity.clusters(spark.createDataFrame(rows, "key string, text string"), 3, 0.5).collect()}
+    assert got == {("k007", "k007", 1.0, 3), ("l0", "k007", 1.0, 3), ("l1", "k007", 7 / 8, 3), ("l2", "l2", 1.0, 2), ("l3", "l2", 1.0, 2)}
+    (sets,) = (t for t in tables if "df" in t.columns)
+    assert sets.where("uid is not null").count() == 2
+    (labels,) = (t for t in tables if "out" in t.columns)
+    assert labels.count() == 5
+
+
+@pytest.mark.parametrize("slots", [1 << 19, 16])
+def test_items_of_several_rows_pass_the_filter(spark, monkeypatch, slots):
+    """All of them, and few others while the filter isn't full."""
+    monkeypatch.setattr(similarity, "SLOTS", slots)
+    monkeypatch.setattr(similarity, "MARKS_HELD", 500)
+    monkeypatch.setattr(similarity, "PARTS", 4)
+    sets = [sorted({1000 * i + k for k in range(40)} | {-i % 7, 5 - i}) for i in range(1, 60)]
+    repeated = similarity.repeated_items(spark.createDataFrame([(str(i), s) for i, s in enumerate(sets)], "key string, items array<long>").repartition(3))
+    every, n = np.unique(np.concatenate(sets), return_counts=True)
+    passed = repeated(every)
+    assert passed[n > 1].all() and (slots == 16 or passed[n == 1].mean() < 0.2)
