@@ -22,7 +22,7 @@ BLOCK = 1024
 RARE = 64
 #: Items that a task holds at a time before it sends them, parts that they are dealt to, and parts of sets that they come back to.
 HELD, PARTS, SET_PARTS = 1 << 20, 1 << 10, 1 << 8
-#: Bits that mark an item inside of its part, marks that a task holds at a time, and bits of a part's filter at most: 64 MB for all parts.
+#: Bits that mark an item inside of its part, marks that a task holds at a time, and bits of a part's filter of items at most: 64 MB for all parts.
 MARK, MARKS_HELD, SLOTS = 27, 1 << 22, 1 << 19
 #: Set sizes up to which each size is a class of its own; beyond, classes grow by STEP.
 SMALL, STEP = 8, 1.25
@@ -116,12 +116,16 @@ def place(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
 
 
-def repeated_items(sets: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
-    """A filter of items: true for each that stands in two rows of sets (key, items) or more, and for a few others.
+def repeated_items(sets: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Two filters of rows of sets (uid, key, items, tag), tag a number from 1 to 255 made of the key.
+
+    repeated(items): true for each item that stands in two rows or more, and for a few others. first(uid, tag): of the rows of one uid it is true for
+    at least one, and mostly for few others.
 
     Marks of items are sorted and sent as differences, about 2.5 bytes for each item, and a part tells which of its marks came twice, by
-    a bit for each slot. A part's filter has at most SLOTS bits, whatever its items, so that all of them, which go through the driver, have a
-    fixed size; if more items are repeated, more of the others pass as well.
+    a bit for each slot. Of a uid that has several rows, and a slot to itself, a part tells the least tag. A part has at most SLOTS bits and
+    SLOTS / 16 tags, whatever it holds, so that the filters, which go through the driver, have a fixed size of 96 MB at most; with more items
+    and sets than fit, more of the others pass as well.
     """
     shift = 64 - (PARTS.bit_length() - 1)
 
@@ -129,48 +133,73 @@ def repeated_items(sets: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
         held, total = [], 0
 
         def flushed() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(held))
+            items, uid, tag = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            x = np.sort(items)
             part, mark = (x >> np.uint64(shift)).astype(np.int32), ((x >> np.uint64(shift - MARK)) & np.uint64((1 << MARK) - 1)).astype(np.uint32)
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             step = np.diff(mark, prepend=np.uint32(0))
             step[starts] = mark[starts]
             steps = pa.array([planes(step[a:b]) for a, b in zip(starts, np.append(starts[1:], len(x)), strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(part[starts]), steps], names=["part", "steps"])
+            to, *own = packed(place(uid, PARTS), uid, tag)
+            none = lambda n: pa.nulls(n, pa.binary())
+            columns = [pa.concat_arrays(c) for c in ([pa.array(part[starts]), to], [steps, none(len(to))], [none(len(starts)), own[0]], [none(len(starts)), own[1]])]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "steps", "uid", "tag"])
 
         for batch in batches:
-            held.append(mix(batch.column(0).flatten().to_numpy().view(np.uint64)))
-            total += len(held[-1])
+            held.append((mix(batch.column(2).flatten().to_numpy().view(np.uint64)), batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.uint8)))
+            total += len(held[-1][0])
             if total >= MARKS_HELD:
                 yield flushed()
                 total = 0
-        if total:
+        if held:
             yield flushed()
 
+    def size(n: int, most: int) -> int:
+        return min(most, max(64, 1 << n.bit_length()))
+
     def told(table: pa.Table) -> pa.Table:
-        mark = np.sort(np.concatenate([np.cumsum(unplaned(x, np.uint32), dtype=np.uint32) for x in table["steps"].to_pylist()]))
+        mark = np.sort(np.concatenate([np.zeros(0, np.uint32), *(np.cumsum(unplaned(x, np.uint32), dtype=np.uint32) for x in table["steps"].to_pylist() if x is not None)]))
         twice = np.unique(mark[1:][mark[1:] == mark[:-1]])
-        bits = np.zeros(min(SLOTS, max(64, 1 << (16 * len(twice)).bit_length())), bool)
+        bits = np.zeros(size(16 * len(twice), SLOTS), bool)
         bits[twice & np.uint32(len(bits) - 1)] = True
-        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        uid, tag = unpacked(table["uid"]), unpacked(table["tag"], np.uint8)
+        order = np.lexsort((tag, uid))
+        own, at, n = np.unique(uid[order], return_index=True, return_counts=True)
+        tags = np.zeros(size(8 * len(own), max(64, SLOTS >> 4)), np.uint8)
+        slot = (mix(own.view(np.uint64)) & np.uint64(len(tags) - 1)).astype(np.int64)
+        lone = (n > 1) & (np.bincount(slot, minlength=len(tags))[slot] == 1)
+        tags[slot[lone]] = tag[order][at[lone]]
+        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "tags": pa.array([tags.tobytes()], pa.binary())})
+
+    rows = sets.select("uid", "key", "items", "tag").mapInArrow(sent, "part int, steps binary, uid binary, tag binary").groupBy("part").applyInArrow(told, "part int, bits binary, tags binary").collect()
+
+    def laid(column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each part's bytes begin, how many there are, and the bytes; a part without a row has 64 zeros."""
+        begin, length, data = np.zeros(PARTS, np.int64), np.full(PARTS, 64, np.uint64), [bytes(64)]
+        end = 64
+        for r in rows:
+            begin[r.part], length[r.part] = end, len(r[column])
+            data.append(bytes(r[column]))
+            end += len(r[column])
+        return begin, length, np.frombuffer(b"".join(data), np.uint8)
 
-    rows = sets.select("items").mapInArrow(sent, "part int, steps binary").groupBy("part").applyInArrow(told, "part int, bits binary").collect()
-    first, slots, data = np.zeros(PARTS, np.int64), np.full(PARTS, 64, np.uint64), [bytes(8)]  # nothing is repeated in a part without a row
-    at = 8
-    for part, bits in rows:
-        first[part], slots[part] = at, 8 * len(bits)
-        data.append(bytes(bits))
-        at += len(bits)
-    known = sets.sparkSession.sparkContext.broadcast((first, slots - np.uint64(1), np.frombuffer(b"".join(data), np.uint8)))
+    known = sets.sparkSession.sparkContext.broadcast((laid("bits"), laid("tags")))
 
     def repeated(items: np.ndarray) -> np.ndarray:
-        first, last, data = known.value
+        begin, length, data = known.value[0]
         x = mix(items.view(np.uint64))
         part = (x >> np.uint64(shift)).astype(np.int64)
-        slot = ((x >> np.uint64(shift - MARK)) & last[part]).astype(np.int64)
-        return (data[first[part] + (slot >> 3)] >> (slot & 7).astype(np.uint8)) & 1 > 0
+        slot = ((x >> np.uint64(shift - MARK)) & (np.uint64(8) * length[part] - np.uint64(1))).astype(np.int64)
+        return (data[begin[part] + (slot >> 3)] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+    def first(uid: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        begin, length, data = known.value[1]
+        part = place(uid, PARTS)
+        told = data[begin[part] + (mix(uid.view(np.uint64)) & (length[part] - np.uint64(1))).astype(np.int64)]
+        return (told == 0) | (told == tag)
 
-    return repeated
+    return repeated, first
 
 
 def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +211,7 @@ def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None =
     numbered where they are counted and go on by their numbers, of 32 bits: room for 4 billion shared items, more than PARTS parts hold.
 
     With a threshold, only sets come that may reach this Jaccard index with another one: of m items as many as threshold * m must be shared.
-    Most are told by repeated_items() already, before any item is sent, and then sets is computed twice.
+    Most are told by repeated_items() already, before any item is sent, as are most copies of a set; then sets is computed twice.
 
     Items are sent once to be counted and then, without those of one set, back to their sets; a task sends those of a part as one row. A part
     holds all sets of its items, so a task needs room for the sets of the most frequent item. The sets themselves are never written, nor is
@@ -191,7 +220,9 @@ def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None =
     kind = sets.schema["key"].dataType.simpleString()
     names = ["part", "item", "uid", "m", "keys"]
     arrow_keys = pa.list_(pa.string() if kind == "string" else pa.int64())
-    repeated = repeated_items(sets) if threshold is not None else None
+    uid = F.col("uid") if "uid" in sets.columns else F.xxhash64(F.size("items"), "items").alias("uid")
+    hashed = sets.select(uid, "key", "items", (F.pmod(F.xxhash64("key"), F.lit(255)) + 1).cast("int").alias("tag"))
+    repeated, first = repeated_items(hashed) if threshold is not None else (None, None)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -209,7 +240,7 @@ def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None =
             if repeated is not None:
                 there = repeated(item)
                 fits = np.bincount(owner[there], minlength=len(uid)) >= threshold * m - 1e-6
-                there &= fits[owner]
+                there &= (fits & first(uid, batch.column(3).to_numpy()))[owner]
                 item, owner, m = item[there], owner[there], np.where(fits, m, 0)  # 0: of this set no item goes on
             part, own, size, rows = packed(to := place(uid, PARTS), uid, m.astype(np.int32), np.arange(len(uid)))
             keys = batch.column(1).take(pa.array(np.argsort(to, kind="stable")))
@@ -283,7 +314,6 @@ def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None =
         rest = pa.table({name: pa.nulls(len(members), x.type) for name, x in of_sets.items()} | {name: members[name].cast(k) for name, k in lists.items()})
         return pa.concat_tables([sets, rest])
 
-    hashed = sets.select(F.xxhash64(F.size("items"), "items").alias("uid") if "uid" not in sets.columns else F.col("uid"), "key", "items")
     parts = hashed.mapInArrow(sent, f"part int, item binary, uid binary, m binary, keys array<{kind}>").groupBy("part")
     named = f"keys array<{kind}>, reps array<{kind}>, owners array<long>, copies array<long>"
     back = parts.applyInArrow(counted, f"part int, item binary, uid binary, df binary, m binary, {named}").groupBy("part")

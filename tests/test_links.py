@@ -118,13 +118,33 @@ def test_sets_that_reach_no_other_are_left_out(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("slots", [1 << 19, 16])
-def test_items_of_several_rows_pass_the_filter(spark, monkeypatch, slots):
-    """All of them, and few others while the filter isn't full."""
+def test_repeated_items_and_first_rows_pass_the_filters(spark, monkeypatch, slots):
+    """All items of several rows, at least one row of each set, and few others while the filters aren't full."""
     monkeypatch.setattr(similarity, "SLOTS", slots)
     monkeypatch.setattr(similarity, "MARKS_HELD", 500)
     monkeypatch.setattr(similarity, "PARTS", 4)
     sets = [sorted({1000 * i + k for k in range(40)} | {-i % 7, 5 - i}) for i in range(1, 60)]
-    repeated = similarity.repeated_items(spark.createDataFrame([(str(i), s) for i, s in enumerate(sets)], "key string, items array<long>").repartition(3))
-    every, n = np.unique(np.concatenate(sets), return_counts=True)
+    rows = [(i, f"{i}-{copy}", s, 1 + (17 * i + copy) % 255) for i, s in enumerate(sets) for copy in range(20 if i % 3 == 0 else 1)]
+    repeated, first = similarity.repeated_items(spark.createDataFrame(rows, "uid long, key string, items array<long>, tag int").repartition(3))
+    every, n = np.unique(np.concatenate([s for _, _, s, _ in rows]), return_counts=True)
     passed = repeated(every)
     assert passed[n > 1].all() and (slots == 16 or passed[n == 1].mean() < 0.2)
+    uid, tag = (np.array([r[k] for r in rows]) for k in (0, 3))
+    own = first(uid, tag)
+    assert set(uid[own]) == set(range(len(sets))) and (slots == 16 or own.sum() < 200 < len(rows))
+
+
+def test_copies_send_their_items_once(spark):
+    """Of many copies of a few sets, clusters() sends the items of few rows; the members are the same."""
+    rows = [(f"k{i:04}", " ".join(f"w{i % 10}x{k}" for k in range(200)) + (" more" if i % 20 == 0 else "")) for i in range(1000)]
+    got = {(r.key, r.rep, r["size"]) for r in similarity.clusters(spark.createDataFrame(rows, "key string, text string").repartition(2), 3, 0.5).collect()}
+    assert got == {(f"k{i:04}", f"k{i % 10:04}", 100) for i in range(1000)}
+    before = sum(s.shuffleWriteBytes() for s in stages(spark))
+    similarity.named_sets(similarity.packed_shingle_sets(spark.createDataFrame(rows, "key string, text string").repartition(2), 3), True, 0.5)
+    assert sum(s.shuffleWriteBytes() for s in stages(spark)) - before < 1_500_000  # 16 bytes for each item of each row are 3.2 million
+
+
+def stages(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(spark._jvm.java.util.ArrayList(), False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    return [found.apply(i) for i in range(found.size())]
