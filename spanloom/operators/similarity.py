@@ -53,47 +53,114 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes up to which words are hashed side by side; longer ones are hashed one by one.
+LONG = 512
+SEEDS, LOW_BYTES = mix(np.arange(LONG + 1, dtype=np.uint64) + np.uint64(1)), np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, that follows from its bytes: eight bytes of all words at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    start, size = at[:-1], np.diff(at)
+    eights = np.zeros((at[-1] >> 3) + 2, np.uint64)
+    if at[-1]:
+        eights.view(np.uint8)[: at[-1]] = np.frombuffer(data, np.uint8)[: at[-1]]
+    out, done, live = SEEDS[np.minimum(size, LONG)], 0, np.flatnonzero((size > 0) & (size <= LONG))
+    while len(live):
+        own = start[live] + done
+        i, shift = own >> 3, ((own & 7) << 3).astype(np.uint64)
+        x = (eights[i] >> shift) | ((eights[i + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        out[live] = mix(out[live] + (x & LOW_BYTES[np.minimum(size[live] - done, 8)]))
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(eights.view(np.uint8)[at[i] : at[i + 1]].tobytes())
+    return out
+
+
+def shingled(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of n words of each text of lowered(), as hashes, text by text, and their number for each text; fewer words are one run."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    there = pc.binary_length(flat).to_numpy() > 0
+    words, owner = word_hashes(flat)[there], owner[there]
+    count = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(count) - count
+    starts, sizes = [np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)], [n]
+    for size in range(1, n):  # a shorter text is one run
+        starts.append(first[count == size])
+        sizes.append(size)
+    runs = []
+    for at, size in zip(starts, sizes, strict=True):
+        value = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            value = mix(value + words[at + k])
+        runs.append(value)
+    value, owner = np.concatenate(runs), owner[np.concatenate(starts)]
+    bits = len(texts).bit_length()
+    rough = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (value >> np.uint64(bits))
+    order = np.argsort(rough)
+    rough, runs = rough[order], value[order]
+    if ((rough[1:] == rough[:-1]) & (runs[1:] != runs[:-1])).any():  # two runs of a text that differ in their last bits only
+        order = np.lexsort((value, owner))
+        runs = value[order]
+    owner = owner[order]
+    new = np.append(True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1]))[: len(runs)]
+    return runs[new].view(np.int64), np.bincount(owner[new], minlength=len(texts))
+
+
+#: A character as far as those of UNSPACED or farther; to look for it takes less time than to look for their scripts.
+FAR = r"[^\u0000-\u10FF]"
+
+
+def lowered(texts: DataFrame) -> DataFrame:
+    """key, low: the texts with tokens in lower case, and blanks around what stands alone, as tokens() has it."""
+    text = F.col("text")
+    near = (F.length(text) == F.octet_length(text)) | ~text.rlike(FAR)
+    return texts.where(text.rlike(r"\S")).select("key", F.when(near, F.lower(text)).otherwise(F.regexp_replace(F.lower(text), UNSPACED, " $0 ")).alias("low"))
+
+
 def packed_shingle_sets(texts: DataFrame, n: int) -> DataFrame:
-    """shingle_sets() with other hashes: of each word of a batch once, and of runs of words from those of their words. For whole sets that are
-    compared with each other; signatures keep to shingle_sets(), whose values they follow."""
+    """shingle_sets() with other hashes: of the words of a batch side by side, and of runs of words from those of their words. For whole sets that
+    are compared with each other; signatures keep to shingle_sets(), whose values they follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = pc.ascii_split_whitespace(batch.column(1))
-            flat, owner = lists.flatten(), np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
-            there = pc.greater(pc.binary_length(flat), 0)
-            known = flat.filter(there).dictionary_encode()
-            owner = owner[there.to_numpy(zero_copy_only=False)]
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known.dictionary.to_pylist()], np.uint64)
-            words, count = hashes[known.indices.to_numpy()], np.bincount(owner, minlength=len(batch))
-            first = np.cumsum(count) - count
-            starts, sizes = [np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)], [n]
-            for size in range(1, n):  # a shorter text is one run
-                starts.append(first[count == size])
-                sizes.append(size)
-            runs = []
-            for at, size in zip(starts, sizes, strict=True):
-                value = np.full(len(at), size, np.uint64)
-                for k in range(size):
-                    value = mix(value + words[at + k])
-                runs.append(value.view(np.int64))
-            value, owner = np.concatenate(runs), owner[np.concatenate(starts)]
-            order = np.lexsort((value, owner))
-            value, owner = value[order], owner[order]
-            new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))[: len(value)]
-            value, owner = value[new], owner[new]
-            offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(batch)))).astype(np.int32)
+            value, count = shingled(batch.column(1), n)
+            offsets = np.append(0, np.cumsum(count)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))], names=["key", "items"])
 
-    text = F.col("text")
-    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.regexp_replace(F.lower(text), UNSPACED, " $0 "))  # as tokens() has it
-    own = texts.where(text.rlike(r"\S")).select("key", low.alias("low"))
-    return own.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, items array<long>")
+    return lowered(texts).mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, items array<long>")
+
+
+#: Of a batch: keys, uids, tags, the items of all rows, and how many each row has.
+Rows = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def rows_of_sets(batch: pa.RecordBatch) -> Rows:
+    lists = batch.column("items")
+    return batch.column("key"), batch.column("uid").to_numpy(), batch.column("tag").to_numpy().astype(np.uint8), lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+
+
+def rows_of_texts(n: int) -> Callable[[pa.RecordBatch], Rows]:
+    """Reads key, low and tag; the uid is a hash of the set's size and items in any order."""
+
+    def read(batch: pa.RecordBatch) -> Rows:
+        item, m = shingled(batch.column("low"), n)
+        ends = np.cumsum(m)
+        total = np.append(np.uint64(0), np.cumsum(mix(item.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64))
+        uid = mix(total[ends] - total[ends - m] + m.astype(np.uint64)).view(np.int64)
+        return batch.column("key"), uid, batch.column("tag").to_numpy().astype(np.uint8), item, m
+
+    return read
 
 
 def packed(part: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
     """A row for each part: its number, and the values of each column there, first bytes of all values first, which shrinks small numbers."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
     part = part[order]
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(starts[1:], len(part))[: len(starts)]
@@ -116,8 +183,8 @@ def place(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
 
 
-def repeated_items(sets: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
-    """Two filters of rows of sets (uid, key, items, tag), tag a number from 1 to 255 made of the key.
+def repeated_items(sets: DataFrame, read: Callable[[pa.RecordBatch], Rows] = rows_of_sets) -> tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Two filters of rows of sets, as read gets them from their batches (uid, key, items, tag), tag a number from 1 to 255 made of the key.
 
     repeated(items): true for each item that stands in two rows or more, and for a few others. first(uid, tag): of the rows of one uid it is true for
     at least one, and mostly for few others.
@@ -147,7 +214,8 @@ def repeated_items(sets: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray],
             return pa.RecordBatch.from_arrays(columns, names=["part", "steps", "uid", "tag"])
 
         for batch in batches:
-            held.append((mix(batch.column(2).flatten().to_numpy().view(np.uint64)), batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.uint8)))
+            _, uid, tag, item, _ = read(batch)
+            held.append((mix(item.view(np.uint64)), uid, tag))
             total += len(held[-1][0])
             if total >= MARKS_HELD:
                 yield flushed()
@@ -172,7 +240,7 @@ def repeated_items(sets: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray],
         tags[slot[lone]] = tag[order][at[lone]]
         return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "tags": pa.array([tags.tobytes()], pa.binary())})
 
-    rows = sets.select("uid", "key", "items", "tag").mapInArrow(sent, "part int, steps binary, uid binary, tag binary").groupBy("part").applyInArrow(told, "part int, bits binary, tags binary").collect()
+    rows = sets.mapInArrow(sent, "part int, steps binary, uid binary, tag binary").groupBy("part").applyInArrow(told, "part int, bits binary, tags binary").collect()
 
     def laid(column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each part's bytes begin, how many there are, and the bytes; a part without a row has 64 zeros."""
@@ -202,9 +270,10 @@ def repeated_items(sets: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray],
     return repeated, first
 
 
-def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The distinct sets of sets (key, items), and members (key, rep, uid, copies): rep the least key of those with the set, copies their number.
-    Sets are told apart by 64 bits of hash, uid, as their items are.
+    Sets are told apart by 64 bits of hash, uid, as their items are. With n, sets are texts (key, text), which the task that sends their items
+    cuts into runs of n words itself.
 
     Of the sets that share an item with another come uid, m, items, df: the set's size, its items that stand in several sets, the rarest first,
     and in how many. Items of one set can't be common to two, so similarities follow from these and the sizes. With numbers, shared items are
@@ -220,9 +289,13 @@ def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None =
     kind = sets.schema["key"].dataType.simpleString()
     names = ["part", "item", "uid", "m", "keys"]
     arrow_keys = pa.list_(pa.string() if kind == "string" else pa.int64())
-    uid = F.col("uid") if "uid" in sets.columns else F.xxhash64(F.size("items"), "items").alias("uid")
-    hashed = sets.select(uid, "key", "items", (F.pmod(F.xxhash64("key"), F.lit(255)) + 1).cast("int").alias("tag"))
-    repeated, first = repeated_items(hashed) if threshold is not None else (None, None)
+    tag = (F.pmod(F.xxhash64("key"), F.lit(255)) + 1).cast("int").alias("tag")
+    if n is not None:
+        source, read = lowered(sets).select("key", "low", tag), rows_of_texts(n)
+    else:
+        uid = F.col("uid") if "uid" in sets.columns else F.xxhash64(F.size("items"), "items").alias("uid")
+        source, read = sets.select(uid, "key", "items", tag), rows_of_sets
+    repeated, first = repeated_items(source, read) if threshold is not None else (None, None)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -234,16 +307,15 @@ def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None =
             return pa.RecordBatch.from_arrays([part, *columns, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), arrow_keys)], names=names)
 
         for batch in batches:
-            uid, lists = batch.column(0).to_numpy(), batch.column(2)
-            m = pc.list_value_length(lists).to_numpy()
-            item, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(uid)), m)
+            own_keys, uid, tag, item, m = read(batch)
+            owner = np.repeat(np.arange(len(uid)), m)
             if repeated is not None:
                 there = repeated(item)
                 fits = np.bincount(owner[there], minlength=len(uid)) >= threshold * m - 1e-6
-                there &= (fits & first(uid, batch.column(3).to_numpy()))[owner]
+                there &= (fits & first(uid, tag))[owner]
                 item, owner, m = item[there], owner[there], np.where(fits, m, 0)  # 0: of this set no item goes on
             part, own, size, rows = packed(to := place(uid, PARTS), uid, m.astype(np.int32), np.arange(len(uid)))
-            keys = batch.column(1).take(pa.array(np.argsort(to, kind="stable")))
+            keys = own_keys.take(pa.array(np.argsort(to, kind="stable")))
             offsets = np.append(0, np.cumsum([len(x) // 8 for x in rows.to_pylist()])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.binary()), own, size, pa.ListArray.from_arrays(pa.array(offsets), keys)], names=names)
             held.append((item, uid[owner]))
@@ -314,7 +386,7 @@ def named_sets(sets: DataFrame, numbers: bool = False, threshold: float | None =
         rest = pa.table({name: pa.nulls(len(members), x.type) for name, x in of_sets.items()} | {name: members[name].cast(k) for name, k in lists.items()})
         return pa.concat_tables([sets, rest])
 
-    parts = hashed.mapInArrow(sent, f"part int, item binary, uid binary, m binary, keys array<{kind}>").groupBy("part")
+    parts = source.mapInArrow(sent, f"part int, item binary, uid binary, m binary, keys array<{kind}>").groupBy("part")
     named = f"keys array<{kind}>, reps array<{kind}>, owners array<long>, copies array<long>"
     back = parts.applyInArrow(counted, f"part int, item binary, uid binary, df binary, m binary, {named}").groupBy("part")
     table = written(back.applyInArrow(ordered, f"uid long, m int, items array<{'int' if numbers else 'long'}>, df array<int>, {named}"))
@@ -439,7 +511,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_duplicate_edges(texts: DataFrame, n: int, threshold: float, mode: str = "exact") -> DataFrame:
     """a, b, similarity between texts of distinct sets, each set once, by its least key. mode 'exact' misses none, 'lsh' few."""
     if mode == "exact":
-        own, same = named_sets(packed_shingle_sets(texts, n), True, threshold)
+        own, same = named_sets(texts, True, threshold, n)
         pairs, names = exact_candidates(own, threshold), same.where("key = rep").select("key", "uid")
     else:
         sets, _ = distinct_sets(shingle_sets(texts, n))
@@ -485,7 +557,7 @@ def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | N
     """key, rep, similarity: members of clusters of two or more. Texts that edges or equal sets connect form a component; its
     representative is the least key that isn't excluded, else the least; members keep to it by their own similarity."""
     if mode == "exact":
-        items, same = named_sets(packed_shingle_sets(texts, n), True, threshold)
+        items, same = named_sets(texts, True, threshold, n)
         roots = components(items, threshold)
     else:
         sets, same = distinct_sets(shingle_sets(texts, n))
@@ -581,7 +653,7 @@ def linked_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 
 def text_components(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, root: texts of distinct sets, each set once by its least key, with the least key of their component; those without a link are left out."""
-    sets, same = named_sets(packed_shingle_sets(texts, n), True, threshold)
+    sets, same = named_sets(texts, True, threshold, n)
     named = components(sets, threshold).join(same.where("key = rep").select(F.col("uid").alias("node"), "key"), "node")
     named = written(named.select("root", "key"))
     return named.join(named.groupBy("root").agg(F.min("key").alias("least")), "root").select(F.col("key").alias("node"), F.col("least").alias("root"))

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.operators import similarity
@@ -144,6 +145,44 @@ def test_copies_send_their_items_once(spark):
     assert sum(s.shuffleWriteBytes() for s in stages(spark)) - before < 1_500_000  # 16 bytes for each item of each row are 3.2 million
 
 
+def test_words_are_hashed_side_by_side(spark, monkeypatch):
+    """Only very long words are hashed one by one; equal bytes give equal hashes wherever they stand, others different ones, and sets are those of brute force."""
+    one_by_one = []
+    monkeypatch.setattr(similarity.xxhash, "xxh3_64_intdigest", lambda w, own=similarity.xxhash.xxh3_64_intdigest: one_by_one.append(w) or own(w))
+    words = ["", "a", "b", "a\0", "\0", "\0\0", "abcdefgh", "abcdefgh\0", "abcdefghi", "iabcdefgh", "é", "大", "x" * 512, "x" * 513] + [f"w{i}" for i in range(5000)]
+    own = pa.array(words)
+    hashes = similarity.word_hashes(own)
+    assert len(set(hashes.tolist())) == len(words) and one_by_one == [b"x" * 513]
+    assert (similarity.word_hashes(own.slice(3, 40)) == hashes[3:43]).all() and (similarity.word_hashes(own.cast(pa.large_string())) == hashes).all() and len(similarity.word_hashes(own.slice(0, 0))) == 0
+    r = random.Random(1)
+    texts = [" ".join(r.choice("ab") * r.randint(1, 9) for _ in range(r.randint(1, 60))) for _ in range(300)] + ["a b a b a b a", "大阪 is 大 阪", "z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").coalesce(1)
+    low = similarity.lowered(rows).orderBy("key").toArrow()
+    items, m = similarity.shingled(low["low"].combine_chunks(), 3)
+    sets = [shingles(t.replace("大", " 大 ").replace("阪", " 阪 "), 3) for t in texts]
+    held = [set(x.tolist()) for x in np.split(items, np.cumsum(m)[:-1])]
+    assert m.tolist() == [len(s) for s in sets] == [len(x) for x in held]
+    assert all(len(held[a] & held[b]) == len(sets[a] & sets[b]) for a, b in combinations(range(len(texts)), 2))
+
+
+def test_runs_that_differ_in_their_last_bits_are_told_apart(monkeypatch):
+    monkeypatch.setattr(similarity, "mix", lambda x: x)  # sums of words, which are near each other
+    monkeypatch.setattr(similarity, "word_hashes", lambda words: np.array([int(w) for w in words.to_pylist()], np.uint64))
+    items, m = similarity.shingled(pa.array(["1 3 2 3 1", "5 1 4"] * 40), 1)
+    assert items.tolist() == [2, 3, 4, 2, 5, 6] * 40 and m.tolist() == [3, 3] * 40
+
+
+def test_texts_are_cut_where_they_are_sent(spark, texts):
+    """Sets cut from texts by the task that sends them are those of packed_shingle_sets()."""
+    frame = spark.createDataFrame(texts, "key string, text string").repartition(3)
+    found = []
+    for sets, n in ((similarity.packed_shingle_sets(frame, 3), None), (frame, 3)):
+        shared, members = similarity.named_sets(sets, True, 0.5, n)
+        names = {r.uid: r.rep for r in members.collect()}
+        found.append(({(r.key, r.rep, r.copies) for r in members.collect()}, {names[r.uid]: (r.m, r.df) for r in shared.collect()}))
+    assert found[0] == found[1] and found[0][1]
+
+
 def stages(spark):
     store = spark.sparkContext._jsc.sc().statusStore()
     found = store.stageList(spark._jvm.java.util.ArrayList(), False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
