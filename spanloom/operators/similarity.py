@@ -556,6 +556,11 @@ def components(sets: DataFrame, threshold: float) -> DataFrame:
 def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | None = None, mode: str = "exact") -> DataFrame:
     """key, rep, similarity: members of clusters of two or more. Texts that edges or equal sets connect form a component; its
     representative is the least key that isn't excluded, else the least; members keep to it by their own similarity."""
+    return clusters_and_sets(texts, n, threshold, excluded, mode, [])[0]
+
+
+def clusters_and_sets(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | None = None, mode: str = "exact", more: tuple | list = ("uid",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """clusters() with more columns, the sets that members' uids name, and the members that named_sets() gives."""
     if mode == "exact":
         items, same = named_sets(texts, True, threshold, n)
         roots = components(items, threshold)
@@ -578,9 +583,9 @@ def clusters(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | N
     members = labels.join(reps, "root").select("key", "uid", "rep", "rep_uid")
     others = members.where("uid <> rep_uid").select(F.col("uid").alias("a"), F.col("rep_uid").alias("b")).distinct()
     pairs = verified(others, items, threshold).toDF("uid", "rep_uid", "similarity")
-    near = members.where("uid <> rep_uid").join(pairs, ["uid", "rep_uid"]).select("key", "rep", "similarity")
-    kept = written(members.where("uid = rep_uid").select("key", "rep", F.lit(1.0).alias("similarity")).unionByName(near))
-    return kept.join(kept.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1"), "rep").select("key", "rep", "similarity", "size")
+    near = members.where("uid <> rep_uid").join(pairs, ["uid", "rep_uid"]).select("key", "rep", "similarity", *more)
+    kept = written(members.where("uid = rep_uid").select("key", "rep", F.lit(1.0).alias("similarity"), *more).unionByName(near))
+    return kept.join(kept.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1"), "rep").select("key", "rep", "similarity", "size", *more), items, same
 
 
 #: Columns of a matrix of sets and items that are multiplied at a time.
@@ -603,6 +608,22 @@ def shared_items(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def common_items(item: np.ndarray, owner: np.ndarray, n: int, cut: int) -> np.ndarray:
+    """How many items each of the first cut of n sets (the distinct items of all, and whose each is) has in common with each of the others, or, with none
+    behind the cut, with each of the n; COLUMNS items at a time."""
+    order = np.argsort(item)
+    item, owner = item[order], owner[order]
+    at = np.cumsum(np.append(False, item[1:] != item[:-1]))[: len(item)]
+    kinds = int(at[-1]) + 1 if len(at) else 0
+    out = np.zeros((cut, n - cut if cut < n else n))
+    for a in range(0, kinds, COLUMNS):
+        own = slice(*np.searchsorted(at, [a, a + COLUMNS]))
+        held = np.zeros((n, min(COLUMNS, kinds - a)), np.float32)
+        held[owner[own], at[own] - a] = 1
+        out += held[:cut] @ (held[cut:] if cut < n else held).T
+    return out
+
+
 def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """The Jaccard index of each pair of sets, as jaccard() has it."""
     both = shared_items(x, y)
@@ -684,6 +705,69 @@ def pairwise_summary(members: DataFrame, sets: DataFrame, exact_up_to: int = 256
     return out
 
 
+def text_pairwise_summary(texts: DataFrame, n: int, threshold: float, excluded: DataFrame | None = None) -> DataFrame:
+    """rep, size, mean_similarity: of each of the clusters() of texts (key, text) the mean Jaccard index of its pairs, all of them, and each text with
+    tokens that is in no cluster as a cluster of one, with a mean of 1.
+
+    The sets are those that the clusters were found by, so that texts are not cut once more. Copies of a set count as often as they stand, but
+    are compared once; one set, or two, whose similarity is known, are not compared at all. Sets of larger clusters meet by blocks of BLOCK, a pair of
+    blocks at a time, so that no task holds a cluster; only the time grows with the square of a cluster's sets.
+    """
+    members, sets, same = clusters_and_sets(texts, n, threshold, excluded)
+    own = written(members.groupBy("rep", "uid").agg(F.count("*").alias("copies"), F.max("similarity").alias("similarity")))
+    c = F.col("copies")
+    totals = own.groupBy("rep").agg(F.sum("copies").alias("size"), F.count("*").alias("sets"), F.sum(c * (c - 1) / 2).alias("equal"), F.sum(c * c).alias("squares"), F.min("similarity").alias("near"))
+    totals = written(totals)
+    compared = own.join(totals.where("sets > 2").select("rep", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), "rep").join(sets, "uid")
+    compared = compared.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = compared.select("rep", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "copies", "m", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def summed(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+            """The sums of the cells that begin at heads but the last, which is the end."""
+            lists = table["items"].combine_chunks()
+            ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+            item, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(table)), np.diff(ends))
+            m, copies = table["m"].to_numpy().astype(float), table["copies"].to_numpy().astype(float)
+            block, i, j = (table[name].to_numpy() for name in ("block", "i", "j"))
+            out = []
+            for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+                cut = a + int((block[a:b] == i[a]).sum()) if i[a] < j[a] else b
+                x, y = (a, cut), (cut, b) if cut < b else (a, b)
+                both = common_items(item[ends[a] : ends[b]], owner[ends[a] : ends[b]] - a, b - a, cut - a)
+                similar = both / (m[slice(*x), None] + m[None, slice(*y)] - both)
+                if i[a] == j[a]:
+                    np.fill_diagonal(similar, 0)
+                total = copies[slice(*x)] @ similar @ copies[slice(*y)] if i[a] == j[a] or cut < b else 0.0
+                out.append(total / 2 if i[a] == j[a] else total)
+            return pa.RecordBatch.from_arrays([table["rep"].take(pa.array(heads[:-1])).combine_chunks(), pa.array(out, pa.float64())], names=["rep", "total"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            held = table
+            if len(table):
+                rep = table["rep"].combine_chunks()
+                new = pc.not_equal(rep.slice(1), rep.slice(0, len(rep) - 1)).to_numpy(zero_copy_only=False)
+                for name in ("i", "j"):
+                    new = new | (np.diff(table[name].to_numpy()) != 0)
+                heads = np.append(0, np.flatnonzero(new) + 1)
+                if len(heads) > 1:
+                    yield summed(table.slice(0, heads[-1]), heads)
+                    held = table.slice(heads[-1])
+        if held is not None and len(held):
+            yield summed(held, np.array([0, len(held)]))
+
+    place = ["rep", "i", "j"]
+    sums = cells.repartition(*place).sortWithinPartitions(*place, "block").mapInArrow(run, f"rep {members.schema['rep'].dataType.simpleString()}, total double").groupBy("rep").agg(F.sum("total").alias("total"))
+    across = (F.col("size") * F.col("size") - F.col("squares")) / 2 * F.col("near")  # of two sets; of one it is 0
+    full = totals.join(sums, "rep", "left").select("rep", "size", ((F.when(F.col("sets") > 2, F.col("total")).otherwise(across) + F.col("equal")) / (F.col("size") * (F.col("size") - 1) / 2)).alias("mean_similarity"))
+    alone = same.select("key").join(members.select("key"), "key", "left_anti")
+    return full.unionByName(alone.select(F.col("key").alias("rep"), F.lit(1).cast("long").alias("size"), F.lit(1.0).alias("mean_similarity")))
+
+
 def cluster_summary(members: DataFrame) -> DataFrame:
     """Per cluster its size and the members' mean similarity to the representative."""
     return members.groupBy("rep").agg(F.count("*").alias("size"), F.round(F.avg(F.when(F.col("key") != F.col("rep"), F.col("similarity"))), 6).alias("mean_similarity"))

@@ -199,7 +199,7 @@ add("f06_row_clusters", lambda t: row_clusters(t).withColumn("similarity", F.rou
 add("f07_cluster_summary", lambda t: similarity.cluster_summary(row_clusters(t)), ROW_CLUSTERS + "SELECT rep, count(*) AS size, round(avg(similarity) FILTER (key <> rep), 6) AS mean_similarity FROM clusters GROUP BY rep")
 add(
     "f07_pairwise_summary",
-    lambda t: similarity.pairwise_summary(row_clusters(t), similarity.shingle_sets(row_texts(t), 3), every=row_texts(t).where(F.col("text").rlike("\\S"))).withColumn("mean_similarity", F.round("mean_similarity", 6)).select("rep", "size", "mean_similarity"),
+    lambda t: similarity.text_pairwise_summary(row_texts(t), 3, 0.5, masked_keys(t)).withColumn("mean_similarity", F.round("mean_similarity", 6)),
     ROW_CLUSTERS + """, pairs AS (SELECT c.rep, avg(len(list_intersect(x.items, y.items)) / (len(x.items) + len(y.items) - len(list_intersect(x.items, y.items)))) AS mean FROM clusters c JOIN clusters d ON d.rep = c.rep AND c.key < d.key JOIN items x ON x.key = c.key JOIN items y ON y.key = d.key GROUP BY c.rep)
 SELECT c.rep, count(*) AS size, round(any_value(mean), 6) AS mean_similarity FROM clusters c JOIN pairs p ON p.rep = c.rep GROUP BY c.rep UNION ALL SELECT key, 1, 1.0::DOUBLE FROM items WHERE key NOT IN (SELECT key FROM clusters)""",
 )

@@ -183,6 +183,29 @@ def test_texts_are_cut_where_they_are_sent(spark, texts):
     assert found[0] == found[1] and found[0][1]
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_mean_similarities_of_all_pairs(spark, texts, monkeypatch, block):
+    """Clusters of any size are compared in full, from the sets they were found by: texts are cut for the two passes of clusters() only."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    own = dict(texts)
+    for i, k in enumerate(k for k, _ in texts[:70]):  # 70 of the copies stand four times more, so that a cluster is larger than 256
+        own |= {f"m{i:04}-{c}": own[k] for c in range(4)}
+    own |= {"p1": "one pair of copies", "p2": "one pair of copies"}
+    read = []
+    monkeypatch.setattr(similarity, "lowered", lambda df, of=similarity.lowered: read.append(df) or of(df))
+    monkeypatch.setattr(similarity, "shingle_sets", None)
+    got = {x.rep: (x.size, x.mean_similarity) for x in similarity.text_pairwise_summary(spark.createDataFrame(list(own.items()), "key string, text string").repartition(4), 3, 0.6).collect()}
+    assert len(read) == 1
+    members = {}
+    for k, r in similarity.clusters(spark.createDataFrame(list(own.items()), "key string, text string"), 3, 0.6).select("key", "rep").collect():
+        members.setdefault(r, []).append(shingles(own[k], 3))
+    want = {r: (len(v), sum(near(x, y) for x, y in combinations(v, 2)) * 2 / len(v) / (len(v) - 1)) for r, v in members.items()}
+    assert max(n for n, _ in want.values()) > 256 and want["p1"] == (2, 1)
+    assert all(got[r][0] == n and got[r][1] == pytest.approx(mean, abs=1e-12) for r, (n, mean) in want.items())
+    alone = [x for r, x in got.items() if r not in want]
+    assert set(alone) == {(1, 1)} and len(alone) == sum(1 for t in own.values() if (t or "").strip()) - sum(n for n, _ in want.values())
+
+
 def stages(spark):
     store = spark.sparkContext._jsc.sc().statusStore()
     found = store.stageList(spark._jvm.java.util.ArrayList(), False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
