@@ -139,8 +139,13 @@ def masked_keys(t: Tables):
     return t.row_masks.select(similarity.row_key().alias("key"))
 
 
-def row_clusters(t: Tables):
-    return similarity.clusters(row_texts(t), 3, 0.5, masked_keys(t))
+def row_clusters(t: Tables, masked=None):
+    return similarity.clusters(row_texts(t), 3, 0.5, masked_keys(t) if masked is None else masked)
+
+
+def duplicate_masks(t: Tables):
+    masked = graph.written(masked_keys(t))  # both the clusters and the masks ask for them
+    return similarity.mask_duplicates(row_clusters(t, masked), masked)
 
 
 def report(t: Tables):
@@ -209,7 +214,7 @@ add(
     lambda t: report(t).select("key", "rep", "size", "n_words", "masked", F.length("preview").alias("n_preview")),
     ROW_CLUSTERS + f"SELECT c.key, rep, size, len(regexp_extract_all(input, '\\S+'))::INT AS n_words, c.key IN (SELECT {KEY} FROM row_masks) AS masked, length(CASE WHEN regexp_matches(input, '^(\\s*\\S+){{100}}') THEN regexp_extract(input, '^(\\s*\\S+){{100}}') ELSE input END)::INT AS n_preview FROM clusters c JOIN (SELECT {KEY} AS key, input FROM src_rows) r ON r.key = c.key",
 )
-add("f10_mask_duplicates", lambda t: similarity.mask_duplicates(row_clusters(t), masked_keys(t)), ROW_CLUSTERS + f"SELECT key, concat('near-duplicate of ', rep) AS reason FROM (SELECT key, rep FROM clusters QUALIFY key <> min(key) OVER (PARTITION BY rep)) WHERE key NOT IN (SELECT {KEY} FROM row_masks)")
+add("f10_mask_duplicates", duplicate_masks, ROW_CLUSTERS + f"SELECT key, concat('near-duplicate of ', rep) AS reason FROM (SELECT key, rep FROM clusters QUALIFY key <> min(key) OVER (PARTITION BY rep)) WHERE key NOT IN (SELECT {KEY} FROM row_masks)")
 add(
     "f11_slider",
     lambda t: similarity.slider(report(t), 0.6),
@@ -279,7 +284,7 @@ add(
 )
 add(
     "f19_unjustified_duplicate_masks",  # masks of clusters at 0.5 that 0.6 no longer justifies
-    lambda t: similarity.unjustified_masks(similarity.mask_duplicates(row_clusters(t), masked_keys(t)), row_texts(t), 0.6).withColumn("similarity", F.round("similarity", 6)),
+    lambda t: similarity.unjustified_masks(duplicate_masks(t), row_texts(t), 0.6).withColumn("similarity", F.round("similarity", 6)),
     ROW_CLUSTERS + f"SELECT key, rep, round(similarity, 6) AS similarity FROM (SELECT * FROM clusters QUALIFY key <> min(key) OVER (PARTITION BY rep)) WHERE key NOT IN (SELECT {KEY} FROM row_masks) AND key <> rep AND similarity < 0.6",
 )
 add(

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from spanloom.operators import similarity
+from spanloom.plans import repairs
 
 
 def shingles(text, n):
@@ -206,6 +207,15 @@ def test_mean_similarities_of_all_pairs(spark, texts, monkeypatch, block):
     assert set(alone) == {(1, 1)} and len(alone) == sum(1 for t in own.values() if (t or "").strip()) - sum(n for n, _ in want.values())
 
 
+def test_masks_are_worked_out_once(spark, monkeypatch):
+    """f10_mask_duplicates asks for masked rows twice, and reads the documents for them once."""
+    made, tables = [], []
+    monkeypatch.setattr(repairs, "masked_keys", lambda t, own=repairs.masked_keys: made.append(own(t)) or made[-1])
+    monkeypatch.setattr(repairs.graph, "written", lambda df, own=repairs.graph.written: tables.append(df) or own(df))
+    got = repairs.R.queries["f10_mask_duplicates"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and any(t is made[0] for t in tables) and got.count() > 0
+
+
 def stages(spark):
     store = spark.sparkContext._jsc.sc().statusStore()
     found = store.stageList(spark._jvm.java.util.ArrayList(), False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
