@@ -28,7 +28,7 @@ def without_trailing(span: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.when(blank(text), 0).otherwise(F.size(F.split(stripped(text), r"(?U)\s+")))
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
 
 
 def first_tokens(text: Column, n: int) -> Column:

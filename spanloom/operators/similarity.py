@@ -847,8 +847,13 @@ def diverse_examples(texts: DataFrame, group: list[str], k: int = 3) -> DataFram
     return out
 
 
+def with_word_counts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (key) with n_words of their texts; words are counted before texts are joined, so that no text is sent."""
+    return members.join(texts.select("key", word_count(F.col("text")).alias("n_words")), "key")
+
+
 def slider(report: DataFrame, least: float) -> DataFrame:
-    """Members whose similarity per ln(words / 10 + e) reaches the slider, with their representative; clusters below two go."""
+    """Members (key, rep, similarity, n_words) whose similarity per ln(words / 10 + e) reaches the slider, with their representative; clusters below two go."""
     weighed = report.withColumn("value", F.col("similarity") / F.log(F.col("n_words") / 10 + F.exp(F.lit(1.0))))
     kept = weighed.where((F.col("key") == F.col("rep")) | (F.col("value") >= least))
     return kept.withColumn("left_size", F.count("*").over(Window.partitionBy("rep"))).where("left_size > 1").select("key", "rep", "left_size")

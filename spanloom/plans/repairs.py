@@ -217,7 +217,7 @@ add(
 add("f10_mask_duplicates", duplicate_masks, ROW_CLUSTERS + f"SELECT key, concat('near-duplicate of ', rep) AS reason FROM (SELECT key, rep FROM clusters QUALIFY key <> min(key) OVER (PARTITION BY rep)) WHERE key NOT IN (SELECT {KEY} FROM row_masks)")
 add(
     "f11_slider",
-    lambda t: similarity.slider(report(t), 0.6),
+    lambda t: similarity.slider(similarity.with_word_counts(row_clusters(t), row_texts(t)), 0.6),
     ROW_CLUSTERS + f", v AS (SELECT c.key, rep, similarity / ln(len(regexp_extract_all(input, '\\S+')) / 10 + exp(1)) AS value FROM clusters c JOIN (SELECT {KEY} AS key, input FROM src_rows) r ON r.key = c.key) SELECT key, rep, left_size FROM (SELECT key, rep, count(*) OVER (PARTITION BY rep) AS left_size FROM v WHERE key = rep OR value >= 0.6) WHERE left_size > 1",
 )
 add(

@@ -6,7 +6,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from spanloom.functions.text import word_count
 from spanloom.operators import similarity
 from spanloom.plans import repairs
 
@@ -216,6 +218,23 @@ def test_masks_are_worked_out_once(spark, monkeypatch):
     assert len(made) == 1 and any(t is made[0] for t in tables) and got.count() > 0
 
 
+def test_slider_sends_no_text(spark):
+    """Words are counted before texts are joined, in one pass of a text, and as many as before."""
+    r = random.Random(5)
+    rows = [(f"k{i:03}", f"k{i // 2 * 2:03}", 0.9, " ".join(f"{r.random()}" for _ in range(500))) for i in range(200)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members, frame = spark.createDataFrame([x[:3] for x in rows], "key string, rep string, similarity double"), spark.createDataFrame([(x[0], x[3]) for x in rows], "key string, text string")
+        before = sum(s.shuffleWriteBytes() for s in stages(spark))
+        got = similarity.slider(similarity.with_word_counts(members, frame), 0.2).collect()
+        assert len(got) == 200 and sum(s.shuffleWriteBytes() for s in stages(spark)) - before < 100_000  # the texts are 1.9 million bytes
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    odd = ["", " ", None, "a", " a\tb\n", "a b", "　大阪 x ", "a\x1cb", "\u0085a b\r\n", "a​b", " \n"]
+    counted = {x.text: x.n for x in spark.createDataFrame([(t,) for t in odd], "text string").select("text", word_count(F.col("text")).alias("n")).collect()}
+    assert counted == {"": 0, " ": 0, None: 0, "a": 1, " a\tb\n": 2, "a b": 2, "　大阪 x ": 2, "a\x1cb": 1, "\u0085a b\r\n": 2, "a​b": 1, " \n": 0}
+
+
 def stages(spark):
     store = spark.sparkContext._jsc.sc().statusStore()
     found = store.stageList(spark._jvm.java.util.ArrayList(), False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
